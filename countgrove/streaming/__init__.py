@@ -1,0 +1 @@
+"""Empty on purpose: every analysis here is a batch job over whole count tables."""
