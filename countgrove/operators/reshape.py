@@ -22,7 +22,8 @@ def to_wide(df: DataFrame, ids, name: str, value: str, levels, fill=0) -> DataFr
 
 def transpose(df: DataFrame, row: str = "feature", column: str = "sample") -> DataFrame:
     """Swap the two keys of a long table."""
-    return df.withColumnsRenamed({row: column, column: row})
+    swap = {row: column, column: row}
+    return df.select(*[F.col(c).alias(swap.get(c, c)) for c in df.columns])
 
 
 def one_hot(df: DataFrame, id_col: str, col: str, levels=None) -> DataFrame:

@@ -35,25 +35,25 @@ def _before(by: list[str], order, descending: bool = False):
 
 
 def _with_ranges(hist: DataFrame, by: list[str], value: str, cuts: int) -> DataFrame:
-    placed = _place(hist, by, value, cuts, total=F.sum("n"))
-    starts = (placed.groupBy(*by, "_range").agg(F.sum("n").alias("_n"))
-              .withColumn("_start", F.coalesce(F.sum("_n").over(_before(by, ["_range"])), F.lit(0)))
-              .drop("_n"))
+    placed = _place(hist, by, value, cuts, _total=F.sum("_n"))
+    starts = (placed.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
+              .withColumn("_start", F.coalesce(F.sum("_in").over(_before(by, ["_range"])), F.lit(0)))
+              .drop("_in"))
     inside = _before([*by, "_range"], [value])
     return (placed.join(starts, [*by, "_range"])
-            .withColumn("below", F.col("_start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .select(*by, value, "_range", "n", "below", "total"))
+            .withColumn("_below", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+            .select(*by, value, "_range", "_n", "_below", "_total"))
 
 
 def accumulate(hist: DataFrame, value: str, by=(), cuts: int = CUTS) -> DataFrame:
-    """(by, value, n) -> (by, value, n, below, total), one row per distinct value."""
+    """(by, value, _n) -> (by, value, _n, _below, _total), one row per distinct value."""
     return _with_ranges(hist, names(by), value, cuts).drop("_range")
 
 
 def value_counts(df: DataFrame, value: str, by=()) -> DataFrame:
     """Number of rows per (group, value); NULL values are left out."""
     return (df.filter(F.col(value).isNotNull())
-            .groupBy(*names(by), value).agg(F.count(F.lit(1)).alias("n")))
+            .groupBy(*names(by), value).agg(F.count(F.lit(1)).alias("_n")))
 
 
 def average_rank(df: DataFrame, value: str, by=(), name: str = "rank", total: str | None = None,
@@ -61,24 +61,24 @@ def average_rank(df: DataFrame, value: str, by=(), name: str = "rank", total: st
     """Rows with the average-tie rank of `value` inside the group (NULL has no rank)."""
     by = names(by)
     ranks = accumulate(value_counts(df, value, by), value, by, cuts).select(
-        *by, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name),
-        *([F.col("total").alias(total)] if total else []))
+        *by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name),
+        *([F.col("_total").alias(total)] if total else []))
     return df.join(ranks, [*by, value], "left")
 
 
 def hist_quantiles(hist: DataFrame, value: str, probs: dict[str, float], by=(),
                    cuts: int = CUTS) -> DataFrame:
-    """Exact linear-interpolation quantiles of (by, value, n); one column per named probability."""
+    """Exact linear-interpolation quantiles of (by, value, _n); one column per named probability."""
     by = names(by)
     acc = accumulate(hist, value, by, cuts)
     picks, finals = [], []
     for i, (label, p) in enumerate(probs.items()):
-        pos = (F.col("total") - 1) * F.lit(float(p))
+        pos = (F.col("_total") - 1) * F.lit(float(p))
         low = F.floor(pos)
-        high = F.least(low + 1, F.col("total") - 1)
+        high = F.least(low + 1, F.col("_total") - 1)
 
         def at(k):
-            hit = (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+            hit = (F.col("_below") <= k) & (k < F.col("_below") + F.col("_n"))
             return F.max(F.when(hit, F.col(value).cast("double")))
 
         picks += [at(low).alias(f"_lo{i}"), at(high).alias(f"_hi{i}"),
@@ -103,9 +103,9 @@ def row_index(df: DataFrame, order, by=(), name: str = "idx", cuts: int = CUTS)
     """
     by, order = names(by), names(order)
     placed = _place(df, by, order[0], cuts)
-    starts = (placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_start", F.coalesce(F.sum("_n").over(_before(by, ["_range"])), F.lit(0)))
-              .drop("_n"))
+    starts = (placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_in"))
+              .withColumn("_start", F.coalesce(F.sum("_in").over(_before(by, ["_range"])), F.lit(0)))
+              .drop("_in"))
     inside = Window.partitionBy(*by, "_range").orderBy(*order)
     return (placed.join(starts, [*by, "_range"])
             .withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
@@ -124,7 +124,7 @@ def step_up_adjust(df: DataFrame, p: str, by=(), name: str = "p_adjusted",
     """Benjamini-Hochberg adjusted p-values inside each group."""
     by = names(by)
     acc = _with_ranges(value_counts(df, p, by), by, p, cuts).withColumn(
-        "_q", F.col(p) * F.col("total") / (F.col("below") + F.col("n")))
+        "_q", F.col(p) * F.col("_total") / (F.col("_below") + F.col("_n")))
     later = (acc.groupBy(*by, "_range").agg(F.min("_q").alias("_m"))
              .withColumn("_later", F.min("_m").over(_before(by, ["_range"], descending=True)))
              .drop("_m"))
