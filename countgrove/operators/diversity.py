@@ -31,3 +31,167 @@ def hill_numbers(counts: DataFrame, by=("sample",), orders=(0, 1, 2)) -> DataFra
 def evenness(hill: DataFrame) -> DataFrame:
     return hill.select("*", ratio("hill_1", "hill_0").alias("evenness_1"),
                        ratio("hill_2", "hill_0").alias("evenness_2"))
+
+
+def diversity_long(table: DataFrame, id_col: str = "sample") -> DataFrame:
+    """All indices as (id, index, value)."""
+    cols = [c for c in table.columns if c != id_col]
+    typed = table.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
+    return typed.unpivot(id_col, cols, "index", "value")
+
+
+def classic_indices(counts: DataFrame, by=("sample",)) -> DataFrame:
+    """Shannon, Simpson, inverse Simpson, Pielou (NULL for a single feature), richness."""
+    h = -F.sum(F.col("p") * F.log("p"))
+    d = F.sum(F.col("p") * F.col("p"))
+    n = F.count(F.lit(1))
+    return _shares(counts, names(by)).groupBy(*names(by)).agg(
+        n.alias("richness"), h.alias("shannon"), (F.lit(1.0) - d).alias("simpson"),
+        (F.lit(1.0) / d).alias("inverse_simpson"), F.try_divide(h, F.log(n)).alias("pielou"))
+
+
+def chao1(counts: DataFrame, by=("sample",)) -> DataFrame:
+    """Observed richness and the bias-corrected estimate with singletons and doubletons."""
+    r = F.col("reads")
+    agg = counts.groupBy(*names(by)).agg(
+        F.count_if(r > 0).alias("observed"), F.count_if(r == 1).alias("_f1"), F.count_if(r == 2).alias("_f2"))
+    extra = F.col("_f1") * (F.col("_f1") - 1) / (2.0 * (F.col("_f2") + 1))
+    return agg.withColumn("chao1", F.col("observed") + extra).drop("_f1", "_f2")
+
+
+def diversity_table(counts: DataFrame, by=("sample",)) -> DataFrame:
+    """Nine indices per sample from one aggregation."""
+    by = names(by)
+    h = -F.sum(F.col("p") * F.log("p"))
+    d = F.sum(F.col("p") * F.col("p"))
+    base = _shares(counts, by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("richness"), h.alias("shannon"), d.alias("_d"))
+    n = F.col("richness").cast("double")
+    return base.select(
+        *by, "richness", "shannon", (F.lit(1.0) - F.col("_d")).alias("simpson"),
+        (F.lit(1.0) / F.col("_d")).alias("inverse_simpson"),
+        F.try_divide(F.col("shannon"), F.log(n)).alias("pielou"),
+        F.exp("shannon").alias("hill_1"), (F.lit(1.0) / F.col("_d")).alias("hill_2"),
+        (F.exp("shannon") / n).alias("evenness_1"), (F.lit(1.0) / F.col("_d") / n).alias("evenness_2"))
+
+
+def partition_diversity(counts: DataFrame, q: int = 0) -> DataFrame:
+    """Alpha, gamma and beta = gamma / alpha over all samples with equal weights."""
+    if q not in (0, 1):
+        raise ValueError("q must be 0 or 1")
+    shares = _shares(counts)
+    one = hill_numbers(counts, orders=(q,))
+    if q == 0:
+        alpha = one.agg(F.avg("hill_0").alias("alpha"))
+        gamma = shares.agg(F.count_distinct("feature").cast("double").alias("gamma"))
+    else:
+        alpha = one.agg(F.exp(F.avg(F.log("hill_1"))).alias("alpha"))
+        n = one.agg(F.count(F.lit(1))).scalar()
+        pooled = shares.groupBy("feature").agg((F.sum("p")).alias("_p")).withColumn("_p", F.col("_p") / n)
+        gamma = pooled.agg(F.exp(-F.sum(F.col("_p") * F.log("_p"))).alias("gamma"))
+    return attach(alpha, gamma).withColumn("beta", ratio("gamma", "alpha"))
+
+
+def pairwise_beta(counts: DataFrame, q: int = 0, within=(), name: str = "beta") -> DataFrame:
+    """Beta diversity (1 to 2) of every pair of samples, (within, s1, s2, beta).
+
+    q = 0 is size of union over mean size. For q = 1 the sample entropies cancel, leaving
+    2 * exp(sum over shared features). Pairs that share nothing have beta 2.
+    """
+    if q not in (0, 1):
+        raise ValueError("q must be 0 or 1")
+    within = names(within)
+    present = counts.filter("reads > 0")
+    if q == 1:
+        cells = _shares(present, [*within, "sample"])
+        sums = pair_sums(cells, "sample", "feature", "p", shared_entropy, within)
+        return sums.withColumn(name, F.lit(2.0) * F.exp("value")).drop("value")
+    both = pair_sums(present, "sample", "feature", "reads", shared, within)
+    sizes = present.groupBy(*within, "sample").agg(F.count(F.lit(1)).cast("double").alias("_k"))
+    out = both
+    for end, k in (("s1", "_k1"), ("s2", "_k2")):
+        out = out.join(sizes.withColumnsRenamed({"sample": end, "_k": k}), [*within, end])
+    total = F.col("_k1") + F.col("_k2")
+    return out.select(*within, "s1", "s2", ((total - F.col("value")) / (total / 2)).alias(name))
+
+
+def pairwise_dissimilarity(pairs: DataFrame, q: int = 0) -> DataFrame:
+    """1 - homogeneity for two samples: beta - 1 at q = 0, ln(beta) / ln 2 at q = 1."""
+    d = F.col("beta") - 1 if q == 0 else F.log("beta") / F.log(F.lit(2.0))
+    return pairs.withColumn("dissimilarity", d)
+
+
+def same_site_beta(counts: DataFrame, q: int = 0, site: str = "site", method: str = "method") -> DataFrame:
+    """Beta between the methods of one site, labelled `method x method`.
+
+    The site is a key of the pair table, so only pairs of one site are ever formed.
+    """
+    cells = counts.select(site, F.col(method).alias("sample"), "feature", "reads")
+    pairs = pairwise_beta(cells, q, within=[site])
+    return pairs.select(site, F.concat_ws(" x ", "s1", "s2").alias("comparison"), "beta")
+
+
+def beta_nci(observed: DataFrame, null: DataFrame) -> DataFrame:
+    """(observed - null mean) / null sd per pair, and whether it passes the lines at -2 and 2."""
+    joined = observed.join(null, ["s1", "s2"])
+    nci = F.try_divide(F.col("beta") - F.col("null_mean"), F.col("null_sd"))
+    return joined.withColumn("nci", nci).withColumn(
+        "outside", F.when(F.col("nci").isNotNull(), F.abs("nci") > 2))
+
+
+def beta_by_group(pairs: DataFrame, groups: DataFrame, group: str, value: str = "beta",
+                  key: str = "sample") -> DataFrame:
+    """Values summarised within and between groups; group pairs are unordered."""
+    out = pairs
+    for end, g in (("s1", "_a"), ("s2", "_b")):
+        out = out.join(groups.select(F.col(key).alias(end), F.col(group).alias(g)), end)
+    return (out.select(F.least("_a", "_b").alias("group_1"), F.greatest("_a", "_b").alias("group_2"), value)
+            .groupBy("group_1", "group_2")
+            .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+            .withColumn("within", F.col("group_1") == F.col("group_2")))
+
+
+def mean_phylo_distance(counts: DataFrame, distance: DataFrame, weighted: bool = True) -> DataFrame:
+    """Mean feature distance between two samples, sum p_i q_j d_ij, for every pair.
+
+    `distance` holds (f1, f2, d) with f1 < f2. Two tiled matrix products replace the
+    double join: shares by distances, then by shares.
+    """
+    shares = _shares(counts)
+    if not weighted:
+        shares = with_group_stats(shares, "sample", _k=F.count(F.lit(1))).withColumn(
+            "p", F.lit(1.0) / F.col("_k"))
+    cells = shares.select("sample", "feature", "p")
+    full = distance.select(F.col("f2").alias("target"), F.col("f1").alias("feature"), F.col("d").alias("p")).unionByName(
+        distance.select(F.col("f1").alias("target"), F.col("f2").alias("feature"), F.col("d").alias("p")))
+    spread = product_sums(cells, full, "sample", "target", "feature", "p")
+    left = spread.select(F.col("sample").alias("s1"), F.col("target").alias("feature"), F.col("value").alias("p"))
+    right = cells.select(F.col("sample").alias("s2"), "feature", "p")
+    return (product_sums(left, right, "s1", "s2", "feature", "p", out="distance")
+            .filter(F.col("s1") < F.col("s2")))
+
+
+def mean_beta(pairs: DataFrame, by=(), value: str = "beta") -> DataFrame:
+    return pairs.groupBy(*names(by)).agg(F.avg(value).alias(f"mean_{value}"))
+
+
+def covariate_difference(pairs: DataFrame, cov: DataFrame, cols, value: str = "beta",
+                         key: str = "sample") -> DataFrame:
+    """abs(x1 - x2) of each covariate next to the pair value, long."""
+    from .joins import decorate_pairs
+
+    cols = names(cols)
+    both = decorate_pairs(pairs, cov.select(key, *cols), key)
+    diffs = both.select("s1", "s2", value, *[
+        F.abs(F.col(f"{c}_1") - F.col(f"{c}_2")).cast("double").alias(c) for c in cols])
+    return diffs.unpivot(["s1", "s2", value], cols, "covariate", "difference")
+
+
+def diversity_vs_covariate(div: DataFrame, cov: DataFrame, indices, cols, key: str = "sample") -> DataFrame:
+    """(key, index, value, covariate, x) for facets, with the trend of each facet."""
+    from .inference import linear_trend
+
+    long = diversity_long(div.select(key, *names(indices)), key)
+    facts = cov.select(key, *[F.col(c).cast("double").alias(c) for c in names(cols)])
+    x = facts.unpivot(key, names(cols), "covariate", "x")
+    return linear_trend(long.join(x, key), "x", "value", by=["index", "covariate"])

@@ -63,10 +63,12 @@ def _tile(pdf: pd.DataFrame, left: np.ndarray, right: np.ndarray, kernel: Callab
 
 
 def _tiled(df: DataFrame, row: str, inner: str, value: str, keys: list[str], block: int,
-           chunk: int, side=None) -> DataFrame:
-    """Cells with their row block and inner chunk; sizes come from the data."""
-    count = df.agg(F.greatest(F.ceil(F.approx_count_distinct(row) / block), F.lit(1))).scalar()
-    chunks = df.agg(F.greatest(F.ceil(F.approx_count_distinct(inner) / chunk), F.lit(1))).scalar()
+           chunk: int) -> DataFrame:
+    """Cells with their row block and inner chunk; sizes come from the data (the largest key)."""
+    sizes = df.groupBy(*keys).agg(F.approx_count_distinct(row).alias("_r"),
+                                  F.approx_count_distinct(inner).alias("_c"))
+    count = sizes.agg(F.greatest(F.ceil(F.max("_r") / block), F.lit(1))).scalar()
+    chunks = sizes.agg(F.greatest(F.ceil(F.max("_c") / chunk), F.lit(1))).scalar()
     return df.select(
         *keys, F.col(row).alias("_row"), F.col(inner).alias("_inner"),
         F.col(value).cast("double").alias("_value"), count.alias("_blocks"),

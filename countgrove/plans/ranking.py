@@ -1,9 +1,9 @@
 """Order statistics without sending a group through one task.
 
 A group is first reduced to its distinct values with their counts (combined map-side),
-then cut into value ranges from a mergeable quantile sketch. Ranges are accumulated
-independently and shifted by the totals of the lower ranges, so ranks, medians and
-running minima stay exact while a hot group is spread over `cuts` tasks.
+then cut into value ranges. Ranges are accumulated independently and shifted by the
+totals of the lower ranges, so ranks, medians and running minima stay exact while a hot
+group is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -13,19 +13,42 @@ from pyspark.sql import functions as F
 
 from ..functions.common import attach, names
 
-CUTS = 48
+SAMPLE = 16384   # expected number of rows in the boundary sample of a whole table
+STRIDE = 16      # one boundary per so many sampled rows
+FAN = 32         # boundaries compared per search step
 
 
-def _place(df: DataFrame, by: list[str], order: str, cuts: int, **totals) -> DataFrame:
-    """Add `_range`, the index of the value range a row falls in, and group totals."""
-    points = [i / cuts for i in range(1, cuts)]
-    edges = df.groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx(order, points, 20 * cuts)).alias("_edges"),
-        *[a.alias(n) for n, a in totals.items()])
-    value = F.col(order)
-    return (attach(df, edges, by)
-            .withColumn("_range", F.size(F.filter("_edges", lambda e: e < value)))
-            .drop("_edges"))
+def _place(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Add `_range`, the index of the value range a row falls in.
+
+    Boundaries are taken from the rows selected by a hash of their keys. They depend on
+    the data alone, so every evaluation (and every retry of a lost task) cuts a group in
+    the same places. The sample is bounded for the table as a whole; a group gets
+    boundaries in proportion to its size, and a group without any is small.
+    """
+    every = df.agg(F.greatest(F.floor(F.count(F.lit(1)) / SAMPLE), F.lit(1))).scalar()
+    picked = (df.select(*by, *order, every.alias("_every"))
+              .filter(F.pmod(F.xxhash64(*by, *order), F.col("_every")) == 0)
+              .groupBy(*by).agg(F.sort_array(F.collect_list(order[0])).alias("_s")))
+    edges = picked.select(*by, F.expr(
+        f"transform(sequence(0, greatest(size(_s) div {STRIDE}, 1) - 1), "
+        f"i -> try_element_at(_s, cast((i + 1) * {STRIDE} as int)))").alias("_e"))
+    edges = edges.select(*by, F.array_compact("_e").alias("_edges"))
+    if by:
+        placed = df.join(edges, by, "left")
+    else:
+        placed = attach(df, edges)
+    value = F.col(order[0])
+
+    def smaller(a):
+        return F.coalesce(F.size(F.filter(a, lambda e: e < value)), F.lit(0))
+
+    top = F.expr(f"filter(_edges, (e, i) -> i % {FAN} = {FAN - 1})")
+    step = (placed.withColumn("_edges", F.coalesce("_edges", F.slice("_edges", 1, 0)))
+            .withColumn("_i", smaller(top)))
+    fine = smaller(F.slice("_edges", F.col("_i") * FAN + 1, F.lit(FAN)))
+    return (step.withColumn("_range", F.greatest(F.col("_i") * FAN + fine, F.lit(0)))
+            .drop("_edges", "_i"))
 
 
 def _before(by: list[str], order, descending: bool = False):
@@ -34,20 +57,24 @@ def _before(by: list[str], order, descending: bool = False):
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
-def _with_ranges(hist: DataFrame, by: list[str], value: str, cuts: int) -> DataFrame:
-    placed = _place(hist, by, value, cuts, _total=F.sum("_n"))
+def _with_ranges(hist: DataFrame, by: list[str], value: str) -> DataFrame:
+    placed = _place(hist, by, [value])
+    whole = Window.partitionBy(*by)
     starts = (placed.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
               .withColumn("_start", F.coalesce(F.sum("_in").over(_before(by, ["_range"])), F.lit(0)))
-              .drop("_in"))
+              .withColumn("_total", F.sum("_in").over(whole)).drop("_in"))
     inside = _before([*by, "_range"], [value])
     return (placed.join(starts, [*by, "_range"])
             .withColumn("_below", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-            .select(*by, value, "_range", "_n", "_below", "_total"))
+            .select(*hist.columns, "_range", "_below", "_total"))
 
 
-def accumulate(hist: DataFrame, value: str, by=(), cuts: int = CUTS) -> DataFrame:
-    """(by, value, _n) -> (by, value, _n, _below, _total), one row per distinct value."""
-    return _with_ranges(hist, names(by), value, cuts).drop("_range")
+def accumulate(hist: DataFrame, value: str, by=()) -> DataFrame:
+    """Adds `_below` (rows of lower values) and `_total` to (by, value, _n, ...), one row per value.
+
+    Weights may be signed; other columns are kept.
+    """
+    return _with_ranges(hist, names(by), value).drop("_range")
 
 
 def value_counts(df: DataFrame, value: str, by=()) -> DataFrame:
@@ -56,21 +83,19 @@ def value_counts(df: DataFrame, value: str, by=()) -> DataFrame:
             .groupBy(*names(by), value).agg(F.count(F.lit(1)).alias("_n")))
 
 
-def average_rank(df: DataFrame, value: str, by=(), name: str = "rank", total: str | None = None,
-                 cuts: int = CUTS) -> DataFrame:
+def average_rank(df: DataFrame, value: str, by=(), name: str = "rank", total: str | None = None) -> DataFrame:
     """Rows with the average-tie rank of `value` inside the group (NULL has no rank)."""
     by = names(by)
-    ranks = accumulate(value_counts(df, value, by), value, by, cuts).select(
+    ranks = accumulate(value_counts(df, value, by), value, by).select(
         *by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name),
         *([F.col("_total").alias(total)] if total else []))
     return df.join(ranks, [*by, value], "left")
 
 
-def hist_quantiles(hist: DataFrame, value: str, probs: dict[str, float], by=(),
-                   cuts: int = CUTS) -> DataFrame:
+def hist_quantiles(hist: DataFrame, value: str, probs: dict[str, float], by=()) -> DataFrame:
     """Exact linear-interpolation quantiles of (by, value, _n); one column per named probability."""
     by = names(by)
-    acc = accumulate(hist, value, by, cuts)
+    acc = accumulate(hist, value, by)
     picks, finals = [], []
     for i, (label, p) in enumerate(probs.items()):
         pos = (F.col("_total") - 1) * F.lit(float(p))
@@ -96,13 +121,13 @@ def median_of(df: DataFrame, value: str, by=(), name: str = "median") -> DataFra
     return quantiles_of(df, value, {name: 0.5}, by)
 
 
-def row_index(df: DataFrame, order, by=(), name: str = "idx", cuts: int = CUTS) -> DataFrame:
+def row_index(df: DataFrame, order, by=(), name: str = "idx") -> DataFrame:
     """Dense 0-based row number by `order` inside the group.
 
     The first order column is numeric; together the order columns identify a row.
     """
     by, order = names(by), names(order)
-    placed = _place(df, by, order[0], cuts)
+    placed = _place(df, by, order)
     starts = (placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_in"))
               .withColumn("_start", F.coalesce(F.sum("_in").over(_before(by, ["_range"])), F.lit(0)))
               .drop("_in"))
@@ -119,11 +144,10 @@ def hashed_index(df: DataFrame, id_cols, by=(), name: str = "idx", seed: int = 0
     return row_index(keyed, ["_h", *ids], by, name).drop("_h")
 
 
-def step_up_adjust(df: DataFrame, p: str, by=(), name: str = "p_adjusted",
-                   cuts: int = CUTS) -> DataFrame:
+def step_up_adjust(df: DataFrame, p: str, by=(), name: str = "p_adjusted") -> DataFrame:
     """Benjamini-Hochberg adjusted p-values inside each group."""
     by = names(by)
-    acc = _with_ranges(value_counts(df, p, by), by, p, cuts).withColumn(
+    acc = _with_ranges(value_counts(df, p, by), by, p).withColumn(
         "_q", F.col(p) * F.col("_total") / (F.col("_below") + F.col("_n")))
     later = (acc.groupBy(*by, "_range").agg(F.min("_q").alias("_m"))
              .withColumn("_later", F.min("_m").over(_before(by, ["_range"], descending=True)))
