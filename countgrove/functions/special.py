@@ -58,14 +58,26 @@ def _horner(x: Column, high_first) -> Column:
     return out
 
 
-def erfc(col) -> Column:
-    """Complementary error function."""
-    x = dbl(col)
+def _once(arg: Column, body) -> Column:
+    """body(arg) with the argument evaluated once.
+
+    A long formula names its argument many times; bound as a lambda variable it is not
+    copied into each place when Catalyst merges projections.
+    """
+    return F.transform(F.array(arg), body)[0]
+
+
+def _erfc(x: Column) -> Column:
     a = F.abs(x)
     near = F.lit(1.0) - x * _horner(x * x, ERF_NUM) / _horner(x * x, ERF_DEN)
     tail = F.exp(-a * a) * F.when(a < 8, _horner(a, ERFC_NUM) / _horner(a, ERFC_DEN)).otherwise(
         _horner(a, ERFC_FAR_NUM) / _horner(a, ERFC_FAR_DEN))
-    return F.when(a < 1, near).when(x > 0, tail).otherwise(F.lit(2.0) - tail)
+    return F.when(a < 1, near).when(x > 0, tail).when(x <= 0, F.lit(2.0) - tail)
+
+
+def erfc(col) -> Column:
+    """Complementary error function."""
+    return _once(dbl(col), _erfc)
 
 
 def erf(col) -> Column:
@@ -82,9 +94,7 @@ def norm_sf2(col) -> Column:
     return erfc(F.abs(dbl(col)) / F.lit(math.sqrt(2.0)))
 
 
-def norm_ppf(col) -> Column:
-    """Standard normal quantile; NULL outside (0, 1)."""
-    p = dbl(col)
+def _norm_ppf(p: Column) -> Column:
     q = p - 0.5
     centre = F.lit(0.180625) - q * q
     mid = q * _horner(centre, PPF_MID_NUM[::-1]) / _horner(centre, PPF_MID_DEN[::-1])
@@ -96,6 +106,11 @@ def norm_ppf(col) -> Column:
                   F.when(F.abs(q) <= 0.425, mid).when(q < 0, -side).otherwise(side))
 
 
+def norm_ppf(col) -> Column:
+    """Standard normal quantile; NULL outside (0, 1)."""
+    return _once(dbl(col), _norm_ppf)
+
+
 def lgamma(col) -> Column:
     """Log gamma for positive arguments."""
     z = dbl(col) - 1
@@ -115,9 +130,12 @@ def log_choose(n, k) -> Column:
 
 def chi2_sf(x, df) -> Column:
     """Upper tail of chi-square for integer degrees of freedom (finite sums)."""
-    x = F.greatest(dbl(x), F.lit(0.0))
     df = df.cast("int") if isinstance(df, Column) else F.lit(int(df))
-    half = x / 2
+    arg = F.struct((F.greatest(dbl(x), F.lit(0.0)) / 2).alias("half"), df.alias("df"))
+    return _once(arg, lambda a: _chi2_sf(a["half"], a["df"]))
+
+
+def _chi2_sf(half: Column, df: Column) -> Column:
     # Terms of the sum follow from one another: t_k = t_{k-1} * half / (k + offset).
     even = F.exp(-half) * F.aggregate(
         F.sequence(F.lit(1), F.greatest((df / 2).cast("int"), F.lit(1))),
