@@ -185,21 +185,18 @@ def _student_sf2_np(t, v):
     return np.where(flip, 1 - beta, beta)
 
 
-def _student_series(t, v):
+def _student_series(batches):
     import pandas as pd
 
-    ok = t.notna() & v.notna() & (v > 0)
-    out = pd.Series([None] * len(t), index=t.index, dtype="float64")
-    if ok.any():
-        out[ok] = _student_sf2_np(t[ok], v[ok])
-    return out
+    for t, v in batches:
+        ok = (t.notna() & v.notna() & (v > 0)).to_numpy()
+        out = pd.Series([None] * len(t), dtype="float64")
+        if ok.any():
+            out[ok] = _student_sf2_np(t.to_numpy()[ok], v.to_numpy()[ok])
+        yield out
 
 
 def _student_sf2(t: Column, v: Column) -> Column:
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def tail(ts: pd.Series, vs: pd.Series) -> pd.Series:
-        return _student_series(ts, vs)
+    from pyspark.sql.functions import PandasUDFType
 
-    return tail(t, v)
+    return F.pandas_udf(_student_series, "double", PandasUDFType.SCALAR_ITER)(t, v)

@@ -19,6 +19,7 @@ from ..functions.special import chi2_sf, norm_cdf, norm_sf2, student_sf2
 from ..plans.pair_blocks import dot, pair_sums
 from ..plans.ranking import (accumulate, average_rank, hashed_index, hist_quantiles, median_of,
                              row_index, step_up_adjust, value_counts)
+from ..plans.scratch import written
 from .counts import library_size
 
 # ------------------------------------------------------------------ two-group tests
@@ -43,7 +44,7 @@ def _two_group_hist(values: DataFrame, sizes: DataFrame, value: str, group: str,
         F.count_if(first).alias("a"), F.count_if(~first).alias("b"))
     zero = attach(hist.groupBy(*keys).agg(F.sum("a").alias("_a"), F.sum("b").alias("_b")), sizes, scope).select(
         *keys, F.lit(0.0).alias("value"), (F.col("n_1") - F.col("_a")).alias("a"), (F.col("n_2") - F.col("_b")).alias("b"))
-    return hist.unionByName(zero).withColumn("_n", F.col("a") + F.col("b")).filter("_n > 0")
+    return hist.unionByName(zero).withColumn("_n", F.col("a") + F.col("b"))
 
 
 def rank_sum_test(values: DataFrame, sizes: DataFrame, value: str = "reads", group: str = "group", by=()) -> DataFrame:
@@ -71,11 +72,11 @@ def group_contrast(values: DataFrame, sizes: DataFrame, value: str = "reads", gr
     """
     by = names(by)
     keys = [*by, "taxon"]
-    hist = _two_group_hist(values, sizes, value, group, by)
+    hist = written(_two_group_hist(values, sizes, value, group, by), "values")
     both = hist.select(*keys, "value", F.explode(F.array(
         F.struct(F.lit(1).alias("side"), F.col("a").alias("_n")),
         F.struct(F.lit(2).alias("side"), F.col("b").alias("_n")))).alias("h")).select(
-        *keys, "value", "h.side", "h._n").filter("_n > 0")
+        *keys, "value", "h.side", "h._n")
     med = hist_quantiles(both, "value", {"median": 0.5}, [*keys, "side"])
     mean = both.groupBy(*keys, "side").agg(ratio(F.sum(F.col("value") * F.col("_n")), F.sum("_n")).alias("mean"))
     side = {s: F.max(F.when(F.col("side") == s, F.col("median"))) for s in (1, 2)}
@@ -111,9 +112,11 @@ def rle_size_factors(counts: DataFrame) -> DataFrame:
     of these values and, per sample, the few values its own cells take out and put in.
     """
     cells = counts.filter("reads > 0").select("feature", "sample", "reads")
+    cells = written(cells, "cells")
     n_s = cells.agg(F.count_distinct("sample")).scalar()
     profile = (cells.groupBy("feature").agg(F.sum(F.log(dbl("reads") + 1)).alias("_l"))
                .withColumn("_g", F.exp(-F.col("_l") / n_s)).select("feature", "_g"))
+    profile = written(profile, "profile")
     n_f = profile.agg(F.count(F.lit(1))).scalar()
     mine = cells.join(profile, "feature").withColumn("_v", (dbl("reads") + 1) * F.col("_g"))
 
@@ -127,6 +130,7 @@ def rle_size_factors(counts: DataFrame) -> DataFrame:
     order = accumulate(shared, "x").select("x", F.col("_below").alias("_shared"), F.col("_n").alias("_here"))
     own = accumulate(events.withColumnRenamed("_w", "_n"), "x", "sample").withColumnsRenamed(
         {"_n": "_w", "_below": "_shift"}).drop("_total")
+    own, order = written(own, "own"), written(order, "order")
     ev = own.join(order, "x").select(
         "sample", "x", (F.col("_shared") + F.col("_shift")).alias("_at"), (F.col("_here") + F.col("_w")).alias("_mult"),
         (F.col("_shift") + F.col("_w")).alias("_carry"))
@@ -138,7 +142,7 @@ def rle_size_factors(counts: DataFrame) -> DataFrame:
         picks += [F.max(F.when(hit, F.col("x"))).alias(f"_hit{i}"),
                   F.coalesce(F.max_by("_carry", F.when(past, F.col("x"))), F.lit(0)).alias(f"_c{i}"),
                   F.max(k).alias(f"_k{i}")]
-    found = ev.groupBy("sample").agg(*picks)
+    found = written(ev.groupBy("sample").agg(*picks), "median")
     ranked = row_index(profile, ["_g", "feature"], name="_i").select("_i", "_g")
     for i in (0, 1):
         look = ranked.select(F.col("_i").alias(f"_r{i}"), F.col("_g").alias(f"_far{i}"))
@@ -146,13 +150,14 @@ def rle_size_factors(counts: DataFrame) -> DataFrame:
                  .join(look, f"_r{i}", "left").withColumn(f"_m{i}", F.coalesce(f"_hit{i}", f"_far{i}")))
     median = (F.col("_m0") + F.col("_m1")) / 2
     sizes = library_size(cells).withColumn("lib_size", F.col("depth") + n_f)
-    raw = found.join(sizes, "sample").withColumn("_f", median / F.col("lib_size"))
+    raw = written(found.join(sizes, "sample").select("sample", "lib_size", (median / F.col("lib_size")).alias("_f")), "factor")
     scaled = with_group_stats(raw, [], _mean=F.avg(F.log("_f")))
     return scaled.select("sample", "lib_size", (F.col("_f") / F.exp("_mean")).alias("norm_factor"))
 
 
 def _normalised(counts: DataFrame, factors: DataFrame, groups: DataFrame, group: str, scale, by: list[str]):
     """Dense per-group sums of (reads + 1) * k with k = scale / effective size, per feature."""
+    counts = written(counts.filter("reads > 0"), "counts")
     eff = factors.join(groups, "sample").withColumn("_k", scale / (F.col("lib_size") * F.col("norm_factor")))
     base = eff.groupBy(*by, group).agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.sum("_k").alias("_k1"), F.sum(F.col("_k") * F.col("_k")).alias("_k2"))
@@ -223,6 +228,7 @@ def zero_inflated_contrast(counts: DataFrame, groups: DataFrame, group: str = "g
     (second group over first) with its standard error and z.
     """
     by = names(by)
+    counts = written(counts, "counts")
     sizes = library_size(counts)
     sf = attach(sizes, median_of(sizes, "depth", name="_med")).select("sample", ratio("depth", "_med").alias("_sf"))
     n = groups.groupBy(*by, group).agg(F.count(F.lit(1)).cast("double").alias("_n"))
@@ -244,6 +250,7 @@ def zero_inflated_contrast(counts: DataFrame, groups: DataFrame, group: str = "g
 def contrast_grid(values: DataFrame, sizes: DataFrame, by, level: float = 0.05) -> DataFrame:
     """Rank-sum test, contrast, adjustment and masking for every key of `by` in one plan."""
     by = names(by)
+    values, sizes = written(values, "values"), written(sizes, "sizes")
     test = p_adjust_bh(rank_sum_test(values, sizes, by=by), "p", by)
     effect = group_contrast(values, sizes, by=by)
     both = test.join(effect, [*by, "taxon"])
@@ -424,6 +431,7 @@ def mantel(a: DataFrame, b: DataFrame, method: str = "spearman", n_perm: int = 9
         return (average_rank(t, "value", name="_v") if method == "spearman"
                 else t.withColumn("_v", dbl("value"))).select("s1", "s2", "_v")
 
+    a, b = written(a, "pairs"), written(b, "pairs")
     x, y = values(a), values(b)
     ids = b.select(F.col("s1").alias("sample")).union(b.select("s2")).distinct()
     reps = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_perm).cast("bigint")))
@@ -449,7 +457,7 @@ def mantel_correlogram(d: DataFrame, geo: DataFrame, n_class: int | None = None)
     turned, so positive means that pairs of the class are alike.
     """
     j = d.select("s1", "s2", F.col("value").alias("x")).join(geo.select("s1", "s2", F.col("value").alias("g")), ["s1", "s2"])
-    ranked = average_rank(j, "x", name="_r").select("_r", "g")
+    ranked = written(average_rank(j, "x", name="_r").select("_r", "g"), "ranked")
     facts = with_group_stats(ranked, [], _lo=F.min("g"), _hi=F.max("g"), _n=F.count(F.lit(1)), _s=F.sum("_r"),
                              _q=F.sum(F.col("_r") * F.col("_r")))
     k = F.lit(n_class) if n_class is not None else F.ceil(F.log2(F.col("_n")) + 1)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.common import names
+from .scratch import written
 
 BLOCK = 128
 CHUNK = 20000
@@ -62,19 +63,22 @@ def _tile(pdf: pd.DataFrame, left: np.ndarray, right: np.ndarray, kernel: Callab
     return ids_a, ids_b, kernel(a, b)
 
 
-def _tiled(df: DataFrame, row: str, inner: str, value: str, keys: list[str], block: int,
-           chunk: int) -> DataFrame:
-    """Cells with their row block and inner chunk; sizes come from the data (the largest key)."""
-    sizes = df.groupBy(*keys).agg(F.approx_count_distinct(row).alias("_r"),
-                                  F.approx_count_distinct(inner).alias("_c"))
-    count = sizes.agg(F.greatest(F.ceil(F.max("_r") / block), F.lit(1))).scalar()
-    chunks = sizes.agg(F.greatest(F.ceil(F.max("_c") / chunk), F.lit(1))).scalar()
+def _tiles_of(df: DataFrame, row: str, inner: str | None, keys: list[str], block: int, chunk: int):
+    """One struct value: number of row blocks and inner chunks (for the largest key)."""
+    sizes = df.groupBy(*keys).agg(
+        F.approx_count_distinct(row).alias("_r"),
+        (F.approx_count_distinct(inner) if inner else F.lit(1)).alias("_c"))
+    return sizes.agg(F.struct(
+        F.greatest(F.ceil(F.max("_r") / block), F.lit(1)).alias("blocks"),
+        F.greatest(F.ceil(F.max("_c") / chunk), F.lit(1)).alias("chunks"))).scalar()
+
+
+def _cells(df: DataFrame, row: str, inner: str, value: str, keys: list[str], tiles) -> DataFrame:
     return df.select(
         *keys, F.col(row).alias("_row"), F.col(inner).alias("_inner"),
-        F.col(value).cast("double").alias("_value"), count.alias("_blocks"),
-        chunks.alias("_chunks")).withColumn(
-        "_block", F.pmod(F.xxhash64("_row"), F.col("_blocks"))).withColumn(
-        "_chunk", F.pmod(F.xxhash64("_inner"), F.col("_chunks")))
+        F.col(value).cast("double").alias("_value"), tiles.alias("_t")).withColumn(
+        "_block", F.pmod(F.xxhash64("_row"), F.col("_t.blocks"))).withColumn(
+        "_chunk", F.pmod(F.xxhash64("_inner"), F.col("_t.chunks")))
 
 
 def pair_sums(df: DataFrame, row: str, inner: str, value: str, kernel: Callable = dot, keys=(),
@@ -86,8 +90,10 @@ def pair_sums(df: DataFrame, row: str, inner: str, value: str, kernel: Callable
     which is the size of the pair table divided by the block length.
     """
     keys = names(keys)
-    cells = _tiled(df, row, inner, value, keys, block, chunk)
-    tiles = (cells.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
+    df = written(df.select(*dict.fromkeys([*keys, row, inner, value])), "cells")
+    cells = _cells(df, row, inner, value, keys, _tiles_of(df, row, inner, keys, block, chunk))
+    tiles = (cells.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_t.blocks") - 1)))
+             .drop("_t")
              .withColumn("_i", F.least("_block", "_other"))
              .withColumn("_j", F.greatest("_block", "_other")))
     kind = df.schema[row].dataType
@@ -119,18 +125,22 @@ def product_sums(a: DataFrame, b: DataFrame, row: str, col: str, inner: str, val
 
     `a` has (row, inner, value) and `b` has (col, inner, value).
     """
-    left = _tiled(a, row, inner, value, [], block, chunk)
-    right = _tiled(b, col, inner, value, [], block, chunk)
-    n_left = left.agg(F.max("_blocks")).scalar()
-    n_right = right.agg(F.max("_blocks")).scalar()
-    chunks = F.greatest(left.agg(F.max("_chunks")).scalar(), right.agg(F.max("_chunks")).scalar())
+    a = written(a.select(*dict.fromkeys([row, inner, value])), "cells")
+    b = written(b.select(*dict.fromkeys([col, inner, value])), "cells")
+    n_left = _tiles_of(a, row, None, [], block, chunk)
+    n_right = _tiles_of(b, col, inner, [], block, chunk)
     zero = F.lit(0).cast("bigint")
-    lt = (left.withColumn("_chunk", F.pmod(F.xxhash64("_inner"), chunks))
-          .withColumn("_j", F.explode(F.sequence(zero, n_right - 1)))
-          .select(F.col("_block").alias("_i"), "_j", "_chunk", "_row", "_inner", "_value"))
-    rt = (right.withColumn("_chunk", F.pmod(F.xxhash64("_inner"), chunks))
-          .withColumn("_i", F.explode(F.sequence(zero, n_left - 1)))
-          .select("_i", F.col("_block").alias("_j"), "_chunk", "_row", "_inner", "_value"))
+
+    def chunked(df, label, own, other, blocks_own, blocks_other):
+        return (df.select(F.col(label).alias("_row"), F.col(inner).alias("_inner"),
+                          F.col(value).cast("double").alias("_value"), blocks_own.alias("_own"),
+                          blocks_other.alias("_oth"), n_right["chunks"].alias("_ch"))
+                .select("_row", "_inner", "_value", F.pmod(F.xxhash64("_row"), F.col("_own")).alias(own),
+                        F.pmod(F.xxhash64("_inner"), F.col("_ch")).alias("_chunk"),
+                        F.explode(F.sequence(zero, F.col("_oth") - 1)).alias(other)))
+
+    lt = chunked(a, row, "_i", "_j", n_left["blocks"], n_right["blocks"])
+    rt = chunked(b, col, "_j", "_i", n_right["blocks"], n_left["blocks"])
     schema = T.StructType([T.StructField(row, a.schema[row].dataType),
                            T.StructField(col, b.schema[col].dataType),
                            T.StructField("_v", T.DoubleType())])
@@ -166,6 +176,7 @@ def row_pairs(df: DataFrame, key: str, cols, block: int = 256,
     Blocks of about `block` rows meet by an equi-join on the block number; `key` is unique.
     """
     cols = names(cols)
+    df = written(df.select(key, *cols), "rows")
     blocks_n = df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1))).scalar()
     blocks = (df.select(F.pmod(F.xxhash64(key), blocks_n).alias("_b"), blocks_n.alias("_n"),
                         F.struct(key, *cols).alias("_row"))

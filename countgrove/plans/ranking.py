@@ -4,6 +4,9 @@ A group is first reduced to its distinct values with their counts (combined map-
 then cut into value ranges. Ranges are accumulated independently and shifted by the
 totals of the lower ranges, so ranks, medians and running minima stay exact while a hot
 group is spread over many tasks.
+
+The reduced values are read several times, so they are written once to the shared folder:
+nothing upstream is computed twice, and a lost executor costs only its own tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import attach, names
+from .scratch import written
 
 SAMPLE = 16384   # expected number of rows in the boundary sample of a whole table
 STRIDE = 16      # one boundary per so many sampled rows
@@ -58,6 +62,7 @@ def _before(by: list[str], order, descending: bool = False):
 
 
 def _with_ranges(hist: DataFrame, by: list[str], value: str) -> DataFrame:
+    hist = written(hist, "values")
     placed = _place(hist, by, [value])
     whole = Window.partitionBy(*by)
     starts = (placed.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
@@ -86,6 +91,7 @@ def value_counts(df: DataFrame, value: str, by=()) -> DataFrame:
 def average_rank(df: DataFrame, value: str, by=(), name: str = "rank", total: str | None = None) -> DataFrame:
     """Rows with the average-tie rank of `value` inside the group (NULL has no rank)."""
     by = names(by)
+    df = written(df, "ranked")
     ranks = accumulate(value_counts(df, value, by), value, by).select(
         *by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name),
         *([F.col("_total").alias(total)] if total else []))
@@ -127,6 +133,7 @@ def row_index(df: DataFrame, order, by=(), name: str = "idx") -> DataFrame:
     The first order column is numeric; together the order columns identify a row.
     """
     by, order = names(by), names(order)
+    df = written(df, "rows")
     placed = _place(df, by, order)
     starts = (placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_in"))
               .withColumn("_start", F.coalesce(F.sum("_in").over(_before(by, ["_range"])), F.lit(0)))
@@ -147,6 +154,7 @@ def hashed_index(df: DataFrame, id_cols, by=(), name: str = "idx", seed: int = 0
 def step_up_adjust(df: DataFrame, p: str, by=(), name: str = "p_adjusted") -> DataFrame:
     """Benjamini-Hochberg adjusted p-values inside each group."""
     by = names(by)
+    df = written(df, "tests")
     acc = _with_ranges(value_counts(df, p, by), by, p).withColumn(
         "_q", F.col(p) * F.col("_total") / (F.col("_below") + F.col("_n")))
     later = (acc.groupBy(*by, "_range").agg(F.min("_q").alias("_m"))
