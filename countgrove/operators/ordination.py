@@ -1,12 +1,530 @@
+"""Ordination and clustering.
+
+One distributed aggregation builds a small cross-product matrix over the given columns;
+only that matrix is decomposed on the driver, and scores are computed back on Spark.
+The number of columns is bounded (MAX_COLUMNS); rows and features are not.
+"""
+
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import attach, dbl, names, ratio
 from ..plans.pair_blocks import row_pairs
+from ..plans.ranking import hashed_index
+from ..plans.scratch import written
+
+MAX_COLUMNS = 1000
+
+
+def cross_products(df: DataFrame, cols, weight: str | None = None) -> np.ndarray:
+    """Weighted sums of products of [1, cols]; rows with a NULL are left out.
+
+    Each task adds up its own rows; the driver receives one number per column pair.
+    """
+    cols = names(cols)
+    if len(cols) > MAX_COLUMNS:
+        raise ValueError(f"at most {MAX_COLUMNS} columns")
+    k = len(cols) + 1
+    data = df.select(*[dbl(c).alias(f"x{i}") for i, c in enumerate(cols)],
+                     (dbl(weight) if weight else F.lit(1.0)).alias("w")).dropna()
+
+    def partial(batches):
+        total = np.zeros((k, k))
+        for pdf in batches:
+            x = np.column_stack([np.ones(len(pdf)), pdf.iloc[:, :-1].to_numpy(float)])
+            total += (x * pdf["w"].to_numpy(float)[:, None]).T @ x
+        i, j = np.indices(total.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+    rows = data.mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros((k, k))
+    for r in rows:
+        out[r["i"], r["j"]] = r["v"]
+    return out
+
+
+def _moments(cp: np.ndarray):
+    """n, means and centred sums of products."""
+    n = cp[0, 0]
+    if n < 2:
+        raise ValueError("fewer than two complete rows")
+    mean = cp[0, 1:] / n
+    return n, mean, cp[1:, 1:] - n * np.outer(mean, mean)
+
+
+def _eigen(m: np.ndarray, k: int):
+    """Largest eigenpairs; the largest entry of each vector is positive."""
+    val, vec = np.linalg.eigh((m + m.T) / 2)
+    order = np.argsort(val)[::-1][:k]
+    val, vec = np.maximum(val[order], 0.0), vec[:, order]
+    sign = np.sign(vec[np.abs(vec).argmax(axis=0), range(vec.shape[1])])
+    return val, vec * np.where(sign == 0, 1, sign)
+
+
+def _axes_frame(spark, labels, matrix, label: str) -> DataFrame:
+    rows = [(str(name), *map(float, row)) for name, row in zip(labels, matrix)]
+    axes = ", ".join(f"axis_{i + 1} double" for i in range(matrix.shape[1]))
+    return spark.createDataFrame(rows, f"{label} string, {axes}")
+
+
+def _eigen_frame(spark, values, total: float) -> DataFrame:
+    rows, run = [], 0.0
+    for i, v in enumerate(values, start=1):
+        run += v
+        rows.append((i, float(v), float(v / total) if total else None, float(run / total) if total else None))
+    return spark.createDataFrame(rows, "axis int, eigenvalue double, share double, cumulative double")
+
+
+def _project(df: DataFrame, keep, cols, coef: np.ndarray, mean=None, scale=None) -> DataFrame:
+    """keep columns and axis_<k> = sum over columns of (x - mean) / scale * coef."""
+    mean = np.zeros(len(cols)) if mean is None else mean
+    scale = np.ones(len(cols)) if scale is None else scale
+    axes = []
+    for a in range(coef.shape[1]):
+        e = F.lit(0.0)
+        for j, c in enumerate(cols):
+            e = e + (dbl(c) - F.lit(float(mean[j]))) * F.lit(float(coef[j, a] / scale[j]))
+        axes.append(e.alias(f"axis_{a + 1}"))
+    return df.select(*names(keep), *axes)
+
+
+def array_columns(df: DataFrame, key: str, col: str, size: int, prefix: str = "x") -> DataFrame:
+    """A fixed-length array column as numeric columns."""
+    return df.select(key, *[F.col(col)[i].cast("double").alias(f"{prefix}{i}") for i in range(size)])
+
+
+def pca(df: DataFrame, key: str, cols, k: int = 2, standardise: bool = True) -> dict[str, DataFrame]:
+    """Principal components: eigenvalues, loadings, scores."""
+    cols = names(cols)
+    n, mean, s = _moments(cross_products(df, cols))
+    sd = np.sqrt(np.diag(s) / (n - 1))
+    scale = np.where(sd > 0, sd, 1.0) if standardise else np.ones(len(cols))
+    c = s / (n - 1) / np.outer(scale, scale)
+    val, vec = _eigen(c, k)
+    spark = df.sparkSession
+    return {"eigenvalues": _eigen_frame(spark, val, float(np.trace(c))),
+            "loadings": _axes_frame(spark, cols, vec, "column"),
+            "scores": _project(df.dropna(subset=cols), key, cols, vec, mean, scale)}
+
+
+def truncated_svd(cells: DataFrame, k: int, row: str = "feature", column: str = "sample",
+                  value: str = "value") -> dict[str, DataFrame]:
+    """Largest singular values of a sparse matrix with L = U sqrt(D) and R = V sqrt(D).
+
+    Rows are distributed; Spark's iterative solver returns the values and the column
+    vectors (columns x k). Row scores are a join and a sum. The cumulative share of
+    squared singular values serves every rank up to k.
+    """
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    spark = cells.sparkSession
+    x = written(cells.select(row, column, dbl(value).alias("_x")).filter("_x <> 0"), "matrix")
+    index = written(hashed_index(x.select(column).distinct(), column, name="_i"), "columns")
+    width = index.count()
+    k = min(k, width)
+    vectors = (x.join(index, column).groupBy(row)
+               .agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("v")))
+    rdd = vectors.select("v").rdd.map(
+        lambda r: Vectors.sparse(width, [int(e[0]) for e in r["v"]], [e[1] for e in r["v"]]))
+    svd = RowMatrix(rdd).computeSVD(k)
+    s, v = np.array(svd.s.toArray()), np.array(svd.V.toArray()).reshape(width, -1)
+    sign = np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
+    v = v * sign
+    total = x.agg(F.sum(F.col("_x") * F.col("_x"))).first()[0]
+    right = spark.createDataFrame(pd.DataFrame(
+        {"_i": np.arange(width, dtype=np.int64), **{f"axis_{a + 1}": v[:, a] * np.sqrt(s[a]) for a in range(len(s))}}))
+    columns = index.join(right, "_i").drop("_i")
+    rows = x.join(columns, column).groupBy(row).agg(*[
+        (F.sum(F.col("_x") * F.col(f"axis_{a + 1}")) / F.lit(float(s[a]))).alias(f"axis_{a + 1}") for a in range(len(s))])
+    return {"eigenvalues": _eigen_frame(spark, s ** 2, float(total)), "rows": rows, "columns": columns}
+
+
+def correspondence_analysis(counts: DataFrame, k: int = 2) -> dict[str, DataFrame]:
+    """Correspondence analysis of a count table.
+
+    The matrix p / sqrt(r c) has one trivial axis of singular value 1; the next axes are
+    those of the chi-square residuals, so the table stays sparse.
+    """
+    x = written(counts.filter("reads > 0").select("feature", "sample", dbl("reads").alias("reads")), "counts")
+    total = x.agg(F.sum("reads")).scalar()
+    r = x.groupBy("feature").agg((F.sum("reads") / total).alias("_r"))
+    c = x.groupBy("sample").agg((F.sum("reads") / total).alias("_c"))
+    cells = x.join(r, "feature").join(c, "sample").select(
+        "feature", "sample", (F.col("reads") / total / F.sqrt(F.col("_r") * F.col("_c"))).alias("value"))
+    svd = truncated_svd(cells, k + 1)
+    eig = svd["eigenvalues"].filter("axis > 1").select(
+        (F.col("axis") - 1).alias("axis"), "eigenvalue",
+        F.try_divide(F.col("eigenvalue"), F.col("eigenvalue") / F.col("share") - 1).alias("share"))
+
+    def shifted(df, key, mass, m):
+        # Standard coordinates: divide by the root of the mass.
+        cols = [a for a in df.columns if a.startswith("axis_")][1:]
+        return df.join(mass, key).select(key, *[
+            (F.col(a) / F.sqrt(m)).alias(f"axis_{i}") for i, a in enumerate(cols, start=1)])
+
+    return {"eigenvalues": eig, "features": shifted(svd["rows"], "feature", r, F.col("_r")),
+            "samples": shifted(svd["columns"], "sample", c, F.col("_c"))}
+
+
+# ------------------------------------------------------------------ constrained ordination
+
+
+class Constrained:
+    """Small matrices of one constrained ordination: every model on subsets of the
+    covariates follows from them without another pass over the counts.
+
+    s: weighted centred cross-products of the covariates; m: sum over features of
+    b b' with b the covariate-by-feature products; total: inertia; n: samples.
+    """
+
+    def __init__(self, cols, s, m, total, n, mean, features, sites, weighted):
+        self.cols, self.s, self.m, self.total, self.n = list(cols), s, m, total, n
+        self.mean, self.features, self.sites, self.weighted = mean, features, sites, weighted
+
+    def _pick(self, cols):
+        return [self.cols.index(c) for c in names(cols)]
+
+    def solve(self, x, condition=()):
+        """Eigenvalues and covariate coefficients of Y ~ x, after removing `condition`."""
+        ix, iz = self._pick(x), self._pick(condition)
+        if iz:
+            drop = self.s[np.ix_(ix, iz)] @ np.linalg.pinv(self.s[np.ix_(iz, iz)])
+            s = self.s[np.ix_(ix, ix)] - drop @ self.s[np.ix_(iz, ix)]
+            t = np.hstack([np.eye(len(ix)), -drop])
+            m = t @ self.m[np.ix_(ix + iz, ix + iz)] @ t.T
+        else:
+            s, m = self.s[np.ix_(ix, ix)], self.m[np.ix_(ix, ix)]
+        val, vec = np.linalg.eigh(s)
+        keep = val > 1e-10 * max(val.max(), 1e-300)
+        half = vec[:, keep] / np.sqrt(val[keep])
+        lam, u = _eigen(half.T @ m @ half, int(keep.sum()))
+        return lam, half @ u
+
+    def r2(self, x, condition=()) -> float:
+        return float(self.solve(x, condition)[0].sum() / self.total) if len(names(x)) else 0.0
+
+    def adjusted(self, x) -> float:
+        """1 - (1 - R2)(n - 1)/(n - p - 1)."""
+        p = len(names(x))
+        return 1 - (1 - self.r2(x)) * (self.n - 1) / (self.n - p - 1)
+
+
+def _constrained(cells: DataFrame, cov: DataFrame, cols, weighted: bool, reps: int = 0, seed: int = 1):
+    cols = names(cols)
+    if len(cols) > MAX_COLUMNS:
+        raise ValueError(f"at most {MAX_COLUMNS} covariates")
+    x = cov.select("sample", *[dbl(c).alias(c) for c in cols]).dropna()
+    y = written(cells.select("feature", "sample", dbl("value").alias("value")).filter("value <> 0")
+                .join(x.select("sample"), "sample", "left_semi"), "response")
+    if weighted:
+        total = y.agg(F.sum("value")).scalar()
+        p = written(y.select("feature", "sample", (F.col("value") / total).alias("p")), "shares")
+        mass = p.groupBy("sample").agg(F.sum("p").alias("_w"))
+        sites = written(x.join(mass, "sample"), "sites")
+        r = p.groupBy("feature").agg(F.sum("p").alias("_r"))
+        resp = p.join(r, "feature").select("feature", "sample", (F.col("p") / F.sqrt("_r")).alias("y"))
+        inertia = resp.join(mass, "sample").agg(F.sum(F.col("y") * F.col("y") / F.col("_w"))).first()[0] - 1.0
+    else:
+        n = y.select("sample").distinct().count()
+        sites = written(x.join(y.select("sample").distinct(), "sample").withColumn("_w", F.lit(1.0)), "sites")
+        resp = y.select("feature", "sample", F.col("value").alias("y"))
+        per = resp.groupBy("feature").agg(F.sum("y").alias("_s"), F.sum(F.col("y") * F.col("y")).alias("_q"))
+        inertia = per.agg(F.sum(F.col("_q") - F.col("_s") * F.col("_s") / n)).first()[0] / (n - 1)
+    cp = cross_products(sites, cols, "_w")
+    w = cp[0, 0]
+    mean = cp[0, 1:] / w
+    s = cp[1:, 1:] - w * np.outer(mean, mean)
+    centred = sites.select("sample", *[(F.col(c) - F.lit(float(mean[i]))).alias(f"_x{i}") for i, c in enumerate(cols)])
+    resp = written(resp, "residuals")
+    sums = [F.sum(F.col("y") * F.col(f"_x{i}")).alias(f"_b{i}") for i in range(len(cols))]
+    features = written(resp.join(centred, "sample").groupBy("feature").agg(*sums), "products")
+    scale = 1.0 if weighted else 1.0 / (sites.count() - 1)
+    m = cross_products(features, [f"_b{i}" for i in range(len(cols))])[1:, 1:] * scale
+    model = Constrained(cols, s, m, inertia, sites.count(), mean, features, sites, weighted)
+    if not reps:
+        return model
+    # Permuted covariates: sample labels change places inside each replicate.
+    rep = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(reps).cast("bigint")))
+    seats = hashed_index(sites.select("sample"), "sample", name="_i", seed=seed)
+    moved = hashed_index(sites.select("sample").withColumn("rep", rep), ["rep", "sample"], "rep", "_i", seed + 1)
+    swap = moved.join(seats.withColumnRenamed("sample", "_from"), "_i").select("rep", "sample", "_from")
+    perm = swap.join(sites.select(F.col("sample").alias("_from"), *cols), "_from").join(sites.select("sample", "_w"), "sample")
+    means = perm.groupBy("rep").agg(*[(F.sum(F.col("_w") * F.col(c)) / F.sum("_w")).alias(f"_m{i}") for i, c in enumerate(cols)])
+    px = attach(perm, means, "rep").select("rep", "sample", "_w", *[
+        (F.col(c) - F.col(f"_m{i}")).alias(f"_x{i}") for i, c in enumerate(cols)])
+    px = written(px, "permuted")
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+
+    def small(df, a, weight):
+        rows = df.groupBy("rep").agg(*[F.sum(weight * F.col(f"{a}{i}") * F.col(f"{a}{j}")).alias(f"v{i}_{j}") for i, j in pairs]).collect()
+        out = {}
+        for r in rows:
+            mat = np.zeros((len(cols), len(cols)))
+            for i, j in pairs:
+                mat[i, j] = mat[j, i] = r[f"v{i}_{j}"]
+            out[r["rep"]] = mat
+        return out
+
+    s_rep = small(px, "_x", F.col("_w"))
+    b_rep = resp.join(px, "sample").groupBy("rep", "feature").agg(*sums)
+    m_rep = small(b_rep, "_b", F.lit(scale))
+    return model, [Constrained(cols, s_rep[q], m_rep[q], inertia, model.n, mean, None, None, weighted) for q in sorted(s_rep)]
+
+
+def rda(cells: DataFrame, cov: DataFrame, cols) -> Constrained:
+    """Redundancy analysis of (feature, sample, value) on sample covariates."""
+    return _constrained(cells, cov, cols, weighted=False)
+
+
+def cca(cells: DataFrame, cov: DataFrame, cols) -> Constrained:
+    """Canonical correspondence analysis; partial models come from `solve(x, condition)`."""
+    return _constrained(cells, cov, cols, weighted=True)
+
+
+def model_table(spark, model: Constrained, models: dict[str, tuple]) -> DataFrame:
+    """R2, adjusted R2 and constrained inertia of named models (x, condition)."""
+    rows = []
+    for name, (x, z) in models.items():
+        rows.append((name, float(model.solve(x, z)[0].sum()), model.r2(x, z),
+                     None if names(z) else float(model.adjusted(x))))
+    return spark.createDataFrame(rows, "model string, inertia double, r2 double, adjusted_r2 double")
+
+
+def forward_select(cells: DataFrame, cov: DataFrame, cols, weighted: bool = True, n_perm: int = 99,
+                   level: float = 0.05, seed: int = 1) -> DataFrame:
+    """Add the covariate with the best adjusted R2 until the full model's adjusted R2 is
+    passed or its permutation p exceeds the level.
+
+    All steps use one set of small matrices, and all permutations another.
+    """
+    model, perms = _constrained(cells, cov, cols, weighted, n_perm, seed)
+    full = model.adjusted(model.cols)
+    chosen, rows = [], []
+    while len(chosen) < len(model.cols):
+        best = max((c for c in model.cols if c not in chosen), key=lambda c: model.r2(chosen + [c]))
+        adj = model.adjusted(chosen + [best])
+        gain = model.r2([best], chosen)
+        p = (1 + sum(q.r2([best], chosen) >= gain - 1e-12 for q in perms)) / (1 + len(perms))
+        ok = adj <= full + 1e-12 and p <= level
+        rows.append((len(rows) + 1, best, float(model.r2(chosen + [best])), float(adj), float(p), bool(ok)))
+        if not ok:
+            break
+        chosen.append(best)
+    return cells.sparkSession.createDataFrame(
+        rows, "step int, covariate string, r2 double, adjusted_r2 double, p double, selected boolean")
+
+
+def variation_partition(model: Constrained, sets: dict[str, list[str]]) -> DataFrame:
+    """Adjusted R2 fractions of two or three covariate sets by inclusion-exclusion."""
+    labels = sorted(sets)
+    if not 2 <= len(labels) <= 3:
+        raise ValueError("two or three sets")
+
+    def adj(group):
+        cols = list(dict.fromkeys(c for g in group for c in sets[g]))
+        return model.adjusted(cols) if cols else 0.0
+
+    union = {frozenset(g): adj(g) for r in range(len(labels) + 1) for g in combinations(labels, r)}
+    everything = frozenset(labels)
+    rows = []
+    for r in range(1, len(labels) + 1):
+        for g in combinations(labels, r):
+            rest = everything - set(g)
+            # Part explained by all members of g and by nothing outside g.
+            value = -sum((-1) ** len(sub) * union[frozenset(rest | set(sub))]
+                         for q in range(len(g) + 1) for sub in combinations(g, q))
+            rows.append(("&".join(g), float(value)))
+    rows.append(("residual", float(1 - union[everything])))
+    spark = model.features.sparkSession
+    return spark.createDataFrame(rows, "fraction string, adjusted_r2 double")
+
+
+def score_table(model: Constrained, x, k: int = 2, condition=()) -> dict[str, DataFrame]:
+    """Axis shares, biplot arrows, site (fitted) and feature scores."""
+    x = names(x)
+    lam, coef = model.solve(x, condition)
+    k = min(k, len(lam))
+    spark, ix = model.features.sparkSession, model._pick(x)
+    sd = np.sqrt(np.diag(model.s))[ix]
+    arrows = (model.s[np.ix_(ix, ix)] @ coef[:, :k]) / sd[:, None]
+    return {"axes": _eigen_frame(spark, lam[:k], model.total), "arrows": _axes_frame(spark, x, arrows, "covariate"),
+            "sites": _project(model.sites, "sample", x, coef[:, :k], model.mean[ix]),
+            "features": _project(model.features, "feature", [f"_b{i}" for i in ix], coef[:, :k])}
+
+
+# ------------------------------------------------------------------ several tables
+
+
+def coinertia(df: DataFrame, key: str, cols_1, cols_2, k: int = 2) -> dict[str, DataFrame]:
+    """Cross-covariance axes of two column blocks of the same rows (standardised)."""
+    a, b = names(cols_1), names(cols_2)
+    n, mean, s = _moments(cross_products(df, a + b))
+    sd = np.sqrt(np.diag(s) / (n - 1))
+    sd = np.where(sd > 0, sd, 1.0)
+    c = s / (n - 1) / np.outer(sd, sd)
+    u, d, vt = np.linalg.svd(c[:len(a), len(a):], full_matrices=False)
+    k = min(k, len(d))
+    sign = np.sign(u[np.abs(u).argmax(axis=0), range(u.shape[1])])
+    u, v = (u * sign)[:, :k], (vt.T * sign)[:, :k]
+    data = df.dropna(subset=a + b)
+    rv = float((d ** 2).sum() / np.sqrt((c[:len(a), :len(a)] ** 2).sum() * (c[len(a):, len(a):] ** 2).sum()))
+    spark = df.sparkSession
+    return {"eigenvalues": _eigen_frame(spark, d[:k] ** 2, float((d ** 2).sum())),
+            "first": _project(data, key, a, u, mean[:len(a)], sd[:len(a)]),
+            "second": _project(data, key, b, v, mean[len(a):], sd[len(a):]),
+            "rv": spark.createDataFrame([(rv,)], "rv double")}
+
+
+def shift_distance(first: DataFrame, second: DataFrame, key: str, axes) -> DataFrame:
+    """Distance of the two positions of each row."""
+    j = first.join(second.withColumnsRenamed({a: f"{a}_b" for a in names(axes)}), key)
+    total = F.lit(0.0)
+    for a in names(axes):
+        total = total + (F.col(a) - F.col(f"{a}_b")) * (F.col(a) - F.col(f"{a}_b"))
+    return j.select(key, F.sqrt(total).alias("distance"))
+
+
+def mfa(df: DataFrame, key: str, blocks: dict[str, list[str]], k: int = 2) -> dict[str, DataFrame]:
+    """PCA after dividing each standardised block by its first singular value."""
+    cols = [c for b in blocks.values() for c in b]
+    n, mean, s = _moments(cross_products(df, cols))
+    sd = np.sqrt(np.diag(s) / (n - 1))
+    scale, at = np.where(sd > 0, sd, 1.0), 0
+    corr = s / (n - 1) / np.outer(scale, scale)
+    for b in blocks.values():
+        part = slice(at, at + len(b))
+        scale[part] *= np.sqrt(_eigen(corr[part, part], 1)[0][0])
+        at += len(b)
+    c = s / (n - 1) / np.outer(scale, scale)
+    val, vec = _eigen(c, k)
+    spark = df.sparkSession
+    return {"eigenvalues": _eigen_frame(spark, val, float(np.trace(c))), "loadings": _axes_frame(spark, cols, vec, "column"),
+            "scores": _project(df.dropna(subset=cols), key, cols, vec, mean, scale)}
+
+
+def famd(df: DataFrame, key: str, numeric, categorical: dict[str, list[str]], k: int = 2) -> dict[str, DataFrame]:
+    """PCA of standardised numbers and indicators divided by the root of their share."""
+    num = names(numeric)
+    flags = [(f"{c}={v}", (F.col(c) == v).cast("double")) for c, levels in categorical.items() for v in levels]
+    data = df.select(key, *[dbl(c).alias(c) for c in num], *[e.alias(n) for n, e in flags]).dropna()
+    cols = num + [n for n, _ in flags]
+    quoted = [f"`{c}`" for c in cols]
+    n, mean, s = _moments(cross_products(data, quoted))
+    sd = np.sqrt(np.diag(s) / (n - 1))
+    scale = np.concatenate([np.where(sd[:len(num)] > 0, sd[:len(num)], 1.0), np.sqrt(np.maximum(mean[len(num):], 1e-12))])
+    c = s / (n - 1) / np.outer(scale, scale)
+    val, vec = _eigen(c, k)
+    spark = df.sparkSession
+    return {"eigenvalues": _eigen_frame(spark, val, float(np.trace(c))), "loadings": _axes_frame(spark, cols, vec, "column"),
+            "scores": _project(data, key, quoted, vec, mean, scale)}
+
+
+# ------------------------------------------------------------------ clusters
+
+
+def cluster_on_axes(scores: DataFrame, key: str, axes, k: int, seed: int = 1) -> DataFrame:
+    """Divisive clusters on ordination axes."""
+    data = scores.select(key, array_to_vector(F.array(*[dbl(a) for a in names(axes)])).alias("features"))
+    model = BisectingKMeans(k=k, seed=seed).fit(data)
+    return model.transform(data).select(key, (F.col("prediction") + 1).cast("bigint").alias("cluster"))
+
+
+def profile_clusters(df: DataFrame, key: str, cols, k: int, seed: int = 1) -> DataFrame:
+    """Clusters of rows with similar profiles (log1p of the given columns)."""
+    data = df.select(key, array_to_vector(F.array(*[F.log1p(dbl(c)) for c in names(cols)])).alias("features"))
+    model = KMeans(k=k, seed=seed).fit(data)
+    return model.transform(data).select(key, (F.col("prediction") + 1).cast("bigint").alias("cluster"))
+
+
+def block_summary(counts: DataFrame, row_cluster: DataFrame, col_cluster: DataFrame) -> DataFrame:
+    """Mean reads of each (feature cluster, sample cluster) block, absent cells being 0."""
+    cells = counts.join(row_cluster.select("feature", F.col("cluster").alias("row_cluster")), "feature").join(
+        col_cluster.select("sample", F.col("cluster").alias("col_cluster")), "sample")
+    rows = row_cluster.groupBy(F.col("cluster").alias("row_cluster")).agg(F.count(F.lit(1)).alias("_nr"))
+    cols = col_cluster.groupBy(F.col("cluster").alias("col_cluster")).agg(F.count(F.lit(1)).alias("_nc"))
+    return (cells.groupBy("row_cluster", "col_cluster").agg(F.sum("reads").alias("reads"))
+            .join(rows, "row_cluster").join(cols, "col_cluster")
+            .select("row_cluster", "col_cluster", "reads", ratio("reads", F.col("_nr") * F.col("_nc")).alias("mean")))
+
+
+def cluster_table(labels: dict[str, DataFrame], key: str = "sample") -> DataFrame:
+    """Clusters from several sources side by side, with the locality of the sample."""
+    from .ids import LOCALITY, extract
+
+    out = None
+    for source, df in labels.items():
+        part = df.select(key, F.col("cluster").alias(source))
+        out = part if out is None else out.join(part, key, "full")
+    return out.withColumn("locality", extract(key, LOCALITY))
 
 
 def geo_distance(coord: DataFrame, key: str = "sample", x: str = "longitude", y: str = "latitude") -> DataFrame:
     """Euclidean distance of every pair of sites."""
     dx, dy = F.col(f"{x}_1") - F.col(f"{x}_2"), F.col(f"{y}_1") - F.col(f"{y}_2")
     return row_pairs(coord, key, [x, y]).select("s1", "s2", F.sqrt(dx * dx + dy * dy).alias("distance"))
+
+
+# ------------------------------------------------------------------ linear models
+
+
+def vif(df: DataFrame, cols) -> DataFrame:
+    """Variance inflation factors: the diagonal of the inverse correlation matrix."""
+    cols = names(cols)
+    _, _, s = _moments(cross_products(df, cols))
+    sd = np.sqrt(np.diag(s))
+    inv = np.linalg.inv(s / np.outer(sd, sd))
+    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(cols, np.diag(inv))], "covariate string, vif double")
+
+
+def _least_squares(cp: np.ndarray, x: list[int], y: int):
+    """Coefficients and residual sum of squares on the given columns with intercept."""
+    ix = [0, *x]
+    beta = np.linalg.lstsq(cp[np.ix_(ix, ix)], cp[ix, y], rcond=None)[0]
+    return beta, float(cp[y, y] - beta @ cp[ix, y])
+
+
+def glm_gaussian(df: DataFrame, y: str, x) -> DataFrame:
+    """Least-squares fit: coefficient per term, deviance per degree of freedom, deviance R2."""
+    x = names(x)
+    cp = cross_products(df, [*x, y])
+    beta, dev = _least_squares(cp, list(range(1, len(x) + 1)), len(x) + 1)
+    null = _least_squares(cp, [], len(x) + 1)[1]
+    dof = cp[0, 0] - len(x) - 1
+    rows = [(t, float(b), dev / dof, 1 - dev / null) for t, b in zip(["(intercept)", *x], beta)]
+    return df.sparkSession.createDataFrame(rows, "term string, estimate double, dispersion double, deviance_r2 double")
+
+
+def all_subsets_aicc(df: DataFrame, y: str, x, delta: float = 2.0) -> DataFrame:
+    """Every sub-model ranked by AICc, those within `delta` of the best.
+
+    One pass over the rows; sub-models are solved in parallel from the small matrix.
+    """
+    x = names(x)
+    if len(x) > 25:
+        raise ValueError("at most 25 terms")
+    cp = cross_products(df, [*x, y])
+    n, target = cp[0, 0], len(x) + 1
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for code in pdf["id"]:
+                ix = [j + 1 for j in range(len(x)) if code >> j & 1]
+                dev = _least_squares(cp, ix, target)[1]
+                k = len(ix) + 2
+                aicc = n * np.log(dev / n) + n * (np.log(2 * np.pi) + 1) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+                out.append(("+".join(x[j - 1] for j in ix) or "1", k, float(aicc)))
+            yield pd.DataFrame(out, columns=["model", "df", "aicc"])
+
+    models = df.sparkSession.range(2 ** len(x)).mapInPandas(solve, "model string, df int, aicc double")
+    best = models.agg(F.min("aicc")).scalar()
+    return models.withColumn("delta", F.col("aicc") - best).filter(F.col("delta") < delta).orderBy("delta", "model")
