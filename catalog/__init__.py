@@ -2,7 +2,7 @@
 
 
 def all_cases() -> dict:
-    from . import analysis, preparation, shaping  # noqa: F401
+    from . import analysis, modelling, preparation, shaping  # noqa: F401
     from .registry import CASES
 
     return CASES

@@ -358,7 +358,8 @@ def dunn_posthoc(df: DataFrame, value: str, group: str, by=()) -> DataFrame:
     b = g.select(*by, F.col(group).alias("g2"), F.col("_mean").alias("_m2"), F.col("_k").alias("_k2"))
     levels = g.select(group).distinct().agg(F.sort_array(F.collect_set(group))).scalar()
     # The result is one row per pair of levels: each level meets the later ones by key.
-    wide = a.withColumn("g2", F.explode(F.filter(levels, lambda v: v > F.col("g1"))))
+    wide = a.withColumn("_levels", levels).withColumn(
+        "g2", F.explode(F.filter("_levels", lambda v: v > F.col("g1")))).drop("_levels")
     pairs = wide.join(b, [*by, "g2"])
     t = F.col("_total")
     var = (t * (t + 1) / 12 - F.col("_ties") / (F.lit(12.0) * (t - 1))) * (

@@ -499,7 +499,7 @@ def glm_gaussian(df: DataFrame, y: str, x) -> DataFrame:
     beta, dev = _least_squares(cp, list(range(1, len(x) + 1)), len(x) + 1)
     null = _least_squares(cp, [], len(x) + 1)[1]
     dof = cp[0, 0] - len(x) - 1
-    rows = [(t, float(b), dev / dof, 1 - dev / null) for t, b in zip(["(intercept)", *x], beta)]
+    rows = [(t, float(b), float(dev / dof), float(1 - dev / null)) for t, b in zip(["(intercept)", *x], beta)]
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, dispersion double, deviance_r2 double")
 
 
