@@ -197,6 +197,17 @@ def _student_series(batches):
 
 
 def _student_sf2(t: Column, v: Column) -> Column:
-    from pyspark.sql.functions import PandasUDFType
+    return _typed_udf()(t, v)
 
-    return F.pandas_udf(_student_series, "double", PandasUDFType.SCALAR_ITER)(t, v)
+
+def _typed_udf():
+    """The helper as a pandas UDF; its types are resolved here, where pandas is loaded."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def tails(batches):
+        yield from _student_series(batches)
+
+    tails.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(tails, "double")

@@ -6,7 +6,8 @@ totals of the lower ranges, so ranks, medians and running minima stay exact whil
 group is spread over many tasks.
 
 The reduced values are read several times, so they are written once to the shared folder:
-nothing upstream is computed twice, and a lost executor costs only its own tasks.
+nothing upstream is computed twice, and a lost executor costs only its own tasks. The
+written row count decides whether ranges are needed at all.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.common import attach, names
 from .scratch import written
 
+SMALL = 200000   # tables up to this many rows are ordered without value ranges
 SAMPLE = 16384   # expected number of rows in the boundary sample of a whole table
 STRIDE = 16      # one boundary per so many sampled rows
 FAN = 32         # boundaries compared per search step
@@ -63,6 +65,11 @@ def _before(by: list[str], order, descending: bool = False):
 
 def _with_ranges(hist: DataFrame, by: list[str], value: str) -> DataFrame:
     hist = written(hist, "values")
+    if hist.count() <= SMALL:
+        return (hist.withColumn("_range", F.lit(0))
+                .withColumn("_below", F.coalesce(F.sum("_n").over(_before(by, [value])), F.lit(0)))
+                .withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
+                .select(*hist.columns, "_range", "_below", "_total"))
     placed = _place(hist, by, [value])
     whole = Window.partitionBy(*by)
     starts = (placed.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
@@ -134,6 +141,8 @@ def row_index(df: DataFrame, order, by=(), name: str = "idx") -> DataFrame:
     """
     by, order = names(by), names(order)
     df = written(df, "rows")
+    if df.count() <= SMALL:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
     placed = _place(df, by, order)
     starts = (placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_in"))
               .withColumn("_start", F.coalesce(F.sum("_in").over(_before(by, ["_range"])), F.lit(0)))
