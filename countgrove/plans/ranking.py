@@ -142,7 +142,8 @@ def row_index(df: DataFrame, order, by=(), name: str = "idx") -> DataFrame:
     by, order = names(by), names(order)
     df = written(df, "rows")
     if df.count() <= SMALL:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+        return df.withColumn(name, F.row_number().over(
+            Window.partitionBy(*by).orderBy(*order)).cast("bigint") - 1)
     placed = _place(df, by, order)
     starts = (placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_in"))
               .withColumn("_start", F.coalesce(F.sum("_in").over(_before(by, ["_range"])), F.lit(0)))
