@@ -111,12 +111,15 @@ def _routed(distinct: DataFrame, tree, radius: int) -> DataFrame:
         F.struct(F.lit(1 << i).cast("long").alias("bit"), c.cast("int").alias("cost"))
         for i, c in enumerate(cost)]).alias("_flips"))
     reach = F.array(F.struct(F.lit(0).cast("long").alias("bit"), F.lit(0).alias("cost")))
-    for _ in range(radius):  # one more level taken on its other side, in increasing order of bits
-        more = F.flatten(F.transform(reach, lambda s: F.transform(
-            F.filter("_flips", lambda f, s=s: (f["bit"] > s["bit"]) & (f["cost"] + s["cost"] <= radius)),
-            lambda f, s=s: F.struct((f["bit"].bitwiseOR(s["bit"])).alias("bit"),
-                                    (f["cost"] + s["cost"]).alias("cost")))))
-        reach = F.array_distinct(F.concat(reach, more))
+
+    def further(taken):
+        """The reach of one more level on its other side, in increasing order of levels."""
+        fits = F.filter("_flips", lambda f: (f["bit"] > taken["bit"]) & (f["cost"] + taken["cost"] <= radius))
+        return F.transform(fits, lambda f: F.struct(f["bit"].bitwiseOR(taken["bit"]).alias("bit"),
+                                                    (f["cost"] + taken["cost"]).alias("cost")))
+
+    for _ in range(radius):
+        reach = F.array_distinct(F.concat(reach, F.flatten(F.transform(reach, further))))
     leaves = F.filter(F.transform(reach, lambda s: F.col("_home").bitwiseXOR(s["bit"])),
                       lambda x: x >= F.col("_home"))
     return (base.select("fp", "_home", F.explode(leaves).alias("leaf"))
