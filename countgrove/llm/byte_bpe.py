@@ -24,8 +24,8 @@ from .common import fields, map_batches
 
 NONE = np.iinfo(np.int32).max
 WIDEST = 256         # bytes of the widest matrix row
-CELLS = 1 << 21      # matrix cells handled at once
-KEPT_PIECES = 400000  # encoded pieces a worker remembers between slices
+CELLS = 1 << 18      # matrix cells handled at once
+KEPT_PIECES = 200000  # encoded pieces a worker remembers between slices
 
 
 class Ranks:
@@ -266,9 +266,19 @@ def token_ids(packed: str = "ids"):
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): `encode` and `decode` of each text by one worker."""
+    def work(keys, texts):
+        ids = _encoder(path, pattern).encode(texts)
+        return keys, ids, [_ranks(path).decode(i) for i in ids]
+
+    return map_batches(docs, [id_col, text_col], fields(
+        (id_col, docs.schema[id_col].dataType), ("ids", T.BinaryType()), ("decoded", T.BinaryType())), work)
+
+
 def round_trip_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of the encoded and decoded texts."""
-    both = decode(encode(docs, path, pattern, id_col, text_col), path, id_col)
-    return both.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs, path, pattern, id_col, text_col).select(
+        id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

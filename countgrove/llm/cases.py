@@ -7,7 +7,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_crf, mixing, quality_rules, simhash
+from . import (
+    byte_bpe,
+    cross_polytope,
+    language,
+    line_crf,
+    mixing,
+    quality_rules,
+    rotation,
+    simhash,
+    templates,
+    toxicity,
+)
 from .common import held_out
 
 CASES: dict[str, tuple] = {}
@@ -43,6 +54,11 @@ def op3(spark, sf_dir):
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+@case("op4_cross_polytope")
+def op4(spark, sf_dir):
+    return cross_polytope.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 @case("op5_byte_bpe")
 def op5(spark, sf_dir):
     return byte_bpe.round_trip_digest(
@@ -56,6 +72,32 @@ def op6(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@case("op7_toxicity")
+def op7(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.severity(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "severity", "grade", "toxic")
+
+
+@case("op8_language")
+def op8(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    named = language.identify(docs.drop("lang"), language.learn(docs))
+    return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@case("op9_templates")
+def op9(spark, sf_dir):
+    return templates.extract(_table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@case("op10_rotation")
+def op10(spark, sf_dir):
+    return rotation.rotate(_table(spark, sf_dir, "conversations"))
+
+
 @case("pipeline")
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 HELD_OUT = 2         # remainder of the fold that no model learns from
 FOLDS = 4
-SLICE_BYTES = 8 << 20  # texts are handed to Python in slices of about this size
+SLICE_BYTES = 2 << 20  # texts are handed to Python in slices of about this size
 
 
 def held_out(id_col: str = "doc_id") -> Column:
