@@ -29,6 +29,7 @@ TABLES = 4
 PROBES = 4           # buckets asked in each table, the home bucket included
 RUNNERS_UP = 3       # vertices after the nearest that a probe may use
 CHUNK = 1024         # stored vectors of a bucket in one task
+BIN = 4096           # rows of small buckets handled together
 PER_BUCKET = 64      # vectors of a label per bucket of a table, about; sets the number of functions
 
 
@@ -90,6 +91,16 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _units(vectors: list) -> list[np.ndarray]:
+    """Unit vectors of rows that may differ in length."""
+    out: list = [None] * len(vectors)
+    for d in {len(v) for v in vectors}:
+        at = [i for i, v in enumerate(vectors) if len(v) == d]
+        for i, row in zip(at, _unit([vectors[i] for i in at])):
+            out[i] = row
+    return out
+
+
 def _with_keys(reps: DataFrame, tables: int, functions: int, probes: int) -> DataFrame:
     """Adds `_keys`, the bucket keys of all tables one after the other."""
     def work(vectors):
@@ -105,44 +116,49 @@ def _with_keys(reps: DataFrame, tables: int, functions: int, probes: int) -> Dat
     return append_batches(reps, ["_vector"], fields(("_keys", T.ArrayType(T.LongType()))), work)
 
 
-def _bucket_links(threshold: float, probes: int):
-    """One chunk of a bucket: links of stored vectors and the vectors that ask for them."""
+def _bin_links(threshold: float, probes: int):
+    """Buckets of one bin: links between stored vectors and the vectors that ask for them.
+
+    Returns stars (n = 0) that connect what was found and the number of new links per node.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stored = np.nonzero(pdf["_stored"].to_numpy())[0]
-        empty = pd.DataFrame({"u": [], "v": [], "n": []})
-        if not len(stored) or len(pdf) < 2:
-            return empty
-        table = int(pdf["_table"].iloc[0])
-        ids, copies = pdf["_rep"].to_numpy(), pdf["_copies"].to_numpy()
-        x = _unit(pdf["_vector"].tolist())
-        keys = np.array(pdf["_keys"].tolist()).reshape(len(pdf), -1, probes)
-        ask, told = [], []
-        for s in range(0, len(pdf), CHUNK):
-            hit = x[s:s + CHUNK] @ x[stored].T >= threshold
-            i, j = np.nonzero(hit)
-            ask.append(i + s)
-            told.append(stored[j])
-        a, b = np.concatenate(ask), np.concatenate(told)
-        other = ids[a] != ids[b]
-        a, b = a[other], b[other]
-        if not len(a):
-            return empty
-        same, place = np.unique(ids, return_inverse=True)   # a stored vector may ask as well
-        parent = merge(np.arange(len(same)), place[a], place[b])
-        new = np.ones(len(a), dtype=bool)
-        for t in range(table):
-            new &= ~_meet(keys[:, t], a, b)
-        # in this table b's home is asked by a; where a's home is also asked by b, the smaller id counts
-        back = (keys[b, table] == keys[a, table, :1]).any(axis=1)
-        new &= ~back | (ids[a] < ids[b])
-        a, b = a[new], b[new]
-        counts = np.concatenate([place[a], place[b]])
-        links = np.bincount(counts, weights=np.concatenate([copies[b], copies[a]]), minlength=len(same))
+        node, copies = pdf["_node"].to_numpy(), pdf["_copies"].to_numpy()
+        stored = pdf["_stored"].to_numpy()
+        same, place = np.unique(node, return_inverse=True)
+        first = np.unique(place, return_index=True)[1]
+        asks = pdf["_asks"].to_numpy()
+        unit = _units([pdf["_vector"].iat[i] for i in first])
+        codes = np.array([pdf["_keys"].iat[i] for i in first]).reshape(len(same), -1, probes)
+        parent, links = np.arange(len(same)), np.zeros(len(same), dtype=np.int64)
+        groups = pdf.groupby(["_label", "_length", "_table", "_key", "_stored_part", "_ask_part"], sort=False)
+        for (_, _, table, *_), rows in groups.indices.items():
+            held, asking = rows[stored[rows]], rows[asks[rows]]
+            if not len(held) or not len(asking):
+                continue
+            own = np.stack([unit[k] for k in place[held]])
+            for s in range(0, len(asking), CHUNK):
+                part = asking[s:s + CHUNK]
+                i, j = np.nonzero(np.stack([unit[k] for k in place[part]]) @ own.T >= threshold)
+                a, b = part[i], held[j]
+                apart = node[a] != node[b]
+                a, b = a[apart], b[apart]
+                if not len(a):
+                    continue
+                parent = merge(parent, place[a], place[b])
+                p, q = place[a], place[b]
+                new = np.ones(len(a), dtype=bool)
+                for t in range(table):
+                    new &= ~_meet(codes[:, t], p, q)
+                # b's home is asked by a; where a's home is also asked by b, the smaller node counts
+                back = (codes[q, table] == codes[p, table, :1]).any(axis=1)
+                new &= ~back | (node[a] < node[b])
+                np.add.at(links, p[new], copies[b[new]])
+                np.add.at(links, q[new], copies[a[new]])
         joined, counted = np.nonzero(parent != np.arange(len(same)))[0], np.nonzero(links)[0]
         return pd.DataFrame({
             "u": np.concatenate([same[joined], same[counted]]),
             "v": np.concatenate([same[parent[joined]], same[counted]]),
-            "n": np.concatenate([np.zeros(len(joined), dtype=np.int64), links[counted].astype(np.int64)])})
+            "n": np.concatenate([np.zeros(len(joined), dtype=np.int64), links[counted]])})
 
     return run
 
@@ -172,38 +188,60 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
              & F.coalesce(F.exists(vector_col, lambda x: x != 0), F.lit(False)))
     rows = vectors.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"),
                           F.when(sound, number).alias("_vector"))
+    # the row number is part of the written table, so it names a distinct vector from here on
     reps = written(rows.filter(F.col("_vector").isNotNull()).groupBy("_label", "_vector").agg(
-        F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies")), "vectors")
+        F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"))
+        .withColumn("_node", F.monotonically_increasing_id()), "vectors")
     if functions is None:
         most = reps.groupBy("_label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vector")).alias("d")).agg(
             F.max("n"), F.max("d")).first()
         functions = max(2, int(np.ceil(np.log(max(most[0] or 1, 2) / PER_BUCKET) / np.log(2 * max(most[1] or 2, 2)))))
-    keyed = _with_keys(reps.filter(F.col("_rep").isNotNull()), tables, functions, probes)
-    spots = F.transform("_keys", lambda key, i: F.struct(
-        (i / probes).cast("int").alias("table"), key.alias("key"), (i % probes == 0).alias("stored")))
-    asked = (keyed.withColumn("_length", F.size("_vector")).withColumn("_spot", F.explode(spots))
-             .select("_label", "_length", F.col("_spot.table").alias("_table"), F.col("_spot.key").alias("_key"),
-                     F.col("_spot.stored").alias("_home"), "_rep", "_copies", "_vector", "_keys"))
-    bucket = ["_label", "_length", "_table", "_key"]
-    sizes = written(asked.filter("_home").groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
-                    .filter(F.col("_n") > CHUNK)
-                    .withColumn("_chunks", F.ceil(F.col("_n") / CHUNK).cast("int")).drop("_n"), "buckets")
-    cut = (asked.join(sizes, bucket, "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
-           .withColumn("_own", F.pmod(F.xxhash64("_rep"), F.col("_chunks")).cast("int"))
-           .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-           .withColumn("_stored", F.col("_home") & (F.col("_chunk") == F.col("_own")))
-           .drop("_home", "_own", "_chunks"))
-    kind = T._parse_datatype_string(reps.schema["_rep"].dataType.simpleString())
-    found = written(cut.groupBy(*bucket, "_chunk").applyInPandas(
-        _bucket_links(threshold, probes), fields(("u", kind), ("v", kind), ("n", T.LongType()))), "pairs")
+    keyed = written(_with_keys(reps, tables, functions, probes), "keys")
+    found = written(_pairs(keyed, threshold, probes), "pairs")
     counts = found.groupBy("u").agg(F.sum("n").alias("_linked"))
-    roots = components(found)
-    classes = (reps.join(counts, reps["_rep"] == counts["u"], "left").drop("u")
-               .join(roots, reps["_rep"] == roots["node"], "left")
-               .select(F.col("_label").alias("_l"), F.col("_vector").alias("_v"),
-                       (F.coalesce("_linked", F.lit(0)) + F.col("_copies") - 1).alias("n_links"),
-                       F.coalesce("root", "_rep").alias("component_id")))
+    rooted = (reps.join(components(found), F.col("_node") == F.col("node"), "left")
+              .withColumn("_root", F.coalesce("root", "_node")))
+    names = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"))
+    classes = (rooted.join(counts, rooted["_node"] == counts["u"], "left").join(names, "_root")
+               .select(F.col("_label").alias("_l"), F.col("_vector").alias("_v"), "component_id",
+                       (F.coalesce("_linked", F.lit(0)) + F.col("_copies") - 1).alias("n_links")))
     return (rows.join(classes, (F.col("_label") == F.col("_l")) & (F.col("_vector") == F.col("_v")), "left")
             .select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("component_id", "_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))))
+
+
+def _pairs(keyed: DataFrame, threshold: float, probes: int) -> DataFrame:
+    """(u, v, n) of all buckets in which somebody asks for a stored vector.
+
+    A bucket with many rows is cut into parts on both sides, and every part of stored vectors
+    meets every part of asking ones. Buckets are dealt to bins of about BIN rows, so that a
+    task handles many small buckets at a time.
+    """
+    spots = F.transform("_keys", lambda key, i: F.struct(
+        (i / probes).cast("int").alias("table"), key.alias("key"), (i % probes == 0).alias("stored")))
+    asked = keyed.select("_label", F.size("_vector").alias("_length"), "_node", F.explode(spots).alias("_spot")).select(
+        "_label", "_length", "_node", F.col("_spot.table").alias("_table"), F.col("_spot.key").alias("_key"),
+        F.col("_spot.stored").alias("_home"))
+    bucket = ["_label", "_length", "_table", "_key"]
+    busy = (asked.groupBy(*bucket).agg(F.count_if("_home").alias("_n_stored"), F.count(F.lit(1)).alias("_n_asking"))
+            .filter((F.col("_n_stored") > 0) & (F.col("_n_asking") > 1)))
+    parted = (asked.join(busy, bucket)
+              .withColumn("_sp", F.ceil(F.col("_n_stored") / CHUNK).cast("int"))
+              .withColumn("_ap", F.ceil(F.col("_n_asking") / (4 * CHUNK)).cast("int"))
+              .withColumn("_h", F.xxhash64("_node")))
+    own_s, own_a = F.pmod("_h", F.col("_sp")).cast("int"), F.pmod(F.shiftright("_h", 20), F.col("_ap")).cast("int")
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("_sp") - 1), lambda s: F.transform(
+        F.sequence(F.lit(0), F.col("_ap") - 1), lambda a: F.struct(s.alias("s"), a.alias("a")))))
+    met = F.filter(every, lambda c: (c["a"] == own_a) | (F.col("_home") & (c["s"] == own_s)))
+    placed = parted.withColumn("_c", F.explode(met)).select(
+        *bucket, "_node", F.col("_c.s").alias("_stored_part"), F.col("_c.a").alias("_ask_part"),
+        (F.col("_home") & (F.col("_c.s") == own_s)).alias("_stored"),
+        (F.col("_c.a") == own_a).alias("_asks"))
+    placed = written(placed, "spots")
+    bins = max(1, placed.count() // BIN)
+    parts = [*bucket, "_stored_part", "_ask_part"]
+    full = placed.withColumn("_bin", F.pmod(F.xxhash64(*parts), F.lit(bins))).join(
+        keyed.select("_node", "_copies", "_vector", "_keys"), "_node")
+    return full.groupBy("_bin").applyInPandas(_bin_links(threshold, probes), fields(
+        ("u", T.LongType()), ("v", T.LongType()), ("n", T.LongType())))

@@ -5,8 +5,11 @@ vocabulary they hold, cut into equal parts. The model has one weight per word, s
 grades, and one ordered threshold per step between grades:
 P(grade >= k) = sigmoid(score - threshold_k). The result is the expected grade.
 
-The vocabulary are the words whose document counts differ most between toxic and other
-documents of a bounded labelled sample; a document is scored over its whole text.
+Features are words and the openings of words (four letters), which carry over to inflected and
+compounded forms. The vocabulary are the features whose document counts differ most between
+toxic and other documents of a bounded labelled sample; near-copies in the sample count once,
+so that a copied document does not make its words look toxic. A document is scored over its
+whole text.
 """
 
 from __future__ import annotations
@@ -16,27 +19,42 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import written
 from .common import append_batches, fields, held_out, map_batches
 
 GRADES = 4
 VOCABULARY = 1000
 SAMPLE = 2000      # labelled documents of either kind, at most
 SUPPORT = 5        # sample documents that a word of the vocabulary is in
-MARKED = 4.0       # standard errors from which a word counts as toxic vocabulary
-STEPS = 150
+MARKED = 2.0       # log odds ratio from which a feature counts as toxic vocabulary
+EVIDENCE = 6.0     # log likelihood ratio from which a feature joins the vocabulary
+OPENING = 4        # letters of an opening
+STEPS = 300
 RATE = 0.1
-PENALTY = 2e-3
+PENALTY = 2e-4
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _LETTERS.findall((text or "").lower())
+def features_of(text: str | None) -> Counter:
+    """Counts of the lower-cased runs of letters and of their openings (`^` and OPENING letters)."""
+    out: Counter = Counter()
+    for word, n in Counter(_LETTERS.findall((text or "").lower())).items():
+        out[word] += n
+        if len(word) > OPENING:
+            out["^" + word[:OPENING]] += n
+    return out
+
+
+def copy_mark(text: str) -> int:
+    """Smallest hash of the longer words (of the whole text without any): mostly equal in near-copies."""
+    long = {w for w in _LETTERS.findall(text.lower()) if len(w) > 6}
+    return min(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 1) for w in (long or {text})) >> 1
 
 
 def _sigmoid(x):
@@ -52,7 +70,7 @@ class SeverityModel:
     def reach(self, text: str | None) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ..."""
         score = 0.0
-        for word, n in Counter(words_of(text)).items():
+        for word, n in features_of(text).items():
             at = self.place.get(word)
             if at is not None:
                 score += self.weights[at] * np.log1p(n)
@@ -109,33 +127,44 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = (F.xxhash64(id_col), id_col)
     chosen = (known.filter("_toxic").orderBy(*order).limit(sample)
               .unionByName(known.filter("not _toxic").orderBy(*order).limit(sample)))
-    texts = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(chosen), id_col)
-
-    def count_words(toxic, text):
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(
+        F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id")
+    same = Window.partitionBy("_toxic", "_mark").orderBy(F.xxhash64("_id"), "_id", "_text")
+    texts = written(append_batches(found, ["_text"], fields(("_mark", T.LongType())),
+                                   lambda t: [[copy_mark(x) for x in t]])
+                    .withColumn("_r", F.row_number().over(same)).filter("_r = 1").select("_toxic", "_text"), "sample")
+
+    def count_features(toxic, text):
         counts = {True: Counter(), False: Counter()}
         for y, t in zip(toxic, text):
-            counts[y].update(set(words_of(t)))
+            counts[y].update(features_of(t).keys())
         every = list(counts[True].keys() | counts[False].keys())
         return every, [counts[True][w] for w in every], [counts[False][w] for w in every]
 
-    totals = {r["_toxic"]: r["count"] for r in chosen.groupBy("_toxic").count().collect()}
+    totals = {r["_toxic"]: r["count"] for r in texts.groupBy("_toxic").count().collect()}
     n_toxic, n_other = totals.get(True, 0), totals.get(False, 0)
     if not n_toxic or not n_other:
         return SeverityModel({}, np.zeros(0), np.full(GRADES - 1, 50.0))
     seen = map_batches(texts, ["_toxic", "_text"], fields(
-        ("word", T.StringType()), ("a", T.LongType()), ("b", T.LongType())), count_words).groupBy("word").agg(
+        ("word", T.StringType()), ("a", T.LongType()), ("b", T.LongType())), count_features).groupBy("word").agg(
         F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") + F.col("b") >= SUPPORT)
     odds = (F.log((F.col("a") + 0.5) / (n_toxic - F.col("a") + 0.5))
             - F.log((F.col("b") + 0.5) / (n_other - F.col("b") + 0.5)))
-    z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = seen.withColumn("z", z).orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).collect()
+    share = (F.col("a") + F.col("b")) / (n_toxic + n_other)
+    ratio = sum(n * F.log((n + 0.5) / (whole * part + 0.5))     # likelihood ratio of the two counts
+                for n, whole, part in ((F.col("a"), n_toxic, share), (F.col("b"), n_other, share),
+                                       (n_toxic - F.col("a"), n_toxic, 1 - share),
+                                       (n_other - F.col("b"), n_other, 1 - share)))
+    top = seen.select("word", odds.alias("odds"), ratio.alias("ratio")).filter(
+        F.col("ratio") >= EVIDENCE).orderBy(
+        F.col("ratio").desc(), "word").limit(VOCABULARY).collect()
     place = {r["word"]: i for i, r in enumerate(top)}
-    marked = np.array([r["z"] >= MARKED for r in top], dtype=float)
+    marked = np.array([r["odds"] >= MARKED for r in top], dtype=float)
 
     def count_known(toxic, text):
         rows: tuple = ([], [], [])
         for y, t in zip(toxic, text):
-            own = {place[w]: n for w, n in Counter(words_of(t)).items() if w in place}
+            own = {place[w]: n for w, n in features_of(t).items() if w in place}
             for column, value in zip(rows, (y, list(own), list(own.values()))):
                 column.append(value)
         return rows
