@@ -20,6 +20,7 @@ from .scratch import written
 
 BLOCK = 128
 CHUNK = 20000
+FRAME = -1     # chunk number of the tile that lists all pairs
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -87,11 +88,16 @@ def pair_sums(df: DataFrame, row: str, inner: str, value: str, kernel: Callable
     """Symmetric kernel of every pair of rows, (keys, s1, s2, value) with s1 < s2.
 
     `df` holds one cell per (keys, row, inner). Each cell goes to the tiles of its block,
-    which is the size of the pair table divided by the block length.
+    which is the size of the pair table divided by the block length. A tile of one chunk
+    returns its non-zero sums; pairs that share nothing come once, from a frame tile that
+    holds the row ids alone.
     """
     keys = names(keys)
     df = written(df.select(*dict.fromkeys([*keys, row, inner, value])), "cells")
     cells = _cells(df, row, inner, value, keys, _tiles_of(df, row, inner, keys, block, chunk))
+    frame = cells.select(*keys, "_row", F.lit(None).cast(cells.schema["_inner"].dataType).alias("_inner"),
+                         F.lit(0.0).alias("_value"), "_t", "_block", F.lit(FRAME).cast("bigint").alias("_chunk"))
+    cells = cells.unionByName(frame.dropDuplicates([*keys, "_row"]))
     tiles = (cells.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_t.blocks") - 1)))
              .drop("_t")
              .withColumn("_i", F.least("_block", "_other"))
@@ -104,11 +110,17 @@ def pair_sums(df: DataFrame, row: str, inner: str, value: str, kernel: Callable
         i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
         a = (pdf["_block"] == i).to_numpy()
         b = (pdf["_block"] == j).to_numpy()
-        ids_a, ids_b, m = _tile(pdf, a, b, kernel)
+        whole = pdf["_chunk"].iloc[0] == FRAME
+        if whole:
+            ids_a, ids_b = (np.sort(pdf["_row"][side].to_numpy()) for side in (a, b))
+            m = np.zeros((len(ids_a), len(ids_b)))
+        else:
+            ids_a, ids_b, m = _tile(pdf, a, b, kernel)
         if i == j:
-            r, c = np.triu_indices(len(ids_a), 1)
+            lower = ids_a[:, None] < ids_b[None, :]
         else:
-            r, c = (x.ravel() for x in np.indices(m.shape))
+            lower = np.ones(m.shape, dtype=bool)
+        r, c = np.nonzero(lower if whole else lower & (m != 0))
         x, y, v = ids_a[r], ids_b[c], m[r, c]
         swap = x > y
         res = {k: pdf[k].iloc[0] for k in keys}

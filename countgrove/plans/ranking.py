@@ -1,13 +1,15 @@
 """Order statistics without sending a group through one task.
 
 A group is first reduced to its distinct values with their counts (combined map-side),
-then cut into value ranges. Ranges are accumulated independently and shifted by the
-totals of the lower ranges, so ranks, medians and running minima stay exact while a hot
-group is spread over many tasks.
-
-The reduced values are read several times, so they are written once to the shared folder:
-nothing upstream is computed twice, and a lost executor costs only its own tasks. The
-written row count decides whether ranges are needed at all.
+then the table is cut into ranges of (group, value). Ranges are accumulated independently
+and shifted by the totals of the lower ranges, so ranks, medians and running minima stay
+exact while a hot group is spread over many tasks. There is one plan for every size: the
+number of ranges is that of the session's shuffle partitions, merged by adaptive execution
+where they are small.
+
+The cut table is read several times, so it is written once to the shared folder with the
+number of its range: the ranges stay as they are, nothing upstream is computed twice, and a
+lost executor costs only its own tasks.
 """
 
 from __future__ import annotations
@@ -15,46 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import attach, names
+from ..functions.common import names
 from .scratch import written
 
-SMALL = 200000   # tables up to this many rows are ordered without value ranges
-SAMPLE = 16384   # expected number of rows in the boundary sample of a whole table
-STRIDE = 16      # one boundary per so many sampled rows
-FAN = 32         # boundaries compared per search step
-
 
-def _place(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Add `_range`, the index of the value range a row falls in.
-
-    Boundaries are taken from the rows selected by a hash of their keys. They depend on
-    the data alone, so every evaluation (and every retry of a lost task) cuts a group in
-    the same places. The sample is bounded for the table as a whole; a group gets
-    boundaries in proportion to its size, and a group without any is small.
-    """
-    every = df.agg(F.greatest(F.floor(F.count(F.lit(1)) / SAMPLE), F.lit(1))).scalar()
-    picked = (df.select(*by, *order, every.alias("_every"))
-              .filter(F.pmod(F.xxhash64(*by, *order), F.col("_every")) == 0)
-              .groupBy(*by).agg(F.sort_array(F.collect_list(order[0])).alias("_s")))
-    edges = picked.select(*by, F.expr(
-        f"transform(sequence(0, greatest(size(_s) div {STRIDE}, 1) - 1), "
-        f"i -> try_element_at(_s, cast((i + 1) * {STRIDE} as int)))").alias("_e"))
-    edges = edges.select(*by, F.array_compact("_e").alias("_edges"))
-    if by:
-        placed = df.join(edges, by, "left")
-    else:
-        placed = attach(df, edges)
-    value = F.col(order[0])
-
-    def smaller(a):
-        return F.coalesce(F.size(F.filter(a, lambda e: e < value)), F.lit(0))
-
-    top = F.expr(f"filter(_edges, (e, i) -> i % {FAN} = {FAN - 1})")
-    step = (placed.withColumn("_edges", F.coalesce("_edges", F.slice("_edges", 1, 0)))
-            .withColumn("_i", smaller(top)))
-    fine = smaller(F.slice("_edges", F.col("_i") * FAN + 1, F.lit(FAN)))
-    return (step.withColumn("_range", F.greatest(F.col("_i") * FAN + fine, F.lit(0)))
-            .drop("_edges", "_i"))
+def _cut(df: DataFrame, by: list[str], order: list[str], label: str) -> DataFrame:
+    """The table with `_range`: ranges rise with (by, order), and equal rows share one."""
+    return written(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), label)
 
 
 def _before(by: list[str], order, descending: bool = False):
@@ -63,20 +32,23 @@ def _before(by: list[str], order, descending: bool = False):
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
+def _beside_ranges(cut: DataFrame, per_range: DataFrame, by: list[str]) -> DataFrame:
+    """Join of one row per (by, range) to the rows of the range; NULL keys match."""
+    renamed = per_range.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate([*by, "_range"])})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
+    on = F.col("_range") == F.col(f"_k{len(by)}")
+    for condition in same:
+        on = on & condition
+    return cut.join(renamed, on).drop(*[f"_k{i}" for i in range(len(by) + 1)])
+
+
 def _with_ranges(hist: DataFrame, by: list[str], value: str) -> DataFrame:
-    hist = written(hist, "values")
-    if hist.count() <= SMALL:
-        return (hist.withColumn("_range", F.lit(0))
-                .withColumn("_below", F.coalesce(F.sum("_n").over(_before(by, [value])), F.lit(0)))
-                .withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
-                .select(*hist.columns, "_range", "_below", "_total"))
-    placed = _place(hist, by, [value])
-    whole = Window.partitionBy(*by)
-    starts = (placed.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
+    cut = _cut(hist, by, [value], "values")
+    starts = (cut.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
               .withColumn("_start", F.coalesce(F.sum("_in").over(_before(by, ["_range"])), F.lit(0)))
-              .withColumn("_total", F.sum("_in").over(whole)).drop("_in"))
+              .withColumn("_total", F.sum("_in").over(Window.partitionBy(*by))).drop("_in"))
     inside = _before([*by, "_range"], [value])
-    return (placed.join(starts, [*by, "_range"])
+    return (_beside_ranges(cut, starts, by)
             .withColumn("_below", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
             .select(*hist.columns, "_range", "_below", "_total"))
 
@@ -98,7 +70,6 @@ def value_counts(df: DataFrame, value: str, by=()) -> DataFrame:
 def average_rank(df: DataFrame, value: str, by=(), name: str = "rank", total: str | None = None) -> DataFrame:
     """Rows with the average-tie rank of `value` inside the group (NULL has no rank)."""
     by = names(by)
-    df = written(df, "ranked")
     ranks = accumulate(value_counts(df, value, by), value, by).select(
         *by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name),
         *([F.col("_total").alias(total)] if total else []))
@@ -135,21 +106,14 @@ def median_of(df: DataFrame, value: str, by=(), name: str = "median") -> DataFra
 
 
 def row_index(df: DataFrame, order, by=(), name: str = "idx") -> DataFrame:
-    """Dense 0-based row number by `order` inside the group.
-
-    The first order column is numeric; together the order columns identify a row.
-    """
+    """Dense 0-based row number by `order` inside the group; together the order columns identify a row."""
     by, order = names(by), names(order)
-    df = written(df, "rows")
-    if df.count() <= SMALL:
-        return df.withColumn(name, F.row_number().over(
-            Window.partitionBy(*by).orderBy(*order)).cast("bigint") - 1)
-    placed = _place(df, by, order)
-    starts = (placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_in"))
+    cut = _cut(df, by, order, "rows")
+    starts = (cut.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_in"))
               .withColumn("_start", F.coalesce(F.sum("_in").over(_before(by, ["_range"])), F.lit(0)))
               .drop("_in"))
     inside = Window.partitionBy(*by, "_range").orderBy(*order)
-    return (placed.join(starts, [*by, "_range"])
+    return (_beside_ranges(cut, starts, by)
             .withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
             .drop("_range", "_start"))
 
@@ -164,7 +128,6 @@ def hashed_index(df: DataFrame, id_cols, by=(), name: str = "idx", seed: int = 0
 def step_up_adjust(df: DataFrame, p: str, by=(), name: str = "p_adjusted") -> DataFrame:
     """Benjamini-Hochberg adjusted p-values inside each group."""
     by = names(by)
-    df = written(df, "tests")
     acc = _with_ranges(value_counts(df, p, by), by, p).withColumn(
         "_q", F.col(p) * F.col("_total") / (F.col("_below") + F.col("_n")))
     later = (acc.groupBy(*by, "_range").agg(F.min("_q").alias("_m"))
@@ -172,7 +135,7 @@ def step_up_adjust(df: DataFrame, p: str, by=(), name: str = "p_adjusted") -> Da
              .drop("_m"))
     inside = (Window.partitionBy(*by, "_range").orderBy(F.col(p).desc())
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    adjusted = (acc.join(later, [*by, "_range"])
+    adjusted = (_beside_ranges(acc, later, by)
                 .withColumn(name, F.least(F.lit(1.0), F.min("_q").over(inside), F.col("_later")))
                 .select(*by, p, name))
     return df.join(adjusted, [*by, p], "left")

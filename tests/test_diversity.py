@@ -29,6 +29,17 @@ def test_pairwise_beta_in_small_tiles(spark, monkeypatch, q):
         assert np.isclose(r["beta"], want) and 1 - 1e-9 <= r["beta"] <= 2 + 1e-9 and r["s1"] < r["s2"]
 
 
+@pytest.mark.parametrize("q", [0, 1])
+def test_samples_that_share_nothing_keep_their_pairs(spark, monkeypatch, q):
+    orig = pair_blocks.pair_sums
+    monkeypatch.setattr(V, "pair_sums", lambda *a, **k: orig(*a, **k, block=3, chunk=2))
+    cells = [(f"f{i}", "wide", 1) for i in range(30)] + [(f"g{i}", f"s{i}", 2) for i in range(10)]
+    df = spark.createDataFrame(cells, "feature string, sample string, reads long")
+    rows = V.pairwise_beta(df, q).collect()
+    assert len({(r["s1"], r["s2"]) for r in rows}) == len(rows) == 55
+    assert all(np.isclose(r["beta"], 2.0) for r in rows)
+
+
 def test_hill_order_and_one_feature(spark):
     rows = V.hill_numbers(frame(spark, table(20, 5, seed=3))).collect()
     assert all(r["hill_0"] >= r["hill_1"] >= r["hill_2"] for r in rows)
