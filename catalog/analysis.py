@@ -328,7 +328,7 @@ def zero_inflated_contrast(spark, d):
  mv AS (SELECT taxon, method, CAST(sum(reads) AS DOUBLE) / max(n) AS m, (sum(CAST(reads AS DOUBLE) * reads) - CAST(sum(reads) AS DOUBLE) * sum(reads) / max(n)) / (max(n) - 1) AS v FROM mtaxa JOIN cells USING (method) GROUP BY 1, 2)
  SELECT method, round(regr_slope(log10(v), log10(m)), 6) AS slope, round(regr_intercept(log10(v), log10(m)), 6) AS intercept, round(regr_r2(log10(v), log10(m)), 6) AS r2, CAST(count(*) AS BIGINT) AS n FROM mv WHERE m > 1 AND v > 1 GROUP BY 1""")
 def mean_variance_power_law(spark, d):
-    return H.mean_variance_power_law(A.mean_var(t.method_taxa(spark, d), ["taxon", "method"], dense_over="site"))
+    return H.mean_variance_power_law(A.mean_var(t.method_taxa(spark, d), ["taxon", "method"], dense_over="site", scope="method"))
 
 
 @case("linear_trend", """SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,

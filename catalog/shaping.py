@@ -234,7 +234,7 @@ MOMENTS = """cells AS (SELECT method, count(DISTINCT site) AS n FROM mtaxa GROUP
 
 @case("mean_var_dense", f"WITH {t.MTAXA}, {MOMENTS} SELECT taxon, method, round(mean, 6) AS mean, round(variance, 6) AS variance FROM mv")
 def mean_var_dense(spark, d):
-    return A.mean_var(t.method_taxa(spark, d), ["taxon", "method"], dense_over="site")
+    return A.mean_var(t.method_taxa(spark, d), ["taxon", "method"], dense_over="site", scope="method")
 
 
 @case("mean_var_sd", """SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS mean, round(var_samp(l_quantity), 6) AS variance,
@@ -245,7 +245,7 @@ def mean_var_sd(spark, d):
 
 @case("log_var", f"WITH {t.MTAXA}, {MOMENTS} SELECT taxon, method, round(log10(variance + 1), 6) AS log_variance FROM mv")
 def log_var(spark, d):
-    return A.log_var(A.mean_var(t.method_taxa(spark, d), ["taxon", "method"], dense_over="site")).select("taxon", "method", "log_variance")
+    return A.log_var(A.mean_var(t.method_taxa(spark, d), ["taxon", "method"], dense_over="site", scope="method")).select("taxon", "method", "log_variance")
 
 
 @case("observed_features", f"WITH {t.CLEAN} SELECT sample, count(*) FILTER (reads > 0) AS observed FROM clean GROUP BY 1")

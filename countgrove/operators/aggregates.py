@@ -25,18 +25,18 @@ def dense_moments(counts: DataFrame, by, cells: Column, value: str = "reads", sd
 
 
 def mean_var(counts: DataFrame, by=("feature",), value: str = "reads", sd: bool = False,
-             dense_over: str | None = "sample") -> DataFrame:
+             dense_over: str | None = "sample", scope=()) -> DataFrame:
     """Mean and variance per group.
 
-    With `dense_over` the group has one cell for each of its distinct ids in the whole
-    table (per method when `method` is a group key); otherwise only present rows count.
+    With `dense_over` the group has one cell for each of its distinct ids inside the keys of
+    `scope` (in the whole table by default); otherwise only present rows count.
     """
     by = names(by)
     if dense_over is None:
         x = dbl(value)
         aggs = [F.avg(x).alias("mean"), F.var_samp(x).alias("variance")]
         return counts.groupBy(*by).agg(*aggs, *([F.stddev_samp(x).alias("sd")] if sd else []))
-    scope = [k for k in by if k == "method"]
+    scope = names(scope)
     size = counts.groupBy(*scope).agg(F.count_distinct(dense_over).alias("_cells"))
     return dense_moments(attach(counts, size, scope), by, F.max("_cells"), value, sd)
 

@@ -25,23 +25,39 @@ from .counts import library_size
 # ------------------------------------------------------------------ two-group tests
 
 
-def group_sizes(samples: DataFrame, group: str = "group", by=()) -> DataFrame:
-    """One row (per `by`) with the two group labels in order and their sample counts."""
+def group_sizes(samples: DataFrame, group: str = "group", by=(), labels: tuple | None = None) -> DataFrame:
+    """One row (per `by`) with the two group labels in order and their sample counts.
+
+    `labels` names the two groups; rows of other groups then take no part. Without it every
+    key has its own two labels, and a key with one or with three and more groups is an error.
+    """
     by = names(by)
-    per = samples.groupBy(*by, group).agg(F.count_distinct("sample").alias("_c"))
-    return per.groupBy(*by).agg(
-        F.min(group).alias("group_1"), F.max(group).alias("group_2"),
-        F.min_by("_c", group).alias("n_1"), F.max_by("_c", group).alias("n_2"))
+    if labels is not None:
+        samples = samples.filter(F.col(group).isin(*labels))
+    per = samples.filter(F.col(group).isNotNull()).groupBy(*by, group).agg(F.count_distinct("sample").alias("_c"))
+    if labels is not None:
+        first, second = (F.lit(x) for x in labels)
+        ends = (first, second, F.coalesce(F.sum(F.when(F.col(group) == first, F.col("_c"))), F.lit(0)),
+                F.coalesce(F.sum(F.when(F.col(group) == second, F.col("_c"))), F.lit(0)))
+        two = F.lit(2)
+    else:
+        ends = (F.min(group), F.max(group), F.min_by("_c", group), F.max_by("_c", group))
+        two = F.count(F.lit(1))
+    sizes = per.groupBy(*by).agg(two.alias("_groups"), *[
+        e.alias(n) for e, n in zip(ends, ("group_1", "group_2", "n_1", "n_2"))])
+    problem = F.concat(F.lit("a two-group test needs two groups, or labels; found "), F.col("_groups"))
+    checked = F.when(F.col("_groups") == 2, F.col("n_1")).otherwise(F.raise_error(problem).cast("bigint"))
+    return sizes.select(*by, "group_1", "group_2", checked.alias("n_1"), "n_2")
 
 
 def _two_group_hist(values: DataFrame, sizes: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
     """(by, taxon, value, a, b, sizes): samples of each group with that value, zeros included."""
     scope = [c for c in by if c in sizes.columns]
     seen = attach(values.filter((F.col(value) != 0) & F.col(value).isNotNull()), sizes, scope)
-    first = F.col(group) == F.col("group_1")
+    first, second = F.col(group) == F.col("group_1"), F.col(group) == F.col("group_2")
     keys = [*by, "taxon"]
-    hist = seen.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(
-        F.count_if(first).alias("a"), F.count_if(~first).alias("b"))
+    hist = seen.filter(first | second).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(
+        F.count_if(first).alias("a"), F.count_if(second).alias("b"))
     zero = attach(hist.groupBy(*keys).agg(F.sum("a").alias("_a"), F.sum("b").alias("_b")), sizes, scope).select(
         *keys, F.lit(0.0).alias("value"), (F.col("n_1") - F.col("_a")).alias("a"), (F.col("n_2") - F.col("_b")).alias("b"))
     return hist.unionByName(zero).withColumn("_n", F.col("a") + F.col("b"))
@@ -156,71 +172,90 @@ def rle_size_factors(counts: DataFrame) -> DataFrame:
 
 
 def _normalised(counts: DataFrame, factors: DataFrame, groups: DataFrame, group: str, scale, by: list[str]):
-    """Dense per-group sums of (reads + 1) * k with k = scale / effective size, per feature."""
+    """Dense per-group sums of (reads + 1) * k with k = scale / effective size, per feature.
+
+    Keys of `by` come from the groups (comparisons) or from counts and factors (variants, ranks).
+    """
     counts = written(counts.filter("reads > 0"), "counts")
-    eff = factors.join(groups, "sample").withColumn("_k", scale / (F.col("lib_size") * F.col("norm_factor")))
+    own = [k for k in by if k in counts.columns]
+    eff = factors.join(groups, ["sample", *[k for k in by if k in factors.columns and k in groups.columns]]).withColumn(
+        "_k", scale / (F.col("lib_size") * F.col("norm_factor")))
     base = eff.groupBy(*by, group).agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.sum("_k").alias("_k1"), F.sum(F.col("_k") * F.col("_k")).alias("_k2"))
     x = dbl("reads")
-    cells = counts.filter("reads > 0").join(eff.select("sample", *by, group, "_k"), "sample").groupBy("feature", *by, group).agg(
+    cells = counts.join(eff.select("sample", *by, group, "_k"), ["sample", *own]).groupBy("feature", *by, group).agg(
         F.sum(x * F.col("_k")).alias("_y1"),
         F.sum(((x + 1) * (x + 1) - 1) * F.col("_k") * F.col("_k")).alias("_y2"))
-    levels = base.agg(F.sort_array(F.collect_set(group))).scalar()
-    frame = counts.filter("reads > 0").select("feature").distinct().withColumn(group, F.explode(levels))
-    full = frame.join(base, group).join(cells, ["feature", *by, group], "left")
+    features = counts.select("feature", *own).distinct()
+    frame = (features.join(base, own) if own else
+             features.select("feature", F.explode(base.agg(F.collect_list(F.struct(*base.columns))).scalar()).alias("_b"))
+             .select("feature", "_b.*"))
+    full = frame.join(cells, ["feature", *by, group], "left")
     return full.select("feature", *by, group, "_n",
                        (F.coalesce("_y1", F.lit(0.0)) + F.col("_k1")).alias("_s1"),
                        (F.coalesce("_y2", F.lit(0.0)) + F.col("_k2")).alias("_s2"))
 
 
-def _by_side(df: DataFrame, group: str, keys: list[str], cols) -> DataFrame:
-    side = with_group_stats(df, [], _low=F.min(group))
-    aggs = []
-    for c in cols:
-        for s, cond in ((1, F.col(group) == F.col("_low")), (2, F.col(group) != F.col("_low"))):
-            aggs.append(F.max(F.when(cond, F.col(c))).alias(f"{c}{s}"))
+def _by_side(df: DataFrame, groups: DataFrame, group: str, by: list[str], keys: list[str], cols, labels=None) -> DataFrame:
+    """Columns of the two groups next to each other; labels are those of the key, or the given ones."""
+    ends = groups.filter(F.col(group).isNotNull()).groupBy(*by).agg(
+        F.min(group).alias("_low"), F.max(group).alias("_high"), F.count_distinct(group).alias("_groups"))
+    if labels is not None:
+        low, high = F.lit(labels[0]), F.lit(labels[1])
+        side = df
+    else:
+        problem = F.concat(F.lit("two groups are compared, or labels given; found "), F.col("_groups"))
+        side = attach(df, ends.select(*by, "_high", F.when(F.col("_groups") == 2, F.col("_low")).otherwise(
+            F.raise_error(problem).cast(groups.schema[group].dataType)).alias("_low")), by)
+        low, high = F.col("_low"), F.col("_high")
+    aggs = [F.max(F.when(F.col(group) == end, F.col(c))).alias(f"{c}{s}") for c in cols for s, end in ((1, low), (2, high))]
     return side.groupBy(*keys).agg(*aggs)
 
 
-def log_fc_cpm(counts: DataFrame, factors: DataFrame, groups: DataFrame, group: str = "group") -> DataFrame:
-    """log2 fold change (second group over first) and mean log2 counts per million."""
-    y = _normalised(counts, factors, groups, group, F.lit(1e6), [])
-    flat = _by_side(y, group, ["feature"], ["_s1", "_n"])
+def log_fc_cpm(counts: DataFrame, factors: DataFrame, groups: DataFrame, group: str = "group", by=(),
+               labels: tuple | None = None) -> DataFrame:
+    """log2 fold change (second group over first) and mean log2 counts per million, for every key of `by`."""
+    by = names(by)
+    y = _normalised(counts, factors, groups, group, F.lit(1e6), by)
+    flat = _by_side(y, groups, group, [k for k in by if k in groups.columns], ["feature", *by], ["_s1", "_n"], labels)
     m1, m2 = F.col("_s11") / F.col("_n1"), F.col("_s12") / F.col("_n2")
-    return flat.select("feature", (F.log2(m2) - F.log2(m1)).alias("log_fc"),
+    return flat.select("feature", *by, (F.log2(m2) - F.log2(m1)).alias("log_fc"),
                        F.log2((F.col("_s11") + F.col("_s12")) / (F.col("_n1") + F.col("_n2"))).alias("log_cpm"))
 
 
 PRIOR_DF = 10.0
 
 
-def nb_two_group_test(counts: DataFrame, factors: DataFrame, groups: DataFrame, group: str = "group") -> DataFrame:
-    """Negative-binomial two-group test per feature with shrunken dispersion.
+def nb_two_group_test(counts: DataFrame, factors: DataFrame, groups: DataFrame, group: str = "group", by=(),
+                      labels: tuple | None = None) -> DataFrame:
+    """Negative-binomial two-group test per feature with shrunken dispersion, for every key of `by`.
 
-    Moment dispersions are shrunk to the common value (prior worth PRIOR_DF degrees of
-    freedom); a Wald statistic tests the log fold change. Not the conditional exact test.
+    Moment dispersions are shrunk to the common value of the key (prior worth PRIOR_DF degrees
+    of freedom); a Wald statistic tests the log fold change. Not the conditional exact test.
     """
+    by = names(by)
     mean_size = factors.agg(F.avg(F.col("lib_size") * F.col("norm_factor"))).scalar()
-    y = _normalised(counts, factors, groups, group, mean_size, [])
-    flat = _by_side(y, group, ["feature"], ["_s1", "_s2", "_n"])
+    y = _normalised(counts, factors, groups, group, mean_size, by)
+    flat = _by_side(y, groups, group, [k for k in by if k in groups.columns], ["feature", *by], ["_s1", "_s2", "_n"], labels)
     n1, n2 = F.col("_n1"), F.col("_n2")
     ss = (F.col("_s21") - F.col("_s11") * F.col("_s11") / n1) + (F.col("_s22") - F.col("_s12") * F.col("_s12") / n2)
     df = n1 + n2 - 2
     m = (F.col("_s11") + F.col("_s12")) / (n1 + n2)
-    rows = flat.select("feature", n1.alias("_n1"), n2.alias("_n2"), df.alias("_df"), m.alias("_m"),
+    rows = flat.select("feature", *by, n1.alias("_n1"), n2.alias("_n2"), df.alias("_df"), m.alias("_m"),
                        (F.col("_s11") / n1).alias("_a"), (F.col("_s12") / n2).alias("_b"),
                        F.try_divide(ss, df).alias("_v"))
     own = rows.withColumn("_phi", F.greatest(F.lit(0.0), F.try_divide(F.col("_v") - F.col("_m"), F.col("_m") * F.col("_m"))))
-    common = with_group_stats(own, [], dispersion_common=F.avg("_phi"))
+    common = with_group_stats(own, by, dispersion_common=F.avg("_phi"))
     phi = (F.lit(PRIOR_DF) * F.col("dispersion_common") + F.col("_df") * F.col("_phi")) / (F.lit(PRIOR_DF) + F.col("_df"))
     var = (F.lit(1.0) / F.col("_a") + F.col("dispersion")) / F.col("_n1") + (
         F.lit(1.0) / F.col("_b") + F.col("dispersion")) / F.col("_n2")
     tested = common.withColumn("dispersion", phi).withColumn("log_fc", F.log2(F.col("_b") / F.col("_a"))).withColumn(
         "z", F.log(F.col("_b") / F.col("_a")) / F.sqrt(var)).withColumn("p", norm_sf2("z"))
-    return p_adjust_bh(tested.select("feature", "log_fc", "dispersion", "z", "p"), "p", name="fdr")
+    return p_adjust_bh(tested.select("feature", *by, "log_fc", "dispersion", "z", "p"), "p", by, name="fdr")
 
 
-def zero_inflated_contrast(counts: DataFrame, groups: DataFrame, group: str = "group", by=()) -> DataFrame:
+def zero_inflated_contrast(counts: DataFrame, groups: DataFrame, group: str = "group", by=(),
+                           labels: tuple | None = None) -> DataFrame:
     """Detection and abundance contrast of two groups per taxon.
 
     Counts are scaled by sample size over the median size. Detection is the share of
@@ -237,7 +272,7 @@ def zero_inflated_contrast(counts: DataFrame, groups: DataFrame, group: str = "g
     per = cells.groupBy("feature", *by, group).agg(
         F.count(F.lit(1)).cast("double").alias("_k"), F.avg("_y").alias("_m"), F.var_samp("_y").alias("_v"))
     per = per.join(n, [*by, group])
-    flat = _by_side(per, group, ["feature", *by], ["_k", "_m", "_v", "_n"])
+    flat = _by_side(per, groups, group, by, ["feature", *by], ["_k", "_m", "_v", "_n"], labels)
     se = F.sqrt(F.col("_v1") / F.col("_k1") + F.col("_v2") / F.col("_k2"))
     out = flat.select(
         "feature", *by, F.coalesce(ratio("_k1", "_n1"), F.lit(0.0)).alias("detection_1"),

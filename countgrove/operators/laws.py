@@ -98,28 +98,33 @@ def truncated_moments(params: DataFrame, counts: DataFrame, by=()) -> DataFrame:
 
 
 def _solve_mu(c: float, m1: float, m2: float, tol: float = 1e-10):
-    """Location of the truncated lognormal by bisection, or None without a root."""
+    """Location of the truncated lognormal by bisection, or None without a root.
+
+    The location lies below the one at which the spread vanishes. The bracket starts one
+    standard deviation of the moments under it and doubles until the sign changes.
+    """
     def f(mu):
-        s2 = m2 - c * m1 + c * mu - m1 * mu
-        if s2 <= 0:
-            return None
-        s = math.sqrt(s2)
+        s = math.sqrt(m2 - c * m1 + (c - m1) * mu)
         x = (c - mu) / s / math.sqrt(2.0)
         return (mu - m1) * math.erfc(x) + math.exp(-x * x) * math.sqrt(2.0 / math.pi) * s
 
-    if c == m1:
+    unit = math.sqrt(max(m2 - m1 * m1, 0.0))
+    if c >= m1 or unit == 0.0:
         return None
-    low, high = -50.0, (c * m1 - m2) / (c - m1) - 0.001
-    a, b = f(low), f(high)
-    if a is None or b is None or a * b > 0:
-        return None
-    while high - low > tol:
+    top = (c * m1 - m2) / (c - m1)
+    high = top - 1e-9 * max(1.0, abs(top))
+    sign, step = f(high) < 0, unit
+    while (f(high - step) < 0) == sign:
+        step *= 2
+        if math.erfc((c - high + step) / math.sqrt(2.0 * (m2 - c * m1 + (c - m1) * (high - step)))) == 0.0:
+            return None        # the mass above the cut-off has gone, and with it the equation
+    low = high - step
+    while high - low > tol * max(1.0, abs(low)):
         mid = (low + high) / 2
-        v = f(mid)
-        if v is None or (a < 0) == (v < 0):
-            low = mid
-        else:
+        if (f(mid) < 0) == sign:
             high = mid
+        else:
+            low = mid
     return (low + high) / 2
 
 

@@ -78,3 +78,71 @@ def test_rank_sum_with_zeros(spark):
 def test_nmi_of_itself_is_one(spark):
     df = spark.createDataFrame([("a", "a"), ("b", "b"), ("b", "b"), ("c", "c")], "x string, y string")
     assert math.isclose(H.nmi(df, "x", "y").first()["nmi"], 1.0)
+
+
+def _three_groups(spark):
+    rng = np.random.default_rng(8)
+    cells = [("t", f"{g}{i}", g, int(v)) for g, m in (("A", 3), ("B", 30), ("C", 5)) for i, v in enumerate(rng.poisson(m, 6))]
+    return spark.createDataFrame(cells, "taxon string, sample string, group string, reads long")
+
+
+def test_three_groups_need_labels(spark):
+    v = _three_groups(spark)
+    with pytest.raises(Exception, match="two groups"):
+        H.rank_sum_test(v, H.group_sizes(v)).collect()
+    only = v.filter("group <> 'B'")
+    named = H.group_sizes(v, labels=("A", "C"))
+    for test in (H.rank_sum_test, H.group_contrast):
+        assert test(v, named).collect() == test(only, H.group_sizes(only)).collect()
+    turned = H.group_contrast(v, H.group_sizes(v, labels=("C", "A"))).first()
+    assert turned["mean_diff"] == -H.group_contrast(v, named).first()["mean_diff"]
+
+
+def test_comparisons_have_their_own_labels(spark):
+    rng = np.random.default_rng(9)
+    mean = np.where(np.arange(8) < 4, 10, 60)
+    m = np.stack([rng.poisson(mean), rng.poisson(mean[::-1]), rng.poisson(40, 8)]) + 1
+    c = frame(spark, m)
+    rows = [(f"s{j:02d}", k, g) for j in range(8) for k, g in ((1, "A" if j < 4 else "B"), (2, "C" if j < 4 else "D"))]
+    g = spark.createDataFrame(rows, "sample string, comparison int, group string")
+    f = H.rle_size_factors(c)
+    for run in (lambda x, by: H.zero_inflated_contrast(c, x, by=by), lambda x, by: H.log_fc_cpm(c, f, x, by=by),
+                lambda x, by: H.nb_two_group_test(c, f, x, by=by)):
+        both = {(r["feature"], r["comparison"]): r.asDict() for r in run(g, ["comparison"]).collect()}
+        for k in (1, 2):
+            one = {r["feature"]: r.asDict() for r in run(g.filter(f"comparison = {k}").drop("comparison"), []).collect()}
+            assert len(one) == 3
+            for name, want in one.items():
+                got = both[name, k]
+                assert all(got[x] == want[x] or np.isclose(got[x], want[x]) for x in want)
+    with pytest.raises(Exception, match="two groups"):
+        H.log_fc_cpm(c, f, g).collect()
+
+
+def test_draws_beyond_a_billion_reads():
+    from countgrove.operators import resampling as X
+
+    rng = np.random.default_rng(1)
+    good, bad, size = 3_000_000_000, 5_000_000_000, 2_000_000
+    x = np.array([X._split(rng, good, bad, size) for _ in range(400)])
+    share = good / (good + bad)
+    sd = np.sqrt(size * share * (1 - share))
+    assert abs(x.mean() - size * share) < 5 * sd / 20 and 0.85 < x.std() / sd < 1.15
+    urn = np.array([4_000_000_000, 7, 0, 900_000_000, 2_000_000_000])
+    for n in (0, 5, 10 ** 9, int(urn.sum())):
+        d = X._draw(rng, urn, n)
+        assert d.sum() == n and (d <= urn).all() and (d >= 0).all()
+    near = [(X._split(np.random.default_rng([7, i]), 600_000_000, 600_000_000, 10) , ) for i in range(2000)]
+    assert abs(np.mean(near) - 5) < 0.15 and abs(np.var(near) - 2.5) < 0.3
+
+
+def test_lognormal_location_far_from_zero():
+    from countgrove.operators.laws import _solve_mu
+
+    rng = np.random.default_rng(2)
+    for mu in (-200.0, -3.0, 40.0):
+        x = rng.normal(mu, 1.5, 200000)
+        c = mu - 0.5
+        x = x[x > c]
+        assert abs(_solve_mu(c, x.mean(), (x * x).mean()) - mu) < 0.1
+    assert _solve_mu(1.0, 1.0, 2.0) is None
