@@ -16,6 +16,7 @@ from . import (
     quality_rules,
     rotation,
     simhash,
+    sql,
     templates,
     toxicity,
 )
@@ -40,9 +41,9 @@ def op1(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-@case("op2_quality_rules")
+@case("op2_quality_rules", sql.QUALITY_RULES)
 def op2(spark, sf_dir):
-    return quality_rules.judged(_table(spark, sf_dir, "documents"))
+    return quality_rules.judged(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 @case("op3_line_crf")
@@ -54,7 +55,7 @@ def op3(spark, sf_dir):
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-@case("op4_cross_polytope")
+@case("op4_cross_polytope", sql.VECTORS)
 def op4(spark, sf_dir):
     return cross_polytope.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -66,7 +67,7 @@ def op5(spark, sf_dir):
         public_tokenizers.PATTERN)
 
 
-@case("op6_mixing")
+@case("op6_mixing", sql.MIXING)
 def op6(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -93,11 +94,11 @@ def op9(spark, sf_dir):
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-@case("op10_rotation")
+@case("op10_rotation", sql.ROTATION)
 def op10(spark, sf_dir):
     return rotation.rotate(_table(spark, sf_dir, "conversations"))
 
 
-@case("pipeline")
+@case("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
