@@ -260,9 +260,9 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 def token_ids(packed: str = "ids"):
     """Packed ids as an array of numbers."""
     digits = F.hex(packed)
-    places = F.sequence(F.lit(0), F.octet_length(packed) / 4 - 1).cast("array<int>")
+    places = F.sequence(F.lit(0), (F.octet_length(packed) / 4).cast("int") - 1)
     return F.when(F.octet_length(packed) > 0, F.transform(places, lambda i: F.conv(F.concat(*[
-        F.substring(digits, i * 8 + 7 - 2 * b, F.lit(2)) for b in range(4)]), 16, 10).cast("long"))
+        F.substring(digits, i * 8 + (7 - 2 * b), F.lit(2)) for b in range(4)]), 16, 10).cast("long"))
     ).otherwise(F.array().cast("array<bigint>"))
 
 

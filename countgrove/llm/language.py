@@ -41,7 +41,7 @@ def gram_keys(text: str | None) -> np.ndarray:
         inner = np.zeros(len(key), dtype=bool)     # a space may begin or end an n-gram only
         for i in range(1, n - 1):
             inner |= space[i:i + len(key)]
-        keys.append(key[~inner & ~(space[:len(key)] & space[n - 1:])])
+        keys.append(key[~inner])
     return np.concatenate(keys)
 
 

@@ -145,36 +145,43 @@ class _Lattice:
         first = np.cumsum(per_text) - per_text
         step = np.arange(per_text.sum()) - np.repeat(first, per_text)
         self.place = self.begin[step] + np.repeat(rank, per_text)
-        self.last = (self.place[first + per_text - 1])[order]
-        self.rank = np.repeat(rank, per_text)
 
 
 def _marginals(unary: np.ndarray, lattice: _Lattice, change: np.ndarray):
-    """P(good) of each line and the expected label changes summed over all texts."""
+    """P(good) of each line and the expected label changes summed over all texts.
+
+    Messages are normalised at every step, so precision does not depend on the number of lines.
+    """
     good = np.empty_like(unary)
     good[lattice.place] = unary
     f, b = np.zeros((2, len(unary))), np.zeros((2, len(unary)))
     live, begin = lattice.live, lattice.begin
-    f[1, :live[0]] = good[:live[0]]
+
+    def put(message, at, n, zero, one):
+        total = np.logaddexp(zero, one)
+        message[0, at:at + n] = zero - total
+        message[1, at:at + n] = one - total
+
+    put(f, 0, live[0], np.zeros(live[0]), good[:live[0]])
     for t in range(1, len(live)):
         n, now, old = live[t], begin[t], begin[t - 1]
         f0, f1 = f[0, old:old + n], f[1, old:old + n]
-        f[0, now:now + n] = np.logaddexp(f0 + change[0, 0], f1 + change[1, 0])
-        f[1, now:now + n] = np.logaddexp(f0 + change[0, 1], f1 + change[1, 1]) + good[now:now + n]
+        put(f, now, n, np.logaddexp(f0 + change[0, 0], f1 + change[1, 0]),
+            np.logaddexp(f0 + change[0, 1], f1 + change[1, 1]) + good[now:now + n])
     for t in range(len(live) - 1, 0, -1):
         n, now, old = live[t], begin[t], begin[t - 1]
         b0, b1 = b[0, now:now + n], b[1, now:now + n] + good[now:now + n]
-        b[0, old:old + n] = np.logaddexp(b0 + change[0, 0], b1 + change[0, 1])
-        b[1, old:old + n] = np.logaddexp(b0 + change[1, 0], b1 + change[1, 1])
-    total = np.empty(len(unary))
-    total[lattice.place] = np.logaddexp(f[0, lattice.last], f[1, lattice.last])[lattice.rank]
-    moves = np.zeros((2, 2))
+        put(b, old, n, np.logaddexp(b0 + change[0, 0], b1 + change[0, 1]),
+            np.logaddexp(b0 + change[1, 0], b1 + change[1, 1]))
     now = np.arange(begin[1], len(unary))
     old = now - np.repeat(live[:-1], live[1:]) if len(now) else now
-    for i in (0, 1):
-        for j in (0, 1):
-            moves[i, j] = np.exp(f[i, old] + change[i, j] + b[j, now] + (good[now] if j else 0) - total[now]).sum()
-    return np.exp(f[1] + b[1] - total)[lattice.place], moves
+    joint = np.stack([f[i, old] + change[i, j] + b[j, now] + (good[now] if j else 0) for i in (0, 1) for j in (0, 1)])
+    moves = np.exp(joint - np.logaddexp.reduce(joint, axis=0)).sum(axis=1).reshape(2, 2)
+    return _sigmoid(f[1] + b[1] - f[0] - b[0])[lattice.place], moves
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(x / 2))
 
 
 def fit(features: np.ndarray, per_text: np.ndarray, labels: np.ndarray, steps: int = STEPS,

@@ -3,8 +3,9 @@
 A document is described by two histograms: of character classes, and of the common words of a
 language against all other words. References are the same histograms summed over all documents
 of a language. The verdict compares both with every reference by Jensen-Shannon distance (base
-2, so 0..1), and each comparison is made only from a minimum length on. Fixed base rules on
-length and repetition come first.
+2, so 0..1), and each comparison is made only from a minimum length on. A short text strays
+further from its language by chance, so the largest distance falls with the root of the length.
+Fixed base rules on length and repetition come first.
 
 Common words are picked on a bounded sample of documents; their frequencies and all other
 statistics of the references cover all documents.
@@ -28,8 +29,8 @@ COMMON = 48            # common words of a language
 SAMPLE = 2000          # documents on which common words are picked, per language at most
 MIN_CHARS = 200        # characters from which character classes are compared
 MIN_WORDS = 50         # words from which common words are compared, and the base rule for length
-MAX_CLASS_DISTANCE = 0.28
-MAX_WORD_DISTANCE = 0.45
+CLASS_LIMIT, CLASS_NOISE = 0.14, 2.8   # largest class distance: limit + noise / sqrt(characters)
+WORD_LIMIT, WORD_NOISE = 0.18, 2.2     # largest word distance: limit + noise / sqrt(words)
 MAX_REPEATED = 50      # percent of words in repeated windows
 WINDOW = 3
 
@@ -139,15 +140,16 @@ class References:
         return (np.where(classes.sum(axis=1) >= MIN_CHARS, by_class, np.nan),
                 np.where(common.sum(axis=1) >= MIN_WORDS, by_word, np.nan))
 
-    def keeps(self, base_failed, class_distance: np.ndarray, word_distance: np.ndarray) -> np.ndarray:
+    def keeps(self, base_failed, classes: np.ndarray, common: np.ndarray, apart) -> np.ndarray:
         """Verdict of each row; an unknown distance does not speak against it."""
-        return ~(np.asarray(base_failed, dtype=bool) | (class_distance > MAX_CLASS_DISTANCE)
-                 | (word_distance > MAX_WORD_DISTANCE))
+        chars, words = (np.maximum(h.sum(axis=1), 1) for h in (classes, common))
+        return ~(np.asarray(base_failed, dtype=bool) | (apart[0] > CLASS_LIMIT + CLASS_NOISE / np.sqrt(chars))
+                 | (apart[1] > WORD_LIMIT + WORD_NOISE / np.sqrt(words)))
 
     def keeps_texts(self, texts: list[str | None]) -> list[bool]:
         got = [measure(t, self.place) for t in texts]
-        apart = self.distances(np.array([m.classes for m in got]), np.array([m.common for m in got]))
-        return self.keeps([m.base_failed for m in got], *apart).tolist()
+        classes, common = np.array([m.classes for m in got]), np.array([m.common for m in got])
+        return self.keeps([m.base_failed for m in got], classes, common, self.distances(classes, common)).tolist()
 
 
 def _binned(common: np.ndarray, own: list[int]) -> np.ndarray:
@@ -250,8 +252,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def work(classes, common, failed):
-        apart = refs.distances(np.array(classes), np.array(common))
-        return refs.keeps(failed, *apart), *[[None if np.isnan(x) else x for x in d] for d in apart]
+        classes, common = np.array(classes), np.array(common)
+        apart = refs.distances(classes, common)
+        return refs.keeps(failed, classes, common, apart), *[[None if np.isnan(x) else x for x in d] for d in apart]
 
     verdicts = append_batches(table, ["classes", "common", "base_failed"], fields(
         ("kept", T.BooleanType()), ("class_distance", T.DoubleType()), ("word_distance", T.DoubleType())), work)

@@ -107,7 +107,8 @@ class_ref AS (SELECT l.lang, kinds.k, coalesce(s.n, 0) / sum(coalesce(s.n, 0)) O
 class_near AS (SELECT d, min(js) AS class_distance FROM (SELECT b.d, r.lang, {_divergence("(coalesce(c.n, 0) / b.size)", "r.q")} AS js
   FROM base b JOIN class_ref r ON b.size >= {rules.MIN_CHARS} LEFT JOIN chars c ON c.d = b.d AND c.k = r.k GROUP BY b.d, r.lang) GROUP BY d),
 judged AS (SELECT b.*, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEATED} * n_words AS base_failed,
-  coalesce(class_distance <= {rules.MAX_CLASS_DISTANCE}, true) AND coalesce(word_distance <= {rules.MAX_WORD_DISTANCE}, true) AS near
+  coalesce(class_distance <= {rules.CLASS_LIMIT} + {rules.CLASS_NOISE} / sqrt(greatest(size, 1)), true)
+    AND coalesce(word_distance <= {rules.WORD_LIMIT} + {rules.WORD_NOISE} / sqrt(greatest(n_words, 1)), true) AS near
   FROM base b LEFT JOIN class_near USING (d) LEFT JOIN word_near USING (d))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, near AND NOT base_failed AS kept FROM judged"""
 
