@@ -178,7 +178,7 @@ def rarefy_draw(spark, d):
 
 @case("rarefy_average")
 def rarefy_average(spark, d):
-    return X.rarefy_average(t.clean(spark, d), 5000, n_rep=20, seed=3)
+    return X.rarefy_average(t.clean(spark, d), 5000, seed=3)
 
 
 @case("pseudocount_empty_groups")
@@ -189,12 +189,12 @@ def pseudocount_empty_groups(spark, d):
 
 @case("beta_null_permutation")
 def beta_null_permutation(spark, d):
-    return X.beta_null_permutation(t.brand_counts(spark, d), n_perm=4, q=1, seed=3)
+    return X.beta_null_permutation(t.brand_counts(spark, d), q=1, seed=3)
 
 
 @case("beta_null_bootstrap")
 def beta_null_bootstrap(spark, d):
-    return X.beta_null_bootstrap(V.pairwise_beta(t.clean(spark, d), 0), n_rep=10, seed=3)
+    return X.beta_null_bootstrap(V.pairwise_beta(t.clean(spark, d), 0), seed=3)
 
 
 # ------------------------------------------------------------------ two-group tests
@@ -245,9 +245,12 @@ def mask_not_significant(spark, d):
     return H.mask_not_significant(both, ["median_diff", "log2_median_ratio"], p="p", level=0.3).select("taxon", "p", "median_diff", "log2_median_ratio")
 
 
-GRID = t.LINES + ", " + t.LINEAGE + """, base AS (SELECT taxon, rank, strand, site, method, sum(reads) AS reads FROM (
-  SELECT kingdom AS taxon, 'kingdom' AS rank, strand, sample AS site, method, reads FROM lines JOIN lineage USING (feature) WHERE sample NOT LIKE 'CONT%' UNION ALL
-  SELECT kingdom || '|' || phylum, 'phylum', strand, sample, method, reads FROM lines JOIN lineage USING (feature) WHERE sample NOT LIKE 'CONT%') GROUP BY ALL),
+_TRUE = "FROM lines JOIN lineage USING (feature) WHERE sample NOT LIKE 'CONT%'"
+GRID = t.LINES + ", " + t.LINEAGE + f""", base AS (SELECT taxon, rank, strand, site, method, sum(reads) AS reads FROM (
+  SELECT kingdom AS taxon, 'kingdom' AS rank, strand, sample AS site, method, reads {_TRUE} UNION ALL
+  SELECT kingdom || '|' || phylum, 'phylum', strand, sample, method, reads {_TRUE} UNION ALL
+  SELECT kingdom || '|' || phylum || '|' || class, 'class', strand, sample, method, reads {_TRUE} UNION ALL
+  SELECT kingdom || '|' || phylum || '|' || class || '|' || "order", 'order', strand, sample, method, reads {_TRUE}) GROUP BY ALL),
  sites2 AS (SELECT DISTINCT strand, site, method FROM base), grid AS (SELECT t.taxon, t.rank, s.strand, s.site, s.method FROM (SELECT DISTINCT taxon, rank, strand FROM base) t JOIN sites2 s ON s.strand = t.strand),
  dense AS (SELECT g.taxon || '/' || g.rank || '/' || g.strand AS taxon, g.rank || '/' || g.strand AS fam, g.method, coalesce(b.reads, 0) AS reads FROM grid g LEFT JOIN base b ON b.taxon = g.taxon AND b.rank = g.rank AND b.strand = g.strand AND b.site = g.site AND b.method = g.method)"""
 GRID_SQL = f"""WITH {GRID}, {RSUM}, {CONTRAST}, fp AS (SELECT rp.*, split_part(taxon, '/', 2) || '/' || split_part(taxon, '/', 3) AS fam FROM rp),
@@ -258,9 +261,10 @@ GRID_SQL = f"""WITH {GRID}, {RSUM}, {CONTRAST}, fp AS (SELECT rp.*, split_part(t
 
 @case("contrast_grid", GRID_SQL)
 def contrast_grid(spark, d):
-    lin = t.lineage(spark, d).select("feature", F.explode(F.array(
-        F.struct(F.lit("kingdom").alias("rank"), F.col("kingdom").alias("taxon")),
-        F.struct(F.lit("phylum").alias("rank"), F.concat_ws("|", "kingdom", "phylum").alias("taxon")))).alias("e")).select("feature", "e.*")
+    ranks = ["kingdom", "phylum", "class", "order"]
+    lin = t.lineage(spark, d).select("feature", F.explode(F.array(*[
+        F.struct(F.lit(r).alias("rank"), F.concat_ws("|", *ranks[:i + 1]).alias("taxon"))
+        for i, r in enumerate(ranks)])).alias("e")).select("feature", "e.*")
     v = (t.lines(spark, d).filter(~F.col("sample").startswith("CONT")).join(lin, "feature")
          .groupBy("strand", "rank", "taxon", "sample", F.col("method").alias("group")).agg(F.sum("reads").alias("reads")))
     return (H.contrast_grid(v, H.group_sizes(v, by=["strand"]), ["strand", "rank"]).filter("p IS NOT NULL")
@@ -332,7 +336,7 @@ def mean_variance_power_law(spark, d):
 
 
 @case("linear_trend", """SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
- round(regr_r2(l_extendedprice, l_quantity), 4) AS r2, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1""", digits=4)
+ round(regr_r2(l_extendedprice, l_quantity), 4) AS r2, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1""")
 def linear_trend(spark, d):
     return H.linear_trend(t.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
 
@@ -438,7 +442,7 @@ def mantel(spark, d):
 @case("mantel_correlogram", f"""WITH {t.CLEAN}, {t.COV}, {DIST}, b AS (SELECT min(g) AS lo, max(g) AS hi, ceil(log2(count(*)) + 1) AS k FROM rr),
  c AS (SELECT CAST(least(trunc((g - lo) / ((hi - lo) / k)), k - 1) AS BIGINT) AS class, g, rx FROM rr, b), cls AS (SELECT DISTINCT class FROM c),
  x AS (SELECT cls.class, c.g, c.rx, CASE WHEN c.class = cls.class THEN 1.0 ELSE 0.0 END AS i FROM c, cls)
- SELECT class, CAST(sum(i) AS BIGINT) AS n_pairs, round(sum(g * i) / sum(i), 6) AS mean_distance, round(-corr(rx, i), 6) AS r FROM x GROUP BY 1""")
+ SELECT class, CAST(sum(i) AS BIGINT) AS n_pairs, round(sum(g * i) / sum(i), 6) AS mean_distance, round(-corr(rx, i), 6) AS r FROM x GROUP BY 1""", digits=6)
 def mantel_correlogram(spark, d):
     return H.mantel_correlogram(*_two_distances(spark, d))
 
@@ -450,9 +454,9 @@ _POP = "(count(v) * sum(v * v) - sum(v) * sum(v))"
 
 @case("normality_screen", """WITH e AS (SELECT 'raw' AS transform, value AS v FROM events UNION ALL SELECT 'log1p', ln(1 + value) FROM events UNION ALL SELECT 'sqrt', sqrt(value) FROM events),
  m AS (SELECT transform, avg(v) AS m FROM e GROUP BY 1), k AS (SELECT transform, count(*) AS n, avg(pow(v - m, 2)) AS m2, avg(pow(v - m, 3)) AS m3, avg(pow(v - m, 4)) AS m4 FROM e JOIN m USING (transform) GROUP BY 1),
- s AS (SELECT transform, n, m3 / pow(m2, 1.5) AS a, m4 / (m2 * m2) - 3 AS b FROM k) SELECT transform, round(a, 6) AS skewness, round(b, 6) AS kurtosis, n, round(n / 6.0 * (a * a + b * b / 4), 4) AS jarque_bera FROM s""")
+ s AS (SELECT transform, n, m3 / pow(m2, 1.5) AS a, m4 / (m2 * m2) - 3 AS b FROM k) SELECT transform, round(a, 6) AS skewness, round(b, 6) AS kurtosis, n, round(n / 6.0 * (a * a + b * b / 4), 4) AS jarque_bera FROM s""", digits=7)
 def normality_screen(spark, d):
-    return H.normality_screen(t.table(spark, d, "events"), "value").withColumn("jarque_bera", F.round("jarque_bera", 4))
+    return H.normality_screen(t.table(spark, d, "events"), "value")
 
 
 SHIFT = """x AS (SELECT parameter, chain, iteration, ln(1 + value) - 2.5 AS value FROM draws)"""

@@ -147,17 +147,17 @@ def full_merge(spark, d):
     return J.full_merge(_method_side(spark, d, "B"), _method_side(spark, d, "G"), ["feature", "sample"], "reads_b", "reads_g")
 
 
-RUNS = t.LINES + """, run1 AS (SELECT feature, sample, CAST(sum(reads) AS BIGINT) AS reads FROM lines WHERE l_shipdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2),
- run2 AS (SELECT feature, sample, CAST(sum(reads) AS BIGINT) AS reads FROM lines WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND locality IN ('ASIA','EUROPE') GROUP BY 1, 2)"""
+LATE = "l_shipdate >= TIMESTAMP '1999-01-01' AND locality IN ('ASIA','EUROPE')"
+RUNS = t.LINES + f""", run1 AS (SELECT feature, sample, CAST(sum(reads) AS BIGINT) AS reads FROM lines WHERE NOT ({LATE}) GROUP BY 1, 2),
+ run2 AS (SELECT feature, sample, CAST(sum(reads) AS BIGINT) AS reads FROM lines WHERE {LATE} GROUP BY 1, 2)"""
 
 
 def _runs(spark, d):
+    """Two sequencing runs: late lines of two localities were sequenced again, all others once."""
     x = t.lines(spark, d)
-    cut = F.lit("1999-01-01").cast("timestamp")
+    late = (F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp")) & F.col("locality").isin("ASIA", "EUROPE")
     agg = F.sum("reads").alias("reads")
-    one = x.filter(F.col("l_shipdate") < cut).groupBy("feature", "sample").agg(agg)
-    two = x.filter((F.col("l_shipdate") >= cut) & F.col("locality").isin("ASIA", "EUROPE")).groupBy("feature", "sample").agg(agg)
-    return one, two
+    return (x.filter(~late).groupBy("feature", "sample").agg(agg), x.filter(late).groupBy("feature", "sample").agg(agg))
 
 
 @case("merge_runs", f"WITH {RUNS} SELECT * FROM run1 WHERE sample NOT IN (SELECT sample FROM run2) UNION ALL SELECT * FROM run2")
@@ -254,7 +254,7 @@ def observed_features(spark, d):
 
 
 @case("share_mean_var", f"""WITH {t.CLEAN}, s AS (SELECT feature, CAST(reads AS DOUBLE) / sum(reads) OVER (PARTITION BY sample) AS p FROM clean)
- SELECT feature, round(avg(p), 8) AS mean_share, round(var_samp(p), 8) AS var_share FROM s GROUP BY 1""", digits=8)
+ SELECT feature, round(avg(p), 8) AS mean_share, round(var_samp(p), 8) AS var_share FROM s GROUP BY 1""")
 def share_mean_var(spark, d):
     return A.share_mean_var(t.clean(spark, d))
 
@@ -272,12 +272,13 @@ def taxon_tree_sum(spark, d):
     return L.taxon_tree_sum(t.clean(spark, d), t.lineage(spark, d), RANKS)
 
 
-@case("taxon_tree_sum_by_method", f"""WITH {t.LINES}, {t.LINEAGE}, leaf AS (SELECT kingdom, phylum, method, sum(reads) AS reads FROM lines JOIN lineage USING (feature) GROUP BY ALL)
+@case("taxon_tree_sum_by_method", f"""WITH {t.LINES}, {t.LINEAGE}, leaf AS (SELECT kingdom, phylum, class, "order" AS o, method, sum(reads) AS reads FROM lines JOIN lineage USING (feature) GROUP BY ALL)
  SELECT taxon, depth, method, CAST(sum(reads) AS BIGINT) AS reads FROM (SELECT kingdom AS taxon, 1 AS depth, method, reads FROM leaf UNION ALL
- SELECT kingdom || '|' || phylum, 2, method, reads FROM leaf) GROUP BY 1, 2, 3""")
+ SELECT kingdom || '|' || phylum, 2, method, reads FROM leaf UNION ALL SELECT kingdom || '|' || phylum || '|' || class, 3, method, reads FROM leaf
+ UNION ALL SELECT kingdom || '|' || phylum || '|' || class || '|' || o, 4, method, reads FROM leaf) GROUP BY 1, 2, 3""")
 def taxon_tree_sum_by_method(spark, d):
     x = t.lines(spark, d).select("feature", "method", "reads")
-    return L.taxon_tree_sum(x, t.lineage(spark, d), ["kingdom", "phylum"], by=["method"])
+    return L.taxon_tree_sum(x, t.lineage(spark, d), RANKS, by=["method"])
 
 
 @case("n_obs", f"""WITH {t.LINEAGE} SELECT taxon, depth, count(DISTINCT feature) AS n_obs FROM (SELECT kingdom AS taxon, 1 AS depth, feature FROM lineage
@@ -338,13 +339,13 @@ BINS = """r AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_total
  bins AS (SELECT CAST(trunc((o_totalprice - lo) / w) AS BIGINT) AS b, o_totalprice, w FROM orders, r)"""
 
 
-@case("bin_equal", f"WITH {BINS} SELECT b, count(*) AS n, round(avg(o_totalprice), 4) AS mean_o_totalprice FROM bins GROUP BY 1", digits=4)
+@case("bin_equal", f"WITH {BINS} SELECT b, count(*) AS n, round(avg(o_totalprice), 4) AS mean_o_totalprice FROM bins GROUP BY 1")
 def bin_equal(spark, d):
     return A.bin_equal(t.table(spark, d, "orders"), "o_totalprice", 20)
 
 
 @case("binned_density", f"""WITH {BINS} SELECT b, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, round(max(w), 4) AS width,
- round(100000 * count(*) / (sum(count(*)) OVER ()) / max(w), 4) AS p FROM bins GROUP BY 1""", digits=4)
+ round(100000 * count(*) / (sum(count(*)) OVER ()) / max(w), 4) AS p FROM bins GROUP BY 1""")
 def binned_density(spark, d):
     return A.binned_density(t.table(spark, d, "orders"), "o_totalprice", 20).withColumn("p", F.col("p") * 100000)
 
@@ -371,7 +372,7 @@ def n_distinct(spark, d):
     return A.n_distinct(t.clean(spark, d), "feature", "sample")
 
 
-@case("sum_by", """SELECT l_returnflag, round(sum(l_quantity), 2) AS l_quantity, round(sum(l_tax), 2) AS l_tax FROM lineitem GROUP BY 1""", digits=2)
+@case("sum_by", """SELECT l_returnflag, round(sum(l_quantity), 2) AS l_quantity, round(sum(l_tax), 2) AS l_tax FROM lineitem GROUP BY 1""")
 def sum_by(spark, d):
     return A.sum_by(t.table(spark, d, "lineitem"), "l_returnflag", ["l_quantity", "l_tax"])
 

@@ -60,8 +60,3 @@ def with_group_stats(df: DataFrame, by, **aggs: Column) -> DataFrame:
     stats = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()])
     return attach(df, stats, by)
 
-
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (for result comparison at a sink)."""
-    return df.select(*[
-        F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

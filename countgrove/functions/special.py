@@ -122,6 +122,22 @@ def lgamma(col) -> Column:
     return F.when(dbl(col) > 0, value)
 
 
+def gamma_density(x, shape, rate) -> Column:
+    """Density of the gamma distribution; 0 below 0, NULL for parameters that are not positive."""
+    x, a, b = dbl(x), dbl(shape), dbl(rate)
+    inside = F.exp(a * F.log(b) + (a - 1) * F.log(x) - b * x - lgamma(a))
+    at_zero = F.when(a < 1, F.lit(float("inf"))).when(a == 1, b).otherwise(F.lit(0.0))
+    return F.when((a > 0) & (b > 0), F.when(x > 0, inside).when(x == 0, at_zero).when(x < 0, F.lit(0.0)))
+
+
+def lognormal_density(x, mu, sigma) -> Column:
+    """Density of the lognormal distribution; 0 at and below 0, NULL for a spread that is not positive."""
+    x, m, s = dbl(x), dbl(mu), dbl(sigma)
+    z = (F.log(x) - m) / s
+    inside = F.exp(-z * z / 2) / (x * s * F.lit(math.sqrt(2 * math.pi)))
+    return F.when(s > 0, F.when(x > 0, inside).when(x <= 0, F.lit(0.0)))
+
+
 def log_choose(n, k) -> Column:
     """Log of the binomial coefficient; NULL where k > n."""
     n, k = dbl(n), dbl(k)

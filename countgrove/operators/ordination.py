@@ -2,7 +2,7 @@
 
 One distributed aggregation builds a small cross-product matrix over the given columns;
 only that matrix is decomposed on the driver, and scores are computed back on Spark.
-The number of columns is bounded (MAX_COLUMNS); rows and features are not.
+Matrices of columns by columns reach the driver; rows and features do not.
 """
 
 from __future__ import annotations
@@ -21,25 +21,24 @@ from ..plans.pair_blocks import row_pairs
 from ..plans.ranking import hashed_index
 from ..plans.scratch import written
 
-MAX_COLUMNS = 1000
 
+def _shifted_products(df: DataFrame, cols, weight: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sums of products of [1, cols - shift] and the shift; rows with a NULL are left out.
 
-def cross_products(df: DataFrame, cols, weight: str | None = None) -> np.ndarray:
-    """Weighted sums of products of [1, cols]; rows with a NULL are left out.
-
-    Each task adds up its own rows; the driver receives one number per column pair.
+    Each task adds up its own rows, shifted by the means of a first pass so that large means
+    cost no digits; the driver receives one number per column pair, whatever the number of rows.
     """
     cols = names(cols)
-    if len(cols) > MAX_COLUMNS:
-        raise ValueError(f"at most {MAX_COLUMNS} columns")
     k = len(cols) + 1
     data = df.select(*[dbl(c).alias(f"x{i}") for i, c in enumerate(cols)],
                      (dbl(weight) if weight else F.lit(1.0)).alias("w")).dropna()
+    first = data.agg(*[F.avg(f"x{i}") for i in range(len(cols))]).first()
+    shift = np.array([v or 0.0 for v in first], dtype=float)
 
     def partial(batches):
         total = np.zeros((k, k))
         for pdf in batches:
-            x = np.column_stack([np.ones(len(pdf)), pdf.iloc[:, :-1].to_numpy(float)])
+            x = np.column_stack([np.ones(len(pdf)), pdf.iloc[:, :-1].to_numpy(float) - shift])
             total += (x * pdf["w"].to_numpy(float)[:, None]).T @ x
         i, j = np.indices(total.shape)
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
@@ -48,16 +47,25 @@ def cross_products(df: DataFrame, cols, weight: str | None = None) -> np.ndarray
     out = np.zeros((k, k))
     for r in rows:
         out[r["i"], r["j"]] = r["v"]
-    return out
+    return out, shift
 
 
-def _moments(cp: np.ndarray):
-    """n, means and centred sums of products."""
-    n = cp[0, 0]
-    if n < 2:
+def cross_products(df: DataFrame, cols, weight: str | None = None) -> np.ndarray:
+    """Weighted sums of products of [1, cols]."""
+    out, shift = _shifted_products(df, cols, weight)
+    back = np.eye(len(out))
+    back[1:, 0] = shift
+    return back @ out @ back.T
+
+
+def _moments(df: DataFrame, cols, weight: str | None = None):
+    """n (or total weight), means and centred sums of products."""
+    out, shift = _shifted_products(df, cols, weight)
+    n = out[0, 0]
+    if weight is None and n < 2:
         raise ValueError("fewer than two complete rows")
-    mean = cp[0, 1:] / n
-    return n, mean, cp[1:, 1:] - n * np.outer(mean, mean)
+    off = out[0, 1:] / n
+    return n, shift + off, out[1:, 1:] - n * np.outer(off, off)
 
 
 def _eigen(m: np.ndarray, k: int):
@@ -104,7 +112,7 @@ def array_columns(df: DataFrame, key: str, col: str, size: int, prefix: str = "x
 def pca(df: DataFrame, key: str, cols, k: int = 2, standardise: bool = True) -> dict[str, DataFrame]:
     """Principal components: eigenvalues, loadings, scores."""
     cols = names(cols)
-    n, mean, s = _moments(cross_products(df, cols))
+    n, mean, s = _moments(df, cols)
     sd = np.sqrt(np.diag(s) / (n - 1))
     scale = np.where(sd > 0, sd, 1.0) if standardise else np.ones(len(cols))
     c = s / (n - 1) / np.outer(scale, scale)
@@ -186,12 +194,15 @@ class Constrained:
     b b' with b the covariate-by-feature products; total: inertia; n: samples.
     """
 
-    def __init__(self, cols, s, m, total, n, mean, features, sites, weighted):
-        self.cols, self.s, self.m, self.total, self.n = list(cols), s, m, total, n
+    def __init__(self, terms, s, m, total, n, mean, features, sites, weighted, levels=None, response=None):
+        self.terms, self.s, self.m, self.total, self.n = terms, s, m, total, n
+        self.cols = [c for own in terms.values() for c in own]
         self.mean, self.features, self.sites, self.weighted = mean, features, sites, weighted
+        self.levels, self.response = levels or {}, response
 
     def _pick(self, cols):
-        return [self.cols.index(c) for c in names(cols)]
+        """Places of the columns of terms (a factor has one per level but the first)."""
+        return [self.cols.index(c) for t in names(cols) for c in self.terms.get(t, [t])]
 
     def solve(self, x, condition=()):
         """Eigenvalues and covariate coefficients of Y ~ x, after removing `condition`."""
@@ -212,16 +223,41 @@ class Constrained:
     def r2(self, x, condition=()) -> float:
         return float(self.solve(x, condition)[0].sum() / self.total) if len(names(x)) else 0.0
 
-    def adjusted(self, x) -> float:
-        """1 - (1 - R2)(n - 1)/(n - p - 1)."""
-        p = len(names(x))
-        return 1 - (1 - self.r2(x)) * (self.n - 1) / (self.n - p - 1)
+    def adjusted(self, x, condition=()) -> float:
+        """1 - (1 - R2)(n - 1)/(n - p - 1) with p columns; less that of the condition in a partial model.
+
+        The same formula serves both methods; the permutation form for correspondence analysis
+        differs from it by chance alone.
+        """
+        def of(terms):
+            return 1 - (1 - self.r2(terms)) * (self.n - 1) / (self.n - len(self._pick(terms)) - 1)
+
+        x, z = names(x), names(condition)
+        return of(x + z) - of(z) if z else of(x)
+
+
+def expand_terms(df: DataFrame, terms) -> tuple[DataFrame, dict[str, list[str]], dict[str, list[str]]]:
+    """Factor columns (text or boolean) as indicators of their levels but the first.
+
+    Returns the table, the columns of every term, and the levels of every factor. The levels
+    of a factor are read once; a NULL stays NULL in its indicators.
+    """
+    kinds = dict(df.dtypes)
+    columns, levels = {}, {}
+    for term in names(terms):
+        if kinds[term] not in ("string", "boolean"):
+            columns[term] = [term]
+            continue
+        text = F.col(term).cast("string")
+        levels[term] = sorted(r[0] for r in df.select(text).dropna().distinct().collect())
+        columns[term] = [f"_{term}_{i}" for i in range(1, len(levels[term]))]
+        df = df.withColumns({c: (text == v).cast("double") for c, v in zip(columns[term], levels[term][1:])})
+    return df, columns, levels
 
 
 def _constrained(cells: DataFrame, cov: DataFrame, cols, weighted: bool, reps: int = 0, seed: int = 1):
-    cols = names(cols)
-    if len(cols) > MAX_COLUMNS:
-        raise ValueError(f"at most {MAX_COLUMNS} covariates")
+    cov, terms, levels = expand_terms(cov, cols)
+    cols = [c for own in terms.values() for c in own]
     x = cov.select("sample", *[dbl(c).alias(c) for c in cols]).dropna()
     y = written(cells.select("feature", "sample", dbl("value").alias("value")).filter("value <> 0")
                 .join(x.select("sample"), "sample", "left_semi"), "response")
@@ -239,17 +275,14 @@ def _constrained(cells: DataFrame, cov: DataFrame, cols, weighted: bool, reps: i
         resp = y.select("feature", "sample", F.col("value").alias("y"))
         per = resp.groupBy("feature").agg(F.sum("y").alias("_s"), F.sum(F.col("y") * F.col("y")).alias("_q"))
         inertia = per.agg(F.sum(F.col("_q") - F.col("_s") * F.col("_s") / n)).first()[0] / (n - 1)
-    cp = cross_products(sites, cols, "_w")
-    w = cp[0, 0]
-    mean = cp[0, 1:] / w
-    s = cp[1:, 1:] - w * np.outer(mean, mean)
+    _, mean, s = _moments(sites, cols, "_w")
     centred = sites.select("sample", *[(F.col(c) - F.lit(float(mean[i]))).alias(f"_x{i}") for i, c in enumerate(cols)])
     resp = written(resp, "residuals")
     sums = [F.sum(F.col("y") * F.col(f"_x{i}")).alias(f"_b{i}") for i in range(len(cols))]
     features = written(resp.join(centred, "sample").groupBy("feature").agg(*sums), "products")
     scale = 1.0 if weighted else 1.0 / (sites.count() - 1)
     m = cross_products(features, [f"_b{i}" for i in range(len(cols))])[1:, 1:] * scale
-    model = Constrained(cols, s, m, inertia, sites.count(), mean, features, sites, weighted)
+    model = Constrained(terms, s, m, inertia, sites.count(), mean, features, sites, weighted, levels, resp)
     if not reps:
         return model
     # Permuted covariates: sample labels change places inside each replicate.
@@ -277,7 +310,7 @@ def _constrained(cells: DataFrame, cov: DataFrame, cols, weighted: bool, reps: i
     s_rep = small(px, "_x", F.col("_w"))
     b_rep = resp.join(px, "sample").groupBy("rep", "feature").agg(*sums)
     m_rep = small(b_rep, "_b", F.lit(scale))
-    return model, [Constrained(cols, s_rep[q], m_rep[q], inertia, model.n, mean, None, None, weighted) for q in sorted(s_rep)]
+    return model, [Constrained(terms, s_rep[q], m_rep[q], inertia, model.n, mean, None, None, weighted) for q in sorted(s_rep)]
 
 
 def rda(cells: DataFrame, cov: DataFrame, cols) -> Constrained:
@@ -295,30 +328,46 @@ def model_table(spark, model: Constrained, models: dict[str, tuple]) -> DataFram
     rows = []
     for name, (x, z) in models.items():
         rows.append((name, float(model.solve(x, z)[0].sum()), model.r2(x, z),
-                     None if names(z) else float(model.adjusted(x))))
+                     float(model.adjusted(x, z))))
     return spark.createDataFrame(rows, "model string, inertia double, r2 double, adjusted_r2 double")
 
 
 def forward_select(cells: DataFrame, cov: DataFrame, cols, weighted: bool = True, n_perm: int = 99,
-                   level: float = 0.05, seed: int = 1) -> DataFrame:
-    """Add the covariate with the best adjusted R2 until the full model's adjusted R2 is
-    passed or its permutation p exceeds the level.
+                   level: float = 0.05, seed: int = 1, condition=(), both: bool = False) -> DataFrame:
+    """Add the term with the best adjusted R2 until the full model's adjusted R2 is passed or
+    its permutation p exceeds the level; `both` also drops chosen terms that stop being significant.
 
-    All steps use one set of small matrices, and all permutations another.
+    Terms of `condition` are in every model. A factor enters and leaves as a whole. All steps
+    use one set of small matrices, and all permutations another. A dropped term is one row with
+    `selected` false and its name behind a minus sign, and does not come back.
     """
-    model, perms = _constrained(cells, cov, cols, weighted, n_perm, seed)
-    full = model.adjusted(model.cols)
-    chosen, rows = [], []
-    while len(chosen) < len(model.cols):
-        best = max((c for c in model.cols if c not in chosen), key=lambda c: model.r2(chosen + [c]))
-        adj = model.adjusted(chosen + [best])
-        gain = model.r2([best], chosen)
-        p = (1 + sum(q.r2([best], chosen) >= gain - 1e-12 for q in perms)) / (1 + len(perms))
-        ok = adj <= full + 1e-12 and p <= level
-        rows.append((len(rows) + 1, best, float(model.r2(chosen + [best])), float(adj), float(p), bool(ok)))
+    terms, given = names(cols), names(condition)
+    model, perms = _constrained(cells, cov, [*terms, *given], weighted, n_perm, seed)
+    full = model.adjusted(terms, given)
+    chosen, gone, rows = [], [], []
+
+    def p_value(term, others):
+        gain = model.r2([term], others)
+        return (1 + sum(q.r2([term], others) >= gain - 1e-12 for q in perms)) / (1 + len(perms))
+
+    def row(name, kept, p, ok):
+        rows.append((len(rows) + 1, name, float(model.r2(kept, given)), float(model.adjusted(kept, given)), float(p), bool(ok)))
+
+    while open_ := [t for t in terms if t not in chosen + gone]:
+        best = max(open_, key=lambda t: model.adjusted(chosen + [t], given))
+        p = p_value(best, chosen + given)
+        ok = model.adjusted(chosen + [best], given) <= full + 1e-12 and p <= level
+        row(best, chosen + [best], p, ok)
         if not ok:
             break
         chosen.append(best)
+        while both and len(chosen) > 1:
+            worst, p = max(((t, p_value(t, [c for c in chosen if c != t] + given)) for t in chosen[:-1]), key=lambda v: v[1])
+            if p <= level:
+                break
+            chosen.remove(worst)
+            gone.append(worst)
+            row("-" + worst, chosen, p, False)
     return cells.sparkSession.createDataFrame(
         rows, "step int, covariate string, r2 double, adjusted_r2 double, p double, selected boolean")
 
@@ -349,16 +398,47 @@ def variation_partition(model: Constrained, sets: dict[str, list[str]]) -> DataF
 
 
 def score_table(model: Constrained, x, k: int = 2, condition=()) -> dict[str, DataFrame]:
-    """Axis shares, biplot arrows, site (fitted) and feature scores."""
+    """Axis shares, biplot arrows, feature scores, and sites as fitted and as weighted averages.
+
+    `sites` are the fitted scores, `sites_averaged` the averages of the feature scores of a
+    site; `centroids` has the mean fitted score of every factor level.
+    """
     x = names(x)
     lam, coef = model.solve(x, condition)
     k = min(k, len(lam))
+    lam, coef = lam[:k], coef[:, :k]
     spark, ix = model.features.sparkSession, model._pick(x)
+    cols = [model.cols[i] for i in ix]
     sd = np.sqrt(np.diag(model.s))[ix]
-    arrows = (model.s[np.ix_(ix, ix)] @ coef[:, :k]) / sd[:, None]
-    return {"axes": _eigen_frame(spark, lam[:k], model.total), "arrows": _axes_frame(spark, x, arrows, "covariate"),
-            "sites": _project(model.sites, "sample", x, coef[:, :k], model.mean[ix]),
-            "features": _project(model.features, "feature", [f"_b{i}" for i in ix], coef[:, :k])}
+    arrows = (model.s[np.ix_(ix, ix)] @ coef) / sd[:, None]
+    iz = model._pick(condition)
+    given = model.s[np.ix_(ix, iz)] @ np.linalg.pinv(model.s[np.ix_(iz, iz)]) if iz else np.zeros((len(ix), 0))
+    whole = np.vstack([coef, -given.T @ coef])     # what the condition explains is taken out of a covariate
+    every = cols + [model.cols[i] for i in iz]
+    features = _project(model.features, "feature", [f"_b{i}" for i in [*ix, *iz]], whole)
+    fitted = _project(model.sites, ["sample", "_w", *[c for t in x if t in model.levels for c in model.terms[t]]],
+                      every, whole, model.mean[[*ix, *iz]])
+    axes = [f"axis_{a + 1}" for a in range(k)]
+    raw = (model.response.join(features, "feature").groupBy("sample")
+           .agg(*[F.sum(F.col("y") * F.col(a)).alias(a) for a in axes])
+           .join(model.sites.select("sample", "_w"), "sample"))
+    mean = raw.agg(F.struct(*[(F.sum(a) / F.sum("_w")).alias(a) for a in axes])).scalar()
+    scale = 1.0 if model.weighted else 1.0 / (model.n - 1)
+    averaged = raw.select("sample", *[((F.col(a) / F.col("_w") - mean[a]) * F.lit(float(scale / v))).alias(a)
+                                      for a, v in zip(axes, lam)])
+    out = {"axes": _eigen_frame(spark, lam, model.total), "arrows": _axes_frame(spark, cols, arrows, "covariate"),
+           "sites": fitted.select("sample", *axes), "sites_averaged": averaged, "features": features}
+    centroids = None
+    for t in (t for t in x if t in model.levels):
+        label = F.lit(model.levels[t][0])
+        for c, v in zip(model.terms[t], model.levels[t][1:]):
+            label = F.when(F.col(c) == 1, F.lit(v)).otherwise(label)
+        own = fitted.groupBy(F.lit(t).alias("term"), label.alias("level")).agg(*[
+            (F.sum(F.col("_w") * F.col(a)) / F.sum("_w")).alias(a) for a in axes])
+        centroids = own if centroids is None else centroids.unionByName(own)
+    if centroids is not None:
+        out["centroids"] = centroids
+    return out
 
 
 # ------------------------------------------------------------------ several tables
@@ -367,7 +447,7 @@ def score_table(model: Constrained, x, k: int = 2, condition=()) -> dict[str, Da
 def coinertia(df: DataFrame, key: str, cols_1, cols_2, k: int = 2) -> dict[str, DataFrame]:
     """Cross-covariance axes of two column blocks of the same rows (standardised)."""
     a, b = names(cols_1), names(cols_2)
-    n, mean, s = _moments(cross_products(df, a + b))
+    n, mean, s = _moments(df, a + b)
     sd = np.sqrt(np.diag(s) / (n - 1))
     sd = np.where(sd > 0, sd, 1.0)
     c = s / (n - 1) / np.outer(sd, sd)
@@ -396,7 +476,7 @@ def shift_distance(first: DataFrame, second: DataFrame, key: str, axes) -> DataF
 def mfa(df: DataFrame, key: str, blocks: dict[str, list[str]], k: int = 2) -> dict[str, DataFrame]:
     """PCA after dividing each standardised block by its first singular value."""
     cols = [c for b in blocks.values() for c in b]
-    n, mean, s = _moments(cross_products(df, cols))
+    n, mean, s = _moments(df, cols)
     sd = np.sqrt(np.diag(s) / (n - 1))
     scale, at = np.where(sd > 0, sd, 1.0), 0
     corr = s / (n - 1) / np.outer(scale, scale)
@@ -418,7 +498,7 @@ def famd(df: DataFrame, key: str, numeric, categorical: dict[str, list[str]], k:
     data = df.select(key, *[dbl(c).alias(c) for c in num], *[e.alias(n) for n, e in flags]).dropna()
     cols = num + [n for n, _ in flags]
     quoted = [f"`{c}`" for c in cols]
-    n, mean, s = _moments(cross_products(data, quoted))
+    n, mean, s = _moments(data, quoted)
     sd = np.sqrt(np.diag(s) / (n - 1))
     scale = np.concatenate([np.where(sd[:len(num)] > 0, sd[:len(num)], 1.0), np.sqrt(np.maximum(mean[len(num):], 1e-12))])
     c = s / (n - 1) / np.outer(scale, scale)
@@ -478,11 +558,28 @@ def geo_distance(coord: DataFrame, key: str = "sample", x: str = "longitude", y:
 
 def vif(df: DataFrame, cols) -> DataFrame:
     """Variance inflation factors: the diagonal of the inverse correlation matrix."""
-    cols = names(cols)
-    _, _, s = _moments(cross_products(df, cols))
+    return vif_terms(df, cols).select(F.col("term").alias("covariate"), F.col("gvif").alias("vif"))
+
+
+def vif_terms(df: DataFrame, terms) -> DataFrame:
+    """Generalised variance inflation per term, (term, df, gvif, per_df).
+
+    The determinant of a term's own correlations times that of the others over that of all;
+    `per_df` is its root of order 2 df, comparable between terms of different size.
+    """
+    df, columns, _ = expand_terms(df, terms)
+    cols = [c for own in columns.values() for c in own]
+    _, _, s = _moments(df, cols)
     sd = np.sqrt(np.diag(s))
-    inv = np.linalg.inv(s / np.outer(sd, sd))
-    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(cols, np.diag(inv))], "covariate string, vif double")
+    r = s / np.outer(sd, sd)
+    rows = []
+    for term, own in columns.items():
+        i = [cols.index(c) for c in own]
+        j = [k for k in range(len(cols)) if k not in i]
+        sign, log = zip(*(np.linalg.slogdet(r[np.ix_(k, k)]) for k in (i, j, list(range(len(cols))))))
+        value = float(np.exp(log[0] + log[1] - log[2])) if all(x > 0 for x in sign) else float("inf")
+        rows.append((term, len(i), value, value ** (1 / (2 * len(i)))))
+    return df.sparkSession.createDataFrame(rows, "term string, df int, gvif double, per_df double")
 
 
 def _least_squares(cp: np.ndarray, x: list[int], y: int):

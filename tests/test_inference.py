@@ -146,3 +146,14 @@ def test_lognormal_location_far_from_zero():
         x = x[x > c]
         assert abs(_solve_mu(c, x.mean(), (x * x).mean()) - mu) < 0.1
     assert _solve_mu(1.0, 1.0, 2.0) is None
+
+
+def test_gamma_and_lognormal_densities(spark):
+    one = spark.createDataFrame([(0.5, 2.5, 1.5), (3.0, 0.7, 0.2), (0.0, 1.0, 4.0), (-1.0, 2.0, 2.0), (1.0, -1.0, 2.0)],
+                                "x double, a double, b double")
+    got = one.select(sp.gamma_density("x", "a", "b").alias("g"), sp.lognormal_density("x", "a", "b").alias("l")).collect()
+    gamma = lambda x, a, b: b ** a * x ** (a - 1) * math.exp(-b * x) / math.gamma(a)
+    log = lambda x, m, s: math.exp(-((math.log(x) - m) / s) ** 2 / 2) / (x * s * math.sqrt(2 * math.pi))
+    assert math.isclose(got[0]["g"], gamma(0.5, 2.5, 1.5), rel_tol=1e-9) and math.isclose(got[1]["g"], gamma(3, 0.7, 0.2), rel_tol=1e-9)
+    assert math.isclose(got[0]["l"], log(0.5, 2.5, 1.5)) and math.isclose(got[1]["l"], log(3, 0.7, 0.2))
+    assert got[2]["g"] == 4.0 and got[2]["l"] == 0.0 and got[3]["g"] == 0.0 and got[4]["g"] is None

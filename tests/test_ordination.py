@@ -83,3 +83,61 @@ def test_lognormal_recovers_parameters(spark):
     m = spark.createDataFrame([(c, float(kept.mean()), float((kept ** 2).mean()), len(kept))], "c double, m1 double, m2 double, n_observed long")
     r = M.estimate_lognormal(m).first()
     assert abs(r["mu"] - mu) < 0.15 and abs(r["sigma"] - sd) < 0.1 and abs(r["total_species"] / 200000 - 1) < 0.05
+
+
+def _factor_data(spark):
+    rng = np.random.default_rng(21)
+    m = table(15, 24, seed=21, zeros=0.2)
+    a = rng.normal(size=24)
+    f = np.array(["x", "y", "z"])[rng.integers(0, 3, 24)]
+    m = m + (rng.poisson(4, m.shape) * np.where(f == "z", 3, 1)).astype(int)
+    cov = spark.createDataFrame([(f"s{j:02d}", float(a[j]), str(f[j])) for j in range(24)], "sample string, a double, f string")
+    return m, a, f, frame(spark, m).withColumnRenamed("reads", "value"), cov
+
+
+def test_factor_terms_and_scores(spark):
+    m, a, f, cells, cov = _factor_data(spark)
+    x = np.column_stack([a, f == "y", f == "z"]).astype(float)
+    p = m.T / m.sum()
+    w, r = p.sum(axis=1), p.sum(axis=0)
+    q = (p - np.outer(w, r)) / np.sqrt(np.outer(w, r))
+    xw = np.sqrt(w)[:, None] * (x - w @ x)
+    share = lambda z: ((z @ np.linalg.lstsq(z, q, rcond=None)[0]) ** 2).sum() / (q ** 2).sum()
+    model = O.cca(cells, cov, ["a", "f"])
+    assert math.isclose(model.r2(["a", "f"]), share(xw), rel_tol=1e-9)
+    assert math.isclose(model.r2(["f"], ["a"]), share(xw) - share(xw[:, :1]), rel_tol=1e-9)
+    assert math.isclose(model.adjusted(["f"], ["a"]), model.adjusted(["a", "f"]) - model.adjusted(["a"]))
+    out = O.score_table(model, ["a", "f"], 2)
+    get = lambda df: np.array([[v["axis_1"], v["axis_2"]] for v in df.orderBy(df.columns[0]).collect()])
+    fitted, averaged = get(out["sites"]), get(out["sites_averaged"])
+    again = xw @ np.linalg.lstsq(xw, np.sqrt(w)[:, None] * averaged, rcond=None)[0] / np.sqrt(w)[:, None]
+    assert np.allclose(again, fitted)
+    features = get(out["features"]) / np.sqrt(r)[:, None]
+    assert np.allclose(averaged * [v["eigenvalue"] for v in out["axes"].orderBy("axis").collect()], (p / w[:, None]) @ features)
+    means = {v["level"]: (v["axis_1"], v["axis_2"]) for v in out["centroids"].collect()}
+    for level in "xyz":
+        at = f == level
+        assert np.allclose(means[level], (w[at, None] * fitted[at]).sum(axis=0) / w[at].sum())
+    partial = O.score_table(model, ["f"], 2, ["a"])
+    assert np.allclose((w[:, None] * get(partial["sites"])).T @ (a - w @ a), 0, atol=1e-9)
+
+
+def test_forward_selection_by_term_with_condition(spark):
+    _, _, _, cells, cov = _factor_data(spark)
+    steps = O.forward_select(cells, cov, ["a", "f"], weighted=False, n_perm=19, both=True).collect()
+    assert steps[0]["covariate"] == "f" and steps[0]["p"] == 0.05
+    given = O.forward_select(cells, cov, ["a"], weighted=False, n_perm=19, condition=["f"]).collect()
+    model = O.rda(cells, cov, ["a", "f"])
+    assert len(given) == 1 and math.isclose(given[0]["r2"], model.r2(["a"], ["f"]), rel_tol=1e-9)
+
+
+def test_generalised_inflation_and_large_means(spark):
+    _, a, f, _, cov = _factor_data(spark)
+    x = np.column_stack([a, f == "y", f == "z"]).astype(float)
+    r = np.corrcoef(x.T)
+    want = np.linalg.det(r[:1, :1]) * np.linalg.det(r[1:, 1:]) / np.linalg.det(r)
+    got = {v["term"]: v for v in O.vif_terms(cov, ["a", "f"]).collect()}
+    assert got["f"]["df"] == 2 and math.isclose(got["f"]["gvif"], want) and math.isclose(got["a"]["gvif"], want)
+    far = np.random.default_rng(4).normal(size=(50, 2)) + 1e9
+    s = O._moments(wide(spark, far), ["c0", "c1"])[2]
+    assert np.allclose(s / 49, np.cov(far.T), rtol=1e-6)
