@@ -63,21 +63,48 @@ def _two_group_hist(values: DataFrame, sizes: DataFrame, value: str, group: str,
     return hist.unionByName(zero).withColumn("_n", F.col("a") + F.col("b"))
 
 
-def rank_sum_test(values: DataFrame, sizes: DataFrame, value: str = "reads", group: str = "group", by=()) -> DataFrame:
-    """Two-group rank-sum test per taxon: statistic of group 1, z, two-sided p."""
+def two_group_stats(values: DataFrame, sizes: DataFrame, value: str = "reads", group: str = "group", by=()) -> DataFrame:
+    """Rank sum, ties, medians and means of both groups per taxon, from one ordered pass.
+
+    The value counts of both groups are accumulated together, so the rank of a value and its
+    place inside either group come from one table of ranges.
+    """
     by = names(by)
     keys = [*by, "taxon"]
-    acc = accumulate(_two_group_hist(values, sizes, value, group, by), "value", keys)
-    n = dbl("_n")
-    stats = acc.groupBy(*keys).agg(
-        F.sum(F.col("a") * (F.col("_below") + (n + 1) / 2)).alias("_r"), F.sum("a").cast("double").alias("_n1"),
-        F.sum("b").cast("double").alias("_n2"), F.sum(n * n * n - n).alias("_t"))
+    acc = accumulate(_two_group_hist(values, sizes, value, group, by), "value", keys, ["_n", "a", "b"])
+    n, v = dbl("_n"), F.col("value")
+
+    def at(side, k):
+        hit = (F.col(side) > 0) & (F.col(f"{side}_below") <= k) & (k < F.col(f"{side}_below") + F.col(side))
+        return F.max(F.when(hit, v))
+
+    aggs = [F.sum(F.col("a") * (F.col("_n_below") + (n + 1) / 2)).alias("_r"), F.sum(n * n * n - n).alias("_t")]
+    for s, side in ((1, "a"), (2, "b")):
+        last = F.col(f"{side}_total") - 1
+        aggs += [((at(side, F.floor(last / 2)) + at(side, F.ceil(last / 2))) / 2).alias(f"median_{s}"),
+                 ratio(F.sum(v * F.col(side)), F.sum(side)).alias(f"mean_{s}"), F.sum(side).cast("double").alias(f"_n{s}")]
+    return acc.groupBy(*keys).agg(*aggs)
+
+
+def _rank_test(stats: DataFrame) -> DataFrame:
     w = F.col("_r") - F.col("_n1") * (F.col("_n1") + 1) / 2
     total = F.col("_n1") + F.col("_n2")
     var = F.col("_n1") * F.col("_n2") / 12 * (total + 1 - F.try_divide(F.col("_t"), total * (total - 1)))
     out = stats.withColumn("w", w).withColumn("_d", F.col("w") - F.col("_n1") * F.col("_n2") / 2).withColumn(
         "z", F.when(var > 1e-9, (F.col("_d") - F.signum("_d") * 0.5) / F.sqrt(var)))
-    return out.select(*keys, "w", "z", F.least(F.lit(1.0), norm_sf2("z")).alias("p"))
+    return out.withColumn("p", F.least(F.lit(1.0), norm_sf2("z")))
+
+
+def _contrast(stats: DataFrame) -> DataFrame:
+    both_zero = (F.col("median_1") == 0) & (F.col("median_2") == 0)
+    return stats.withColumns({
+        "median_diff": F.col("median_1") - F.col("median_2"), "mean_diff": F.col("mean_1") - F.col("mean_2"),
+        "log2_median_ratio": F.when(both_zero, F.lit(0.0)).otherwise(safe_log(ratio("median_1", "median_2"), "2"))})
+
+
+def rank_sum_test(values: DataFrame, sizes: DataFrame, value: str = "reads", group: str = "group", by=()) -> DataFrame:
+    """Two-group rank-sum test per taxon: statistic of group 1, z, two-sided p."""
+    return _rank_test(two_group_stats(values, sizes, value, group, by)).select(*names(by), "taxon", "w", "z", "p")
 
 
 def group_contrast(values: DataFrame, sizes: DataFrame, value: str = "reads", group: str = "group", by=()) -> DataFrame:
@@ -86,24 +113,8 @@ def group_contrast(values: DataFrame, sizes: DataFrame, value: str = "reads", gr
     0 / 0 gives a log ratio of 0; a ratio with one zero median has no finite logarithm
     and is NULL.
     """
-    by = names(by)
-    keys = [*by, "taxon"]
-    hist = written(_two_group_hist(values, sizes, value, group, by), "values")
-    both = hist.select(*keys, "value", F.explode(F.array(
-        F.struct(F.lit(1).alias("side"), F.col("a").alias("_n")),
-        F.struct(F.lit(2).alias("side"), F.col("b").alias("_n")))).alias("h")).select(
-        *keys, "value", "h.side", "h._n")
-    med = hist_quantiles(both, "value", {"median": 0.5}, [*keys, "side"])
-    mean = both.groupBy(*keys, "side").agg(ratio(F.sum(F.col("value") * F.col("_n")), F.sum("_n")).alias("mean"))
-    side = {s: F.max(F.when(F.col("side") == s, F.col("median"))) for s in (1, 2)}
-    mside = {s: F.max(F.when(F.col("side") == s, F.col("mean"))) for s in (1, 2)}
-    flat = med.join(mean, [*keys, "side"]).groupBy(*keys).agg(
-        side[1].alias("median_1"), side[2].alias("median_2"), mside[1].alias("mean_1"), mside[2].alias("mean_2"))
-    both_zero = (F.col("median_1") == 0) & (F.col("median_2") == 0)
-    return flat.select(
-        *keys, "median_1", "median_2", (F.col("median_1") - F.col("median_2")).alias("median_diff"),
-        (F.col("mean_1") - F.col("mean_2")).alias("mean_diff"),
-        F.when(both_zero, F.lit(0.0)).otherwise(safe_log(ratio("median_1", "median_2"), "2")).alias("log2_median_ratio"))
+    return _contrast(two_group_stats(values, sizes, value, group, by)).select(
+        *names(by), "taxon", "median_1", "median_2", "median_diff", "mean_diff", "log2_median_ratio")
 
 
 def p_adjust_bh(df: DataFrame, p: str = "p", by=(), name: str = "p_adjusted") -> DataFrame:
@@ -143,9 +154,9 @@ def rle_size_factors(counts: DataFrame) -> DataFrame:
     shared = (profile.select(F.col("_g").alias("x"), F.lit(1).alias("c"))
               .unionByName(mine.select(F.col("_v").alias("x"), F.lit(0).alias("c")))
               .groupBy("x").agg(F.sum("c").alias("_n")))
-    order = accumulate(shared, "x").select("x", F.col("_below").alias("_shared"), F.col("_n").alias("_here"))
+    order = accumulate(shared, "x").select("x", F.col("_n_below").alias("_shared"), F.col("_n").alias("_here"))
     own = accumulate(events.withColumnRenamed("_w", "_n"), "x", "sample").withColumnsRenamed(
-        {"_n": "_w", "_below": "_shift"}).drop("_total")
+        {"_n": "_w", "_n_below": "_shift"}).drop("_n_total")
     own, order = written(own, "own"), written(order, "order")
     ev = own.join(order, "x").select(
         "sample", "x", (F.col("_shared") + F.col("_shift")).alias("_at"), (F.col("_here") + F.col("_w")).alias("_mult"),
@@ -283,13 +294,12 @@ def zero_inflated_contrast(counts: DataFrame, groups: DataFrame, group: str = "g
 
 
 def contrast_grid(values: DataFrame, sizes: DataFrame, by, level: float = 0.05) -> DataFrame:
-    """Rank-sum test, contrast, adjustment and masking for every key of `by` in one plan."""
+    """Rank-sum test, contrast, adjustment and masking for every key of `by`, from one ordered pass."""
     by = names(by)
-    values, sizes = written(values, "values"), written(sizes, "sizes")
-    test = p_adjust_bh(rank_sum_test(values, sizes, by=by), "p", by)
-    effect = group_contrast(values, sizes, by=by)
-    both = test.join(effect, [*by, "taxon"])
-    return mask_not_significant(both, ["median_diff", "mean_diff", "log2_median_ratio"], level=level)
+    stats = _contrast(_rank_test(two_group_stats(values, sizes, by=by))).select(
+        *by, "taxon", "w", "z", "p", "median_1", "median_2", "median_diff", "mean_diff", "log2_median_ratio")
+    test = p_adjust_bh(written(stats, "tests"), "p", by)
+    return mask_not_significant(test, ["median_diff", "mean_diff", "log2_median_ratio"], level=level)
 
 
 # ------------------------------------------------------------------ trends, correlation
@@ -364,7 +374,7 @@ def _rank_groups(df: DataFrame, value: str, group: str, by: list[str]):
     hist = cells.groupBy(*by, value).agg(F.sum("_c").alias("_n"))
     acc = accumulate(hist, value, by)
     n = dbl("_n")
-    ranks = acc.select(*by, value, (F.col("_below") + (n + 1) / 2).alias("_rank"))
+    ranks = acc.select(*by, value, (F.col("_n_below") + (n + 1) / 2).alias("_rank"))
     ties = acc.groupBy(*by).agg(F.sum(n * n * n - n).alias("_ties"), F.sum("_n").cast("double").alias("_total"))
     groups = cells.join(ranks, [*by, value]).groupBy(*by, group).agg(
         F.sum("_c").cast("double").alias("_k"), F.sum(F.col("_c") * F.col("_rank")).alias("_sum"))

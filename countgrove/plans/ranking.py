@@ -42,23 +42,26 @@ def _beside_ranges(cut: DataFrame, per_range: DataFrame, by: list[str]) -> DataF
     return cut.join(renamed, on).drop(*[f"_k{i}" for i in range(len(by) + 1)])
 
 
-def _with_ranges(hist: DataFrame, by: list[str], value: str) -> DataFrame:
+def _with_ranges(hist: DataFrame, by: list[str], value: str, weights=("_n",)) -> DataFrame:
+    """Rows with `_range` and, per weight w, the sums w_below of lower values and w_total of the group."""
     cut = _cut(hist, by, [value], "values")
-    starts = (cut.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
-              .withColumn("_start", F.coalesce(F.sum("_in").over(_before(by, ["_range"])), F.lit(0)))
-              .withColumn("_total", F.sum("_in").over(Window.partitionBy(*by))).drop("_in"))
+    lower, whole = _before(by, ["_range"]), Window.partitionBy(*by)
+    starts = cut.groupBy(*by, "_range").agg(*[F.sum(w).alias(f"_in{i}") for i, w in enumerate(weights)])
+    starts = starts.select(*by, "_range", *[c for i in range(len(weights)) for c in (
+        F.coalesce(F.sum(f"_in{i}").over(lower), F.lit(0)).alias(f"_start{i}"),
+        F.sum(f"_in{i}").over(whole).alias(f"_total{i}"))])
     inside = _before([*by, "_range"], [value])
-    return (_beside_ranges(cut, starts, by)
-            .withColumn("_below", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-            .select(*hist.columns, "_range", "_below", "_total"))
+    return _beside_ranges(cut, starts, by).select(*hist.columns, "_range", *[c for i, w in enumerate(weights) for c in (
+        (F.col(f"_start{i}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"{w}_below"),
+        F.col(f"_total{i}").alias(f"{w}_total"))])
 
 
-def accumulate(hist: DataFrame, value: str, by=()) -> DataFrame:
-    """Adds `_below` (rows of lower values) and `_total` to (by, value, _n, ...), one row per value.
+def accumulate(hist: DataFrame, value: str, by=(), weights=("_n",)) -> DataFrame:
+    """Adds w_below (sum over lower values) and w_total per weight to (by, value, weights, ...), one row per value.
 
     Weights may be signed; other columns are kept.
     """
-    return _with_ranges(hist, names(by), value).drop("_range")
+    return _with_ranges(hist, names(by), value, names(weights)).drop("_range")
 
 
 def value_counts(df: DataFrame, value: str, by=()) -> DataFrame:
@@ -71,8 +74,8 @@ def average_rank(df: DataFrame, value: str, by=(), name: str = "rank", total: st
     """Rows with the average-tie rank of `value` inside the group (NULL has no rank)."""
     by = names(by)
     ranks = accumulate(value_counts(df, value, by), value, by).select(
-        *by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name),
-        *([F.col("_total").alias(total)] if total else []))
+        *by, value, (F.col("_n_below") + (F.col("_n") + 1) / 2).alias(name),
+        *([F.col("_n_total").alias(total)] if total else []))
     return df.join(ranks, [*by, value], "left")
 
 
@@ -82,12 +85,12 @@ def hist_quantiles(hist: DataFrame, value: str, probs: dict[str, float], by=())
     acc = accumulate(hist, value, by)
     picks, finals = [], []
     for i, (label, p) in enumerate(probs.items()):
-        pos = (F.col("_total") - 1) * F.lit(float(p))
+        pos = (F.col("_n_total") - 1) * F.lit(float(p))
         low = F.floor(pos)
-        high = F.least(low + 1, F.col("_total") - 1)
+        high = F.least(low + 1, F.col("_n_total") - 1)
 
         def at(k):
-            hit = (F.col("_below") <= k) & (k < F.col("_below") + F.col("_n"))
+            hit = (F.col("_n_below") <= k) & (k < F.col("_n_below") + F.col("_n"))
             return F.max(F.when(hit, F.col(value).cast("double")))
 
         picks += [at(low).alias(f"_lo{i}"), at(high).alias(f"_hi{i}"),
@@ -129,7 +132,7 @@ def step_up_adjust(df: DataFrame, p: str, by=(), name: str = "p_adjusted") -> Da
     """Benjamini-Hochberg adjusted p-values inside each group."""
     by = names(by)
     acc = _with_ranges(value_counts(df, p, by), by, p).withColumn(
-        "_q", F.col(p) * F.col("_total") / (F.col("_below") + F.col("_n")))
+        "_q", F.col(p) * F.col("_n_total") / (F.col("_n_below") + F.col("_n")))
     later = (acc.groupBy(*by, "_range").agg(F.min("_q").alias("_m"))
              .withColumn("_later", F.min("_m").over(_before(by, ["_range"], descending=True)))
              .drop("_m"))
