@@ -84,3 +84,32 @@ def test_row_correlation(spark):
         want = np.corrcoef(x.T)
         for r in H.row_correlation(frame(spark, m), method=method).collect():
             assert np.isclose(r["r"], want[int(r["s1"][1:]), int(r["s2"][1:])])
+
+
+def test_permuted_cells_are_uniform(spark):
+    cells = [(f"f{i}", f"s{j}", 1 + 4 * i + j) for i in range(3) for j in range(4)]
+    df = spark.createDataFrame(cells, "feature string, sample string, reads long")
+    rows = X.permute_cells(df, 3000, seed=4).collect()
+    at = {}
+    for r in rows:
+        at.setdefault(r["rep"], {})[r["reads"]] = (r["feature"], r["sample"])
+    assert all(sorted(v) == list(range(1, 13)) and len(set(v.values())) == 12 for v in at.values())
+    places = {p: 0 for p in set(at[1].values())}
+    for v in at.values():
+        places[v[1]] += 1
+    expected = len(at) / 12
+    assert sum((n - expected) ** 2 / expected for n in places.values()) < 31.3   # 0.1 % point, 11 degrees
+    same_feature = np.mean([v[1][0] == v[2][0] for v in at.values()])
+    same_sample = np.mean([v[1][1] == v[5][1] for v in at.values()])
+    assert abs(same_feature - 3 / 11) < 0.03 and abs(same_sample - 2 / 11) < 0.03
+
+
+def test_shuffle_keeps_the_column(spark):
+    from countgrove.operators.windows import shuffle
+
+    df = spark.createDataFrame([(i, i % 7) for i in range(50)], "id long, v int")
+    rows = shuffle(df, "id", "v", n_rep=2, seed=3).collect()
+    for rep in (1, 2):
+        own = [r for r in rows if r["rep"] == rep]
+        assert sorted(r["shuffled"] for r in own) == sorted(i % 7 for i in range(50))
+        assert [r["shuffled"] for r in sorted(own, key=lambda r: r["id"])] != [i % 7 for i in range(50)]

@@ -141,3 +141,30 @@ def test_generalised_inflation_and_large_means(spark):
     far = np.random.default_rng(4).normal(size=(50, 2)) + 1e9
     s = O._moments(wide(spark, far), ["c0", "c1"])[2]
     assert np.allclose(s / 49, np.cov(far.T), rtol=1e-6)
+
+
+def test_coinertia_and_factor_analyses_of_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 5)) + rng.normal(size=(40, 1))
+    f = np.array(["u", "v", "w"])[rng.integers(0, 3, 40)]
+    df = spark.createDataFrame([(i, *map(float, r), str(g)) for i, (r, g) in enumerate(zip(x, f))],
+                               "id long, c0 double, c1 double, c2 double, c3 double, c4 double, f string")
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    d = np.linalg.svd(z[:, :2].T @ z[:, 2:] / 39)[1]
+    out = O.coinertia(df, "id", ["c0", "c1"], ["c2", "c3", "c4"], 2)
+    values = lambda t: [r["eigenvalue"] for r in t.orderBy("axis").collect()]
+    assert np.allclose(values(out["eigenvalues"]), d ** 2)
+    first, second = ([r["axis_1"] for r in out[k].orderBy("id").collect()] for k in ("first", "second"))
+    assert math.isclose(np.cov(first, second)[0, 1], d[0])
+    a, b = np.corrcoef(z[:, :2].T), np.corrcoef(z[:, 2:].T)
+    c = z[:, :2].T @ z[:, 2:] / 39
+    assert math.isclose(out["rv"].first()["rv"], (c ** 2).sum() / np.sqrt((a ** 2).sum() * (b ** 2).sum()))
+    scaled = np.hstack([z[:, :2] / np.sqrt(np.linalg.eigvalsh(a)[-1]), z[:, 2:] / np.sqrt(np.linalg.eigvalsh(b)[-1])])
+    m = O.mfa(df, "id", {"a": ["c0", "c1"], "b": ["c2", "c3", "c4"]}, 2)
+    assert np.allclose(values(m["eigenvalues"]), np.sort(np.linalg.eigvalsh(np.cov(scaled.T)))[::-1][:2])
+    share = np.stack([(f == g) / np.sqrt((f == g).mean()) for g in "uvw"], axis=1)
+    both = np.hstack([z[:, :2], share])
+    g = O.famd(df, "id", ["c0", "c1"], {"f": ["u", "v", "w"]}, 2)
+    assert np.allclose(values(g["eigenvalues"]), np.sort(np.linalg.eigvalsh(np.cov(both.T)))[::-1][:2])
+    scores = np.array([[r["axis_1"], r["axis_2"]] for r in g["scores"].collect()])
+    assert np.allclose(scores.var(axis=0, ddof=1), values(g["eigenvalues"]))
