@@ -14,13 +14,16 @@ def decontaminate(counts: DataFrame, is_control: Column) -> DataFrame:
     """Subtract the control reads of a feature from each of its true cells, floor 0.
 
     Controls leave the table. Cells that become 0 stay; features never seen in a true
-    sample do not appear.
+    sample do not appear. Both sides of the join see all rows of `counts`, so an aggregated
+    input is computed once and its shuffle is used twice: the control total is a conditional
+    sum, and controls are left out by a condition that cannot move below the join.
     """
-    control = (counts.filter(is_control & (F.col("reads") > 0))
-               .groupBy("feature").agg(F.sum("reads").alias("_n")))
-    cells = counts.filter(~is_control & (F.col("reads") > 0)).join(control, "feature", "left")
-    left = F.col("reads") - F.coalesce("_n", F.lit(0))
-    return cells.select("feature", "sample", F.greatest(left, F.lit(0)).alias("reads"))
+    reads = F.col("reads")
+    control = counts.groupBy("feature").agg(
+        F.coalesce(F.sum(F.when(is_control & (reads > 0), reads)), F.lit(0)).alias("_n"))
+    both = counts.withColumn("_control", is_control).join(control, "feature")
+    true_cells = both.filter((reads > 0) & (~F.col("_control") | (F.col("_n") < 0)))
+    return true_cells.select("feature", "sample", F.greatest(reads - F.col("_n"), F.lit(0)).alias("reads"))
 
 
 def library_size(counts: DataFrame) -> DataFrame:
