@@ -7,8 +7,7 @@ of a language. The verdict compares both with every reference by Jensen-Shannon
 further from its language by chance, so the largest distance falls with the root of the length.
 Fixed base rules on length and repetition come first.
 
-Common words are picked on a bounded sample of documents; their frequencies and all other
-statistics of the references cover all documents.
+Common words, their frequencies and all other statistics of the references cover all documents.
 """
 
 from __future__ import annotations
@@ -26,7 +25,6 @@ from ..plans.scratch import written
 from .common import append_batches, fields, free_name, map_batches
 
 COMMON = 48            # common words of a language
-SAMPLE = 2000          # documents on which common words are picked, per language at most
 MIN_CHARS = 200        # characters from which character classes are compared
 MIN_WORDS = 50         # words from which common words are compared, and the base rule for length
 CLASS_LIMIT, CLASS_NOISE = 0.14, 2.8   # largest class distance: limit + noise / sqrt(characters)
@@ -170,28 +168,26 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((mass > 0) & (whole > 0), apart, np.where((mass > 0) | (whole > 0), 1.0, 0.0))
 
 
-def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-                 count: int = COMMON, sample: int = SAMPLE) -> dict[str, list[bytes]]:
-    """The most frequent trimmed words of each language on a bounded sample of its documents."""
-    rows = docs.filter(F.col(lang_col).isNotNull())
-    share = F.least(F.lit(1.0), sample / F.count(F.lit(1)))
-    shares = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(share).collect()}
-    if not shares:
-        return {}
-    # a document is in the sample if the hash of its id lies under its language's share
-    bound = F.create_map(*[x for lang, s in shares.items() for x in (F.lit(lang), F.lit(float(s)))])
-    unit = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.filter(unit < F.element_at(bound, F.col(lang_col)))
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                 count: int = COMMON) -> dict[str, list[bytes]]:
+    """The most frequent trimmed words of each language over all its documents.
 
+    Words are counted per slice and again map-side, so a language with most of the documents
+    sends one row per word and task; only `count` words a language reach the driver.
+    """
     def work(langs, texts):
         counts: dict[str, Counter] = {}
         for lang, text in zip(langs, texts):
-            counts.setdefault(lang, Counter()).update(map(_trimmed, _words_of(text or "")))
-        flat = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()
-                if w.strip(SYMBOLS.encode())]
+            counts.setdefault(lang, Counter()).update(_words_of(text or ""))
+        flat = []
+        for lang, c in counts.items():
+            trimmed: Counter = Counter()
+            for w, n in c.items():
+                trimmed[_trimmed(w)] += n
+            flat += [(lang, w, n) for w, n in trimmed.items() if w.strip(SYMBOLS.encode())]
         return zip(*flat) if flat else ([], [], [])
 
-    totals = (map_batches(picked, [lang_col, text_col], fields(
+    totals = (map_batches(docs.filter(F.col(lang_col).isNotNull()), [lang_col, text_col], fields(
         ("lang", T.StringType()), ("word", T.BinaryType()), ("n", T.LongType())), work)
         .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     top = totals.withColumn("_r", F.row_number().over(
@@ -241,12 +237,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distances).
 
     NULL and empty texts have no words and fail the base rules. A NULL language counts towards
-    no reference; a language's sample is picked by hash of the id. Without any language only
-    the base rules decide. `class_distance` and `word_distance` are NULL under their minimum
+    no reference. Without any language only the base rules decide. `class_distance` and `word_distance` are NULL under their minimum
     lengths. Repeated rows are judged each and counted each; an empty table gives no rows;
     other columns are ignored.
     """
-    words = common_words(docs, text_col, lang_col, id_col)
+    words = common_words(docs, text_col, lang_col)
     table = written(measures(docs, _vocabulary(words)[0], id_col, text_col, lang_col), "measures")
     refs = references(table, words)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -263,7 +258,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs` that the rules keep, with their own columns; texts are not shuffled."""
-    words = common_words(docs, text_col, lang_col, id_col)
+    words = common_words(docs, text_col, lang_col)
     table = measures(docs, _vocabulary(words)[0], id_col, text_col, lang_col)
     refs = references(table, words)
     name = free_name(docs, "kept")

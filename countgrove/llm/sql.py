@@ -63,11 +63,7 @@ def _divergence(p: str, q: str) -> str:
 
 
 def _rules() -> str:
-    """The word and character statistics, references, distances and verdicts of the quality rules.
-
-    The sample on which common words are picked holds all documents of a language up to
-    `rules.SAMPLE`; beyond that SQL has no equal of its hash, so this is exact for smaller tables.
-    """
+    """The word and character statistics, references, distances and verdicts of the quality rules."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     one = "[" + "".join("\\" + c if c in "\\]^-" else c for c in rules.MARKS) + "]"
     return rf"""

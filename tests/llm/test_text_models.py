@@ -135,6 +135,15 @@ def test_rules_keep_clean_and_drop_junk(spark, documents):
     assert {r.doc_id for r in quality_rules.keep(documents).collect()} == kept
 
 
+def test_common_words_count_all_documents(spark):
+    # 2,600 documents of one language; the counts of neighbouring words differ by one document
+    rows = [(i, " ".join(f"(W{k}," for k in range(96) if (i * 7 + k * 27) % 2600 >= k), "en") for i in range(2600)]
+    rows += [(9000, "%% solo solo", "xx"), (9001, "solo", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    got = quality_rules.common_words(docs)
+    assert got == {"en": [f"w{k}".encode() for k in range(48)], "xx": [b"solo"]}
+
+
 def test_rules_edge_cases(spark):
     rows = [(1, None, "en"), (2, "", None), (2, "", None), (None, "word " * 60, "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("kept", F.lit(1))
