@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from . import (
     byte_bpe,
     cross_polytope,
+    fill_in_middle,
     language,
+    lexical_search,
     line_crf,
     mixing,
     quality_rules,
@@ -18,6 +20,7 @@ from . import (
     simhash,
     sql,
     templates,
+    token_counts,
     toxicity,
 )
 from .common import held_out
@@ -99,6 +102,21 @@ def op10(spark, sf_dir):
     return rotation.rotate(_table(spark, sf_dir, "conversations"))
 
 
-@case("pipeline", corpus_pipeline.ORACLE_SQL)
+@case("op11_fill_in_middle", sql.FILL_IN_MIDDLE)
+def op11(spark, sf_dir):
+    return fill_in_middle.digests(fill_in_middle.transform(_table(spark, sf_dir, "documents")))
+
+
+@case("op12_lexical_search", sql.LEXICAL_SEARCH)
+def op12(spark, sf_dir):
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@case("op13_token_counts")
+def op13(spark, sf_dir):
+    return token_counts.count(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@case("pipeline")
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

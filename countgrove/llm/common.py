@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 HELD_OUT = 2         # remainder of the fold that no model learns from
 FOLDS = 4
+SMALL = 100_000          # digests of 32 bytes that are sent to every executor; more are shuffled
 SLICE_BYTES = 2 << 20  # texts are handed to Python in slices of about this size
 
 
@@ -33,7 +34,7 @@ def map_batches(df: DataFrame, columns: list[str], schema: T.StructType,
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 out = work(*[part.column(i).to_pylist() for i in range(part.num_columns)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values, type=kind) for values, kind in zip(out, kinds, strict=True)], labels)
@@ -41,7 +42,26 @@ def map_batches(df: DataFrame, columns: list[str], schema: T.StructType,
     return df.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch):
+def digest_of(text: Column) -> Column:
+    """SHA-256 of a text, by which equal texts are known."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def one_text_each(texts: DataFrame, wanted: DataFrame, small: int = SMALL) -> DataFrame:
+    """(content, text) of the wanted contents, once each, from the (content, text) of all rows.
+
+    `wanted` is a written table of distinct contents. Equal texts are reduced inside the tasks before
+    they move, so a text that a third of the rows repeat is no heavy key; where few contents are
+    wanted no other text moves.
+    """
+    few = wanted.count() <= small
+    if few:
+        texts = texts.join(F.broadcast(wanted), "content", "left_semi")
+    texts = texts.groupBy("content").agg(F.any_value("text").alias("text"))
+    return texts if few else texts.join(wanted, "content", "left_semi")
+
+
+def slices(batch: pa.RecordBatch):
     rows = batch.num_rows
     if not rows:
         return
@@ -76,7 +96,7 @@ def append_batches(df: DataFrame, columns: list[str], extra: T.StructType,
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 out = work(*[part.column(i).to_pylist() for i in places])
                 added = [pa.array(values, type=kind) for values, kind in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(part.columns + added, labels)
