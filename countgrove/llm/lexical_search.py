@@ -10,14 +10,16 @@ A search runs in two rounds. The documents with the highest bounds are scored ex
 each item a score that its last rank reaches at least. Then all documents whose bound does not fall
 below it are scored exactly; the others are provably not among the first.
 
-Blocks are built where the texts are read and never move. Items are the stated query set, taken in
-blocks; only bounds and the texts of candidates leave a task.
+Blocks are built where the texts are read and never move. Items are the stated query set and are
+taken in blocks of a bounded number of terms, which every executor gets; of the documents only
+bounds, candidates and the texts of candidates leave a task.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,8 @@ NARROWEST, WIDEST = 1 << 10, 1 << 24   # bits of a signature; beyond, bounds loo
 CELLS = 1 << 23      # bits of a block, about
 MOST_DOCS, LEAST_DOCS = 4096, 8        # documents of a block
 TERMS_HELD = 1 << 18  # counted terms a task holds before it hands them on
-ITEMS = 256          # items of a query block
+QUERY_TERMS = 1 << 18  # terms of the items that are asked at once and sent to every executor, about
+CHUNK_TERMS = 1 << 10  # terms whose bitmaps are weighed at once
 B_SHARE = 90         # hundredths of length normalisation
 
 _TERM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -69,9 +72,9 @@ def _slots(hashes: np.ndarray, level: int | np.ndarray, width: int) -> np.ndarra
     return (places & np.uint64(width - 1)).astype(np.int64)
 
 
-def _width(entries: int) -> int:
+def _width(entries: int, widest: int = WIDEST) -> int:
     """Signature bits for so many (term, level) entries: a power of two."""
-    return min(WIDEST, max(NARROWEST, 1 << (max(entries, 1) * BITS_PER_TERM - 1).bit_length()))
+    return min(widest, max(NARROWEST, 1 << (max(entries, 1) * BITS_PER_TERM - 1).bit_length()))
 
 
 class _Block:
@@ -106,7 +109,7 @@ def _index_schema(id_type: T.DataType) -> T.StructType:
                   ("part", T.IntegerType()), ("term", T.BinaryType()), ("df", T.LongType()))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widest: int = WIDEST) -> DataFrame:
     """The written index: rows of blocks (width, ids, contents, sizes, most, bits), and rows (term, df) by task.
 
     `contents` are digests of the texts, `sizes` numbers of terms, `most` the count of the most
@@ -142,7 +145,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     levels = np.frexp(counts.astype(float))[1]       # the counts 2^0 to 2^(levels - 1) are reached
                     at = np.repeat(np.arange(len(h)), levels)
                     level = np.arange(len(at)) - np.repeat(np.cumsum(levels) - levels, levels)
-                    width = _width(len(at))
+                    width = _width(len(at), widest)
                     block = blocks.get(width) or blocks.setdefault(width, _Block(width))
                     if block.add(doc, content, int(counts.sum()), int(counts.max()), _slots(h[at], level, width).ravel()):
                         yield of_block(blocks.pop(width), part)
@@ -211,105 +214,134 @@ def _bounds(width, sizes, most, bits, hashes, weights, owners, n_docs, n_terms):
     return out
 
 
-def _bounded(blocks: DataFrame, groups: DataFrame, n_docs: int, n_terms: int, top: int, limits: bool) -> DataFrame:
-    """(item, bound, id, content, size) of the documents of each block that an item has to look at.
+class _Items:
+    """Some items with the hashes of their distinct terms, in chunks of about CHUNK_TERMS terms."""
+
+    def __init__(self, asked: list[tuple[object, dict[bytes, int]]]):
+        self.asked = asked
+        self._chunks = None
+
+    def chunks(self):
+        """(numbers of the items, hashes of their terms, weights per item, places of the terms per item)."""
+        if self._chunks is None:
+            self._chunks, start, held = [], 0, 0
+            for k, (_, weights) in enumerate(self.asked):
+                held += len(weights)
+                if held >= CHUNK_TERMS or k + 1 == len(self.asked):
+                    part = [w for _, w in self.asked[start:k + 1]]
+                    place = {t: i for i, t in enumerate(dict.fromkeys(t for w in part for t in w))}
+                    self._chunks.append((range(start, k + 1), np.array([xxhash.xxh64_intdigest(t, 42) for t in place], dtype=np.uint64),
+                                         [np.array(list(w.values()), dtype=np.float64) for w in part],
+                                         [np.array([place[t] for t in w]) for w in part]))
+                    start, held = k + 1, 0
+        return self._chunks
+
+    def __reduce__(self):
+        return _Items, (self.asked,)
+
+
+def _record(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], schema.fieldNames())
+
+
+def _bounded(blocks: DataFrame, items, n_docs: int, n_terms: int, top: int, limits: dict | None) -> DataFrame:
+    """(no, bound, id, content, size) of the documents of each block that item `no` has to look at.
 
     Without limits the `top` highest bounds of a block; with them all documents that the limit of the
-    item does not exclude. Of equal texts only the `top` smallest ids can be among the first.
+    item, a score and an id, does not exclude. Of equal texts only the `top` smallest ids can be among the first.
     """
-    id_type = blocks.schema["ids"].dataType.elementType
-    item_type = groups.schema["items"].dataType.elementType["item"].dataType
-    schema = fields(("item", item_type), ("bound", T.LongType()), ("id", id_type), ("content", T.BinaryType()), ("size", T.LongType()))
-    kinds, labels = [to_arrow_type(f.dataType) for f in schema.fields], schema.fieldNames()
-
-    def chosen(bound, order, contents, limit):
-        """Places of the documents to look at, highest bound first, then by id."""
-        if limit is None:
-            at = np.nonzero(bound > 0)[0]
-        else:
-            score, place = limit
-            at = np.nonzero((bound > score) | ((bound == score) & (order < place) & (bound > 0)))[0]
-        at = at[np.lexsort((order[at], -bound[at]))]
-        if limits:
-            seen: Counter = Counter()
-            kept = []
-            for k in sorted(at.tolist(), key=order.__getitem__):
-                seen[contents[k]] += 1
-                if seen[contents[k]] <= top:
-                    kept.append(k)
-            return kept
-        return at[:top].tolist()
+    schema = fields(("no", T.IntegerType()), ("bound", T.LongType()), ("id", blocks.schema["ids"].dataType.elementType),
+                    ("content", T.BinaryType()), ("size", T.LongType()))
+
+    def leading(bound, order):
+        at = np.nonzero(bound > 0)[0]
+        return at[np.lexsort((order[at], -bound[at]))][:top].tolist()
+
+    def open_(bound, order, limit, known, contents):
+        at = np.nonzero(bound > 0)[0]
+        if limit is not None:
+            score, last = limit
+            before = len(order) if last is None else bisect_right(known, last)
+            at = at[(bound[at] > score) | ((bound[at] == score) & (order[at] < before))]
+        seen: Counter = Counter()
+        for k in at[np.argsort(order[at])].tolist():
+            seen[contents[k]] += 1
+            if seen[contents[k]] <= top:
+                yield k
 
     def run(batches):
-        vocabulary: dict = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i].as_py() for c in ("width", "ids", "contents", "sizes", "most", "bits", "group")}
-                if r["group"] not in vocabulary:   # the parsed query block that this task is at
-                    items = batch.column("items")[i].as_py()
-                    distinct = {t["term"]: None for x in items for t in x["terms"]}
-                    place = {t: k for k, t in enumerate(distinct)}
-                    vocabulary = {r["group"]: (
-                        items, np.array([xxhash.xxh64_intdigest(t, 42) for t in distinct], dtype=np.uint64),
-                        [np.array([t["weight"] for t in x["terms"]], dtype=np.float64) for x in items],
-                        [np.array([place[t["term"]] for t in x["terms"]]) for x in items])}
-                items, hashes, weights, owners = vocabulary[r["group"]]
-                found = _bounds(r["width"], r["sizes"], r["most"], r["bits"], hashes, weights, owners, n_docs, n_terms)
-                ranked = sorted(range(len(r["ids"])), key=lambda k: (r["ids"][k] is None, r["ids"][k]))
+                width, ids, contents, sizes, most, bits = (batch.column(c)[i].as_py() for c in range(6))
+                ranked = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k]))
+                known = [ids[k] for k in ranked if ids[k] is not None]
                 order = np.empty(len(ranked), dtype=np.int64)
                 order[ranked] = np.arange(len(ranked))
-                known = [r["ids"][k] for k in ranked if r["ids"][k] is not None]
-                rows = []
-                for x, bound in zip(items, found):
-                    limit = None
-                    if limits and x["score"] is not None:
-                        limit = x["score"], len(ranked) if x["last"] is None else bisect_right(known, x["last"])
-                    rows += [(x["item"], int(bound[k]), r["ids"][k], r["contents"][k], r["sizes"][k])
-                             for k in chosen(bound, order, r["contents"], limit)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], labels)
+                for numbers, hashes, weights, owners in items.value.chunks():
+                    found = _bounds(width, sizes, most, bits, hashes, weights, owners, n_docs, n_terms)
+                    rows = [(no, int(bound[k]), ids[k], contents[k], sizes[k]) for no, bound in zip(numbers, found) for k in (
+                        leading(bound, order) if limits is None else open_(bound, order, limits.get(no), known, contents))]
+                    if rows:
+                        yield _record(rows, schema)
 
-    # every block meets the stated query set, which comes in blocks of ITEMS
-    return blocks.crossJoin(groups).mapInArrow(run, schema)
+    return blocks.mapInArrow(run, schema)
 
 
 def _first(df: DataFrame, by, order, top: int, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= top)
 
 
-def _scored(candidates: DataFrame, docs: DataFrame, text_col: str, weights: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
-    """The candidates (item, content, size, ...) with their exact `score`; each text is counted once."""
-    found = written(candidates.select("content").distinct(), "contents")
+def _scored(chosen: DataFrame, docs: DataFrame, text_col: str, items, item_type: T.DataType, n_docs: int, n_terms: int) -> DataFrame:
+    """(no, item, id, score) of the chosen (no, id, content, size) with a score above 0; each text is read once."""
+    asks = written(chosen.groupBy("content").agg(F.max("size").alias("size"), F.collect_list(F.struct("no", "id")).alias("asks")), "asks")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bodies = one_text_each(docs.select(_content(text).alias("content"), text.alias("text")), found)
+    bodies = one_text_each(docs.select(_content(text).alias("content"), text.alias("text")), asks.select("content"))
+    schema = fields(("no", T.IntegerType()), ("item", item_type), ("id", docs.schema["id"].dataType), ("score", T.LongType()))
 
-    def work(contents, texts):
-        rows = [(c, t, n) for c, text in zip(contents, texts) for t, n in Counter(terms(text)).items()]
-        return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+    def run(batches):
+        for whole in batches:
+            for piece in slices(whole):
+                rows = []
+                for body, size, wanted in zip(*[piece.column(c).to_pylist() for c in range(3)]):
+                    counts = Counter(terms(body))
+                    m = 100 - B_SHARE + (B_SHARE * size * n_docs) // n_terms
+                    gain = {t: 1_000_000_000 * n // (1000 * n + 8 * m) for t, n in counts.items()}
+                    known: dict = {}
+                    for ask in wanted:
+                        no = ask["no"]
+                        item, weights = items.value.asked[no]
+                        if no not in known:
+                            known[no] = sum(weights[t] * gain[t] for t in weights.keys() & gain.keys())
+                        if known[no] > 0:
+                            rows.append((no, item, ask["id"], known[no]))
+                if rows:
+                    yield _record(rows, schema)
 
-    counts = map_batches(bodies, ["content", "text"], fields(
-        ("content", T.BinaryType()), ("term", T.BinaryType()), ("tf", T.LongType())), work)
-    counts = counts.join(weights.select("term").distinct(), "term", "left_semi")
-    length = F.expr(f"{100 - B_SHARE} + (cast({B_SHARE} as decimal(38, 0)) * size * {n_docs}) div {n_terms}")
-    pairs = candidates.select(F.col("item").alias("_item"), "content", length.alias("m")).distinct()
-    gain = F.expr("weight * ((1000000000 * tf) div (1000 * tf + 8 * m))")
-    scores = (pairs.join(counts, "content").join(weights, F.col("_item").eqNullSafe(F.col("item"))
-                                                 & (counts["term"] == weights["term"]))
-              .groupBy("_item", F.col("content").alias("_content")).agg(F.sum(gain).alias("score")))
-    return written(candidates.join(scores, F.col("item").eqNullSafe(F.col("_item")) & (F.col("content") == F.col("_content")))
-                   .drop("_item", "_content"), "scores")
+    return written(asks.join(bodies, "content").select("text", "size", "asks").mapInArrow(run, schema), "scores")
+
+
+def _asked(weights: DataFrame) -> list[tuple[object, dict[bytes, int]]]:
+    """The items of a query block in a fixed order, each with the weights of its terms."""
+    out: dict = {}
+    for r in weights.collect():
+        out.setdefault(r["item"], {})[bytes(r["term"])] = r["weight"]
+    return [(item, dict(sorted(out[item].items()))) for item in sorted(out, key=lambda x: (x is None, x))]
 
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-           item_text: str = "text", top: int = TOP, group: int = ITEMS) -> DataFrame:
+           item_text: str = "text", top: int = TOP, query_terms: int = QUERY_TERMS,
+           widest: int = WIDEST) -> DataFrame:
     """(item, rank, id, score): the `top` documents of the highest score above 0 for each item.
 
     Equal scores rank by id, NULL ids last. Repeated rows of a document are documents of their own;
     rows of one item id, NULL included, are one item with the terms of all. NULL, empty and term-less
     texts find nothing and are not found. Texts of any length are taken whole; other columns are
-    ignored; empty tables give no rows.
+    ignored; empty tables give no rows. Items are asked in blocks of about `query_terms` terms. A
+    signature has at most `widest` bits (a power of two): with fewer, more documents are scored.
     """
-    index = build_index(docs, id_col, text_col)
+    spark, item_type = docs.sparkSession, items.schema[item_col].dataType
+    index = build_index(docs, id_col, text_col, widest)
     blocks = index.filter(F.col("bits").isNotNull()).select("width", "ids", "contents", "sizes", "most", "bits")
     n_docs, n_terms = blocks.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long"), F.coalesce(F.sum(
         F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).cast("long")).first()
@@ -317,26 +349,29 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     weight = F.expr(f"cast(floor(1000 * ln((2 * {n_docs}L + 2) / (2 * df + 1))) as bigint)")
     weights = written(_item_terms(items, item_col, item_text).join(seen, "term").select("item", "term", weight.alias("weight"))
                       .filter(F.col("weight") > 0), "weights")
-    n_groups = max(1, -(-weights.select("item").distinct().count() // group))
-
-    def groups(limits: DataFrame | None) -> DataFrame:
-        packed = weights.groupBy("item").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
-        if limits is None:
-            packed = packed.withColumns({"score": F.lit(None).cast("long"), "last": F.lit(None).cast(docs.schema[id_col].dataType)})
-        else:
-            packed = packed.join(limits.withColumnRenamed("item", "_own"), F.col("item").eqNullSafe(F.col("_own")), "left").drop("_own")
-        return written(packed.groupBy(F.pmod(F.xxhash64("item"), F.lit(n_groups)).alias("group")).agg(
-            F.collect_list(F.struct("item", "terms", "score", "last")).alias("items")), "items")
-
+    n_parts = max(1, -(-weights.count() // query_terms))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_body"))
     by_id = F.col("id").asc_nulls_last()
-    total = max(n_terms, 1)
-    bounds = _bounded(blocks, groups(None), n_docs, total, top, False)
-    leaders = written(_first(bounds, ["item"], [F.col("bound").desc(), by_id], top, "n"), "leaders")
-    reached = _scored(leaders, docs, text_col, weights, n_docs, total).drop("n").filter("score > 0")
-    limits = _first(reached, ["item"], [F.col("score").desc(), by_id], top, "n").filter(F.col("n") == top)
-    open_ = _bounded(blocks, groups(limits.select("item", "score", F.col("id").alias("last"))), n_docs, total, top, True)
-    candidates = written(_first(open_, ["item", "content"], [by_id], top, "n"), "candidates")
-    release(index, leaders, reached)
-    scores = _scored(candidates, docs, text_col, weights, n_docs, total).filter("score > 0")
-    return _first(scores, ["item"], [F.col("score").desc(), by_id], top, "rank").select(
-        F.col("item").alias(item_col), F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+
+    def best(scores: DataFrame) -> DataFrame:
+        return _first(scores, ["no"], [F.col("score").desc(), by_id], top, "rank")
+
+    results = []
+    for part in range(n_parts):
+        asked = _asked(weights.filter(F.pmod(F.xxhash64("item"), F.lit(n_parts)) == part))
+        if not asked and (results or part + 1 < n_parts):
+            continue
+        sent = spark.sparkContext.broadcast(_Items(asked))
+        total = max(n_terms, 1)
+
+        def score(chosen):
+            return _scored(chosen, own, "_body", sent, item_type, n_docs, total)
+
+        leaders = score(_first(_bounded(blocks, sent, n_docs, total, top, None), ["no"], [F.col("bound").desc(), by_id], top, "n"))
+        limits = {r["no"]: (r["score"], r["id"]) for r in best(leaders).filter(F.col("rank") == top).collect()}
+        release(leaders)
+        scores = score(_first(_bounded(blocks, sent, n_docs, total, top, limits), ["no", "content"], [by_id], top, "n"))
+        results.append(best(scores).select(F.col("item").alias(item_col), F.col("rank").cast("int").alias("rank"),
+                                           F.col("id").alias(id_col), "score"))
+    release(index, weights)
+    return reduce(DataFrame.unionByName, results)

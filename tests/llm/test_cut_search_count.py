@@ -109,24 +109,21 @@ def found(spark, docs, items, **options):
     return [tuple(r) for r in got.select("item_id", "rank", "doc_id", "score").collect()]
 
 
-def test_search_equals_scoring_every_document(spark, monkeypatch):
+def test_search_equals_scoring_every_document(spark):
     bodies = texts(150, 3) + ODD
     docs = list(enumerate(bodies)) + [(1000 + i, bodies[7]) for i in range(40)] + [(None, bodies[7]), (None, bodies[9]), (5, bodies[11])]
     items = [(i, t) for i, t in enumerate(texts(25, 4))] + [(30, bodies[7]), (31, "Ab0 AB1 ab0"), (32, ""), (33, None), (34, "unheard"),
                                                             (35, "ab3"), (35, "cd4"), (None, "é5 é6"), (36, "漢字 😀")]
     expected = plain_search(docs, items)
     assert sorted(found(spark, docs, items), key=str) == sorted(expected, key=str)
-    assert sorted(found(spark, docs, items, group=7, top=3), key=str) == sorted((r for r in expected if r[1] <= 3), key=str)
+    assert sorted(found(spark, docs, items, query_terms=300, top=3), key=str) == sorted((r for r in expected if r[1] <= 3), key=str)
     assert found(spark, [], items) == [] and found(spark, docs, []) == [] and found(spark, [(1, "..."), (2, None)], items) == []
 
 
-def test_bounds_hold_and_saturated_signatures_stay_exact(spark, monkeypatch):
+def test_saturated_signatures_stay_exact(spark):
     """Signatures of far too few bits exclude little, and the result is the same."""
     docs, items = list(enumerate(texts(60, 5))), list(enumerate(texts(6, 6)))
-    for name, value in (("NARROWEST", 16), ("WIDEST", 16), ("CELLS", 1 << 9)):
-        monkeypatch.setattr(lexical_search, name, value)
-    assert lexical_search._width(1000) == 16
-    assert sorted(found(spark, docs, items)) == sorted(plain_search(docs, items))
+    assert sorted(found(spark, docs, items, widest=16)) == sorted(plain_search(docs, items))
 
 
 def test_bounds_are_upper_bounds():
