@@ -436,7 +436,7 @@ def mantel_statistic(spark, d):
 
 @case("mantel")
 def mantel(spark, d):
-    return H.mantel(*_two_distances(spark, d), n_perm=19, seed=5)
+    return H.mantel(*_two_distances(spark, d), n_perm=9999, seed=5)
 
 
 @case("mantel_correlogram", f"""WITH {t.CLEAN}, {t.COV}, {DIST}, b AS (SELECT min(g) AS lo, max(g) AS hi, ceil(log2(count(*)) + 1) AS k FROM rr),
@@ -447,6 +447,11 @@ def mantel_correlogram(spark, d):
     return H.mantel_correlogram(*_two_distances(spark, d))
 
 
+@case("mantel_correlogram_p")
+def mantel_correlogram_p(spark, d):
+    return H.mantel_correlogram(*_two_distances(spark, d), n_perm=999, seed=5)
+
+
 # ------------------------------------------------------------------ screens and draws
 
 _POP = "(count(v) * sum(v * v) - sum(v) * sum(v))"

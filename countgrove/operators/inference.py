@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import attach, dbl, names, ratio, safe_log, with_group_stats
 from ..functions.special import chi2_sf, norm_cdf, norm_sf2, student_sf2
+from ..plans import permuted_tiles
 from ..plans.pair_blocks import dot, pair_sums
+from ..plans.permuted_tiles import indexed_pairs, n_relabellings, permuted_sums
 from ..plans.ranking import (accumulate, average_rank, hashed_index, hist_quantiles, median_of,
                              row_index, step_up_adjust, value_counts)
 from ..plans.scratch import written
@@ -467,54 +469,92 @@ def mantel_statistic(a: DataFrame, b: DataFrame, method: str = "spearman") -> Da
     return j.agg(F.corr(dbl("x"), dbl("y")).alias("r"), F.count(F.lit(1)).alias("n_pairs"))
 
 
-def mantel(a: DataFrame, b: DataFrame, method: str = "spearman", n_perm: int = 999, seed: int = 1) -> DataFrame:
+def _correlation(n, x, y, xx, yy, xy) -> Column:
+    """Correlation from the sums of centred values; NULL where one side does not vary."""
+    return F.try_divide(xy - x * y / n, F.sqrt(F.greatest(xx - x * x / n, F.lit(0.0))) * F.sqrt(F.greatest(yy - y * y / n, F.lit(0.0))))
+
+
+def _centred_values(t: DataFrame, method: str) -> DataFrame:
+    """(i, j, v): ranks or values less their mean, so that sums of products lose no digits."""
+    if method not in ("spearman", "pearson"):
+        raise ValueError("method must be spearman or pearson")
+    t = average_rank(t, "v", name="_r").select("i", "j", F.col("_r").alias("v")) if method == "spearman" else t
+    t = written(t.select("i", "j", dbl("v").alias("v")), "values")
+    return t.select("i", "j", (F.col("v") - t.agg(F.avg("v")).scalar()).alias("v"))
+
+
+def mantel(a: DataFrame, b: DataFrame, method: str = "spearman", n_perm: int = 9999, seed: int = 1,
+           block: int = permuted_tiles.BLOCK) -> DataFrame:
     """Mantel statistic with permutation p = (1 + #{r* >= r}) / (1 + n_perm).
 
-    Ranks do not change when samples of `b` change places, so values are ranked once and
-    each replicate only moves sample labels.
+    The tables (s1, s2, value) are compared on the samples that both have; pairs that one of them
+    lacks are left out. Ranks do not change when samples of `b` change places, so values are ranked
+    once. If the samples have no more orders than `n_perm`, each order is taken once, p is exact and
+    `n_perm` tells their number less one. Tables without variation have r and p NULL; without pairs, n_perm 0.
     """
-    def values(t):
-        return (average_rank(t, "value", name="_v") if method == "spearman"
-                else t.withColumn("_v", dbl("value"))).select("s1", "s2", "_v")
-
-    a, b = written(a, "pairs"), written(b, "pairs")
-    x, y = values(a), values(b)
-    ids = b.select(F.col("s1").alias("sample")).union(b.select("s2")).distinct()
-    reps = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_perm).cast("bigint")))
-    seats = hashed_index(ids, "sample", name="_i", seed=seed)
-    moved = hashed_index(ids.withColumn("rep", reps), ["rep", "sample"], "rep", "_i", seed + 1)
-    move = moved.join(seats.withColumnRenamed("sample", "_to"), "_i").select("rep", "sample", "_to")
-    still = ids.select(F.lit(0).cast("bigint").alias("rep"), "sample", F.col("sample").alias("_to"))
-    move = move.unionByName(still)
-    placed = (y.join(move.select(F.col("sample").alias("s1"), "rep", F.col("_to").alias("_t1")), "s1")
-              .join(move.select(F.col("sample").alias("s2"), "rep", F.col("_to").alias("_t2")), ["s2", "rep"])
-              .select("rep", F.least("_t1", "_t2").alias("s1"), F.greatest("_t1", "_t2").alias("s2"), F.col("_v").alias("_y")))
-    r = placed.join(x, ["s1", "s2"]).groupBy("rep").agg(F.corr("_v", "_y").alias("r"))
-    observed = F.max(F.when(F.col("rep") == 0, F.col("r")))
-    out = with_group_stats(r, [], _obs=observed)
+    sides = [t.select("s1", "s2", F.col("value").alias("v")) for t in (written(a, "pairs"), written(b, "pairs"))]
+    (x, y), n = indexed_pairs(sides)
+    times, every = n_relabellings(n, n_perm)
+    sums = permuted_sums(_centred_values(x, method), _centred_values(y, method), n, times, every, seed, block=block)
+    r = sums.select("rep", _correlation(*map(F.col, ("n", "x", "y", "xx", "yy", "xy"))).alias("r"))
+    out = with_group_stats(r, [], _obs=F.max(F.when(F.col("rep") == 0, F.col("r"))))
     hits = F.count_if((F.col("rep") > 0) & (F.col("r") >= F.col("_obs") - 1e-12))
-    return out.agg(F.max("_obs").alias("r"), ((hits + 1) / F.lit(n_perm + 1.0)).alias("p"), F.lit(n_perm).alias("n_perm"))
+    return out.agg(F.max("_obs").alias("r"), F.when(F.max("_obs").isNotNull(), (hits + 1) / F.lit(times + 1.0)).alias("p"),
+                   F.lit(times).alias("n_perm"))
 
 
-def mantel_correlogram(d: DataFrame, geo: DataFrame, n_class: int | None = None) -> DataFrame:
+def mantel_correlogram(d: DataFrame, geo: DataFrame, n_class: int | None = None, n_perm: int = 0, seed: int = 1,
+                       block: int = permuted_tiles.BLOCK) -> DataFrame:
     """Mantel statistic of ranked values against membership in each distance class.
 
     Classes are equal in width; their number follows Sturges' rule by default. The sign is
-    turned, so positive means that pairs of the class are alike.
+    turned, so positive means that pairs of the class are alike. With `n_perm` relabellings (all
+    orders of the samples, if they are no more) each class has a p on the side of its statistic, and
+    `p_adjusted`: Holm's correction over the classes up to it, in order of distance.
     """
     j = d.select("s1", "s2", F.col("value").alias("x")).join(geo.select("s1", "s2", F.col("value").alias("g")), ["s1", "s2"])
-    ranked = written(average_rank(j, "x", name="_r").select("_r", "g"), "ranked")
+    ranked = written(average_rank(j, "x", name="_r").select("s1", "s2", "_r", "g"), "ranked")
     facts = with_group_stats(ranked, [], _lo=F.min("g"), _hi=F.max("g"), _n=F.count(F.lit(1)), _s=F.sum("_r"),
                              _q=F.sum(F.col("_r") * F.col("_r")))
     k = F.lit(n_class) if n_class is not None else F.ceil(F.log2(F.col("_n")) + 1)
     cls = F.least(F.try_divide(F.col("g") - F.col("_lo"), (F.col("_hi") - F.col("_lo")) / k).cast("int"), k - 1)
-    rows = facts.withColumn("class", cls.cast("bigint")).groupBy("class").agg(
+    classed = facts.withColumn("class", cls.cast("bigint"))
+    rows = classed.groupBy("class").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.avg("g").alias("mean_distance"), F.sum("_r").alias("_in"),
         F.max("_n").cast("double").alias("_n"), F.max("_s").alias("_s"), F.max("_q").alias("_q"))
     m = dbl("n_pairs")
     cov = F.col("_n") * F.col("_in") - m * F.col("_s")
     spread = (F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s")) * (F.col("_n") * m - m * m)
-    return rows.select("class", "n_pairs", "mean_distance", (-F.try_divide(cov, F.sqrt(spread))).alias("r"))
+    table = rows.select("class", "n_pairs", "mean_distance", (-F.try_divide(cov, F.sqrt(spread))).alias("r"))
+    if not n_perm:
+        return table
+    sides = [classed.select("s1", "s2", F.col(c).alias("v")) for c in ("_r", "class")]
+    (x, y), n = indexed_pairs(sides)
+    times, every = n_relabellings(n, n_perm)
+    sums = permuted_sums(_centred_values(x, "pearson"), y, n, times, every, seed, classes=True, block=block)
+    whole = sums.groupBy("rep").agg(*[F.sum(c).alias(f"_{c}") for c in ("n", "x", "xx")])
+    inside = F.col("n")
+    each = attach(sums, whole, "rep").select("rep", "class", (-_correlation(
+        F.col("_n"), F.col("_x"), inside, F.col("_xx"), inside, F.col("x"))).alias("r"))
+    observed = attach(each, each.filter("rep = 0").select("class", F.col("r").alias("_obs")), "class").filter("rep > 0")
+    side = F.signum("_obs")
+    hits = observed.groupBy("class").agg(F.count_if(side * F.col("r") >= side * F.col("_obs") - 1e-12).alias("_hits"))
+    tested = table.join(hits, "class", "left").withColumn("p", F.when(
+        F.col("r").isNotNull(), (F.coalesce("_hits", F.lit(0)) + 1) / F.lit(times + 1.0))).drop("_hits")
+    return _progressive_holm(tested)
+
+
+def _progressive_holm(tested: DataFrame) -> DataFrame:
+    """`p_adjusted`: the p of a class by Holm's step-down correction over it and the nearer classes.
+
+    Classes are few (a Sturges count), so each meets the nearer ones.
+    """
+    p = tested.filter(F.col("p").isNotNull()).select(F.col("class").alias("c"), "p")
+    family = p.withColumnsRenamed({"c": "of", "p": "_own"}).join(p, F.col("c") <= F.col("of"))
+    order = Window.partitionBy("of").orderBy("p", "c")
+    stepped = family.withColumn("_s", F.col("p") * (F.count(F.lit(1)).over(Window.partitionBy("of")) - F.row_number().over(order) + 1))
+    running = stepped.withColumn("p_adjusted", F.least(F.lit(1.0), F.max("_s").over(order))).filter("c = of")
+    return tested.join(running.select(F.col("of").alias("class"), "p_adjusted"), "class", "left")
 
 
 # ------------------------------------------------------------------ screens, draws
