@@ -37,6 +37,36 @@ def truncated_svd(spark, d):
     return O.truncated_svd(x, 5)["eigenvalues"]
 
 
+def _taxa_svd(spark, d, k=5):
+    x = C.log_transform(t.brand_counts(spark, d), "reads", "log1p", "value").select("feature", "sample", "value")
+    return O.truncated_svd(x, k), x
+
+
+@case("svd_singular_values")
+def svd_singular_values(spark, d):
+    return _taxa_svd(spark, d)[0]["singular_values"]
+
+
+@case("svd_rows")
+def svd_rows(spark, d):
+    return _taxa_svd(spark, d)[0]["rows"]
+
+
+@case("svd_columns")
+def svd_columns(spark, d):
+    return _taxa_svd(spark, d)[0]["columns"]
+
+
+@case("svd_rebuilt", f"WITH {t.BRANDS} SELECT feature, sample, round(ln(1 + CAST(reads AS DOUBLE)), 6) AS value FROM brands", digits=6)
+def svd_rebuilt(spark, d):
+    """Every cell from the row and column scores of all axes."""
+    svd, x = _taxa_svd(spark, d, t.brand_counts(spark, d).select("feature").distinct().count())
+    axes = [c for c in svd["rows"].columns if c.startswith("axis_")]
+    left, right = (svd[k].select(key, F.array(*axes).alias(name)) for k, key, name in (("rows", "feature", "l"), ("columns", "sample", "r")))
+    return x.select("feature", "sample").join(left, "feature").join(right, "sample").select("feature", "sample", F.aggregate(
+        F.zip_with("l", "r", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b).alias("value"))
+
+
 @case("correspondence_analysis")
 def correspondence_analysis(spark, d):
     return O.correspondence_analysis(t.brand_counts(spark, d), 3)["samples"]
@@ -177,6 +207,16 @@ def all_subsets_aicc(spark, d):
     return O.all_subsets_aicc(t.table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
 
 
+@case("best_subset_of_two", """WITH m AS (SELECT regr_r2(l_extendedprice, l_quantity) AS a, regr_r2(l_extendedprice, l_tax) AS b, corr(l_extendedprice, l_quantity) AS yq, corr(l_extendedprice, l_tax) AS yt,
+ corr(l_quantity, l_tax) AS qt, CAST(regr_syy(l_extendedprice, l_quantity) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM lineitem),
+ f AS (SELECT n, s, unnest(['1', 'l_quantity', 'l_tax', 'l_quantity+l_tax']) AS model, unnest([2, 3, 3, 4]) AS df,
+ unnest([0, a, b, (yq * yq + yt * yt - 2 * yq * yt * qt) / (1 - qt * qt)]) AS r2 FROM m),
+ c AS (SELECT model, df, n * ln(s * (1 - r2) / n) + n * (ln(2 * pi()) + 1) + 2 * df + 2.0 * df * (df + 1) / (n - df - 1) AS aicc FROM f)
+ SELECT model, CAST(df AS INTEGER) AS df, round(aicc, 6) AS aicc FROM c""")
+def best_subset_of_two(spark, d):
+    return O.all_subsets_aicc(t.table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_tax"], delta=1e12).select("model", "df", "aicc")
+
+
 # ------------------------------------------------------------------ laws
 
 

@@ -14,13 +14,17 @@ from ..plans.ranking import quantiles_of
 
 
 def dense_moments(counts: DataFrame, by, cells: Column, value: str = "reads", sd: bool = False) -> DataFrame:
-    """Mean and sample variance over `cells` cells per group, absent cells being 0."""
+    """Mean and sample variance over `cells` cells per group, absent cells being 0.
+
+    Centred moments of the present cells, which merge without losing digits, are combined with the
+    block of zeros: its squares about the common mean add mean^2 n zeros / cells.
+    """
     x = dbl(value)
-    sums = counts.groupBy(*names(by)).agg(F.sum(x).alias("_s"), F.sum(x * x).alias("_q"), cells.alias("_n"))
-    n = dbl("_n")
-    var = F.try_divide(F.col("_q") - F.col("_s") * F.col("_s") / n, n - 1)
-    out = sums.select(*names(by), ratio("_s", "_n").alias("mean"),
-                      F.when(n > 1, F.greatest(var, F.lit(0.0))).alias("variance"))
+    sums = counts.groupBy(*names(by)).agg(F.avg(x).alias("_m"), F.var_pop(x).alias("_v"), F.count(x).cast("double").alias("_k"),
+                                          cells.alias("_n"))
+    n, k, m = dbl("_n"), F.col("_k"), F.coalesce("_m", F.lit(0.0))
+    squares = F.coalesce("_v", F.lit(0.0)) * k + m * m * k * (n - k) / n
+    out = sums.select(*names(by), F.try_divide(m * k, n).alias("mean"), F.when(n > 1, squares / (n - 1)).alias("variance"))
     return out.withColumn("sd", F.sqrt("variance")) if sd else out
 
 

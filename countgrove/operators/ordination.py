@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import attach, dbl, names, ratio
+from ..plans.low_rank import singular_triplets
 from ..plans.pair_blocks import row_pairs
 from ..plans.ranking import hashed_index
 from ..plans.scratch import written
@@ -127,33 +128,27 @@ def truncated_svd(cells: DataFrame, k: int, row: str = "feature", column: str =
                   value: str = "value") -> dict[str, DataFrame]:
     """Largest singular values of a sparse matrix with L = U sqrt(D) and R = V sqrt(D).
 
-    Rows are distributed; Spark's iterative solver returns the values and the column
-    vectors (columns x k). Row scores are a join and a sum. The cumulative share of
-    squared singular values serves every rank up to k.
+    Rows and columns both stay on Spark (`plans/low_rank.py`). `singular_values` serves every rank up
+    to k: share and running share of their sum over the k values, and their logarithm; `eigenvalues`
+    are their squares with shares of the sum of squares of the whole matrix. An empty or zero matrix
+    has no axes.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
     spark = cells.sparkSession
-    x = written(cells.select(row, column, dbl(value).alias("_x")).filter("_x <> 0"), "matrix")
-    index = written(hashed_index(x.select(column).distinct(), column, name="_i"), "columns")
-    width = index.count()
-    k = min(k, width)
-    vectors = (x.join(index, column).groupBy(row)
-               .agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("v")))
-    rdd = vectors.select("v").rdd.map(
-        lambda r: Vectors.sparse(width, [int(e[0]) for e in r["v"]], [e[1] for e in r["v"]]))
-    svd = RowMatrix(rdd).computeSVD(k)
-    s, v = np.array(svd.s.toArray()), np.array(svd.V.toArray()).reshape(width, -1)
-    sign = np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
-    v = v * sign
-    total = x.agg(F.sum(F.col("_x") * F.col("_x"))).first()[0]
-    right = spark.createDataFrame(pd.DataFrame(
-        {"_i": np.arange(width, dtype=np.int64), **{f"axis_{a + 1}": v[:, a] * np.sqrt(s[a]) for a in range(len(s))}}))
-    columns = index.join(right, "_i").drop("_i")
-    rows = x.join(columns, column).groupBy(row).agg(*[
-        (F.sum(F.col("_x") * F.col(f"axis_{a + 1}")) / F.lit(float(s[a]))).alias(f"axis_{a + 1}") for a in range(len(s))])
-    return {"eigenvalues": _eigen_frame(spark, s ** 2, float(total)), "rows": rows, "columns": columns}
+    x = written(cells.select(F.col(row).alias("row"), F.col(column).alias("column"), dbl(value).alias("x")).filter("x <> 0"), "matrix")
+    total = x.agg(F.sum(F.col("x") * F.col("x"))).first()[0]
+    if total is None:
+        s, left, right = np.zeros(0), x.select("row"), x.select("column")
+    else:
+        s, left, right = singular_triplets(x, k)
+    values = _eigen_frame(spark, s, float(s.sum())).select(
+        "axis", F.col("eigenvalue").alias("singular_value"), "share", F.col("cumulative").alias("ratio"),
+        F.log("eigenvalue").alias("log_value"))
+
+    def scaled(df, key, name):
+        return df.select(F.col(key).alias(name), *[(F.col(f"b{a}") * F.lit(float(np.sqrt(v)))).alias(f"axis_{a + 1}") for a, v in enumerate(s)])
+
+    return {"singular_values": values, "eigenvalues": _eigen_frame(spark, s ** 2, float(total or 0.0)),
+            "rows": scaled(left, "row", row), "columns": scaled(right, "column", column)}
 
 
 def correspondence_analysis(counts: DataFrame, k: int = 2) -> dict[str, DataFrame]:
@@ -582,46 +577,97 @@ def vif_terms(df: DataFrame, terms) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "term string, df int, gvif double, per_df double")
 
 
-def _least_squares(cp: np.ndarray, x: list[int], y: int):
-    """Coefficients and residual sum of squares on the given columns with intercept."""
-    ix = [0, *x]
-    beta = np.linalg.lstsq(cp[np.ix_(ix, ix)], cp[ix, y], rcond=None)[0]
-    return beta, float(cp[y, y] - beta @ cp[ix, y])
+def _centred_fit(gram: np.ndarray, x: list[int], y: int) -> tuple[np.ndarray, float]:
+    """Coefficients and residual sum of squares on the given columns, from centred sums of products.
+
+    Columns are scaled to one before solving; aliased columns share their coefficient.
+    """
+    total = float(gram[y, y])
+    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    if not x:
+        return np.zeros(0), total
+    unit = gram / np.outer(scale, scale)
+    beta = np.linalg.lstsq(unit[np.ix_(x, x)], unit[x, y], rcond=1e-12)[0]
+    return beta * scale[y] / scale[x], max(total * (1.0 - float(beta @ unit[x, y])) if total > 0 else 0.0, 0.0)
 
 
 def glm_gaussian(df: DataFrame, y: str, x) -> DataFrame:
-    """Least-squares fit: coefficient per term, deviance per degree of freedom, deviance R2."""
+    """Least-squares fit: coefficient per term, deviance per degree of freedom, deviance R2.
+
+    Solved from centred sums of products, so means far from 0 cost no digits.
+    """
     x = names(x)
-    cp = cross_products(df, [*x, y])
-    beta, dev = _least_squares(cp, list(range(1, len(x) + 1)), len(x) + 1)
-    null = _least_squares(cp, [], len(x) + 1)[1]
-    dof = cp[0, 0] - len(x) - 1
-    rows = [(t, float(b), float(dev / dof), float(1 - dev / null)) for t, b in zip(["(intercept)", *x], beta)]
+    n, mean, gram = _moments(df, [*x, y])
+    beta, dev = _centred_fit(gram, list(range(len(x))), len(x))
+    level = mean[-1] - beta @ mean[:-1]
+    null, dof = float(gram[-1, -1]), n - len(x) - 1
+    rows = [(t, float(b), float(dev / dof) if dof > 0 else None, float(1 - dev / null) if null > 0 else None)
+            for t, b in zip(["(intercept)", *x], [level, *beta])]
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, dispersion double, deviance_r2 double")
 
 
-def all_subsets_aicc(df: DataFrame, y: str, x, delta: float = 2.0) -> DataFrame:
-    """Every sub-model ranked by AICc, those within `delta` of the best.
+def _aicc(n: float, rss: float, terms: int) -> float:
+    k = terms + 2
+    if n - k - 1 <= 0:
+        return float("inf")
+    return n * np.log(rss / n) + n * (np.log(2 * np.pi) + 1) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+
+
+SUBTREES = 8   # terms whose choices are dealt out: 2^8 subtrees of models
 
-    One pass over the rows; sub-models are solved in parallel from the small matrix.
+
+def all_subsets_aicc(df: DataFrame, y: str, x, delta: float = 2.0) -> DataFrame:
+    """Every sub-model ranked by AICc, those within `delta` of the best: (model, df, aicc, delta).
+
+    One pass over the rows gives the centred sums of products; the models are searched by branch and
+    bound. A subtree fixes some terms in or out; no model in it has fewer residuals than the one with
+    all its undecided terms, nor fewer terms than its fixed ones, so subtrees that cannot come within
+    `delta` of the best model known are left. Terms are decided in order of what the full model
+    loses without them. Subtrees of the first terms are dealt to tasks with the best model of the
+    stepwise paths as the first bound. There is no limit to the number of terms.
     """
     x = names(x)
-    if len(x) > 25:
-        raise ValueError("at most 25 terms")
-    cp = cross_products(df, [*x, y])
-    n, target = cp[0, 0], len(x) + 1
-
-    def solve(batches):
+    n, _, gram = _moments(df, [*x, y])
+    p, floor = len(x), float(gram[-1, -1]) * 1e-15 or 1e-300
+
+    def rss(ix) -> float:
+        return max(_centred_fit(gram, sorted(ix), p)[1], floor)
+
+    full = list(range(p))
+    loss = {v: rss([w for w in full if w != v]) for v in full}
+    order = sorted(full, key=lambda v: -loss[v])
+    paths, out, into = [full], list(full), []
+    while out:
+        out.remove(min(out, key=lambda v: rss([w for w in out if w != v])))
+        paths.append(list(out))
+    while len(into) < p:
+        into.append(min((v for v in full if v not in into), key=lambda v: rss([*into, v])))
+        paths.append(list(into))
+    known = min(_aicc(n, rss(ix), len(ix)) for ix in paths)
+    depth = min(p, SUBTREES)
+
+    def search(batches):
+        best = known
         for pdf in batches:
-            out = []
             for code in pdf["id"]:
-                ix = [j + 1 for j in range(len(x)) if code >> j & 1]
-                dev = _least_squares(cp, ix, target)[1]
-                k = len(ix) + 2
-                aicc = n * np.log(dev / n) + n * (np.log(2 * np.pi) + 1) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
-                out.append(("+".join(x[j - 1] for j in ix) or "1", k, float(aicc)))
-            yield pd.DataFrame(out, columns=["model", "df", "aicc"])
-
-    models = df.sparkSession.range(2 ** len(x)).mapInPandas(solve, "model string, df int, aicc double")
+                chosen = [v for i, v in enumerate(order[:depth]) if code >> i & 1]
+                rest = order[depth:]
+                stack, found = [(chosen, rest, rss([*chosen, *rest]))], []
+                while stack:
+                    inside, undecided, least = stack.pop()
+                    bound = _aicc(n, least, len(inside))
+                    if bound - best >= delta:
+                        continue
+                    if not undecided:
+                        best = min(best, bound)
+                        found.append(("+".join(x[v] for v in sorted(inside)) or "1", len(inside) + 2, float(bound)))
+                        continue
+                    first, later = undecided[0], undecided[1:]
+                    stack.append((inside, later, rss([*inside, *later])))
+                    stack.append(([*inside, first], later, least))
+                yield pd.DataFrame(found, columns=["model", "df", "aicc"])
+
+    models = written(df.sparkSession.range(0, 2 ** depth, 1, min(2 ** depth, 32)).mapInPandas(
+        search, "model string, df int, aicc double"), "models")
     best = models.agg(F.min("aicc")).scalar()
     return models.withColumn("delta", F.col("aicc") - best).filter(F.col("delta") < delta).orderBy("delta", "model")
