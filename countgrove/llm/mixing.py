@@ -93,17 +93,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                     "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
 
 
-def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         source_col: str = "source") -> DataFrame:
     """The rows of `docs`, each as often as `mixed` says, with their own columns only.
 
-    Rows that repeat an id share the copies of that id evenly.
+    Copies are known by id, source and size. Rows that agree in all three count alike and share
+    their copies evenly, in the order of their texts' digests; NULL ids and sources are values like any other.
     """
-    row, total, shares = (free_name(docs, c) for c in ("row_no", "copies", "rows"))
-    counts = mixed.groupBy(F.col(id_col).alias("_mixed_id")).agg(
-        F.sum("copies").alias(total), F.count(F.lit(1)).alias(shares))
-    numbered = docs.withColumn(row, F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)) - 1)
-    joined = numbered.join(counts, F.col(id_col).eqNullSafe(F.col("_mixed_id")))
-    own = F.floor(F.col(total) / F.col(shares)) + (F.col(row) < F.col(total) % F.col(shares)).cast("int")
-    each = free_name(docs, "copy_no")
-    return (joined.filter(own > 0).withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), own)))
+    own = [F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), size_of(f"`{text_col}`")]
+    size, total, rows, place, each = (free_name(docs, c) for c in ("size", "copies", "rows", "row_no", "copy_no"))
+    counts = mixed.groupBy(F.col(id_col).alias("_mixed_id"), F.col(source_col).alias("_mixed_source"), F.col("size").alias("_mixed_size")).agg(
+        F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows)).filter(F.col(total) > 0)
+    joined = docs.withColumn(size, own[2]).join(
+        counts, own[0].eqNullSafe(F.col("_mixed_id")) & own[1].eqNullSafe(F.col("_mixed_source")) & (F.col(size) == F.col("_mixed_size")))
+    alike = Window.partitionBy("_mixed_id", "_mixed_source", "_mixed_size").orderBy(F.xxhash64(f"`{text_col}`"))
+    single = joined.filter(F.col(rows) == 1).withColumn(place, F.lit(0))
+    several = joined.filter(F.col(rows) > 1).withColumn(place, F.row_number().over(alike) - 1)
+    copies = F.floor(F.col(total) / F.col(rows)) + (F.col(place) < F.col(total) % F.col(rows)).cast("int")
+    dealt = single.unionByName(several).withColumn(total, copies).filter(F.col(total) > 0)
+    return (dealt.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), F.col(total))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
