@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+# Characters that count as word characters of an expression but are no letters, such as superscripts and fractions.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+
 HELD_OUT = 2         # remainder of the fold that no model learns from
 FOLDS = 4
 SMALL = 100_000          # digests of 32 bytes that are sent to every executor; more are shuffled

@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_batches, fields, held_out, map_batches
+from .common import NUMERALS, append_batches, fields, held_out, map_batches
 
 PROFILE = 400        # n-grams of a language profile and of a document's list
 LONGEST = 3
 SAMPLE = 4000        # documents a language is learned from, at most (about)
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = re.compile(rf"[\W\d_{NUMERALS}]+")
 _BITS = 21           # of a code point; three fit a signed 64-bit key
 _SPACE = 32
 

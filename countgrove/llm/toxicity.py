@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.scratch import written
-from .common import append_batches, fields, held_out, map_batches
+from .common import NUMERALS, append_batches, fields, held_out, map_batches
 
 GRADES = 4
 VOCABULARY = 1000
@@ -38,7 +38,7 @@ STEPS = 300
 RATE = 0.1
 PENALTY = 2e-4
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
 def features_of(text: str | None) -> Counter:

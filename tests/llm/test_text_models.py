@@ -227,3 +227,12 @@ def test_toxicity_edge_cases(spark):
     both = toxicity.train(docs, spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, toxic int"))
     assert toxicity.severity(docs.limit(0), both).count() == 0
     assert toxicity.severity(docs, both).count() == 4
+
+
+def test_texts_of_numerals_have_no_language():
+    """Superscripts, fractions and circled numbers are no letters."""
+    from countgrove.llm import language, toxicity
+
+    for text in ("²³", "½ ¼", "①", "12 345", "_ . !"):
+        assert not language.gram_keys(text).size and not toxicity.features_of(text)
+    assert language.gram_keys("x²").tolist() == language.gram_keys("x").tolist() and language.gram_keys("一").size
