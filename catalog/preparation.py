@@ -347,11 +347,11 @@ def _choose(n, k):
 
 @case("rarefaction_curve", f"""WITH {t.CLEAN}, k AS (SELECT sample, reads, count(*) AS k FROM clean WHERE reads > 0 GROUP BY 1, 2),
  n AS (SELECT sample, CAST(sum(reads) AS BIGINT) AS n FROM clean GROUP BY 1),
- g AS (SELECT sample, n, unnest(list_distinct(list_append(range(1, n + 1, 200), n))) AS d FROM n),
+ g AS (SELECT sample, n, unnest(list_distinct(list_append(range(1, n + 1, 20), n))) AS d FROM n),
  s AS (SELECT sample, d, sum(k * (1 - CASE WHEN d <= n - reads THEN exp({_choose('(n - reads)', 'd')} - {_choose('n', 'd')}) ELSE 0 END)) AS r
-  FROM k JOIN g USING (sample) GROUP BY 1, 2) SELECT sample, d AS subsample, round(r, 2) AS richness FROM s""")
+  FROM k JOIN g USING (sample) GROUP BY 1, 2) SELECT sample, d AS subsample, round(r, 2) AS richness FROM s""", digits=6)
 def rarefaction_curve(spark, d):
-    return C.rarefaction_curve(t.clean(spark, d), step=200)
+    return C.rarefaction_curve(t.clean(spark, d))
 
 
 SHARE = """share AS (SELECT feature, sample, reads, CASE WHEN sum(reads) OVER (PARTITION BY sample) > 0 THEN

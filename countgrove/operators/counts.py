@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import attach, dbl, names, ratio, safe_log, with_group_stats
-from ..functions.special import log_choose, norm_ppf
+from ..functions.special import lgamma, norm_ppf
 from ..plans.ranking import average_rank, median_of
 
 
@@ -50,24 +50,36 @@ def rarefy_expected(counts: DataFrame, depth: int | None = None) -> DataFrame:
         F.col("depth") <= F.col("_d"), F.col("reads")).otherwise(scaled).alias("reads"))
 
 
+GRID = 4096    # depths of a curve that are met at once
+
+
 def rarefaction_curve(counts: DataFrame, step: int = 20) -> DataFrame:
     """Expected number of features at depths 1, 1+step, ... and at the full depth.
 
     Features with equal reads in a sample share one term, so cost follows the number of
-    distinct counts and not the number of features.
+    distinct counts and not the number of features. A sample's depths are cut into blocks of GRID;
+    its terms go to each block and meet the depths there, one by one, so neither a deep sample
+    nor its curve has to fit into one row or task.
     """
     if step < 1:
         raise ValueError("step must be positive")
     positive = counts.filter("reads > 0")
     terms = positive.groupBy("sample", "reads").agg(F.count(F.lit(1)).alias("_k"))
-    grid = attach(terms, library_size(positive), "sample").withColumn(
-        "subsample", F.explode(F.array_distinct(F.concat(
-            F.sequence(F.lit(1).cast("bigint"), F.col("depth"), F.lit(step).cast("bigint")),
-            F.array(F.col("depth"))))))
-    miss = log_choose(F.col("depth") - F.col("reads"), F.col("subsample")) - log_choose(
-        F.col("depth"), F.col("subsample"))
-    seen = F.lit(1.0) - F.coalesce(F.exp(miss), F.lit(0.0))
-    return grid.groupBy("sample", "subsample").agg(F.sum(F.col("_k") * seen).alias("richness"))
+    last = F.floor((F.col("depth") - 1) / (F.lit(step) * GRID)).cast("bigint")
+    zero, stride = F.lit(0).cast("bigint"), F.lit(step).cast("bigint")
+    met = (attach(terms, library_size(positive), "sample")
+           .withColumn("_own", lgamma(dbl("depth") - F.col("reads") + 1) - lgamma(dbl("depth") + 1))
+           .withColumn("_block", F.explode(F.sequence(zero, last))).repartition("sample", "_block"))
+    start = F.col("_block") * GRID * stride + 1
+    end = F.least(start + (GRID - 1) * stride, F.col("depth"))
+    depths = F.sequence(start, end, stride)
+    full = F.when(F.col("_block") == last, F.array(F.col("depth"))).otherwise(F.array().cast("array<bigint>"))
+    grid = met.withColumn("subsample", F.explode(F.array_distinct(F.concat(depths, full))))
+    # C(N - r, d) / C(N, d): the factor of d alone cancels, that of r alone is known before depths are met.
+    left = dbl("depth") - F.col("subsample") - F.col("reads")
+    miss = F.col("_own") + lgamma(dbl("depth") - F.col("subsample") + 1) - lgamma(left + 1)
+    seen = F.lit(1.0) - F.when(left >= 0, F.exp(miss)).otherwise(F.lit(0.0))
+    return grid.groupBy("sample", "_block", "subsample").agg(F.sum(F.col("_k") * seen).alias("richness")).drop("_block")
 
 
 def relative_abundance(counts: DataFrame, by="sample") -> DataFrame:

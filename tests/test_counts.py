@@ -97,3 +97,23 @@ def test_bad_arguments(spark):
         C.rarefaction_curve(df, 0)
     with pytest.raises(ValueError):
         X.rarefy_draw(df, 0)
+
+
+def test_curve_blocks_and_deep_samples(spark, monkeypatch):
+    """Blocks leave no depth out, and a deep sample is met block by block."""
+    import math
+
+    from countgrove.operators import counts as C
+
+    reads = {"a": [3, 3, 9, 40], "b": [1], "c": [7, 2]}
+    df = spark.createDataFrame([(f"f{i}", s, r) for s, v in reads.items() for i, r in enumerate(v)], "feature string, sample string, reads long")
+    monkeypatch.setattr(C, "GRID", 4)
+    got = {(r["sample"], r["subsample"]): r["richness"] for r in C.rarefaction_curve(df, 3).collect()}
+    want = {}
+    for s, v in reads.items():
+        n = sum(v)
+        for d in {*range(1, n + 1, 3), n}:
+            want[s, d] = sum(1 - math.comb(n - r, d) / math.comb(n, d) for r in v)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    deep = spark.createDataFrame([("f0", "s", 999_000_000), ("f1", "s", 1_000_000)], "feature string, sample string, reads long")
+    assert C.rarefaction_curve(deep, 20_000).count() == 50_001
