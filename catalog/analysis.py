@@ -117,7 +117,7 @@ def beta_nci(spark, d):
 @case("beta_by_group", f"""WITH {t.CLEAN}, {t.COV}, {BETA0} SELECT least(x.locality, y.locality) AS group_1, greatest(x.locality, y.locality) AS group_2, count(*) AS n,
  round(avg(beta), 6) AS mean, round(stddev_samp(beta), 6) AS sd, group_1 = group_2 AS within FROM beta JOIN cov x ON s1 = x.sample JOIN cov y ON s2 = y.sample GROUP BY 1, 2""")
 def beta_by_group(spark, d):
-    return V.beta_by_group(V.pairwise_beta(t.clean(spark, d), 0), t.covariates(spark, d), "locality")
+    return V.beta_within_and_between(t.clean(spark, d), t.covariates(spark, d), "locality")
 
 
 BRAND_DIST = """dist AS (SELECT a.f AS f1, b.f AS f2, abs(a.v - b.v) AS d FROM
@@ -150,7 +150,7 @@ def mean_phylo_distance_unweighted(spark, d):
 
 @case("mean_beta", f"WITH {t.CLEAN}, {BETA0} SELECT round(avg(beta), 6) AS mean_beta FROM beta")
 def mean_beta(spark, d):
-    return V.mean_beta(V.pairwise_beta(t.clean(spark, d), 0))
+    return V.mean_pairwise_beta(t.clean(spark, d))
 
 
 @case("covariate_difference", f"""WITH {t.CLEAN}, {t.COV}, {BETA0}, j AS (SELECT s1, s2, beta, abs(x.balance - y.balance) AS a, abs(x.price - y.price) AS b FROM beta JOIN cov x ON s1 = x.sample JOIN cov y ON s2 = y.sample)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import attach, names, ratio, with_group_stats
-from ..plans.pair_blocks import pair_sums, product_sums, shared, shared_entropy
+from ..plans.pair_blocks import pair_moments, pair_sums, product_sums, shared, shared_entropy
 
 
 def _shares(counts: DataFrame, by=("sample",)) -> DataFrame:
@@ -151,6 +152,30 @@ def beta_by_group(pairs: DataFrame, groups: DataFrame, group: str, value: str =
             .withColumn("within", F.col("group_1") == F.col("group_2")))
 
 
+def _beta_moments(counts: DataFrame, q: int, group: str | None = None, within=()) -> DataFrame:
+    """Count, mean and variance of the pairwise beta by pair of groups, summed up where pairs are formed."""
+    if q not in (0, 1):
+        raise ValueError("q must be 0 or 1")
+    present = counts.filter("reads > 0")
+    if q == 1:
+        return pair_moments(_shares(present, [*names(within), "sample"]), "sample", "feature", "p", shared_entropy,
+                            lambda sums, a, b: 2.0 * np.exp(sums), group, within)
+    return pair_moments(present, "sample", "feature", "reads", shared, lambda sums, a, b: (a + b - sums) / ((a + b) / 2), group, within)
+
+
+def beta_within_and_between(counts: DataFrame, groups: DataFrame, group: str, q: int = 0, key: str = "sample") -> DataFrame:
+    """`beta_by_group` of all pairs of samples, straight from the counts and without a table of pairs."""
+    own = groups.select(F.col(key).alias("sample"), F.col(group).alias("_label")).dropDuplicates(["sample"])
+    found = _beta_moments(counts.join(own, "sample"), q, "_label")
+    return found.select("group_1", "group_2", "n", "mean", F.sqrt("variance").alias("sd"),
+                        (F.col("group_1") == F.col("group_2")).alias("within"))
+
+
+def mean_pairwise_beta(counts: DataFrame, q: int = 0, within=()) -> DataFrame:
+    """`mean_beta` of all pairs of samples (per key of `within`), without a table of pairs."""
+    return _beta_moments(counts, q, None, within).select(*names(within), F.col("mean").alias("mean_beta"))
+
+
 def mean_phylo_distance(counts: DataFrame, distance: DataFrame, weighted: bool = True) -> DataFrame:
     """Mean feature distance between two samples, sum p_i q_j d_ij, for every pair.
 

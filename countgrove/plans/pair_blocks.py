@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.common import names
+from ..functions.common import dbl, names
 from .scratch import written
 
 BLOCK = 128
@@ -131,6 +131,77 @@ def pair_sums(df: DataFrame, row: str, inner: str, value: str, kernel: Callable
     return parts.groupBy(*keys, left, right).agg(F.sum("_v").alias(out))
 
 
+TILE_CELLS = 1_000_000   # cells of a block of rows whose pairs are summed up inside a task, about
+
+
+def pair_moments(df: DataFrame, row: str, inner: str, value: str, kernel: Callable, finish: Callable, group: str | None = None,
+                 keys=(), block: int = BLOCK, chunk: int = CHUNK, cells: int = TILE_CELLS) -> DataFrame:
+    """Count, mean and variance over pairs of rows by unordered pair of their groups, without a table of pairs.
+
+    Returns (keys, group_1, group_2, n, mean, variance); without `group` both are 0. A task holds all
+    cells of two blocks of rows, adds the kernel up chunk by chunk of the inner key, turns the sums
+    into one value per pair, `finish(sums, cells of the left rows, cells of the right rows)`, and
+    returns three numbers per pair of groups. Blocks hold about `block` rows and about `cells` cells
+    at most. Rows without a group take no part.
+    """
+    keys = names(keys)
+    label = F.col(group) if group else F.lit(0).cast("bigint")
+    data = written(df.select(*keys, F.col(row).alias("_row"), F.col(inner).alias("_inner"), dbl(value).alias("_value"),
+                             label.alias("_group")).filter(F.col("_group").isNotNull()), "cells")
+    sizes = data.groupBy(*keys).agg(F.count_distinct("_row").alias("_r"), F.count(F.lit(1)).alias("_c"))
+    blocks = sizes.agg(F.greatest(F.ceil(F.max("_r") / block), F.ceil(F.max("_c") / cells), F.lit(1)).cast("bigint")).scalar()
+    placed = data.withColumn("_n", blocks).withColumn("_block", F.pmod(F.xxhash64("_row"), F.col("_n")))
+    tiles = (placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+             .select(*keys, "_row", "_inner", "_value", "_group", "_block", F.least("_block", "_other").alias("_i"),
+                     F.greatest("_block", "_other").alias("_j")))
+    kind = data.schema["_group"].dataType
+    schema = T.StructType([data.schema[k] for k in keys] + [T.StructField("group_1", kind), T.StructField("group_2", kind)] + [
+        T.StructField(c, T.DoubleType()) for c in ("_n", "_mean", "_m2")])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
+        code = pd.factorize(pdf["_inner"])[0]
+        order = np.argsort(code, kind="stable")
+        code, pdf = code[order], pdf.iloc[order]
+        labels, at = np.unique(pdf["_group"].to_numpy(), return_inverse=True)
+        values, of = pdf["_value"].to_numpy(float), pdf["_block"].to_numpy()
+        sides = []
+        for b in (i, j):
+            mask = of == b
+            pos, ids = pd.factorize(pdf["_row"][mask], sort=True)
+            own = np.zeros(len(ids), dtype=int)
+            own[pos] = at[mask]
+            sides.append((np.nonzero(mask)[0], pos, np.asarray(ids), own, np.bincount(pos, values[mask] > 0, len(ids))))
+        (_, _, ids_a, group_a, n_a), (_, _, ids_b, group_b, n_b) = sides
+        sums = np.zeros((len(ids_a), len(ids_b)))
+        for start in range(0, int(code[-1]) + 1, chunk):
+            parts = []
+            for rows, pos, ids, _, _ in sides:
+                lo, hi = np.searchsorted(code[rows], [start, start + chunk])
+                m = np.zeros((min(chunk, int(code[-1]) + 1 - start), len(ids)))
+                m[code[rows[lo:hi]] - start, pos[lo:hi]] = values[rows[lo:hi]]
+                parts.append(m)
+            sums += kernel(*parts)
+        once = ids_a[:, None] < ids_b[None, :] if i == j else np.ones(sums.shape, dtype=bool)
+        found = finish(sums, n_a[:, None], n_b[None, :])[once]
+        low, high = np.minimum(group_a[:, None], group_b[None, :])[once], np.maximum(group_a[:, None], group_b[None, :])[once]
+        pair, where = np.unique(low * len(labels) + high, return_inverse=True)
+        n = np.bincount(where, minlength=len(pair)).astype(float)
+        mean = np.bincount(where, found, len(pair)) / n
+        m2 = np.bincount(where, (found - mean[where]) ** 2, len(pair))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "group_1": labels[pair // len(labels)],
+                             "group_2": labels[pair % len(labels)], "_n": n, "_mean": mean, "_m2": m2}, index=range(len(pair)))
+
+    by = [*keys, "group_1", "group_2"]
+    parts = written(tiles.groupBy(*keys, "_i", "_j").applyInPandas(run, schema), "moments")
+    whole = parts.groupBy(*by).agg(F.sum("_n").alias("_all"), (F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n")).alias("_centre"))
+    off = F.col("_mean") - F.col("_centre")
+    return (parts.join(whole, by).groupBy(*by).agg(
+        F.max("_all").cast("bigint").alias("n"), F.max("_centre").alias("mean"),
+        F.sum(F.col("_m2") + F.col("_n") * off * off).alias("_m2"))
+        .select(*by, "n", "mean", F.when(F.col("n") > 1, F.col("_m2") / (F.col("n") - 1)).alias("variance")))
+
+
 def product_sums(a: DataFrame, b: DataFrame, row: str, col: str, inner: str, value: str,
                  block: int = BLOCK, chunk: int = CHUNK, out: str = "value") -> DataFrame:
     """Matrix product of two long tables, (row, col, value), tile by tile.

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from countgrove.operators import diversity as V
 from countgrove.operators import inference as H
@@ -113,3 +114,58 @@ def test_shuffle_keeps_the_column(spark):
         own = [r for r in rows if r["rep"] == rep]
         assert sorted(r["shuffled"] for r in own) == sorted(i % 7 for i in range(50))
         assert [r["shuffled"] for r in sorted(own, key=lambda r: r["id"])] != [i % 7 for i in range(50)]
+
+
+def test_group_means_need_no_pair_table(spark, monkeypatch):
+    """Sums inside tiles equal those over the table of pairs, for one tile and for many tiles and chunks."""
+    from countgrove.plans import pair_blocks
+
+    df = frame(spark, table(30, 9, seed=12, zeros=0.6))
+    groups = spark.createDataFrame([(f"s{i:02d}", "xyx"[i % 3] if i != 4 else None) for i in range(9)], "sample string, label string")
+    real = pair_blocks.pair_moments
+    for sizes in ({}, {"block": 2, "chunk": 4}):
+        monkeypatch.setattr(V, "pair_moments", lambda *a, sizes=sizes, **k: real(*a, **k, **sizes))
+        for q in (0, 1):
+            pairs = V.pairwise_beta(df, q)
+            want = {(r["group_1"], r["group_2"]): r for r in V.beta_by_group(pairs, groups.dropna(), "label").collect()}
+            got = {(r["group_1"], r["group_2"]): r for r in V.beta_within_and_between(df, groups, "label", q).collect()}
+            assert got.keys() == want.keys()
+            for k, r in want.items():
+                assert got[k]["n"] == r["n"] and got[k]["within"] == r["within"]
+                assert np.isclose(got[k]["mean"], r["mean"])
+                assert np.isclose(got[k]["sd"], r["sd"]) if r["n"] > 1 else got[k]["sd"] is None
+            assert np.isclose(V.mean_pairwise_beta(df, q).first()[0], V.mean_beta(pairs).first()[0])
+    keyed = df.withColumn("scenario", F.lit("a")).unionByName(df.filter("sample < 's05'").withColumn("scenario", F.lit("b")))
+    rows = {r["scenario"]: r["mean_beta"] for r in V.mean_pairwise_beta(keyed, 0, ["scenario"]).collect()}
+    want = {r["scenario"]: r["mean_beta"] for r in V.mean_beta(V.pairwise_beta(keyed, 0, ["scenario"]), ["scenario"]).collect()}
+    assert rows.keys() == want.keys() and all(np.isclose(rows[k], want[k]) for k in want)
+
+
+def test_draws_of_any_total():
+    """Rejection agrees with the library's draw where both work, and holds its moments at 1e18 reads."""
+    rng = np.random.default_rng(5)
+    for good, bad, size in ((300_000_000, 600_000_000, 90_000_000), (40_000_000, 800_000_000, 500_000_000)):
+        total = good + bad
+        sd = np.sqrt(size * good / total * bad / total * (total - size) / (total - 1))
+        mode = (size + 1) * (good + 1) // (total + 2)
+        ours = np.sort([(X._rejected(rng, good, bad, size, mode, sd) - mode) / sd for _ in range(6000)])
+        library = np.sort((rng.hypergeometric(good, bad, size, 6000) - mode) / sd)
+        both = np.concatenate([ours, library])
+        apart = np.abs(np.searchsorted(ours, both, side="right") - np.searchsorted(library, both, side="right")).max() / 6000
+        assert apart < 1.95 * np.sqrt(2 / 6000)       # 0.1 % point of the two-sample test
+    good, bad, size = 4 * 10 ** 17, 6 * 10 ** 17, 10 ** 17
+    sd = np.sqrt(size * 0.4 * 0.6 * 0.9)
+    drawn = [X._split(rng, good, bad, size) for _ in range(4000)]
+    z = np.array([(v - size * 2 // 5) / sd for v in drawn])
+    assert abs(z.mean()) < 4 / np.sqrt(4000) and abs(z.var() - 1) < 0.1 and len(set(drawn)) > 3990
+    few = [X._split(rng, 20, 10 ** 18, 10 ** 17) for _ in range(4000)]     # narrow: 20 reads among 1e18
+    assert abs(np.mean(few) - 2) < 0.1 and abs(np.var(few) - 1.8) < 0.2
+
+
+def test_rarefaction_of_huge_samples(spark):
+    reads = [6 * 10 ** 17, 3 * 10 ** 17, 10 ** 17, 5]
+    df = spark.createDataFrame([(f"f{i}", "s", r) for i, r in enumerate(reads)], "feature string, sample string, reads long")
+    got = {r["feature"]: r["reads"] for r in X.rarefy_draw(df, 10 ** 12, seed=3).collect()}
+    assert sum(got.values()) == 10 ** 12 and abs(got["f0"] - 6 * 10 ** 11) < 5 * np.sqrt(10 ** 12 * 0.24)
+    mean = {r["feature"]: r["reads"] for r in X.rarefy_average(df, 10 ** 12, 4, seed=3).collect()}
+    assert abs(sum(mean.values()) - 10 ** 12) <= 4
