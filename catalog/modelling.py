@@ -348,6 +348,41 @@ def laws_by_environment_taylor(spark, d):
     return M.laws_by_environment(t.clean(spark, d), t.covariates(spark, d), "locality")["taylor"]
 
 
+def _environment(spark, d, name):
+    return M.laws_by_environment(t.clean(spark, d), t.covariates(spark, d), "locality")[name]
+
+
+@case("laws_by_environment_bins", f"""{GE}, eb AS (SELECT locality, min(occ) AS lo, (max(occ) - min(occ)) / 10.0::DOUBLE AS w FROM ge GROUP BY 1)
+ SELECT locality, CAST(trunc((occ - lo) / w) AS BIGINT) AS b, count(*) AS n, round(avg(occ), 6) AS mean_occupancy, round(avg(expd), 6) AS mean_occupancy_expected FROM ge JOIN eb USING (locality) GROUP BY 1, 2""")
+def laws_by_environment_bins(spark, d):
+    return _environment(spark, d, "bins")
+
+
+@case("laws_by_environment_fit", f"{GE} SELECT locality, round(regr_slope(occ, expd), 6) AS slope, round(regr_intercept(occ, expd), 6) AS intercept, round(regr_r2(occ, expd), 6) AS r2, CAST(regr_count(occ, expd) AS BIGINT) AS n FROM ge GROUP BY 1")
+def laws_by_environment_fit(spark, d):
+    return _environment(spark, d, "fit")
+
+
+@case("laws_by_environment_observed", f"{GE}, w AS (SELECT locality, CAST(trunc(occ * 20) AS BIGINT) AS b, count(*) AS n, avg(occ) AS mean, stddev_samp(occ) AS sd FROM ge GROUP BY 1, 2) SELECT locality, b, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(0.05::DOUBLE, 6) AS width, round(n / (sum(n) OVER (PARTITION BY locality)) * 20, 6) AS p FROM w")
+def laws_by_environment_observed(spark, d):
+    return _environment(spark, d, "observed")
+
+
+@case("laws_by_environment_lognormal")
+def laws_by_environment_lognormal(spark, d):
+    return M.laws_by_environment(t.brand_counts(spark, d), t.covariates(spark, d), "locality")["lognormal"]
+
+
+@case("laws_by_environment_predicted")
+def laws_by_environment_predicted(spark, d):
+    return M.laws_by_environment(t.brand_counts(spark, d), t.covariates(spark, d), "locality")["predicted"]
+
+
+@case("column_clusters")
+def column_clusters(spark, d):
+    return O.column_clusters(t.brand_counts(spark, d), 3, 5)
+
+
 @case("rank_abundance", f"{G} SELECT feature, round(ln(m), 6) AS log_mean, rank() OVER (ORDER BY round(ln(m), 9)) + (count(*) OVER (PARTITION BY round(ln(m), 9)) - 1) / 2.0::DOUBLE AS rank FROM gx WHERE m > 0")
 def rank_abundance(spark, d):
     p = _params(spark, d).filter("mean_abundance > 0")

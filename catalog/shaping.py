@@ -208,6 +208,12 @@ def with_grid(spark, d):
     return J.with_grid(C.library_size(t.clean(spark, d)), [-2.5, 0.0, 2.5], "eta")
 
 
+@case("cross_tables", f"""WITH {t.CLEAN} SELECT sample, CAST(sum(reads) AS BIGINT) AS depth, n_nationkey AS nation FROM clean, nation GROUP BY 1, 3""")
+def cross_tables(spark, d):
+    nations = t.table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"))
+    return J.cross_tables(C.library_size(t.clean(spark, d)), nations)
+
+
 @case("bind", f"""WITH {t.CLEAN}, n AS (SELECT sample, CAST(sum(reads) AS BIGINT) AS depth FROM clean GROUP BY 1)
  SELECT sample, depth, (SELECT min(depth) FROM n) AS min_depth FROM n""")
 def bind(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import attach, names
 from ..plans.ranking import average_rank
+from ..plans.scratch import written
 
 
 def left_cov(df: DataFrame, cov: DataFrame, key="sample") -> DataFrame:
@@ -70,6 +71,25 @@ def with_grid(df: DataFrame, values, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
 
 
+def cross_tables(a: DataFrame, b: DataFrame, block: int = 1024) -> DataFrame:
+    """Every row of `a` with every row of `b`; the product is the result asked for.
+
+    `b` is cut into numbered blocks of about `block` rows; rows of `a` go to the numbers and meet the
+    blocks by an equi-join, which adaptive execution splits. Tables must not share a column name.
+    """
+    clash = {c.lower() for c in a.columns} & {c.lower() for c in b.columns}
+    if clash:
+        raise ValueError(f"columns in both tables: {sorted(clash)}")
+    rows = written(b.select(F.struct(*b.columns).alias("_row")), "rows")
+    count = rows.count()
+    last = max(0, -(-count // block) - 1)
+    number = F.pmod(F.xxhash64("_row", F.monotonically_increasing_id()), F.lit(last + 1))
+    blocks = written(rows.withColumn("_block", number), "blocks").groupBy("_block").agg(F.collect_list("_row").alias("_rows"))
+    spread = a.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))))
+    return (spread.join(blocks, "_block").withColumn("_row", F.explode("_rows"))
+            .select(*[F.col(f"`{c}`") for c in a.columns], *[F.col("_row")[c].alias(c) for c in b.columns]))
+
+
 def bind(a: DataFrame, b: DataFrame, key=()) -> DataFrame:
     """Columns of b next to a by key; without key b has one row (read as a scalar)."""
     return a.join(b, names(key), "left") if names(key) else attach(a, b)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import attach, dbl, finite, names, ratio, safe_log, with_group_stats
-from ..plans.ranking import average_rank
+from ..plans.ranking import average_rank, row_index
 from ..plans.scratch import written
 from .aggregates import bin_equal, binned_density, weighted_density
 from .inference import linear_trend
@@ -61,10 +61,28 @@ def expected_occupancy(counts: DataFrame, params: DataFrame, by=(), mean_of_powe
         inner = 1 + base * F.col("_mean")
         value = F.when(inner > 0, F.lit(1.0) - F.pow(inner, -F.col("shape")))
         return attach(params, mean, by).withColumn("occupancy_expected", finite(value)).drop("_mean")
+    met = _meet_depths(params.select("feature", *by, base.alias("_base"), "shape"), depths, by)
+    part = F.aggregate("_d", F.lit(0.0), lambda acc, e: acc + e["_c"] * F.pow(1 + F.col("_base") * e["_depth"], -F.col("shape")))
+    unseen = met.withColumn("_part", part).groupBy("feature", *by).agg((F.sum("_part") / F.max("_k")).alias("_unseen"))
+    return (params.join(unseen, ["feature", *by], "left")
+            .withColumn("occupancy_expected", finite(F.lit(1.0) - F.col("_unseen"))).drop("_unseen"))
+
+
+DEPTHS = 1024   # distinct depths that a row meets at once
+
+
+def _meet_depths(rows: DataFrame, depths: DataFrame, by: list[str]) -> DataFrame:
+    """Each row once per block of DEPTHS distinct sample depths of its group: `_d` (depth, count) and `_k` samples.
+
+    Rows go to the numbers of the blocks and meet them by an equi-join, so neither all depths of a
+    group nor all its rows have to fit into one array.
+    """
     hist = depths.groupBy(*by, "_depth").agg(F.count(F.lit(1)).alias("_c"))
-    table = hist.groupBy(*by).agg(F.collect_list(F.struct("_depth", "_c")).alias("_d"), F.sum("_c").alias("_k"))
-    total = F.aggregate("_d", F.lit(0.0), lambda acc, e: acc + e["_c"] * F.pow(1 + base * e["_depth"], -F.col("shape")))
-    return attach(params, table, by).withColumn("occupancy_expected", finite(F.lit(1.0) - total / F.col("_k"))).drop("_d", "_k")
+    placed = row_index(hist, "_depth", by, "_i").withColumn("_block", F.floor(F.col("_i") / DEPTHS))
+    blocks = written(placed.groupBy(*by, "_block").agg(F.collect_list(F.struct("_depth", "_c")).alias("_d"), F.sum("_c").alias("_own")), "depths")
+    sizes = blocks.groupBy(*by).agg(F.max("_block").alias("_last"), F.sum("_own").alias("_k"))
+    spread = attach(rows, sizes, by).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))))
+    return spread.join(blocks.drop("_own"), [*by, "_block"]).drop("_block", "_last")
 
 
 def taylor_law(params: DataFrame, by=()) -> DataFrame:
@@ -166,15 +184,15 @@ def predicted_occupancy_density(counts: DataFrame, grid: DataFrame, nbin: int =
     and the weight 1 - prod(1 - occupancy); samples of equal depth are taken together.
     """
     by = names(by)
-    depths = _depths(counts.filter("reads > 0"), by).groupBy(*by, "_depth").agg(F.count(F.lit(1)).cast("double").alias("_c"))
-    eta = grid.select(*by, "eta", F.col("mean_shape").alias("_b"))
-    points = eta.groupBy(*by).agg(F.collect_list(F.struct("eta", "_b")).alias("_grid"))
-    each = attach(depths, points, by).select(*by, "_depth", "_c", F.explode("_grid").alias("g")).select(
-        *by, "_depth", "_c", "g.eta", "g._b")
-    log_p0 = F.col("_b") * F.log(F.col("_b") / (F.col("_b") + F.col("_depth") * F.exp("eta")))
-    per = each.groupBy(*by, "eta").agg(
-        (F.sum(F.col("_c") * (1 - F.exp(log_p0))) / F.sum("_c")).alias("occupancy"),
-        (F.lit(1.0) - F.exp(F.sum(F.col("_c") * log_p0))).alias("weight"))
+    points = grid.select(*by, "eta", F.col("mean_shape").alias("_b"))
+    met = _meet_depths(points, _depths(counts.filter("reads > 0"), by), by)
+
+    def total(term):
+        log_p0 = lambda e: F.col("_b") * F.log(F.col("_b") / (F.col("_b") + e["_depth"] * F.exp("eta")))
+        return F.aggregate("_d", F.lit(0.0), lambda acc, e: acc + e["_c"] * term(log_p0(e)))
+
+    per = met.select(*by, "eta", "_k", total(lambda p: 1 - F.exp(p)).alias("_seen"), total(lambda p: p).alias("_log")).groupBy(*by, "eta").agg(
+        (F.sum("_seen") / F.max("_k")).alias("occupancy"), (F.lit(1.0) - F.exp(F.sum("_log"))).alias("weight"))
     return weighted_density(per, "occupancy", "weight", nbin, by)
 
 
@@ -196,14 +214,20 @@ def mean_abundance_density(params: DataFrame, fit: DataFrame, nbin: int = 20, mi
             .withColumn("x_scaled", F.try_divide(F.col("mean") - F.col("mu"), F.sqrt(F.lit(2.0)) * F.col("sigma"))))
 
 
-def laws_by_environment(counts: DataFrame, cov: DataFrame, environment: str) -> dict[str, DataFrame]:
-    """All laws with an environment of the sample as an extra key."""
+def laws_by_environment(counts: DataFrame, cov: DataFrame, environment: str, size: int = 200) -> dict[str, DataFrame]:
+    """All laws with an environment of the sample as an extra key.
+
+    The predicted density of occupancy is taken over `size` mid-quantiles of each environment's lognormal fit.
+    """
     c = written(counts.join(cov.select("sample", environment), "sample"), "environment")
     params = written(expected_occupancy(c, gamma_parameters(c, environment), environment), "parameters")
     moments = truncated_moments(params, c, environment)
+    fit = written(estimate_lognormal(moments), "lognormal")
+    grid = quantile_grid(fit.filter("mu IS NOT NULL AND sigma IS NOT NULL"), size).select(environment, "eta", "mean_shape")
     return {"parameters": params, "taylor": taylor_law(params, environment),
             "bins": occupancy_bins(params, 10, environment), "fit": occupancy_fit(params, environment),
-            "lognormal": estimate_lognormal(moments), "observed": observed_occupancy_density(params, 20, environment)}
+            "lognormal": fit, "observed": observed_occupancy_density(params, 20, environment),
+            "predicted": predicted_occupancy_density(c, grid, 20, environment)}
 
 
 def rank_abundance(params: DataFrame) -> DataFrame:

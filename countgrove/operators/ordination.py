@@ -520,6 +520,23 @@ def profile_clusters(df: DataFrame, key: str, cols, k: int, seed: int = 1) -> Da
     return model.transform(data).select(key, (F.col("prediction") + 1).cast("bigint").alias("cluster"))
 
 
+def column_clusters(cells: DataFrame, k: int, axes: int = 10, seed: int = 1, row: str = "feature",
+                    column: str = "sample", value: str = "reads") -> DataFrame:
+    """Clusters of columns with similar profiles over the rows, (column, cluster).
+
+    A profile is the log1p of the column's cells, absent cells being 0. Columns are placed by their
+    scores on the largest singular axes, which keep the distances of profiles as far as `axes` values
+    hold the table, so no column has to carry all its rows.
+    """
+    logs = cells.select(row, column, F.log1p(dbl(value)).alias("value"))
+    svd = truncated_svd(logs, axes, row, column)
+    roots = [float(np.sqrt(r["singular_value"])) for r in svd["singular_values"].orderBy("axis").collect()]
+    placed = written(svd["columns"].select(column, array_to_vector(F.array(*[
+        F.col(f"axis_{i + 1}") * F.lit(v) for i, v in enumerate(roots)])).alias("features")), "profiles")
+    model = KMeans(k=k, seed=seed).fit(placed)
+    return model.transform(placed).select(column, (F.col("prediction") + 1).cast("bigint").alias("cluster"))
+
+
 def block_summary(counts: DataFrame, row_cluster: DataFrame, col_cluster: DataFrame) -> DataFrame:
     """Mean reads of each (feature cluster, sample cluster) block, absent cells being 0."""
     cells = counts.join(row_cluster.select("feature", F.col("cluster").alias("row_cluster")), "feature").join(
