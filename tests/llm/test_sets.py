@@ -1,7 +1,9 @@
 """Mixing, page templates, chat rotation and the pipeline."""
 
 import math
+import random
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +95,101 @@ def test_classes_share_occurrence_vectors(spark):
     assert sorted(map(sorted, by_vector.values())) == [[1, 2, 3], [4, 5]]
 
 
+def _texts(spark, rows):
+    return {r.page_id: r.text for r in templates.extract(_pages(spark, rows)).collect()}
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='single has-sidebar'><article><p>Words {i} here {i}</p></article></body>",
+    "<body class='sidebar'><div class='sidebar-first'>x</div><p>Words {i} here {i}</p></body>",
+    "<body><div class='content-with-sidebar'><p>Words {i} here {i}</p></div><div class='sidebar'>s</div></body>",
+    "<body><div class='header menu'><article><p>Words {i} here {i}</p></article></div></body>",
+    "<body><form><nav>n</nav><div><p>Words {i} here {i}</p></div></form></body>",
+    "<body><form><h1>Words {i}</h1><p>here {i}</p></form></body>",
+    "<body><article class='category-social-science'><p>Words {i} here {i}</p></article></body>",
+    "<body><article class='post social'><p>Words {i} here {i}</p></article><div class='social'>s</div></body>",
+    "<body><article><div class='entry-header'><h1>Words {i}</h1></div><p>here {i}</p></article></body>",
+    "<body><article><header class='entry-header'><h1>Words {i}</h1></header><p>here {i}</p><footer>by</footer></article></body>",
+    "<body><article><figure>Words {i}<figcaption>here {i}</figcaption></figure><fieldset></fieldset></article></body>",
+    "<body><article><math>Words {i}</math> <object>here {i}</object></article></body>",
+    "<body><article><p>Words {i} here {i}</p></article><div id='discussion'><article><p>me too</p></article></div></body>",
+    "<body><article><p>Words {i} here {i}</p><article><p>first</p></article></article><div class='comment-list'>z</div></body>",
+    "<body><div class='related-posts'><article>more</article></div><article><p>Words {i} here {i}</p></article></body>",
+])
+@pytest.mark.parametrize("n", [1, 6])
+def test_ordinary_pages_keep_their_text(spark, page, n):
+    rows = [(i, "http://h/x", page.replace("{i}", str(i))) for i in range(n)]
+    assert _texts(spark, rows) == {i: f"Words {i} here {i}" for i in range(n)}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<body><div><p>The same article on all rows.</p></div></body>"
+    assert set(_texts(spark, [(i, "http://h/x", page) for i in range(4)]).values()) == {"The same article on all rows."}
+    near = [(i, "http://h/x", page.replace("<div>", f"<i>{i}</i><div>")) for i in range(6)]
+    assert _texts(spark, near) == {i: f"{i} The same article on all rows." for i in range(6)}
+
+
+def test_the_template_decides_inside_content(spark):
+    page = ("<body><article><p>Story {i} tells of {i} things.</p><div class='box'>Subscribe now!</div>"
+            "<ul><li><a href=1>One {i}</a></li><li><a href=2>Two {i}</a></li></ul></article>{more}</body>")
+    rows = [(i, "http://h/x", page.format(i=i, more="")) for i in range(5)]
+    assert _texts(spark, rows) == {i: f"Story {i} tells of {i} things." for i in range(5)}
+    # one page has no template: its box and list are text like any other
+    assert _texts(spark, rows[:1]) == {0: "Story 0 tells of 0 things. Subscribe now! One 0 Two 0"}
+    # articles that repeat beside one that is once in every page are no content
+    more = [(i, "http://h/x", page.format(i=i, more="<section>" + f"<article>reply {i}</article>" * i + "</section>"))
+            for i in range(5)]
+    assert _texts(spark, more) == {i: f"Story {i} tells of {i} things." for i in range(5)}
+    # without such a one they are a list of articles
+    several = [(i, "http://h/x", "<body>" + f"<article>part {i}</article>" * (i + 1) + "</body>") for i in range(3)]
+    assert _texts(spark, several) == {i: " ".join([f"part {i}"] * (i + 1)) for i in range(3)}
+
+
+class _Elements(HTMLParser):
+    """Paths of well-formed pages by another parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.seen = [], Counter()
+
+    def handle_starttag(self, tag, attrs):
+        names = sorted(w for k, v in attrs if k in ("class", "id") for w in v.split())
+        self.open.append(".".join([tag, *names]))
+        self.seen[tuple(self.open)] += 1
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(5)
+    parts = ["<div class='x'><p>a</p></div>", "<div class='y'><ul><li>b</li></ul></div>", "<section><h2>c</h2></section>",
+             "<table><tr><td>d</td></tr></table>"]
+    rows = []
+    for i in range(60):
+        inner = "".join(p * rng.choice([0, 1, 1, 2]) for p in parts)
+        rows.append((i, f"http://h{i % 3}/", f"<html><body><div class='top'>t {i}</div>{inner}</body></html>"))
+    wanted = {}
+    for host in range(3):
+        vectors = defaultdict(lambda: [0] * 20)
+        for place, (_, _, page) in enumerate(rows[host::3]):
+            parser = _Elements()
+            parser.feed(page)
+            for path, n in parser.seen.items():
+                vectors[path][place] = n
+        often = {p: tuple(v) for p, v in vectors.items() if sum(map(bool, v)) >= 10}
+        size = Counter(often.values())
+        valid = {p for p, v in often.items() if size[v] > 1 or p[:-1] in often or len(p) == 1}
+        wanted[f"h{host}"] = set()
+        for path in valid:
+            key = 0
+            for component in path:
+                key = templates.path_of(key, component)
+            wanted[f"h{host}"].add(key)
+    got = {r.host: {s.path for s in r.template} for r in templates.deduce(_pages(spark, rows)).collect()}
+    assert got == wanted and any(len(v) > 4 for v in wanted.values())
+
+
 def test_page_edge_cases(spark):
     rows = [(1, None, None), (2, "http://h/", ""), (3, "x", "plain  text &amp"), (3, "x", "plain  text &amp"),
             (None, "http://h/", "<p>a<p>b"), (5, "http://H/", "<div" * 50), (6, "http://q/", "<script>x"),
