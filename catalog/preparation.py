@@ -95,7 +95,7 @@ def read_covariate_export(spark, d):
 def read_matrix(spark, d):
     path = new_path(spark, "matrix")
     S.write_table(_wide(spark, d).drop("taxonomy").withColumnRenamed("OTU", "id"), path, "tsv")
-    return S.read_matrix(spark, path, "id")
+    return S.read_matrix(spark, path, "id", id_type="int", value_type="int")
 
 
 @case("tag_runs", f"""WITH {t.LINES}, m AS (SELECT sample || '_' || method AS sample, feature, method, sum(reads) AS reads

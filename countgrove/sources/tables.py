@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.common import names
+from ..plans.scratch import written
 
 
 def read_delimited(spark: SparkSession, path, schema: T.StructType | str | None = None,
@@ -21,20 +22,84 @@ def read_delimited(spark: SparkSession, path, schema: T.StructType | str | None
     return reader.schema(schema).csv(path)
 
 
+def _cells(sep: str):
+    """Column: the cells of a line; quoted cells may hold the separator, but no line break."""
+    one = re.escape(sep)
+    quoted = F.regexp_extract_all(
+        F.concat(F.lit(sep), "value"),
+        F.lit(rf'{one}(\s*"[^"\\]*(?:(?:\\.|"")[^"\\]*)*"\s*(?={one}|$)|(?:(?!{one}).)*)'), F.lit(1))
+    bare = F.transform(quoted, lambda c: F.when(
+        F.trim(c).rlike('^".*"$'), F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), r'[\\"]"', '"')).otherwise(c))
+    return F.when(F.contains("value", F.lit('"')), bare).otherwise(F.split("value", one, -1))
+
+
+def read_cells(spark: SparkSession, path, id_col: str, other_col: str | None = None, sep: str = "\t",
+               skip: int = 0, keep: str | None = None, only=None) -> tuple[DataFrame, bool]:
+    """Wide text files as (id, other, column, cell), and whether any file has `other_col`.
+
+    Every file has a header of its own after `skip` lines, so files may have other columns or another
+    order; they stay splittable. Headers become rows (file, position, column) that meet the cells by
+    a join, so the plan does not grow with the columns. A file starts at offset 0, and the lines of a split
+    are numbered in order, which tells header from body by place. `keep` is a regular expression for the columns to keep;
+    `only(cell)` drops cells before the join. Files without a line are left out. Short lines give
+    fewer cells, cells beyond the header and blank lines are dropped. Headers cost one more scan (two with a preamble).
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line"))
+    top = lines.filter(F.col("_start") == 0)
+    heads = written(top.groupBy("_file").agg(F.min("_line").alias("_line"), F.min_by("value", "_line").alias("value")), "heads")
+    files = heads.count()
+    if skip:
+        first = heads.select("_file", (F.col("_line") + skip).alias("_line"))
+        heads = written(top.join(first, ["_file", "_line"]).select("_file", "_line", "value"), "heads")
+    place = F.array_position("_cells", F.lit(id_col)).alias("_id_at")
+    other = (F.array_position("_cells", F.lit(other_col)) if other_col else F.lit(0).cast("bigint")).alias("_other_at")
+    heads = written(heads.select("_file", F.col("_line").alias("_head"), _cells(sep).alias("_cells")).select(
+        "*", place, other), "layouts")
+    found = heads.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_id_at") == 0).alias("lacking"),
+                      F.max("_other_at").alias("other")).first()
+    if found["n"] < files or not files:
+        raise ValueError(f"no header after {skip} preamble line(s) in {path}")
+    if found["lacking"]:
+        raise ValueError(f"header has no column {id_col!r}")
+    columns = heads.select("_file", "_id_at", "_other_at", F.posexplode("_cells").alias("_at", "column")).filter(
+        ~(F.col("_at") + 1).isin(F.col("_id_at"), F.col("_other_at")))
+    if keep is not None:
+        columns = columns.filter(F.col("column").rlike(keep))
+    columns = written(columns.select("_file", "_at", "column"), "columns")
+    body = (lines.join(heads.drop("_cells"), "_file")
+            .filter(((F.col("_start") > 0) | (F.col("_line") > F.col("_head"))) & (F.trim("value") != ""))
+            .select("_file", "_id_at", "_other_at", _cells(sep).alias("_v"))
+            .select("_file", F.try_element_at("_v", F.col("_id_at").cast("int")).alias("id"),
+                    F.when(F.col("_other_at") > 0, F.try_element_at("_v", F.col("_other_at").cast("int"))).alias("other"),
+                    F.posexplode("_v").alias("_at", "cell")))
+    if only is not None:
+        body = body.filter(only(F.col("cell")))
+    return body.join(columns, ["_file", "_at"]).select("id", "other", "column", "cell"), bool(found["other"])
+
+
+def _counts(cells: DataFrame, with_lineage: bool) -> DataFrame:
+    lineage = [F.col("other").alias("lineage")] if with_lineage else []
+    return cells.select(F.col("id").alias("feature"), *lineage, F.col("column").alias("sample"),
+                        F.trim("cell").cast("double").cast("bigint").alias("reads"))
+
+
+def _is_count(cell):
+    number = F.trim(cell).try_cast("double")
+    return (number > 0) & ~F.isnan(number)
+
+
 def read_wide_counts(spark: SparkSession, path, id_col: str = "OTU",
                      lineage_col: str = "taxonomy", sep: str = "\t",
                      keep: str | None = None) -> DataFrame:
-    """Wide count table (one column per sample) as (feature, lineage, sample, reads).
+    """Wide count tables (one column per sample) as (feature, lineage, sample, reads).
 
-    The header fixes the schema, so the file is scanned once. `keep` is a regular
-    expression for the sample columns to keep.
+    Files under `path` may hold different samples (`read_cells`); a file without lineages has NULL ones,
+    and without any lineage column there is none. `keep` is a regular expression for the sample
+    columns to keep. Zeros, blanks and what is no number are left out.
     """
-    header = spark.read.option("header", True).option("sep", sep).csv(path).columns
-    schema = T.StructType([
-        T.StructField(c, T.StringType() if c in (id_col, lineage_col) else T.DoubleType())
-        for c in header])
-    wide = read_delimited(spark, path, schema, sep)
-    return melt_counts(wide, id_col, lineage_col, keep)
+    return _counts(*read_cells(spark, path, id_col, lineage_col, sep, 0, keep, _is_count))
 
 
 def melt_counts(wide: DataFrame, id_col: str, lineage_col: str | None = None,
@@ -53,34 +118,11 @@ def melt_counts(wide: DataFrame, id_col: str, lineage_col: str | None = None,
 def read_counts_with_preamble(spark: SparkSession, path: str, id_col: str = "#OTU ID",
                               lineage_col: str = "taxonomy", sep: str = "\t", skip: int = 1,
                               keep: str | None = None) -> DataFrame:
-    """Wide count table whose header follows `skip` preamble lines, as long counts.
+    """`read_wide_counts` of files whose header follows `skip` preamble lines.
 
-    Only the header line of one file is looked at on the driver. Body lines are told
-    from preamble and header by content, so files stay splittable.
+    Preamble and header are told by their place in each file, so body lines may repeat them.
     """
-    head = spark.read.text(path).limit(skip + 1).collect()
-    lines = [r[0] for r in head]
-    if len(lines) <= skip:
-        raise ValueError(f"no header after {skip} preamble line(s) in {path}")
-    columns = lines[skip].split(sep)
-    if id_col not in columns:
-        raise ValueError(f"header has no column {id_col!r}")
-    body = (spark.read.text(path)
-            .filter(~F.col("value").isin(*lines[:skip + 1]) & (F.col("value") != "")))
-    parts = body.select(F.split("value", re.escape(sep), -1).alias("v"))
-    pick = {c: i for i, c in enumerate(columns)}
-    samples = [c for c in columns if c not in (id_col, lineage_col)
-               and (keep is None or re.search(keep, c))]
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("sample"),
-                 F.try_element_at("v", F.lit(pick[c] + 1)).try_cast("double").alias("reads"))
-        for c in samples]))
-    fixed = [F.try_element_at("v", F.lit(pick[id_col] + 1)).alias("feature")]
-    if lineage_col in pick:
-        fixed.append(F.try_element_at("v", F.lit(pick[lineage_col] + 1)).alias("lineage"))
-    out = [f for f in ("feature", "lineage") if f == "feature" or lineage_col in pick]
-    return (parts.select(*fixed, cells.alias("c")).filter("c.reads > 0")
-            .select(*out, "c.sample", F.col("c.reads").cast("bigint").alias("reads")))
+    return _counts(*read_cells(spark, path, id_col, lineage_col, sep, skip, keep, _is_count))
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -97,10 +139,11 @@ def read_covariates(spark: SparkSession, path, schema=None, sep: str = "\t",
     return df.withColumnsRenamed(rename or {})
 
 
-def read_matrix(spark: SparkSession, path, id_col: str, sep: str = "\t") -> DataFrame:
-    """Exported matrix as long (row, column, value); every other column is numeric."""
-    wide = read_delimited(spark, path, None, sep)
-    return wide.unpivot(id_col, [c for c in wide.columns if c != id_col], "column", "value")
+def read_matrix(spark: SparkSession, path, id_col: str, sep: str = "\t", id_type: str = "string",
+                value_type: str = "double") -> DataFrame:
+    """Exported matrices as long (id, column, value); a cell that is no number is NULL."""
+    cells, _ = read_cells(spark, path, id_col, None, sep)
+    return cells.select(F.col("id").cast(id_type).alias(id_col), "column", F.trim("cell").try_cast(value_type).alias("value"))
 
 
 def tag_runs(tables: dict[str, DataFrame], tag: str = "method",
