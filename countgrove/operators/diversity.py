@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import attach, names, ratio, with_group_stats
-from ..plans.pair_blocks import pair_moments, pair_sums, product_sums, shared, shared_entropy
+from ..plans.pair_blocks import pair_moments, pair_sums, shared, shared_entropy, triple_sums
 
 
 def _shares(counts: DataFrame, by=("sample",)) -> DataFrame:
@@ -179,21 +179,14 @@ def mean_pairwise_beta(counts: DataFrame, q: int = 0, within=()) -> DataFrame:
 def mean_phylo_distance(counts: DataFrame, distance: DataFrame, weighted: bool = True) -> DataFrame:
     """Mean feature distance between two samples, sum p_i q_j d_ij, for every pair.
 
-    `distance` holds (f1, f2, d) with f1 < f2. Two tiled matrix products replace the
-    double join: shares by distances, then by shares.
+    `distance` holds (f1, f2, d) with f1 < f2; what it lacks is 0. Both shares and the distances between
+    them are multiplied tile by tile (`triple_sums`).
     """
     shares = _shares(counts)
     if not weighted:
         shares = with_group_stats(shares, "sample", _k=F.count(F.lit(1))).withColumn(
             "p", F.lit(1.0) / F.col("_k"))
-    cells = shares.select("sample", "feature", "p")
-    full = distance.select(F.col("f2").alias("target"), F.col("f1").alias("feature"), F.col("d").alias("p")).unionByName(
-        distance.select(F.col("f1").alias("target"), F.col("f2").alias("feature"), F.col("d").alias("p")))
-    spread = product_sums(cells, full, "sample", "target", "feature", "p")
-    left = spread.select(F.col("sample").alias("s1"), F.col("target").alias("feature"), F.col("value").alias("p"))
-    right = cells.select(F.col("sample").alias("s2"), "feature", "p")
-    return (product_sums(left, right, "s1", "s2", "feature", "p", out="distance")
-            .filter(F.col("s1") < F.col("s2")))
+    return triple_sums(shares, distance, "sample", "feature", "p", out="distance")
 
 
 def mean_beta(pairs: DataFrame, by=(), value: str = "beta") -> DataFrame:

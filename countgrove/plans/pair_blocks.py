@@ -202,53 +202,84 @@ def pair_moments(df: DataFrame, row: str, inner: str, value: str, kernel: Callab
         .select(*by, "n", "mean", F.when(F.col("n") > 1, F.col("_m2") / (F.col("n") - 1)).alias("variance")))
 
 
-def product_sums(a: DataFrame, b: DataFrame, row: str, col: str, inner: str, value: str,
-                 block: int = BLOCK, chunk: int = CHUNK, out: str = "value") -> DataFrame:
-    """Matrix product of two long tables, (row, col, value), tile by tile.
+TRIPLE = 512     # rows of a block and inner keys of a chunk of `triple_sums`
 
-    `a` has (row, inner, value) and `b` has (col, inner, value).
+
+def triple_sums(df: DataFrame, between: DataFrame, row: str, inner: str, value: str, block: int = TRIPLE, chunk: int = TRIPLE,
+                out: str = "value", left: str = "s1", right: str = "s2") -> DataFrame:
+    """Sum over i, j of x_i w_ij y_j for every pair of rows, (s1, s2, value) with s1 < s2.
+
+    `between` holds (f1, f2, d), each unordered pair of inner keys once and equal to its mirror; absent
+    and NULL pairs are 0, and so is a NULL inner key; NULL rows take no part. Rows are hashed to blocks and inner keys to chunks. A task holds the cells of two
+    blocks in two chunks and the table between these chunks, at most about chunk x chunk rows of it,
+    and multiplies the three at once, so no product of one side is ever formed. Both triangles are taken from one.
+    Every cell goes to (blocks x chunks) tiles and every row of `between` to half of blocks x blocks.
+    Every pair of rows has a result, 0 if nothing lies between them.
     """
-    a = written(a.select(*dict.fromkeys([row, inner, value])), "cells")
-    b = written(b.select(*dict.fromkeys([col, inner, value])), "cells")
-    n_left = _tiles_of(a, row, None, [], block, chunk)
-    n_right = _tiles_of(b, col, inner, [], block, chunk)
-    zero = F.lit(0).cast("bigint")
-
-    def chunked(df, label, own, other, blocks_own, blocks_other):
-        return (df.select(F.col(label).alias("_row"), F.col(inner).alias("_inner"),
-                          F.col(value).cast("double").alias("_value"), blocks_own.alias("_own"),
-                          blocks_other.alias("_oth"), n_right["chunks"].alias("_ch"))
-                .select("_row", "_inner", "_value", F.pmod(F.xxhash64("_row"), F.col("_own")).alias(own),
-                        F.pmod(F.xxhash64("_inner"), F.col("_ch")).alias("_chunk"),
-                        F.explode(F.sequence(zero, F.col("_oth") - 1)).alias(other)))
-
-    lt = chunked(a, row, "_i", "_j", n_left["blocks"], n_right["blocks"])
-    rt = chunked(b, col, "_j", "_i", n_right["blocks"], n_left["blocks"])
-    schema = T.StructType([T.StructField(row, a.schema[row].dataType),
-                           T.StructField(col, b.schema[col].dataType),
-                           T.StructField("_v", T.DoubleType())])
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({row: [], col: [], "_v": []})
-        both = pd.concat([x, y], ignore_index=True)
-        mask = np.arange(len(both)) < len(x)
-        code, inner_ids = pd.factorize(both["_inner"])
-        values = both["_value"].to_numpy(float)
-        mats, labels = [], []
-        for m in (mask, ~mask):
-            pos, ids = pd.factorize(both["_row"][m])
-            mat = np.zeros((len(inner_ids), len(ids)))
-            mat[code[m], pos] = values[m]
-            mats.append(mat)
-            labels.append(np.asarray(ids))
-        p = mats[0].T @ mats[1]
-        r, c = (z.ravel() for z in np.indices(p.shape))
-        return pd.DataFrame({row: labels[0][r], col: labels[1][c], "_v": p.ravel()})
-
-    grid = ["_i", "_j", "_chunk"]
-    parts = lt.groupBy(*grid).cogroup(rt.groupBy(*grid)).applyInPandas(run, schema)
-    return parts.groupBy(row, col).agg(F.sum("_v").alias(out))
+    cells = written(df.select(F.col(row).alias("_row"), F.col(inner).alias("_inner"), dbl(value).alias("_value")).filter(
+        F.col("_row").isNotNull()), "cells")
+    sizes = cells.agg(F.struct(
+        F.greatest(F.ceil(F.count_distinct("_row") / block), F.lit(1)).cast("bigint").alias("blocks"),
+        F.greatest(F.ceil(F.count_distinct("_inner") / chunk), F.lit(1)).cast("bigint").alias("chunks"))).scalar()
+
+    def every(n, *, start=0):
+        return F.explode(F.sequence(F.lit(start).cast("bigint"), n - 1))
+
+    def sides(frame, at, low, high):
+        return frame.withColumn(low, F.least(at, "_other")).withColumn(high, F.greatest(at, "_other")).drop("_other")
+
+    sized = cells.withColumn("_t", sizes).withColumn("_block", F.pmod(F.xxhash64("_row"), F.col("_t.blocks")))
+    met = sides(sized.withColumn("_other", every(F.col("_t.blocks"))), "_block", "_i", "_j")
+    placed = sides(met.withColumn("_chunk", F.pmod(F.xxhash64("_inner"), F.col("_t.chunks")))
+                   .withColumn("_other", every(F.col("_t.chunks"))), "_chunk", "_a", "_b").drop("_t")
+    frame = sides(sized.dropDuplicates(["_row"]).withColumn("_other", every(F.col("_t.blocks"))), "_block", "_i", "_j").drop("_t")
+    nowhere = F.lit(FRAME).cast("bigint")
+    lists = frame.withColumns({"_chunk": nowhere, "_a": nowhere, "_b": nowhere, "_value": F.lit(0.0)})
+    cuts = between.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), dbl("d").alias("_d"), sizes.alias("_t")).filter("_d != 0")
+    c1, c2 = (F.pmod(F.xxhash64(f), F.col("_t.chunks")) for f in ("_f1", "_f2"))
+    cuts = (cuts.withColumn("_a", F.least(c1, c2)).withColumn("_b", F.greatest(c1, c2))
+            .withColumn("_i", every(F.col("_t.blocks")))
+            .withColumn("_j", F.explode(F.sequence("_i", F.col("_t.blocks") - 1))).drop("_t"))
+    kind = cells.schema["_row"].dataType
+    schema = T.StructType([T.StructField(left, kind), T.StructField(right, kind), T.StructField("_v", T.DoubleType())])
+
+    def plain(ids) -> pd.Series:
+        return pd.Series(ids, dtype=object)     # pandas would make strings of other storage, which may come in chunks
+
+    def run(x: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({left: plain([]), right: plain([]), "_v": np.zeros(0)})
+        if not len(x) or not len(d) and x["_a"].iloc[0] != FRAME:
+            return none
+        i, j = x["_i"].iloc[0], x["_j"].iloc[0]
+        of = x["_block"].to_numpy()
+        code, keys = pd.factorize(x["_inner"], use_na_sentinel=False)
+        f1, f2 = (pd.Index(keys).get_indexer(d[f]) for f in ("_f1", "_f2"))
+        known = (f1 >= 0) & (f2 >= 0)
+        w = np.zeros((len(keys), len(keys)))
+        np.add.at(w, (f1[known], f2[known]), d["_d"].to_numpy(float)[known])
+        # within one task the keys of both chunks share one table, whose other triangle is its mirror
+        w += w.T - np.diag(np.diag(w))
+        values, found = x["_value"].to_numpy(float), []
+        for b in (i, j):
+            mask = of == b
+            pos, ids = pd.factorize(x["_row"][mask], sort=True)
+            m = np.zeros((len(ids), len(keys)))
+            m[pos, code[mask]] = values[mask]
+            found.append((np.asarray(ids), m))
+        (ids_a, m_a), (ids_b, m_b) = found
+        if not len(ids_a) or not len(ids_b):
+            return none
+        v = m_a @ w @ m_b.T
+        once = ids_a[:, None] < ids_b[None, :] if i == j else np.ones(v.shape, dtype=bool)
+        r, c = np.nonzero(once if x["_a"].iloc[0] == FRAME else once & (v != 0))
+        p, q = ids_a[r], ids_b[c]
+        swap = p > q
+        return pd.DataFrame({left: plain(np.where(swap, q, p)), right: plain(np.where(swap, p, q)), "_v": v[r, c]})
+
+    grid = ["_i", "_j", "_a", "_b"]
+    tiles = placed.unionByName(lists)
+    parts = tiles.groupBy(*grid).cogroup(cuts.groupBy(*grid)).applyInPandas(run, schema)
+    return parts.groupBy(left, right).agg(F.sum("_v").alias(out))
 
 
 def row_pairs(df: DataFrame, key: str, cols, block: int = 256,

@@ -59,6 +59,26 @@ def test_mean_phylo_distance(spark):
         assert np.isclose(r["distance"], p[:, int(r["s1"][1:])] @ d @ p[:, int(r["s2"][1:])])
 
 
+@pytest.mark.parametrize("block,chunk", [(512, 512), (3, 4), (1, 1), (50, 2)])
+def test_triple_product_in_tiles(spark, block, chunk):
+    rng = np.random.default_rng(2)
+    x = rng.random((11, 9)) * (rng.random((11, 9)) < 0.4)
+    x[:, 0] = x[3] = 0
+    x[3, 5] = 1.0                     # a row of one key that has no distance
+    d = np.triu(rng.random((9, 9)) * (rng.random((9, 9)) < 0.6), 1)
+    d[5] = d[:, 5] = 0
+    cells = [(f"s{i:02d}", f"f{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))] + [("s01", None, 9.0), (None, "f1", 9.0)]
+    lines = [(f"f{j}", f"f{i}", float(d[i, j])) if (i + j) % 2 else (f"f{i}", f"f{j}", float(d[i, j]))
+             for i, j in zip(*np.nonzero(d))] + [("f1", "absent", 3.0), ("f2", "f5", None)]
+    got = pair_blocks.triple_sums(spark.createDataFrame(cells, "s string, f string, v double"),
+                                  spark.createDataFrame(lines, "f1 string, f2 string, d double"), "s", "f", "v", block, chunk)
+    rows = {(int(r["s1"][1:]), int(r["s2"][1:])): r["value"] for r in got.collect()}
+    own = [i for i in range(11) if x[i].any() or i == 1]
+    whole = x @ (d + d.T) @ x.T
+    assert set(rows) == {(i, j) for i in own for j in own if i < j}
+    assert all(np.isclose(v, whole[k]) for k, v in rows.items())
+
+
 def test_null_models(spark):
     df = frame(spark, table(10, 5, seed=6, zeros=0.4))
     null = X.beta_null_permutation(df, 3, q=1, seed=2).collect()
