@@ -231,9 +231,11 @@ def _pairs(keyed: DataFrame, threshold: float, probes: int) -> DataFrame:
               .withColumn("_ap", F.ceil(F.col("_n_asking") / (4 * CHUNK)).cast("int"))
               .withColumn("_h", F.xxhash64("_node")))
     own_s, own_a = F.pmod("_h", F.col("_sp")).cast("int"), F.pmod(F.shiftright("_h", 20), F.col("_ap")).cast("int")
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("_sp") - 1), lambda s: F.transform(
-        F.sequence(F.lit(0), F.col("_ap") - 1), lambda a: F.struct(s.alias("s"), a.alias("a")))))
-    met = F.filter(every, lambda c: (c["a"] == own_a) | (F.col("_home") & (c["s"] == own_s)))
+    # only the own row and column of the grid of parts: one struct per part, not per pair of parts
+    asks = F.transform(F.sequence(F.lit(0), F.col("_sp") - 1), lambda s: F.struct(s.alias("s"), own_a.alias("a")))
+    holds = F.transform(F.filter(F.sequence(F.lit(0), F.col("_ap") - 1), lambda a: a != own_a),
+                        lambda a: F.struct(own_s.alias("s"), a.alias("a")))
+    met = F.when(F.col("_home"), F.concat(asks, holds)).otherwise(asks)
     placed = parted.withColumn("_c", F.explode(met)).select(
         *bucket, "_node", F.col("_c.s").alias("_stored_part"), F.col("_c.a").alias("_ask_part"),
         (F.col("_home") & (F.col("_c.s") == own_s)).alias("_stored"),
