@@ -5,12 +5,15 @@ a level holds one vantage point and one radius, and a fingerprint goes left or r
 Hamming distance to the vantage inside that band. Distances of disjoint bands add up, so the
 triangle inequality bounds the cost of every side a neighbour could have taken, and the costs
 of several levels share the one search radius. A fingerprint is at home in one leaf and is
-sent as a query to the later leaves whose boundary it overlaps. Inside a leaf a second tree
-with vantage points of its own prunes again before pairs are compared exactly.
-
-Leaves have a bounded size at any number of fingerprints; copies of a query grow with the
-square of the number of levels, that is of the logarithm of the table. Vantage point and radii
-come from aggregates over all fingerprints; nothing but these few numbers reaches the driver.
+sent as a query to the later leaves whose boundary it overlaps. Leaves that a dense cluster
+fills beyond the bound are split again, each by a vantage point and radii of its own; what
+still exceeds it is cut into parts of homes that meet parts of queries. Inside a task a further
+tree prunes before pairs are compared exactly.
+
+Tasks have a bounded size at any number of fingerprints and any density; copies of a query grow
+with the square of the number of levels, that is of the logarithm of the table. Vantage points
+and radii come from aggregates over all fingerprints; of them the driver sees those of the first
+tree only.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.scratch import written
+from ..plans.scratch import release, written
 from .common import fields, map_batches
 from .components import components
 
 BITS = 64
-LEAF = 20000       # fingerprints at home in a leaf, about
+LEAF = 20000       # fingerprints at home in a leaf, about; twice as many at most
+LEAST_LEVELS = 2   # of the first tree, however small the table
+SPLIT_LEVELS = 4   # of the tree of one leaf beyond the bound
+SPLITS = 3         # times that leaves are split before they are cut into parts
 BLOCK = 1 << 18    # pairs compared at once inside a leaf
 CHUNK = 1 << 15    # shingles hashed at once of a very long text
 
@@ -75,39 +81,34 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def _distance(mask: int, vantage: int) -> Column:
-    return F.bit_count((F.col("fp").bitwiseXOR(F.lit(vantage))).bitwiseAND(F.lit(_signed(mask))))
+def _distance(mask: int, vantage: Column) -> Column:
+    return F.bit_count((F.col("fp").bitwiseXOR(vantage)).bitwiseAND(F.lit(_signed(mask))))
 
 
-def _tree(distinct: DataFrame, leaf: int) -> list[tuple[int, int, int]]:
-    """Levels as (band mask, vantage point, radius); radii halve the fingerprints of the table."""
-    n = distinct.count()
-    levels = min(BITS // 2, max(0, int(np.ceil(np.log2(max(n, 1) / leaf)))))
-    if not levels:
-        return []
-    vantage = distinct.orderBy(F.xxhash64("fp"), "fp").first()["fp"]
-    masks = _bands(levels)
-    inside = [F.sum((_distance(m, vantage) <= r).cast("long")).alias(f"n{i}_{r}")
-              for i, m in enumerate(masks) for r in range(m.bit_count())]
-    row = distinct.agg(*inside).first()
-    return [(m, vantage, min(range(m.bit_count()), key=lambda r: abs(2 * row[f"n{i}_{r}"] - n)))
-            for i, m in enumerate(masks)]
+def _radii(masks: list[int], vantage: Column) -> list[Column]:
+    """Per band the radius that comes nearest to halving the fingerprints, as aggregates."""
+    def gap(mask, r):
+        return F.abs(2 * F.sum((_distance(mask, vantage) <= r).cast("long")) - F.count(F.lit(1)))
+
+    return [F.array_min(F.array(*[F.struct(gap(m, r).alias("gap"), F.lit(r).alias("r"))
+                                  for r in range(m.bit_count())]))["r"] for m in masks]
 
 
-def _routed(distinct: DataFrame, tree, radius: int) -> DataFrame:
-    """(leaf, fp, home): the home leaf of each fingerprint and the later leaves in reach."""
-    if not tree:
-        return distinct.select(F.lit(0).cast("long").alias("leaf"), "fp", F.lit(True).alias("home"))
+def _placed(rows: DataFrame, masks: list[int], vantage: Column, radii: list[Column], radius: int) -> DataFrame:
+    """`rows` (fp, home, ...) with `_to`, one row per leaf of a tree; `home` stays true at one of them.
+
+    A row at home goes to its leaf and, as a query, to the later leaves in reach; a row that is a
+    query already goes to all leaves in reach.
+    """
     side, cost = [], []
-    for i, (mask, vantage, r) in enumerate(tree):
+    for i, (mask, r) in enumerate(zip(masks, radii, strict=True)):
         d = _distance(mask, vantage)
-        right = d > r
-        side.append(F.when(right, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-        cost.append(F.when(right, d - r).otherwise(F.lit(r + 1) - d))
-    home = side[0]
+        side.append(F.when(d > r, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        cost.append(F.when(d > r, d - r).otherwise(r + 1 - d))
+    own = side[0]
     for s in side[1:]:
-        home = home.bitwiseOR(s)
-    base = distinct.select("fp", home.alias("_home"), F.array(*[
+        own = own.bitwiseOR(s)
+    base = rows.select(*rows.columns, own.alias("_own"), F.array(*[
         F.struct(F.lit(1 << i).cast("long").alias("bit"), c.cast("int").alias("cost"))
         for i, c in enumerate(cost)]).alias("_flips"))
     reach = F.array(F.struct(F.lit(0).cast("long").alias("bit"), F.lit(0).alias("cost")))
@@ -120,10 +121,64 @@ def _routed(distinct: DataFrame, tree, radius: int) -> DataFrame:
 
     for _ in range(radius):
         reach = F.array_distinct(F.concat(reach, F.flatten(F.transform(reach, further))))
-    leaves = F.filter(F.transform(reach, lambda s: F.col("_home").bitwiseXOR(s["bit"])),
-                      lambda x: x >= F.col("_home"))
-    return (base.select("fp", "_home", F.explode(leaves).alias("leaf"))
-            .select("leaf", "fp", (F.col("leaf") == F.col("_home")).alias("home")))
+    leaves = F.filter(F.transform(reach, lambda s: F.col("_own").bitwiseXOR(s["bit"])),
+                      lambda x: ~F.col("home") | (x >= F.col("_own")))
+    return (base.withColumn("_to", F.explode(leaves))
+            .withColumn("home", F.col("home") & (F.col("_to") == F.col("_own"))).drop("_own", "_flips"))
+
+
+def _routed(distinct: DataFrame, radius: int, leaf: int) -> DataFrame:
+    """(leaf, fp, home): the home leaf of each fingerprint and the later leaves in reach, by one tree over all."""
+    n = distinct.count()
+    rows = distinct.select("fp", F.lit(True).alias("home"))
+    if not n:
+        return rows.select(F.lit(0).cast("long").alias("leaf"), "fp", "home")
+    levels = min(BITS // 2, max(LEAST_LEVELS, int(np.ceil(np.log2(n / leaf)))))
+    masks = _bands(levels)
+    vantage = F.lit(distinct.agg(F.min_by("fp", F.struct(F.xxhash64("fp"), "fp"))).first()[0])
+    radii = [F.lit(r) for r in distinct.agg(*_radii(masks, vantage)).first()]
+    return _placed(rows, masks, vantage, radii, radius).select(F.col("_to").alias("leaf"), "fp", "home")
+
+
+def _split(routed: DataFrame, over: DataFrame, radius: int, turn: int) -> DataFrame:
+    """`routed` with the leaves of `over` each split by a tree of its own; other leaves stay.
+
+    Leaves have hashed names: two of one name would only be searched together.
+    """
+    masks = _bands(SPLIT_LEVELS)
+    big = routed.join(over, "leaf", "left_semi")
+    chosen = big.filter("home").groupBy("leaf").agg(
+        F.min_by("fp", F.struct(F.xxhash64(F.lit(turn), "fp"), "fp")).alias("_vantage"))
+    names = [f"_r{i}" for i in range(SPLIT_LEVELS)]
+    trees = big.filter("home").join(chosen, "leaf").groupBy("leaf", "_vantage").agg(
+        *[r.alias(name) for r, name in zip(_radii(masks, F.col("_vantage")), names, strict=True)])
+    own = _placed(big.join(trees, "leaf"), masks, F.col("_vantage"), [F.col(name) for name in names], radius)
+    return routed.join(over, "leaf", "left_anti").unionByName(
+        own.select(F.xxhash64(F.lit(turn), "leaf", "_to").alias("leaf"), "fp", "home"))
+
+
+def _dealt(routed: DataFrame, bound: int) -> DataFrame:
+    """(leaf, _h, _q, fp, home, ask): tasks of at most about `bound` homes and 4 x `bound` queries.
+
+    Every row of a leaf is a query there. Homes and queries of a leaf are cut into parts; a home
+    goes to its part of homes against every part of queries, a query to its part of queries against
+    every part of homes, so each two meet once and a row lists its own line of parts only.
+    """
+    sizes = routed.groupBy("leaf").agg(F.ceil(F.count_if("home") / bound).alias("_nh"),
+                                       F.ceil(F.count(F.lit(1)) / (4 * bound)).alias("_nq"))
+    rows = routed.join(sizes.filter("_nh > 0"), "leaf")
+    part_h = F.pmod(F.xxhash64(F.lit("home"), "fp"), F.col("_nh"))
+    part_q = F.pmod(F.xxhash64(F.lit("query"), "fp"), F.col("_nq"))
+    parts = rows.select("leaf", "fp", "home", part_h.alias("_ph"), part_q.alias("_pq"), "_nh", "_nq")
+    whole = parts.filter("_nh = 1 AND _nq = 1").select(
+        "leaf", F.lit(0).cast("long").alias("_h"), F.lit(0).cast("long").alias("_q"), "fp", "home", F.lit(True).alias("ask"))
+    cut = parts.filter("_nh > 1 OR _nq > 1")
+    zero = F.lit(0).cast("long")
+    homes = cut.filter("home").select("leaf", F.col("_ph").alias("_h"), F.explode(F.sequence(zero, F.col("_nq") - 1)).alias("_q"),
+                                      "fp", F.lit(True).alias("home"), F.lit(False).alias("ask"))
+    queries = cut.select("leaf", F.explode(F.sequence(zero, F.col("_nh") - 1)).alias("_h"), F.col("_pq").alias("_q"),
+                         "fp", F.lit(False).alias("home"), F.lit(True).alias("ask"))
+    return whole.unionByName(homes).unionByName(queries)
 
 
 # --- search inside a leaf -----------------------------------------------------------------
@@ -178,10 +233,11 @@ def _leaf_links(radius: int):
         signed = pdf["fp"].to_numpy()[order]
         fps = signed.view(np.uint64)
         homes = np.nonzero(pdf["home"].to_numpy()[order])[0]
+        asking = np.nonzero(pdf["ask"].to_numpy()[order])[0]
         parent = np.arange(len(fps))
-        left = np.full(len(fps), radius, dtype=np.int16)
+        left = np.full(asking.size, radius, dtype=np.int16)
         waiting, held = [], 0
-        for q, h in _near(fps, homes, np.arange(len(fps)), left, radius):
+        for q, h in _near(fps, homes, asking, left, radius):
             waiting.append((q, h))
             held += q.size
             if held > 1 << 20:
@@ -198,11 +254,20 @@ def _leaf_links(radius: int):
 def links(distinct: DataFrame, radius: int = 2, leaf: int = LEAF) -> DataFrame:
     """(u, v) links that connect all fingerprints within `radius` bits of each other.
 
-    `distinct` has one row per fingerprint `fp`. Each leaf returns a star per group found in
-    it, so the table is no longer than the routed one however dense the groups are.
+    `distinct` has one row per fingerprint `fp`. Each task returns a star per group found in
+    it, so the table is no longer than the routed one however dense the groups are. Tasks hold
+    about 2 x `leaf` homes at most.
     """
-    routed = _routed(distinct, _tree(distinct, leaf), radius)
-    return routed.groupBy("leaf").applyInPandas(_leaf_links(radius), "u long, v long")
+    bound = 2 * leaf
+    routed = written(_routed(distinct, radius, leaf), "routed")
+    for turn in range(SPLITS):
+        over = written(routed.filter("home").groupBy("leaf").count().filter(F.col("count") > bound).select("leaf"), "over")
+        if over.isEmpty():
+            release(over)
+            break
+        last, routed = routed, written(_split(routed, over, radius, turn), "routed")
+        release(last, over)
+    return _dealt(routed, bound).groupBy("leaf", "_h", "_q").applyInPandas(_leaf_links(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,

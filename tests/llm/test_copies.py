@@ -61,6 +61,32 @@ def test_tree_links_equal_brute_force(spark, leaf):
     assert {n: found.get(n, n) for n in signed} == _classes(signed, pairs)
 
 
+@pytest.mark.parametrize("splits", [0, 3])
+def test_tasks_of_a_dense_cluster_are_bounded(spark, monkeypatch, splits):
+    """A third of the fingerprints lie around one centre: leaves are split, or cut into parts, and no link is lost."""
+    monkeypatch.setattr(simhash, "SPLITS", splits)
+    leaf, rng = 40, np.random.default_rng(splits)
+    bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    centre = rng.integers(1 << 63, dtype=np.uint64)
+    dense = [centre ^ np.bitwise_xor.reduce(rng.choice(bit, n, replace=False)) for n in rng.integers(1, 5, 900)]
+    fps = np.unique(np.concatenate([rng.integers(1 << 63, size=1800, dtype=np.uint64), np.array(dense, dtype=np.uint64)]))
+    signed = fps.view(np.int64)
+    df = spark.createDataFrame([(int(f),) for f in signed], "fp long").repartition(3)
+    sizes, inner = [], simhash._dealt
+
+    def dealt(*args):
+        out = inner(*args)
+        sizes.extend(out.groupBy("leaf", "_h", "_q").agg(F.count_if("home"), F.count_if("ask")).collect())
+        return out
+
+    monkeypatch.setattr(simhash, "_dealt", dealt)
+    found = {r["node"]: r["root"] for r in components(simhash.links(df, 2, leaf)).collect()}
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, 1))
+    nodes = signed.tolist()
+    assert {n: found.get(n, n) for n in nodes} == _classes(nodes, zip(signed[i].tolist(), signed[j].tolist()))
+    assert max(s[3] for s in sizes) <= 3 * leaf and max(s[4] for s in sizes) <= 12 * leaf
+
+
 def test_simhash_edge_cases(spark):
     rows = [(3, None, "a"), (1, "", "b"), (None, " ", "c"), (5, "one two three four", None), (5, "one two three four", None),
             (9, "ONE two three four", "d"), (7, "something else entirely here", "d")]
