@@ -218,12 +218,24 @@ def _rotated_by_hand(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [2, 1024])
-def test_rotation_by_hand(spark, block):
+@pytest.fixture(params=[1, 7])
+def ranges(spark, request):
+    """Ordered tables are cut into so many ranges, however small they are."""
+    wanted = {"spark.sql.shuffle.partitions": request.param, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    yield request.param
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_rotation_by_hand(spark, ranges):
     rows = [(1, t, ["user", "assistant", "ann", "system"][t % 4], f"text é😀 {t}") for t in range(11)]
     rows += [(2, 0, None, None), (2, 0, None, None), (2, None, "user", "x"), (None, 5, "user", ""), (3, 1, "system", "only")]
+    rows += [(4, 0, "user", "same")] * 30 + [(4, 0, "ann", f"{i % 3}") for i in range(20)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("start", F.lit(1))
-    got = rotation.rotate(df, block=block).collect()
+    got = rotation.rotate(df).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, _rotated_by_hand(rows)))
     assert rotation.rotate(df.limit(0)).count() == 0
 
