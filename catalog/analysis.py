@@ -313,18 +313,47 @@ def nb_two_group_test(spark, d):
     return H.nb_two_group_test(c, H.rle_size_factors(c), g)
 
 
-@case("zero_inflated_contrast", f"""WITH {t.MTAXA}, c AS (SELECT taxon AS feature, site || '_' || method AS sample, method, reads FROM mtaxa),
+ZERO_INFLATED = """c AS (SELECT taxon AS feature, site || '_' || method AS sample, method, reads FROM mtaxa),
  n AS (SELECT sample, method, CAST(sum(reads) AS DOUBLE) AS n FROM c GROUP BY 1, 2), sf AS (SELECT sample, method, n / (SELECT quantile_cont(n, 0.5) FROM n) AS s FROM n),
  k AS (SELECT method, count(*) AS n FROM sf GROUP BY 1), y AS (SELECT feature, c.method, ln(reads / s) AS y FROM c JOIN sf USING (sample) WHERE reads > 0),
  z AS (SELECT feature, CAST(count(*) FILTER (method = 'B') AS DOUBLE) AS k1, CAST(count(*) FILTER (method = 'G') AS DOUBLE) AS k2, avg(y) FILTER (method = 'B') AS m1, avg(y) FILTER (method = 'G') AS m2,
    var_samp(y) FILTER (method = 'B') AS v1, var_samp(y) FILTER (method = 'G') AS v2 FROM y GROUP BY 1),
  e AS (SELECT feature, k1 / (SELECT n FROM k WHERE method = 'B') AS d1, k2 / (SELECT n FROM k WHERE method = 'G') AS d2, m2 - m1 AS beta, sqrt(v1 / k1 + v2 / k2) AS se FROM z),
- w AS (SELECT *, beta / nullif(se, 0) AS z, abs(beta / nullif(se, 0)) / sqrt(2.0) AS zz FROM e)
+ w AS (SELECT *, beta / nullif(se, 0) AS z, abs(beta / nullif(se, 0)) / sqrt(2.0) AS zz FROM e)"""
+
+
+@case("zero_inflated_contrast", f"""WITH {t.MTAXA}, {ZERO_INFLATED}
  SELECT feature, round(d1, 6) AS detection_1, round(d2, 6) AS detection_2, round(beta, 6) AS beta, round(se, 6) AS se, round(d2 / nullif(d1, 0), 6) AS detection_ratio, round(z, 6) AS z, round({f.erfc('zz')}, 6) AS p FROM w""")
 def zero_inflated_contrast(spark, d):
     return H.zero_inflated_contrast(*_pair_groups(spark, d))
 
 
+_RAREFIED = t.MTAXA.replace(", mtaxa AS (", ", mtaxa0 AS (") + """, depths AS (SELECT site, method, CAST(sum(reads) AS DOUBLE) AS n FROM mtaxa0 GROUP BY 1, 2),
+ mtaxa AS (SELECT * FROM (SELECT taxon, site, method, CAST(CASE WHEN n <= low THEN reads ELSE round_even(reads * low / n, 0) END AS BIGINT) AS reads
+  FROM mtaxa0 JOIN depths USING (site, method), (SELECT min(n) AS low FROM depths)) WHERE reads > 0)"""
+
+
+def _suite_sql() -> str:
+    """Each variant and test as a query of its own, adjusted by itself."""
+    effects = {"rank_sum": (f"{DENSE}, {RSUM}, {CONTRAST}", "SELECT rp.taxon, -mean_diff AS effect, -z AS z, p FROM rp JOIN ct ON rp.taxon = ct.taxon"),
+               "negative_binomial": (f"{RLE}, {NB}", "SELECT taxon, log_fc AS effect, z, p FROM wp"),
+               "zero_inflated": (ZERO_INFLATED, f"SELECT feature AS taxon, beta AS effect, z, {f.erfc('zz')} AS p FROM w")}
+    runs = []
+    for variant, counts in (("raw", t.MTAXA), ("rarefied", _RAREFIED)):
+        for test, (steps, result) in effects.items():
+            runs.append(f"""SELECT * FROM (WITH {counts}, {steps}, tested AS ({result}), bhs AS (SELECT *, least(1.0, min(p * n / r) OVER (ORDER BY p DESC, taxon ROWS UNBOUNDED PRECEDING)) AS q0 FROM (
+  SELECT *, count(*) OVER () AS n, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS r FROM tested WHERE p IS NOT NULL))
+ SELECT '{variant}' AS variant, '{test}' AS test, taxon AS feature, round(effect, 6)::DOUBLE AS effect, round(z, 6) AS z, round(p, 6) AS p, round(q0, 6) AS p_adjusted,
+  round(CASE WHEN q0 <= 0.05 THEN effect ELSE 0 END, 6)::DOUBLE AS kept FROM bhs)""")
+    return " UNION ALL ".join(runs)
+
+
+@case("contrast_suite", _suite_sql(), digits=6)
+def contrast_suite(spark, d):
+    c, g = _pair_groups(spark, d)
+    return H.contrast_suite({"raw": c, "rarefied": C.rarefy_expected(c)}, g).filter("p IS NOT NULL")
+
+
 # ------------------------------------------------------------------ trends and associations
 
 

@@ -9,6 +9,7 @@ p-values of rank tests are asymptotic, with tie and continuity correction.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -245,10 +246,13 @@ def nb_two_group_test(counts: DataFrame, factors: DataFrame, groups: DataFrame,
 
     Moment dispersions are shrunk to the common value of the key (prior worth PRIOR_DF degrees
     of freedom); a Wald statistic tests the log fold change. Not the conditional exact test.
+    Keys that `factors` has and `groups` has not (variants, ranks) are scaled to their own mean size.
     """
     by = names(by)
-    mean_size = factors.agg(F.avg(F.col("lib_size") * F.col("norm_factor"))).scalar()
-    y = _normalised(counts, factors, groups, group, mean_size, by)
+    own = [k for k in by if k in factors.columns and k not in groups.columns]
+    size = F.avg(F.col("lib_size") * F.col("norm_factor")).alias("_mean_size")
+    scaled = attach(factors, factors.groupBy(*own).agg(size) if own else factors.agg(size), own)
+    y = _normalised(counts, scaled, groups, group, F.col("_mean_size"), by)
     flat = _by_side(y, groups, group, [k for k in by if k in groups.columns], ["feature", *by], ["_s1", "_s2", "_n"], labels)
     n1, n2 = F.col("_n1"), F.col("_n2")
     ss = (F.col("_s21") - F.col("_s11") * F.col("_s11") / n1) + (F.col("_s22") - F.col("_s12") * F.col("_s12") / n2)
@@ -273,19 +277,22 @@ def zero_inflated_contrast(counts: DataFrame, groups: DataFrame, group: str = "g
 
     Counts are scaled by sample size over the median size. Detection is the share of
     samples with reads; `beta` the difference of mean log scaled counts among detections
-    (second group over first) with its standard error and z.
+    (second group over first) with its standard error and z. Keys of `by` come from the groups
+    (comparisons) or from the counts (variants, ranks), which are scaled each by itself.
     """
     by = names(by)
+    own = [k for k in by if k in counts.columns]
+    there = [k for k in by if k not in own]
     counts = written(counts, "counts")
-    sizes = library_size(counts)
-    sf = attach(sizes, median_of(sizes, "depth", name="_med")).select("sample", ratio("depth", "_med").alias("_sf"))
-    n = groups.groupBy(*by, group).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    cells = (counts.filter("reads > 0").join(sf, "sample").join(groups, "sample")
+    sizes = counts.groupBy("sample", *own).agg(F.sum("reads").alias("depth"))
+    sf = attach(sizes, median_of(sizes, "depth", own, "_med"), own).select("sample", *own, ratio("depth", "_med").alias("_sf"))
+    n = groups.groupBy(*there, group).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    cells = (counts.filter("reads > 0").join(sf, ["sample", *own]).join(groups, "sample")
              .withColumn("_y", F.log(F.col("reads") / F.col("_sf"))))
     per = cells.groupBy("feature", *by, group).agg(
         F.count(F.lit(1)).cast("double").alias("_k"), F.avg("_y").alias("_m"), F.var_samp("_y").alias("_v"))
-    per = per.join(n, [*by, group])
-    flat = _by_side(per, groups, group, by, ["feature", *by], ["_k", "_m", "_v", "_n"], labels)
+    per = per.join(n, [*there, group])
+    flat = _by_side(per, groups, group, there, ["feature", *by], ["_k", "_m", "_v", "_n"], labels)
     se = F.sqrt(F.col("_v1") / F.col("_k1") + F.col("_v2") / F.col("_k2"))
     out = flat.select(
         "feature", *by, F.coalesce(ratio("_k1", "_n1"), F.lit(0.0)).alias("detection_1"),
@@ -296,7 +303,10 @@ def zero_inflated_contrast(counts: DataFrame, groups: DataFrame, group: str = "g
 
 
 def contrast_grid(values: DataFrame, sizes: DataFrame, by, level: float = 0.05) -> DataFrame:
-    """Rank-sum test, contrast, adjustment and masking for every key of `by`, from one ordered pass."""
+    """Rank-sum test, contrast, adjustment and masking for every key of `by`, from one ordered pass.
+
+    `contrast_suite` runs several tests on several variants of the counts.
+    """
     by = names(by)
     stats = _contrast(_rank_test(two_group_stats(values, sizes, by=by))).select(
         *by, "taxon", "w", "z", "p", "median_1", "median_2", "median_diff", "mean_diff", "log2_median_ratio")
@@ -304,6 +314,53 @@ def contrast_grid(values: DataFrame, sizes: DataFrame, by, level: float = 0.05)
     return mask_not_significant(test, ["median_diff", "mean_diff", "log2_median_ratio"], level=level)
 
 
+def _suite_rank_sum(counts: DataFrame, factors, groups: DataFrame, by: list[str]) -> DataFrame:
+    """The contrast of means, turned as the other tests are: second group against first."""
+    values = counts.withColumnRenamed("feature", "taxon").join(groups, "sample")
+    sizes = group_sizes(groups, by=[k for k in by if k in groups.columns])
+    stats = _contrast(_rank_test(two_group_stats(values, sizes, by=by)))
+    return stats.select(*by, F.col("taxon").alias("feature"), (-F.col("mean_diff")).alias("effect"), (-F.col("z")).alias("z"), "p")
+
+
+def _suite_nb(counts: DataFrame, factors: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    return nb_two_group_test(counts, factors, groups, by=by).select(*by, "feature", F.col("log_fc").alias("effect"), "z", "p")
+
+
+def _suite_zero_inflated(counts: DataFrame, factors, groups: DataFrame, by: list[str]) -> DataFrame:
+    return zero_inflated_contrast(counts, groups, by=by).select(*by, "feature", F.col("beta").alias("effect"), "z", "p")
+
+
+SUITE = {"rank_sum": _suite_rank_sum, "negative_binomial": _suite_nb, "zero_inflated": _suite_zero_inflated}
+
+
+def contrast_suite(tables: dict[str, DataFrame], groups: DataFrame, comparisons=(), tests=tuple(SUITE),
+                   level: float = 0.05) -> DataFrame:
+    """(comparisons, variant, test, feature, effect, z, p, p_adjusted, kept): all tests of all variants at once.
+
+    `tables` names variants of the counts (raw, rarefied, ranks of the lineage), each with (feature,
+    sample, reads); `groups` holds (sample, group) per key of `comparisons`. Every test runs once
+    for all variants and comparisons. Effects are those of the second group against the first:
+    difference of means, log2 fold change, difference of mean logs. p-values are adjusted inside a
+    comparison, variant and test; `kept` is the effect where the adjusted one is at most `level`, else 0.
+    Size factors are found per variant, and only where a test needs them.
+    """
+    unknown = set(tests) - set(SUITE)
+    if unknown or not tables or not tests:
+        raise ValueError(f"tables and tests of {sorted(SUITE)} are needed; unknown: {sorted(unknown)}")
+    by = [*names(comparisons), "variant"]
+    parts = [df.filter("reads > 0").select("feature", "sample", "reads", F.lit(name).alias("variant")) for name, df in tables.items()]
+    counts = written(reduce(DataFrame.unionByName, parts), "variants")
+    factors = None
+    if "negative_binomial" in tests:
+        factors = written(reduce(DataFrame.unionByName, [
+            rle_size_factors(counts.filter(F.col("variant") == name).drop("variant")).withColumn("variant", F.lit(name))
+            for name in tables]), "factors")
+    runs = [SUITE[test](counts, factors, groups, by).withColumn("test", F.lit(test)) for test in tests]
+    tested = p_adjust_bh(written(reduce(DataFrame.unionByName, runs), "tests"), "p", [*by, "test"])
+    kept = mask_not_significant(tested.withColumn("kept", F.col("effect")), ["kept"], level=level)
+    return kept.select(*by, "test", "feature", "effect", "z", "p", "p_adjusted", "kept")
+
+
 # ------------------------------------------------------------------ trends, correlation
 
 
@@ -322,15 +379,18 @@ def mean_variance_power_law(moments: DataFrame, by="method", floor: float = 1.0)
 
 
 def correlation_matrix(df: DataFrame, cols, method: str = "pearson") -> DataFrame:
-    """Correlation of every column pair as (c1, c2, r, n); rows with a NULL are left out."""
+    """Correlation of every column pair as (c1, c2, r, n); rows with a NULL are left out.
+
+    Spearman ranks all columns in one ordered pass over (column, value).
+    """
     cols = sorted(names(cols))
     if method not in ("pearson", "spearman"):
         raise ValueError("method must be 'pearson' or 'spearman'")
     data = df.dropna(subset=cols)
     if method == "spearman":
-        for c in cols:
-            data = average_rank(data, c, name=f"_r_{c}")
-        data = data.select(*[F.col(f"_r_{c}").alias(c) for c in cols])
+        numbered = written(data.select(*cols, F.monotonically_increasing_id().alias("_row")), "rows")
+        ranked = average_rank(numbered.unpivot("_row", cols, "_column", "_value"), "_value", "_column", "_rank")
+        data = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_column") == c, F.col("_rank"))).alias(c) for c in cols])
     pairs = list(combinations(cols, 2))
     one = data.agg(F.count(F.lit(1)).alias("n"),
                    *[F.corr(dbl(a), dbl(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])

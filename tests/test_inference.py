@@ -119,6 +119,51 @@ def test_comparisons_have_their_own_labels(spark):
         H.log_fc_cpm(c, f, g).collect()
 
 
+def test_suite_equals_its_tests_one_by_one(spark):
+    rng = np.random.default_rng(21)
+    mean = np.where(np.arange(8) < 4, 10, 60)
+    m = np.stack([rng.poisson(mean), rng.poisson(mean[::-1]), rng.poisson(40, 8), rng.poisson(3, 8) * (rng.random(8) < 0.7)])
+    tables = {"all": frame(spark, m), "half": frame(spark, m // 2)}
+    rows = [(f"s{j:02d}", k, g) for j in range(8) for k, g in ((1, "A" if j < 4 else "B"), (2, "D" if j % 2 else "C"))]
+    g = spark.createDataFrame(rows, "sample string, comparison int, group string")
+    got = {(r["comparison"], r["variant"], r["test"], r["feature"]): r for r in H.contrast_suite(tables, g, ["comparison"]).collect()}
+    seen = 0
+    for k in (1, 2):
+        mine = g.filter(f"comparison = {k}").drop("comparison")
+        for name, c in tables.items():
+            values = c.withColumnRenamed("feature", "taxon").join(mine, "sample")
+            ranks = H.contrast_grid(values.withColumn("one", F.lit(1)), H.group_sizes(mine), ["one"], level=1.0)
+            alone = {("rank_sum", r["taxon"]): (-r["mean_diff"], r["p"], r["p_adjusted"]) for r in ranks.collect()}
+            alone |= {("negative_binomial", r["feature"]): (r["log_fc"], r["p"], r["fdr"])
+                      for r in H.nb_two_group_test(c, H.rle_size_factors(c), mine).collect()}
+            zero = H.p_adjust_bh(H.zero_inflated_contrast(c, mine))
+            alone |= {("zero_inflated", r["feature"]): (r["beta"], r["p"], r["p_adjusted"]) for r in zero.collect()}
+            for (test, feature), want in alone.items():
+                r = got[k, name, test, feature]
+                have = (r["effect"], r["p"], r["p_adjusted"])
+                assert all(x == y or np.isclose(x, y) for x, y in zip(have, want) if y is not None or x is not None), (test, feature)
+                q = r["p_adjusted"]
+                assert r["kept"] == (r["effect"] if q is not None and q <= 0.05 else 0.0)
+                seen += 1
+    assert seen == len(got)
+    with pytest.raises(ValueError, match="unknown"):
+        H.contrast_suite(tables, g, tests=("exact",))
+
+
+def test_spearman_of_many_columns(spark):
+    rng = np.random.default_rng(22)
+    x = rng.integers(0, 6, (60, 12)).astype(float)
+    cols = [f"v{j:02d}" for j in range(12)]
+    df = spark.createDataFrame([tuple(map(float, row)) for row in x], cols).unionByName(
+        spark.createDataFrame([(None, *[1.0] * 11)], ", ".join(f"{c} double" for c in cols)))
+    rank = np.array([[(v < c).sum() + ((v == c).sum() + 1) / 2 for c in v] for v in x.T])
+    want = np.corrcoef(rank)
+    got = {(r["c1"], r["c2"]): (r["r"], r["n"]) for r in H.correlation_matrix(df, cols, "spearman").collect()}
+    assert len(got) == 66
+    for (a, b), (r, n) in got.items():
+        assert n == 60 and np.isclose(r, want[cols.index(a), cols.index(b)])
+
+
 def test_draws_beyond_a_billion_reads():
     from countgrove.operators import resampling as X
 
