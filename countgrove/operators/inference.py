@@ -20,7 +20,7 @@ from ..functions.special import chi2_sf, norm_cdf, norm_sf2, student_sf2
 from ..plans import permuted_tiles
 from ..plans.pair_blocks import dot, pair_sums
 from ..plans.permuted_tiles import indexed_pairs, n_relabellings, permuted_sums
-from ..plans.ranking import (accumulate, average_rank, hashed_index, hist_quantiles, median_of,
+from ..plans.ranking import (accumulate, accumulate_beside, average_rank, hashed_index, hist_quantiles, median_of,
                              row_index, step_up_adjust, value_counts)
 from ..plans.scratch import written
 from .counts import library_size
@@ -133,37 +133,34 @@ def mask_not_significant(df: DataFrame, effects, p: str = "p_adjusted", level: f
 # ------------------------------------------------------------------ normalised counts
 
 
+PLACES = 256   # of an order that are looked up together
+
+
 def rle_size_factors(counts: DataFrame) -> DataFrame:
     """Relative-log-expression factors on reads + 1, scaled to geometric mean 1.
 
     The reference profile is the geometric mean of a feature over all samples. A sample's
     factor is the median over all features of its ratio to that profile, over its size.
     Absent cells all have ratio 1 / profile, so the median is found from one shared order
-    of these values and, per sample, the few values its own cells take out and put in.
+    of these values and, per sample, the few values its own cells take out and put in. Both
+    are in one table of events, cut once by value.
     """
-    cells = counts.filter("reads > 0").select("feature", "sample", "reads")
-    cells = written(cells, "cells")
+    cells = written(counts.filter("reads > 0").select("feature", "sample", "reads"), "cells")
     n_s = cells.agg(F.count_distinct("sample")).scalar()
-    profile = (cells.groupBy("feature").agg(F.sum(F.log(dbl("reads") + 1)).alias("_l"))
-               .withColumn("_g", F.exp(-F.col("_l") / n_s)).select("feature", "_g"))
-    profile = written(profile, "profile")
-    n_f = profile.agg(F.count(F.lit(1))).scalar()
-    mine = cells.join(profile, "feature").withColumn("_v", (dbl("reads") + 1) * F.col("_g"))
-
-    events = mine.select("sample", F.explode(F.array(
+    n_f = cells.agg(F.count_distinct("feature")).scalar()
+    # Summed as decimals, which is exact: the profile has the same values wherever it is read.
+    logs = F.sum(F.log(dbl("reads") + 1).cast("decimal(28,18)")).cast("double")
+    profile = cells.groupBy("feature").agg(logs.alias("_l")).select("feature", F.exp(-F.col("_l") / n_s).alias("_g"))
+    own = (cells.join(profile, "feature").select("sample", F.explode(F.array(
         F.struct(F.col("_g").alias("x"), F.lit(-1).alias("w")),
-        F.struct(F.col("_v").alias("x"), F.lit(1).alias("w")))).alias("e")).select("sample", "e.x", "e.w").groupBy(
-        "sample", "x").agg(F.sum("w").alias("_w"))
-    shared = (profile.select(F.col("_g").alias("x"), F.lit(1).alias("c"))
-              .unionByName(mine.select(F.col("_v").alias("x"), F.lit(0).alias("c")))
-              .groupBy("x").agg(F.sum("c").alias("_n")))
-    order = accumulate(shared, "x").select("x", F.col("_n_below").alias("_shared"), F.col("_n").alias("_here"))
-    own = accumulate(events.withColumnRenamed("_w", "_n"), "x", "sample").withColumnsRenamed(
-        {"_n": "_w", "_n_below": "_shift"}).drop("_n_total")
-    own, order = written(own, "own"), written(order, "order")
-    ev = own.join(order, "x").select(
-        "sample", "x", (F.col("_shared") + F.col("_shift")).alias("_at"), (F.col("_here") + F.col("_w")).alias("_mult"),
-        (F.col("_shift") + F.col("_w")).alias("_carry"))
+        F.struct(((dbl("reads") + 1) * F.col("_g")).alias("x"), F.lit(1).alias("w")))).alias("e"))
+        .groupBy("sample", "e.x").agg(F.sum("e.w").alias("_w")).withColumns({"_own": F.lit(True), "_c": F.lit(0).cast("bigint")}))
+    shared = profile.groupBy(F.col("_g").alias("x")).agg(F.count(F.lit(1)).alias("_c")).withColumns(
+        {"_own": F.lit(False), "_w": F.lit(0).cast("bigint"), "sample": F.lit(None).cast(cells.schema["sample"].dataType)})
+    order = accumulate_beside(own.unionByName(shared), "x", "sample", "_w", "_c")
+    at = F.col("_c_below") + F.col("_w_below")
+    ev = order.filter("_own").select("sample", "x", at.alias("_at"), (F.col("_c_here") + F.col("_w")).alias("_mult"),
+                                     (F.col("_w_below") + F.col("_w")).alias("_carry"))
 
     picks = []
     for i, k in enumerate((F.floor((n_f - 1) / 2), F.ceil((n_f - 1) / 2))):
@@ -172,12 +169,17 @@ def rle_size_factors(counts: DataFrame) -> DataFrame:
         picks += [F.max(F.when(hit, F.col("x"))).alias(f"_hit{i}"),
                   F.coalesce(F.max_by("_carry", F.when(past, F.col("x"))), F.lit(0)).alias(f"_c{i}"),
                   F.max(k).alias(f"_k{i}")]
-    found = written(ev.groupBy("sample").agg(*picks), "median")
-    ranked = row_index(profile, ["_g", "feature"], name="_i").select("_i", "_g")
-    for i in (0, 1):
-        look = ranked.select(F.col("_i").alias(f"_r{i}"), F.col("_g").alias(f"_far{i}"))
-        found = (found.withColumn(f"_r{i}", F.when(F.col(f"_hit{i}").isNull(), F.col(f"_k{i}") - F.col(f"_c{i}")))
-                 .join(look, f"_r{i}", "left").withColumn(f"_m{i}", F.coalesce(f"_hit{i}", f"_far{i}")))
+    found = ev.groupBy("sample").agg(*picks)
+    # Values of the shared order by place: a place meets the few values of its block.
+    spans = order.filter("NOT _own").select("x", F.col("_c_below").alias("_from"), (F.col("_c_below") + F.col("_c")).alias("_until"))
+    blocks = spans.withColumn("_block", F.explode(F.sequence(
+        F.floor(F.col("_from") / PLACES), F.floor((F.col("_until") - 1) / PLACES))))
+    far = [F.when(F.col(f"_hit{i}").isNull(), F.col(f"_k{i}") - F.col(f"_c{i}")) for i in (0, 1)]
+    asked = found.withColumn("e", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), far[i].alias("r")) for i in (0, 1)]))).select(
+        "sample", "_hit0", "_hit1", "e.*").withColumn("_asked", F.floor(F.col("r") / PLACES))
+    met = asked.join(blocks, (F.col("_asked") == F.col("_block")) & (F.col("r") >= F.col("_from")) & (F.col("r") < F.col("_until")), "left")
+    found = met.groupBy("sample").agg(*[
+        F.coalesce(F.max(f"_hit{i}"), F.max(F.when(F.col("i") == i, F.col("x")))).alias(f"_m{i}") for i in (0, 1)])
     median = (F.col("_m0") + F.col("_m1")) / 2
     sizes = library_size(cells).withColumn("lib_size", F.col("depth") + n_f)
     raw = written(found.join(sizes, "sample").select("sample", "lib_size", (median / F.col("lib_size")).alias("_f")), "factor")

@@ -64,6 +64,27 @@ def accumulate(hist: DataFrame, value: str, by=(), weights=("_n",)) -> DataFrame
     return _with_ranges(hist, names(by), value, names(weights)).drop("_range")
 
 
+def accumulate_beside(events: DataFrame, value: str, key: str, own: str, shared: str) -> DataFrame:
+    """Running sums of two weights over one order: of `own` inside a key, of `shared` over all rows.
+
+    Adds {own}_below, the sum of lower values of the same key, and {shared}_below and {shared}_here,
+    the sums of lower and of equal values of all rows. The table is cut by value alone, so both
+    orders are read from one written table; a key and a value occur once.
+    """
+    cut = _cut(events, [], [value], "events")
+    per_key = cut.groupBy(key, "_range").agg(F.sum(own).alias("_in")).select(
+        key, "_range", F.coalesce(F.sum("_in").over(_before([key], ["_range"])), F.lit(0)).alias("_key_start"))
+    per_range = cut.groupBy("_range").agg(F.sum(shared).alias("_in")).select(
+        "_range", F.coalesce(F.sum("_in").over(_before([], ["_range"])), F.lit(0)).alias("_start"))
+    until = Window.partitionBy("_range").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    here = cut.withColumn(f"{shared}_here", F.sum(shared).over(Window.partitionBy("_range", value))).withColumn(
+        "_until", F.sum(shared).over(until))
+    summed = here.withColumn("_key_in", F.coalesce(F.sum(own).over(_before([key, "_range"], [value])), F.lit(0)))
+    placed = _beside_ranges(_beside_ranges(summed, per_range, []), per_key, [key])
+    return placed.select(*events.columns, f"{shared}_here", (F.col("_key_start") + F.col("_key_in")).alias(f"{own}_below"),
+                         (F.col("_start") + F.col("_until") - F.col(f"{shared}_here")).alias(f"{shared}_below"))
+
+
 def value_counts(df: DataFrame, value: str, by=()) -> DataFrame:
     """Number of rows per (group, value); NULL values are left out."""
     return (df.filter(F.col(value).isNotNull())
