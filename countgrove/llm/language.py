@@ -15,21 +15,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NUMERALS, append_batches, fields, held_out, map_batches
+from .common import append_batches, fields, held_out, map_batches, without_numerals
 
 PROFILE = 400        # n-grams of a language profile and of a document's list
 LONGEST = 3
 SAMPLE = 4000        # documents a language is learned from, at most (about)
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(rf"[\W\d_{NUMERALS}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _BITS = 21           # of a code point; three fit a signed 64-bit key
 _SPACE = 32
 
 
 def gram_keys(text: str | None) -> np.ndarray:
     """Keys of all n-grams of the lower-cased text; words are runs of letters inside spaces."""
-    words = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    words = _NOT_LETTERS.sub(" ", without_numerals((text or "").lower())).strip()
     if not words:
         return np.zeros(0, dtype=np.int64)
     c = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.scratch import written
-from .common import NUMERALS, append_batches, fields, held_out, map_batches
+from .common import append_batches, fields, held_out, map_batches, without_numerals
 
 GRADES = 4
 VOCABULARY = 1000
@@ -38,13 +38,13 @@ STEPS = 300
 RATE = 0.1
 PENALTY = 2e-4
 
-_LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def features_of(text: str | None) -> Counter:
     """Counts of the lower-cased runs of letters and of their openings (`^` and OPENING letters)."""
     out: Counter = Counter()
-    for word, n in Counter(_LETTERS.findall((text or "").lower())).items():
+    for word, n in Counter(_LETTERS.findall(without_numerals((text or "").lower()))).items():
         out[word] += n
         if len(word) > OPENING:
             out["^" + word[:OPENING]] += n
@@ -53,7 +53,7 @@ def features_of(text: str | None) -> Counter:
 
 def copy_mark(text: str) -> int:
     """Smallest hash of the longer words (of the whole text without any): mostly equal in near-copies."""
-    long = {w for w in _LETTERS.findall(text.lower()) if len(w) > 6}
+    long = {w for w in _LETTERS.findall(without_numerals(text.lower())) if len(w) > 6}
     return min(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 1) for w in (long or {text})) >> 1
 
 
