@@ -116,11 +116,14 @@ def truncated_moments(params: DataFrame, counts: DataFrame, by=()) -> DataFrame:
 
 
 def _solve_mu(c: float, m1: float, m2: float, tol: float = 1e-10):
-    """Location of the truncated lognormal by bisection, or None without a root.
+    """Location of the truncated lognormal by bisection, or None without a root or without moments.
 
     The location lies below the one at which the spread vanishes. The bracket starts one
     standard deviation of the moments under it and doubles until the sign changes.
     """
+    if not all(v is not None and math.isfinite(v) for v in (c, m1, m2)):
+        return None            # no feature above the cut-off: comparisons with NaN would never end
+
     def f(mu):
         s = math.sqrt(m2 - c * m1 + (c - m1) * mu)
         x = (c - mu) / s / math.sqrt(2.0)

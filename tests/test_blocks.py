@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from countgrove.operators import joins as J
 from countgrove.operators import laws as M
@@ -58,3 +59,14 @@ def test_columns_of_like_profile_cluster(spark):
     got = {r["sample"]: r["cluster"] for r in O.column_clusters(frame(spark, m), 3, 3).collect()}
     groups = [{got[f"s{j:02d}"] for j in range(18) if j % 3 == k} for k in range(3)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+
+
+def test_no_feature_above_the_cut_off_has_no_lognormal(spark):
+    """Empty moments come as NULL; the search for a root among them did not end."""
+    for gone in (None, float("nan")):
+        assert M._solve_mu(gone, gone, gone) is None
+    params = M.gamma_parameters(frame(spark, table(8, 5, seed=4))).withColumn("mean_abundance", F.lit(1e-9))
+    moments = M.truncated_moments(params, frame(spark, table(8, 5, seed=4)))
+    got = M.estimate_lognormal(moments).collect()
+    assert len(got) == 1 and got[0]["n_observed"] == 0 and got[0]["mu"] is None and got[0]["total_species"] is None
+    assert M.mean_abundance_density(params, M.estimate_lognormal(moments)).count() == 0
