@@ -189,3 +189,18 @@ def test_rarefaction_of_huge_samples(spark):
     assert sum(got.values()) == 10 ** 12 and abs(got["f0"] - 6 * 10 ** 11) < 5 * np.sqrt(10 ** 12 * 0.24)
     mean = {r["feature"]: r["reads"] for r in X.rarefy_average(df, 10 ** 12, 4, seed=3).collect()}
     assert abs(sum(mean.values()) - 10 ** 12) <= 4
+
+
+@pytest.mark.parametrize("gain", [0, 10 ** 9])
+def test_pair_tables_leave_their_tiles_finished(spark, monkeypatch, gain):
+    """Met cells and matrix products agree with numpy, and no pair is shuffled or joined after its tile."""
+    monkeypatch.setattr(pair_blocks, "DENSE_GAIN", gain)
+    m = table(40, 11, seed=5, zeros=0.8)
+    df = frame(spark, m).unionByName(spark.createDataFrame([(None, "s03", 7)], "feature string, sample string, reads long"))
+    sums = pair_blocks.pair_sums(df, "sample", "feature", "reads", block=4)
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("FlatMapGroupsInArrow") and "Join" not in plan
+    got = {(r["s1"], r["s2"]): r["value"] for r in sums.collect()}
+    want = m.T.astype(float) @ m
+    assert got == {(f"s{i:02d}", f"s{j:02d}"): want[i, j] for i in range(11) for j in range(i + 1, 11)}
+    assert "Join" not in V.pairwise_beta(df, 0)._jdf.queryExecution().optimizedPlan().toString()
