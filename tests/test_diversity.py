@@ -204,3 +204,20 @@ def test_pair_tables_leave_their_tiles_finished(spark, monkeypatch, gain):
     want = m.T.astype(float) @ m
     assert got == {(f"s{i:02d}", f"s{j:02d}"): want[i, j] for i in range(11) for j in range(i + 1, 11)}
     assert "Join" not in V.pairwise_beta(df, 0)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bootstrap_moments_equal_those_of_the_draws(spark, monkeypatch):
+    """No draw is written out, for one block of values a group and for many."""
+    from countgrove.operators import windows as W
+
+    rows = [("a", i, float(i * i)) for i in range(23)] + [("b", i, 2.0) for i in range(5)] + [("c", 0, 1.0), ("a", 99, None)]
+    df = spark.createDataFrame(rows, "g string, i long, v double")
+    want = {(r["g"], r["i"]): r for r in W.bootstrap_within(df, "g", ["g", "i"], "v", 40, seed=3).groupBy("g", "i").agg(
+        F.avg("draw").alias("m"), F.stddev_samp("draw").alias("s")).collect()}
+    for pool in (4, 4096):
+        monkeypatch.setattr(W, "POOL", pool)
+        out = W.bootstrap_spread(df, "g", ["g", "i"], "v", 40, 3)
+        assert "transform" in out._jdf.queryExecution().optimizedPlan().toString() or "aggregate" in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["g"], r["i"]): r for r in out.collect()}
+        assert got.keys() == want.keys()
+        assert all(np.isclose(got[k]["mean"], r["m"]) and np.isclose(got[k]["sd"], r["s"]) for k, r in want.items())
