@@ -1,6 +1,10 @@
 """Largest singular triplets of a sparse matrix whose rows and columns both stay on Spark.
 
-Randomised subspace iteration: a block of random directions is multiplied by the matrix and its
+Where one side has NARROW keys at most, the lines of the other side are reduced as they are: one pass
+gives their triangle, whose singular vectors are those of the narrow side, and a second one the vectors
+of the long side. No rounds are needed, however close the values are.
+
+Else randomised subspace iteration: a block of random directions is multiplied by the matrix and its
 transpose in turn until its singular values settle. A product is a join of the cells with the block
 and a sum of vectors, combined map-side. A tall block is made orthonormal by a QR tree: every task
 reduces its rows to one small triangle, triangles are merged by groups, and the last one, block by
@@ -11,12 +15,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranking import row_index
 from .scratch import release, written
 
+NARROW = 512      # keys of the shorter side up to which the lines of the longer one are reduced directly
+LINES = 2048      # lines made dense at once
 FAN = 64          # triangles merged at once
 SETTLED = 1e-10   # relative change of the wanted singular values at which iteration ends
 ROUNDS = 200      # rounds after which it ends anyway
@@ -39,11 +47,16 @@ def _triangle(block: DataFrame) -> np.ndarray:
         if len(r):
             yield pd.DataFrame({"r": [r.tobytes()]})
 
+    return _merged(block.select(*cols).mapInPandas(reduce_rows, "r binary"), width)
+
+
+def _merged(triangles: DataFrame, width: int) -> np.ndarray:
+    """One triangle of those of the tasks."""
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         stacked = np.vstack([np.frombuffer(r).reshape(-1, width) for r in pdf["r"]])
         return pd.DataFrame({"r": [np.linalg.qr(stacked, mode="r").tobytes()]})
 
-    parts = written(block.select(*cols).mapInPandas(reduce_rows, "r binary"), "triangles")
+    parts = written(triangles, "triangles")
     while (n := parts.count()) > FAN:
         last = parts
         grouped = last.withColumn("g", F.pmod(F.xxhash64("r"), F.lit(-(-n // FAN))))
@@ -99,14 +112,80 @@ def _start(cells: DataFrame, width: int, seed: int) -> DataFrame:
     return cells.select("column").distinct().select("column", *[normal(i).alias(f"b{i}") for i in range(width)])
 
 
+def _dense(batch: pa.RecordBatch, width: int):
+    """The keys and dense lines of a batch of (key, line), some at a time."""
+    for start in range(0, batch.num_rows, LINES):
+        some = batch.slice(start, LINES)
+        line = some.column(1)
+        sizes, cells = np.diff(line.offsets.to_numpy()), line.flatten()
+        out = np.zeros((some.num_rows, width))
+        out[np.repeat(np.arange(some.num_rows), sizes), cells.field("at").to_numpy()] = cells.field("x").to_numpy()
+        yield some.column(0), out
+
+
+def _direct(cells: DataFrame, k: int, short: str) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Values and vectors (short side, long side) of a matrix whose short side has NARROW keys at most."""
+    spark, long = cells.sparkSession, "column" if short == "row" else "row"
+    keys = cells.select(F.col(short).alias("key")).distinct()
+    index = written(row_index(keys.filter("key IS NOT NULL"), "key", name="at"), "keys")
+    known = index.count()
+    index = index.select("key", F.col("at").cast("int").alias("at")).unionByName(keys.filter("key IS NULL").withColumn("at", F.lit(known)))
+    width = known + keys.filter("key IS NULL").count()
+    placed = cells.join(index, F.col(short).eqNullSafe(F.col("key"))).groupBy(long, "at").agg(F.sum("x").alias("x"))
+    lines = written(placed.groupBy(long).agg(F.collect_list(F.struct("at", "x")).alias("line")), "lines")
+
+    def reduce_lines(batches):
+        r = np.zeros((0, width))
+        for batch in batches:
+            for _, x in _dense(batch, width):
+                r = np.linalg.qr(np.vstack([r, x]), mode="r")
+        if len(r):
+            yield pa.RecordBatch.from_pydict({"r": pa.array([r.tobytes()], pa.binary())})
+
+    _, s, vt = np.linalg.svd(_merged(lines.mapInArrow(reduce_lines, "r binary"), width), full_matrices=False)
+    held = s > NOISE * max(s[0], np.finfo(float).tiny)
+    s, vt = s[held][:k], vt[held][:k]
+    names = [f"b{i}" for i in range(len(s))]
+    of_long = T.StructType([lines.schema[long]] + [T.StructField(c, T.DoubleType()) for c in names])
+
+    def turn(batches):
+        for batch in batches:
+            for ids, x in _dense(batch, width):
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in (x @ (vt.T / s)).T)], [long, *names])
+
+    vectors = spark.createDataFrame(pd.DataFrame({"at": np.arange(width), **{c: v for c, v in zip(names, vt)}}))
+    near = written(index.join(vectors, "at").select(F.col("key").alias(short), *names), "vectors")
+    far = written(lines.mapInArrow(turn, of_long), "vectors")
+    release(lines)
+    return s, near, far
+
+
 def singular_triplets(cells: DataFrame, k: int, extra: int | None = None, seed: int = 42) -> tuple[np.ndarray, DataFrame, DataFrame]:
-    """The k largest singular values of the cells (row, column, x), with unit vectors as (row, b0, ...) and (column, b0, ...).
+    """The k largest singular values of the written cells (row, column, x), with unit vectors as (row, b0, ...) and (column, b0, ...).
+
+    Cells without a column take no part. Fewer values come back where the rank is lower. `extra` directions
+    serve the iteration only (see `_iterated`).
+    """
+    cells = cells.filter(F.col("column").isNotNull())
+    short = next((side for side in ("row", "column") if cells.select(side).distinct().limit(NARROW + 1).count() <= NARROW), None)
+    if short:
+        s, near, far = _direct(cells, k, short)
+        rows, columns = (near, far) if short == "row" else (far, near)
+    else:
+        s, rows, columns = _iterated(cells, k, extra, seed)
+    largest = columns.agg(*[F.max_by(f"b{i}", F.struct(F.abs(f"b{i}"), F.col("column"))).alias(f"b{i}") for i in range(len(s))]).first()
+    sign = np.array([1.0 if v is None or v >= 0 else -1.0 for v in largest or []])
+    turn = np.diag(sign) if len(sign) else np.zeros((0, 0))
+    return s, _turned(rows, "row", turn), _turned(columns, "column", turn)
+
+
+def _iterated(cells: DataFrame, k: int, extra: int | None, seed: int) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Values and vectors (rows, columns) by subspace iteration.
 
     `extra` directions beyond k (as many as k, 40 at least) speed convergence: an error shrinks each round by the
-    squared ratio of the first value left out to the one wanted. Fewer values come back where the rank is lower.
+    squared ratio of the first value left out to the one wanted.
     """
     extra = max(40, k) if extra is None else extra
-    cells = written(cells, "matrix")
     left = _product(cells, _start(cells, k + extra, seed), "row", "column")
     before = None
     for _ in range(ROUNDS):
@@ -129,8 +208,5 @@ def singular_triplets(cells: DataFrame, k: int, extra: int | None = None, seed:
     s, vt = s[held][:k], vt[held][:k]
     rows = written(_turned(left, "row", vt.T / s), "rows")
     columns = written(_turned(right_basis, "column", vt.T), "columns")
-    largest = columns.agg(*[F.max_by(f"b{i}", F.struct(F.abs(f"b{i}"), F.col("column"))).alias(f"b{i}") for i in range(len(s))]).first()
-    sign = np.array([1.0 if v is None or v >= 0 else -1.0 for v in largest or []])
-    release(cells, left, right, right_basis)
-    turn = np.diag(sign) if len(sign) else np.zeros((0, 0))
-    return s, _turned(rows, "row", turn), _turned(columns, "column", turn)
+    release(left, right, right_basis)
+    return s, rows, columns

@@ -32,6 +32,26 @@ def test_singular_values_and_vectors(spark):
     assert np.allclose(left.T @ left, np.diag(s[:4]), atol=1e-3) and np.allclose(right.T @ right, np.diag(s[:4]), atol=1e-3)
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_close_singular_values(spark, turned):
+    m = np.random.default_rng(4).integers(1, 1000, (90, 130))   # a bulk of close values, more keys than directions
+    m = m.T if turned else m
+    cells = [(f"f{i:03d}" if i else None, f"s{j:03d}", int(v)) for (i, j), v in np.ndenumerate(m)] + [("f001", "s001", 0), ("f002", "s003", 7)]
+    m[2, 3] += 7                      # a repeated cell adds up; a NULL row is a row
+    out = O.truncated_svd(spark.createDataFrame(cells, "feature string, sample string, value long"), 5)
+    u, s, vt = np.linalg.svd(m.astype(float), full_matrices=False)
+    assert np.allclose([r["singular_value"] for r in out["singular_values"].orderBy("axis").collect()], s[:5], rtol=1e-12)
+    left = matrix_of(out["rows"], "feature", [f"f{i:03d}" if i else None for i in range(len(m))])
+    right = matrix_of(out["columns"], "sample", [f"s{j:03d}" for j in range(m.shape[1])])
+    assert np.allclose(left @ right.T, u[:, :5] * s[:5] @ vt[:5], atol=1e-8)
+
+
+def test_iteration_of_wide_matrices(spark, monkeypatch):
+    monkeypatch.setattr(low_rank, "NARROW", 0)
+    test_singular_values_and_vectors(spark)
+    test_low_rank_and_empty_matrices(spark)
+
+
 def test_low_rank_and_empty_matrices(spark):
     m = np.outer(np.arange(1, 9), np.arange(1, 6))
     out = O.truncated_svd(frame(spark, m).withColumnRenamed("reads", "value"), 3)
