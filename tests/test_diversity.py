@@ -92,6 +92,43 @@ def test_null_models(spark):
     assert all(min(by[r["s1"]]) - 1e-9 <= r["null_mean"] <= max(by[r["s1"]]) + 1e-9 for r in boot)
 
 
+@pytest.mark.parametrize("q", [0, 1])
+@pytest.mark.parametrize("block,at_once", [(2048, 8), (3, 2)])
+def test_spread_over_replicates(spark, q, block, at_once):
+    frames = [frame(spark, table(9, 70, seed=k, zeros=0.6)).filter(f"sample != 's0{k}'").selectExpr("feature", "sample", "reads", f"{k}L rep") for k in range(1, 6)]
+    df = frames[0].unionByName(frames[0].limit(0))
+    for other in frames[1:]:
+        df = df.unionByName(other)
+    df = df.unionByName(spark.sql("SELECT 'f01' AS feature, 's99' AS sample, 3L AS reads, 2L AS rep"))
+    kernel, finish, value = (pair_blocks.shared, V._beta_0, "reads") if q == 0 else (pair_blocks.shared_entropy, V._beta_1, "p")
+    cells = V._shares(df, ["rep", "sample"])
+    got = pair_blocks.pair_spread(cells, "sample", "feature", value, kernel, finish, "rep", 5, block=block, at_once=at_once)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert at_once < 5 or "stddev" not in plan and "HashAggregate" not in plan     # pairs are not grouped after their tile
+    want = {}
+    for r in V.pairwise_beta(df, q, within=["rep"]).collect():
+        want.setdefault((r["s1"], r["s2"]), []).append(r["beta"])
+    rows = {(r["s1"], r["s2"]): r for r in got.collect()}
+    assert rows.keys() == want.keys() and got.count() == len(want) and ("s00", "s99") in rows
+    for k, v in want.items():
+        assert np.isclose(rows[k]["mean"], np.mean(v)) and (np.isclose(rows[k]["sd"], np.std(v, ddof=1)) if len(v) > 1 else rows[k]["sd"] is None)
+    out = {(r["s1"], r["s2"]): r["m"] for r in V.pairwise_beta_spread(df, "rep", 5, q, "m", "d").collect()}
+    assert out.keys() == want.keys() and all(np.isclose(out[k], np.mean(v)) for k, v in want.items())
+
+
+@pytest.mark.parametrize("zeros", [0.0, 0.5])
+def test_dense_entropy_equals_meetings(spark, monkeypatch, zeros):
+    m = table(30, 70, seed=4, zeros=zeros) * (np.arange(70) != 5)
+    m[:, 5] = 0
+    m[29], m[29, 5] = 0, 3            # a sample that shares nothing
+    found = []
+    for gain in (0, 1e9):
+        monkeypatch.setattr(pair_blocks, "DENSE_GAIN", gain)
+        found.append({(r["s1"], r["s2"]): r["beta"] for r in V.pairwise_beta(frame(spark, m), 1).collect()})
+    assert found[0].keys() == found[1].keys() and all(abs(v - found[1][k]) < 1e-12 for k, v in found[0].items())
+    assert all(v == 2.0 for k, v in found[1].items() if "s05" in k)
+
+
 def test_mantel_of_itself_is_one(spark):
     pairs = V.pairwise_beta(frame(spark, table(20, 7, seed=9)), 1).withColumnRenamed("beta", "value")
     r = H.mantel(pairs, pairs, n_perm=9, seed=3).first()
