@@ -87,3 +87,12 @@ def test_bands_meet_at_the_threshold():
         a, b = np.sort(h[:180]), np.sort(h[20:])      # 160 of 200 shared
         met += bool(set(near_copies.bands(a)) & set(near_copies.bands(b)))
     assert met == 3000
+
+
+def test_stage_links_fingerprints_too(spark):
+    passage = " ".join(f"p{i}" for i in range(21))     # odd: no bit is tied
+    rows = [(i, " ".join([passage] * 60 + [f"own{i}w{k}" for k in range(40)])) for i in range(1, 4)]     # alike to SimHash only
+    rows += [(4, rows[1][1].replace("own2w3 ", "")), (5, "another text of other words altogether"), (6, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_first(docs).collect()) == [1, 2, 3, 5]
+    assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()) == [1, 5]
