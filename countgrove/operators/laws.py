@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.common import attach, dbl, finite, names, ratio, safe_log, with_group_stats
 from ..plans.ranking import average_rank, row_index
@@ -61,14 +65,41 @@ def expected_occupancy(counts: DataFrame, params: DataFrame, by=(), mean_of_powe
         inner = 1 + base * F.col("_mean")
         value = F.when(inner > 0, F.lit(1.0) - F.pow(inner, -F.col("shape")))
         return attach(params, mean, by).withColumn("occupancy_expected", finite(value)).drop("_mean")
-    met = _meet_depths(params.select("feature", *by, base.alias("_base"), "shape"), depths, by)
-    part = F.aggregate("_d", F.lit(0.0), lambda acc, e: acc + e["_c"] * F.pow(1 + F.col("_base") * e["_depth"], -F.col("shape")))
-    unseen = met.withColumn("_part", part).groupBy("feature", *by).agg((F.sum("_part") / F.max("_k")).alias("_unseen"))
+    params = written(params, "params")
+    blocks, sizes = _depth_blocks(depths, by)
+    chunks = max(1, -(-params.count() // ROWS))
+    rows = attach(params.select("feature", *by, base.alias("_base"), dbl("shape").alias("_shape")).dropna(subset=["_base", "_shape"]), sizes, by).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("_block"), F.pmod(F.xxhash64("feature"), F.lit(chunks)).alias("_chunk"))
+    each = blocks.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+    schema = T.StructType([rows.schema[c] for c in ("feature", *by, "_k")] + [T.StructField("_part", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def add_powers(own: pa.Table, block: pa.Table) -> pa.Table:
+        if not own.num_rows or not block.num_rows:
+            return arrow.empty_table()
+        pairs = block["_d"].combine_chunks().flatten()
+        depth, times = (pairs.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("_depth", "_c"))
+        with np.errstate(all="ignore"):
+            sums = [times @ (1 + m * depth) ** -shape for m, shape in zip(own["_base"].to_numpy(), own["_shape"].to_numpy())]
+        return own.select(["feature", *by, "_k"]).append_column("_part", pa.array(sums, pa.float64())).cast(arrow)
+
+    keys = [*by, "_block", "_chunk"]
+    parts = rows.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInArrow(add_powers, schema)
+    unseen = parts.groupBy("feature", *by).agg((F.sum("_part") / F.max("_k")).alias("_unseen"))
     return (params.join(unseen, ["feature", *by], "left")
             .withColumn("occupancy_expected", finite(F.lit(1.0) - F.col("_unseen"))).drop("_unseen"))
 
 
 DEPTHS = 1024   # distinct depths that a row meets at once
+ROWS = 20000    # rows that meet a block of depths in one group, about
+
+
+def _depth_blocks(depths: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Written blocks of DEPTHS distinct sample depths, `_d` (depth, count); and per group the `_last` block and `_k` samples."""
+    hist = depths.groupBy(*by, "_depth").agg(F.count(F.lit(1)).alias("_c"))
+    placed = row_index(hist, "_depth", by, "_i").withColumn("_block", F.floor(F.col("_i") / DEPTHS))
+    blocks = written(placed.groupBy(*by, "_block").agg(F.collect_list(F.struct("_depth", "_c")).alias("_d"), F.sum("_c").alias("_own")), "depths")
+    return blocks.drop("_own"), blocks.groupBy(*by).agg(F.max("_block").alias("_last"), F.sum("_own").alias("_k"))
 
 
 def _meet_depths(rows: DataFrame, depths: DataFrame, by: list[str]) -> DataFrame:
@@ -77,12 +108,9 @@ def _meet_depths(rows: DataFrame, depths: DataFrame, by: list[str]) -> DataFrame
     Rows go to the numbers of the blocks and meet them by an equi-join, so neither all depths of a
     group nor all its rows have to fit into one array.
     """
-    hist = depths.groupBy(*by, "_depth").agg(F.count(F.lit(1)).alias("_c"))
-    placed = row_index(hist, "_depth", by, "_i").withColumn("_block", F.floor(F.col("_i") / DEPTHS))
-    blocks = written(placed.groupBy(*by, "_block").agg(F.collect_list(F.struct("_depth", "_c")).alias("_d"), F.sum("_c").alias("_own")), "depths")
-    sizes = blocks.groupBy(*by).agg(F.max("_block").alias("_last"), F.sum("_own").alias("_k"))
+    blocks, sizes = _depth_blocks(depths, by)
     spread = attach(rows, sizes, by).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))))
-    return spread.join(blocks.drop("_own"), [*by, "_block"]).drop("_block", "_last")
+    return spread.join(blocks, [*by, "_block"]).drop("_block", "_last")
 
 
 def taylor_law(params: DataFrame, by=()) -> DataFrame:

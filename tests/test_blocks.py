@@ -46,6 +46,18 @@ def test_powers_and_predicted_occupancy_by_blocks_of_depths(spark, monkeypatch):
         assert {r["b"]: round(r["n"], 9) for r in got} == {b: round(sum(w), 9) for b, w in bins.items()}
 
 
+def test_powers_of_odd_parameters(spark):
+    df = frame(spark, table(6, 5, seed=3))
+    params = spark.createDataFrame([("a", 0.01, 2.0), ("b", None, 1.0), ("c", 0.2, None), ("d", 0.5, -0.5)],
+                                   "feature string, mean_abundance double, shape double")
+    out = M.expected_occupancy(df, params, mean_of_powers=True)
+    got = {r["feature"]: r["occupancy_expected"] for r in out.collect()}
+    depth = np.array([r["d"] for r in df.groupBy("sample").agg(F.sum("reads").alias("d")).collect()], dtype=float)
+    assert np.isclose(got["a"], 1 - np.mean((1 + 0.01 / 2 * depth) ** -2.0)) and got.keys() == {*"abcd"}
+    assert got["b"] is None and got["c"] is None and got["d"] is None
+    assert "CoGroup" in out._jdf.queryExecution().executedPlan().toString()      # powers are taken in arrays, not by an interpreted lambda
+
+
 def test_latent_grid_is_the_fitted_normal(spark):
     fit = spark.createDataFrame([(1.5, 0.5, 0.3)], "mu double, sigma double, mean_shape double")
     eta = np.array([r["eta"] for r in M.quantile_grid(fit, 400).collect()])
