@@ -112,3 +112,23 @@ def test_tables_without_pairs_or_variation(spark):
     assert H.mantel(flat, flat).first()["r"] is None
     none = pairs(spark, np.ones((1, 1)))
     assert H.mantel(none, none).first()["p"] is None
+
+
+@pytest.mark.parametrize("block", [4, 16])
+@pytest.mark.parametrize("drop", [(), ((0, 3), (5, 9))])
+def test_sums_of_strips_agree_with_a_loop(spark, block, drop):
+    """Tables with every pair and with gaps; tiles hold the sums of their pairs, each pair once."""
+    x, y = distances(11, 5) - 1.0, distances(11, 6) - 1.0
+    at = list(combinations(range(11), 2))
+    tables = [spark.createDataFrame([(i, j, float(m[i, j])) for i, j in at if (i, j) not in gone], "i long, j long, v double")
+              for m, gone in ((x, drop), (y, drop[:1]))]
+    tiles = P._tiles(tables[1], block, True).selectExpr("sum(held)", "sum(total)", "sum(squares)").first()
+    held = [y[p] for p in at if p not in drop[:1]]
+    assert np.allclose(tiles, [len(held), sum(held), np.dot(held, held)])
+    got = {r["rep"]: r for r in P.permuted_sums(*tables, 11, 20, False, 3, block=block).collect()}
+    orders = P.relabelled(np.arange(11), 11, np.arange(21), 3)
+    assert sorted(got) == list(range(21))
+    for rep, o in enumerate(orders):
+        both = [(x[p], y[o[p[0]], o[p[1]]]) for p in at if p not in drop and tuple(sorted((o[p[0]], o[p[1]]))) not in drop[:1]]
+        a, b = np.array(both).T
+        assert np.allclose([got[rep][c] for c in ("n", "x", "y", "xx", "yy", "xy")], [len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b])
