@@ -57,11 +57,13 @@ def group_sizes(samples: DataFrame, group: str = "group", by=(), labels: tuple |
 def _two_group_hist(values: DataFrame, sizes: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
     """(by, taxon, value, a, b, sizes): samples of each group with that value, zeros included."""
     scope = [c for c in by if c in sizes.columns]
+    # one row per key: a join by these few keys would send all cells of a key to one task
+    sizes = F.broadcast(sizes) if scope else sizes
     seen = attach(values.filter((F.col(value) != 0) & F.col(value).isNotNull()), sizes, scope)
     first, second = F.col(group) == F.col("group_1"), F.col(group) == F.col("group_2")
     keys = [*by, "taxon"]
-    hist = seen.filter(first | second).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(
-        F.count_if(first).alias("a"), F.count_if(second).alias("b"))
+    hist = written(seen.filter(first | second).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(
+        F.count_if(first).alias("a"), F.count_if(second).alias("b")), "histogram")
     zero = attach(hist.groupBy(*keys).agg(F.sum("a").alias("_a"), F.sum("b").alias("_b")), sizes, scope).select(
         *keys, F.lit(0.0).alias("value"), (F.col("n_1") - F.col("_a")).alias("a"), (F.col("n_2") - F.col("_b")).alias("b"))
     return hist.unionByName(zero).withColumn("_n", F.col("a") + F.col("b"))

@@ -202,3 +202,22 @@ def test_gamma_and_lognormal_densities(spark):
     assert math.isclose(got[0]["g"], gamma(0.5, 2.5, 1.5), rel_tol=1e-9) and math.isclose(got[1]["g"], gamma(3, 0.7, 0.2), rel_tol=1e-9)
     assert math.isclose(got[0]["l"], log(0.5, 2.5, 1.5)) and math.isclose(got[1]["l"], log(3, 0.7, 0.2))
     assert got[2]["g"] == 4.0 and got[2]["l"] == 0.0 and got[3]["g"] == 0.0 and got[4]["g"] is None
+
+
+def test_grid_keeps_cells_of_a_key_apart(spark):
+    """Sizes of the keys are sent to the cells: no join by the key deals its rows to one task, and the counts are written once."""
+    rng = np.random.default_rng(8)
+    m = rng.integers(0, 6, (9, 12))
+    rows = [(k, f"f{i}", f"s{j}", "A" if j < 5 else "B", int(m[i, j]) + (k == "y")) for k in "xy" for i in range(9) for j in range(12)]
+    v = spark.createDataFrame(rows, "key string, taxon string, sample string, group string, reads long")
+    sizes = H.group_sizes(v, by=["key"])
+    seen = []
+    plain, H.written = H.written, lambda df, label: (seen.append((label, df._jdf.queryExecution().toString())), plain(df, label))[1]
+    try:
+        got = H.rank_sum_test(v, sizes, by=["key"]).collect()
+    finally:
+        H.written = plain
+    assert [label for label, p in seen] == ["histogram"] and "strategy=broadcast" in seen[0][1]
+    for r in got:
+        x = m[int(r["taxon"][1:])] + (r["key"] == "y")
+        assert math.isclose(r["w"], avg_rank(x)[:5].sum() - 15)
