@@ -355,6 +355,7 @@ def contrast_suite(tables: dict[str, DataFrame], groups: DataFrame, comparisons=
     by = [*names(comparisons), "variant"]
     parts = [df.filter("reads > 0").select("feature", "sample", "reads", F.lit(name).alias("variant")) for name, df in tables.items()]
     counts = written(reduce(DataFrame.unionByName, parts), "variants")
+    groups = written(groups, "groups")   # each test reads them several times
     factors = None
     if "negative_binomial" in tests:
         factors = written(reduce(DataFrame.unionByName, [

@@ -221,3 +221,18 @@ def test_grid_keeps_cells_of_a_key_apart(spark):
     for r in got:
         x = m[int(r["taxon"][1:])] + (r["key"] == "y")
         assert math.isclose(r["w"], avg_rank(x)[:5].sum() - 15)
+
+
+def test_suite_reads_the_groups_once(spark):
+    """Tests join the groups several times; what finds them runs once."""
+    c = frame(spark, table(9, 8, seed=6))
+    found = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def half(sample):
+        found.add(1)
+        return "A" if sample < "s04" else "B"
+
+    g = spark.createDataFrame([(f"s{j:02d}",) for j in range(8)], "sample string").withColumn("group", half("sample"))
+    rows = H.contrast_suite({"raw": c}, g).collect()
+    assert found.value == 8 and len(rows) == 27
