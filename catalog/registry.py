@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 SIGNIFICANT = 8
 NOTHING = 1e-12     # rounding errors of sums that cancel
 NUDGE = 1 + 1e-13   # moves exact ties off the middle, which the two engines round differently
+MOST = 1e20         # numbers from here on are written out and read again
 
 CASES: dict[str, tuple] = {}
 
@@ -25,7 +26,12 @@ def significant(df: DataFrame, digits: int = SIGNIFICANT) -> DataFrame:
     """Every double column to so many significant digits."""
     def short(name):
         c = F.col(name)
-        return F.when(F.abs(c) < NOTHING, F.lit(0.0)).otherwise(
+        y = F.abs(c) * NUDGE
+        power = F.pow(F.lit(10.0), F.abs(digits - 1 - F.floor(F.log10(y))))
+        # whole numbers below 2^53 and powers of ten up to 22 are exact, so one division or product rounds as a parsed numeral does
+        plain = (F.when(y < 10.0 ** (digits - 1), F.floor(y * power + 0.5) / power)
+                 .otherwise(F.floor(y / power + 0.5) * power)) * F.signum(c)
+        return F.when(F.abs(c) < NOTHING, F.lit(0.0)).when(y < MOST, plain).otherwise(
             F.format_string(f"%.{digits - 1}e", c * NUDGE).cast("double"))
 
     return df.select(*[F.when(F.col(n).isNotNull(), short(n)).alias(n) if kind == "double" else F.col(n)

@@ -258,3 +258,43 @@ def test_bootstrap_moments_equal_those_of_the_draws(spark, monkeypatch):
         got = {(r["g"], r["i"]): r for r in out.collect()}
         assert got.keys() == want.keys()
         assert all(np.isclose(got[k]["mean"], r["m"]) and np.isclose(got[k]["sd"], r["s"]) for k, r in want.items())
+
+
+def test_lines_are_packed_without_loss():
+    rng = np.random.default_rng(3)
+    pos = rng.integers(0, 40, 900)
+    for at, value in ((rng.integers(-1, 2 ** 40, 900), rng.standard_normal(900)), (np.arange(900) % 77, rng.integers(1, 9, 900) / 7),
+                      (np.arange(900), np.where(np.arange(900) % 50, -0.5, np.nan))):
+        data = pair_blocks._encoded(pos, at, value, 41)
+        per_row, at_, value_ = pair_blocks._decoded(data)
+        order = np.lexsort((at, pos))
+        assert per_row.tolist() == np.bincount(pos, minlength=41).tolist() and (at_ == at[order]).all()
+        assert np.array_equal(value_, value[order], equal_nan=True)
+    whole = pair_blocks._encoded(np.repeat(np.arange(500), 100), np.tile(np.arange(100) * 9, 500), rng.integers(1, 50, 50_000).astype(float), 500)
+    assert len(whole) < 50_000 * 4     # 20 bytes a cell before
+
+
+@pytest.mark.parametrize("gain", [0, 1e9])
+@pytest.mark.parametrize("kernel", [pair_blocks.dot, pair_blocks.shared, pair_blocks.shared_entropy])
+def test_a_tile_is_added_up_in_strips(monkeypatch, gain, kernel):
+    """No array of a whole tile is made: a strip of rows has PIECE pairs at most, eight times as many where cells are dense."""
+    import pyarrow as pa
+
+    for name, size in (("DENSE_GAIN", gain), ("PIECE", 60), ("MET", 50), ("SIDE", 5)):
+        monkeypatch.setattr(pair_blocks, name, size)
+    rng = np.random.default_rng(5)
+    sides, full = [], []
+    for n in (23, 17):
+        m = rng.random((n, 40)) * (rng.random((n, 40)) < 0.3)
+        r, c = np.nonzero(m)
+        r, c, v = np.append(r, 0), np.append(c, -1), np.append(m[r, c], 3.0)     # one cell without an inner key
+        line = {"_data": pair_blocks._encoded(r, c, v, n), "_rows": pa.array(range(n)), "_labels": pa.array([0] * n)}
+        sides.append(pair_blocks._rows_of([line]))
+        full.append(m)
+    want = kernel(full[0][:, None, :], full[1][None, :, :])
+    if kernel is pair_blocks.shared_entropy:
+        want = np.where((full[0][:, None, :] > 0) & (full[1][None, :, :] > 0), want, 0.0)
+    strips = list(pair_blocks._met(*sides, kernel, 7))
+    assert len(strips) > 4 and all(s.size <= 480 for _, s in strips)
+    assert [r.start for r, _ in strips] + [23] == [0] + [r.stop for r, _ in strips]
+    assert np.allclose(np.vstack([s for _, s in strips]), want.sum(axis=2))

@@ -50,3 +50,19 @@ def test_workers_find_the_shipped_package(tmp_path):
     done = subprocess.run([sys.executable, "-c", ELSEWHERE.format(root=root)], cwd=tmp_path, env=env,
                           capture_output=True, text=True, timeout=180)
     assert "rows 3" in done.stdout, done.stderr[-2000:]
+
+
+def test_rounding_equals_written_digits(spark):
+    """Digits are found by arithmetic, not by a formatter; both give the same doubles."""
+    import numpy as np
+
+    from catalog import registry
+
+    rng = np.random.default_rng(4)
+    values = [*(rng.standard_normal(3000) * 10.0 ** rng.integers(-13, 24, 3000)), *(rng.integers(-10 ** 6, 10 ** 6, 2000) / 64),
+              *10.0 ** np.arange(-11, 23), 0.0, 99999999.5, 9999999.95]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)] + [(-1, None)], "i long, v double")
+    for digits in (6, 8):
+        out = registry.significant(df, digits)
+        got = {r.i: r.v for r in out.collect()}
+        assert got[-1] is None and all(got[i] == (0.0 if abs(v) < 1e-12 else float(f"{v * registry.NUDGE:.{digits - 1}e}")) for i, v in enumerate(values))
