@@ -298,3 +298,18 @@ def test_a_tile_is_added_up_in_strips(monkeypatch, gain, kernel):
     assert len(strips) > 4 and all(s.size <= 480 for _, s in strips)
     assert [r.start for r, _ in strips] + [23] == [0] + [r.stop for r, _ in strips]
     assert np.allclose(np.vstack([s for _, s in strips]), want.sum(axis=2))
+
+
+def test_null_of_samples_meets_pairs_where_they_are(spark):
+    pairs = V.pairwise_beta(frame(spark, table(12, 40, seed=6)), 0)
+    by = pairs.groupBy("s1").agg(F.avg("beta").alias("null_mean"), F.stddev_samp("beta").alias("null_sd"))
+    same = pairs.select("s1", "s2").join(by, "s1")
+    got, want = V.beta_nci(pairs, by, on="s1"), V.beta_nci(pairs, same)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (V.beta_nci(pairs, by, on="s1"), V.covariate_difference(pairs, by.withColumnRenamed("s1", "sample"), ["null_mean"])):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
