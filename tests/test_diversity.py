@@ -313,3 +313,28 @@ def test_null_of_samples_meets_pairs_where_they_are(spark):
             assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_draws_in_arrays_equal_those_of_spark(spark):
+    """Hashes of many seeds at once, for texts of all lengths, whole numbers and NULL; other ids are hashed by Spark."""
+    from countgrove.functions.hashing import chained
+    from countgrove.operators import windows as W
+
+    texts = ["", "a", "é😀", None, *("xyz0123456789" * 9)[:70].split("3"), *["q" * n for n in range(1, 70)]]
+    rows = [(i, t, i - 40, i * 7 ** 17 - 2 ** 60) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i long, t string, n int, b long").withColumn("n", F.when(F.col("n") != 3, F.col("n"))).repartition(1)
+    seeds = np.array([3, -5, 2 ** 62], dtype=np.int64)
+    for column, kind in (("t", "string"), ("n", "int"), ("b", "bigint")):
+        want = {r["i"]: r["h"] for r in df.select("i", F.array(*[F.xxhash64(F.lit(5), F.lit(int(s)), column) for s in seeds]).alias("h")).collect()}
+        first = [r[0] for s in seeds for r in spark.range(1).select(F.xxhash64(F.lit(5), F.lit(int(s)))).collect()]
+        got = chained([r[column] for r in df.orderBy("i").collect()], kind, np.array(first, dtype=np.int64).view(np.uint64))
+        assert [list(r) for r in got.view(np.int64)] == [want[i] for i in range(len(texts))]
+    # no lambda adds up draw by draw; ids of another type agree with the draws too
+    data = spark.createDataFrame([("a", float(i), f"x{i}", float(i % 5)) for i in range(9)], "g string, i double, x string, v double")
+    for ids in (["g", "x"], ["x", "g"], ["g", "i"]):
+        out = W.bootstrap_spread(data, "g", ids, "v", 30, 3)
+        assert "aggregate(sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
+        want = {tuple(r[k] for k in ids): r for r in W.bootstrap_within(data, "g", ids, "v", 30, seed=3).groupBy(*ids).agg(
+            F.avg("draw").alias("m"), F.stddev_samp("draw").alias("s")).collect()}
+        got = {tuple(r[k] for k in ids): r for r in out.collect()}
+        assert got.keys() == want.keys() and all(np.isclose(got[k]["mean"], r["m"]) and np.isclose(got[k]["sd"], r["s"]) for k, r in want.items())
