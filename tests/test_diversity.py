@@ -338,3 +338,16 @@ def test_draws_in_arrays_equal_those_of_spark(spark):
             F.avg("draw").alias("m"), F.stddev_samp("draw").alias("s")).collect()}
         got = {tuple(r[k] for k in ids): r for r in out.collect()}
         assert got.keys() == want.keys() and all(np.isclose(got[k]["mean"], r["m"]) and np.isclose(got[k]["sd"], r["s"]) for k, r in want.items())
+
+
+def test_products_of_three_leave_their_task_finished(spark):
+    """No partial sum of a pair is added up after its task, and blocks of pairs of rows are large."""
+    df = frame(spark, table(9, 70, seed=2, zeros=0.3))
+    dist = spark.createDataFrame([(f"f{i:02d}", f"f{j:02d}", float(i + j)) for i in range(9) for j in range(i + 1, 9)], "f1 string, f2 string, d double")
+    cells = df.withColumn("reads", F.col("reads").cast("double"))
+    got = pair_blocks.triple_sums(cells, dist, "sample", "feature", "reads", chunk=4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "CoGroup" not in plan and got.count() == 70 * 69 // 2
+    rows = spark.range(6000).selectExpr("id AS k", "cast(id AS double) AS v")
+    many = pair_blocks.row_pairs(rows, "k", "v")
+    assert ", 36" in many._jdf.queryExecution().optimizedPlan().toString()     # pairs of 8 blocks, of 24 before
