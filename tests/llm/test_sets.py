@@ -250,3 +250,21 @@ def test_pipeline_stages_chain(spark):
         assert stage(spark, extra.limit(0), sf).count() == 0, name
     tokens = corpus_pipeline.run(spark, sf)
     assert tokens.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and tokens.count() > 0
+
+
+def test_different_pages_are_counted_exactly(spark):
+    """Digests that agree in their last bits were taken for one page, so constant text of three pages stayed."""
+    import xxhash
+
+    body = "<body><div class='legal'>All rights kept.</div><div><p>Story {i} of day {i}.</p></div></body>"
+    by_bit = defaultdict(list)
+    for i in range(200):
+        by_bit[xxhash.xxh64_intdigest(body.format(i=i)) % 62].append(i)
+    alike = next(v for v in by_bit.values() if len(v) >= 3)[:3]
+    rows = [(i, "http://h/x", body.format(i=i)) for i in alike]
+    for parts in (1, 3):
+        pages = _pages(spark, rows + rows).repartition(parts, "page_id")
+        assert {r.page_id: r.text for r in templates.extract(pages).collect()} == {i: f"Story {i} of day {i}." for i in alike}
+        assert {r.different for r in templates.token_counts(pages).collect()} == {3}
+    two = _pages(spark, rows[:2] * 4).repartition(3)
+    assert {r.different for r in templates.token_counts(two).collect()} == {2}
